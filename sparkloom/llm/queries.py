@@ -21,8 +21,34 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_symbols").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.packing import pack_documents
+    from sparkloom.llm.tokens import public
+
+    out = pack_documents(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from sparkloom.llm.bpe import encode_documents
+
+    out = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(text, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.binary_ids import read_files, write_files
+    from sparkloom.llm.tokens import public
+
+    files, dictionary = write_files(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"), Scratch(spark, "op10"))
+    return read_files(files, dictionary).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_suffix_dedup, op5_substring_dedup)}
+    return {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op5_substring_dedup, op6_byte_bpe, op10_binary_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
