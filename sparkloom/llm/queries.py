@@ -47,8 +47,14 @@ def op10_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(files, dictionary).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op5_substring_dedup, op6_byte_bpe, op10_binary_ids)}
+    return {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op5_substring_dedup, op6_byte_bpe, op9_jaccard_join, op10_binary_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
