@@ -1,0 +1,307 @@
+"""Personal data: fixed patterns and a linear-chain CRF (operator 4).
+
+Base kinds are patterns with checks: email, ip, card (16 to 19 digits passing Luhn), phone (with a
+plus sign, 8 to 15 digits); leftmost, non-overlapping per kind, a match that fails its check is
+dropped. The method adds phone numbers without a plus sign: runs of digit groups and phone
+punctuation, at most one word before them being read as context, are labelled O, B or I by a
+linear-chain CRF over word-shape features, trained here on the small table below and decoded by
+Viterbi in numpy over padded batches of runs. Labels B and I exist inside such runs only, so texts
+without digits are never decoded and no run is cut short. A span needs 7 to 15 digits and must not
+touch a base span.
+
+Results: one row per row of docs; a null or empty text has no span; repeated rows give repeated
+results. Positions count code points, ends are exclusive.
+"""
+
+from __future__ import annotations
+
+import functools
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from sparkloom.llm.tokens import text_blocks
+
+KINDS = ("email", "ip", "card", "phone")
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
+_PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_RUN = re.compile(r"[0-9(][\x20().0-9-]*[0-9]")
+_TOKEN = re.compile(r"[0-9]+|[^0-9]")
+_CUE = re.compile(r"([A-Za-z]+)[:.]?\x20?\Z")
+
+
+def luhn(digits: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    """From each @ outwards: the local part is the run before it, from the last match on."""
+    out, done, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and (c := text[start - 1]).isascii() and (c.isalnum() or c in "._%+-"):
+            start -= 1
+        m = _DOMAIN.match(text, at) if start < at else None
+        if m:
+            out.append((start, m.end()))
+            done = m.end()
+        # without a match the characters before this @ cannot begin a later one
+        else:
+            done = max(done, at + 1)
+        at = text.find("@", max(done, at + 1))
+    return out
+
+
+def base_spans(text: str | None) -> list[tuple[str, int, int]]:
+    """In the order of kinds, then position."""
+    if not text:
+        return []
+    out = [("email", a, b) for a, b in _emails(text)]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p.lstrip("0")) < 4) and all(len(p.lstrip("0")) < 4 for p in m[0].split("."))]
+    for m in _CARD.finditer(text):
+        digits = m[0].replace(" ", "").replace("-", "")
+        if 16 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 8 <= sum(map(str.isdigit, m[0])) <= 15]
+    return out
+
+
+#: Labelled table: context before, run of digits and punctuation, whether all of the run is a phone number.
+#: Written for this module; digits are varied below.
+LABELLED = [
+    ("call", "555-123-4567", 1), ("phone", "(266) 555-7228", 1), ("tel", "020 7946 0958", 1), ("", "(017) 555-7713", 1), ("fax", "030 123456-78", 1), ("mobile", "07700 900123", 1),
+    ("cell", "555.867.5309", 1), ("at", "(555) 010-9999", 1), ("number", "1-800-555-0199", 1), ("phone", "5550199", 1), ("call", "555-0199", 1), ("dial", "0800 1111 222", 1), ("tel", "(0)30 901820", 1), ("contact", "202-555-0147", 1), ("telefon", "089 1234567", 1), ("", "415-555-2671", 1),
+    ("version", "4.0.2.1 1", 0), ("on", "2024-01-15", 0), ("date", "15-01-2024", 0), ("", "12 345 678", 0), ("page", "120-134", 0), ("years", "1998-2004", 0), ("token", "7831179344661714", 0), ("id", "980791576", 0), ("", "1 2 3 4 5 6 7 8", 0),
+    ("of", "10 20 30", 0), ("section", "3.1.4.1.5.9.2", 0), ("isbn", "978-3-16-148410-0", 0), ("pi", "3.14159265", 0), ("from", "5927243074273351", 0), ("sum", "100 200 300", 0), ("", "2001 2002 2003", 0), ("in", "1234567", 0), ("order", "00012345", 0), ("", "20240115 093000", 0), ("ratio", "16.9.2004 12", 0), ("address", "132.201.103", 0), ("", "(1) (2) (3) 4567", 0), ("", "0.5 0.25 0.125", 0), ("the", "10000000", 0),
+]
+CUES = frozenset(("call", "phone", "tel", "fax", "mobile", "cell", "telephone", "dial", "telefon", "contact"))
+
+
+def shape(token: str) -> str:
+    return f"d{min(len(token), 11)}" if token[0].isdigit() else token
+
+
+def feature_names(tokens: list[str], cue: bool) -> list[list[str]]:
+    s = [shape(t) for t in tokens]
+    digits = sum(len(t) for t in tokens if t[0].isdigit())
+    size = "n<7" if digits < 7 else "n>15" if digits > 15 else "n7" if digits == 7 else "n8-9" if digits < 10 else "n10-11" if digits < 12 else "n12-15"
+    whole = "+".join(s) if len(s) <= 9 else "long"
+    out = []
+    for i, x in enumerate(s):
+        before, after = s[i - 1] if i else "^", s[i + 1] if i + 1 < len(s) else "$"
+        two = s[i - 2] if i > 1 else "^"
+        next2 = s[i + 2] if i + 2 < len(s) else "$"
+        out.append(["bias", x, f"{before}<{x}", f"{x}>{after}", f"{two}<<{x}", f"{x}>>{next2}", size, f"{size}:{x}", f"w{whole}", f"cue{cue}", f"cue{cue}{size}"])
+    return out
+
+
+class CRF:
+    """Labels O, B, I; I only after B or I."""
+
+    LABELS = 3
+    BAN = -1e4
+
+    def __init__(self):
+        self.index: dict[str, int] = {}
+        self.weights = np.zeros((0, 3))
+        self.trans = np.zeros((3, 3))
+
+    def ids(self, names: list[list[str]], grow: bool = False) -> list[list[int]]:
+        out = []
+        for row in names:
+            if grow:
+                for n in row:
+                    self.index.setdefault(n, len(self.index))
+            out.append([self.index[n] for n in row if n in self.index])
+        return out
+
+    def _allowed(self) -> np.ndarray:
+        t = self.trans.copy()
+        t[0, 2] = self.BAN
+        return t
+
+    def emissions(self, seqs: list[list[list[int]]], width: int) -> np.ndarray:
+        out = np.zeros((len(seqs), width, 3))
+        for i, s in enumerate(seqs):
+            for t, f in enumerate(s):
+                out[i, t] = self.weights[f].sum(0) if f else 0.0
+        out[:, 0, 2] = self.BAN
+        return out
+
+    def fit(self, names: list, labels: list[list[int]], rounds: int = 120, rate: float = 0.3, l2: float = 0.01) -> None:
+        seqs = [self.ids(n, True) for n in names]
+        self.weights = np.zeros((len(self.index), 3))
+        n, width = len(seqs), max(map(len, seqs))
+        lens = np.array([len(s) for s in seqs])
+        mask = np.arange(width) < lens[:, None]
+        y = np.zeros((n, width), int)
+        for i, l in enumerate(labels):
+            y[i, : len(l)] = l
+        at = [(i, t, f) for i, s in enumerate(seqs) for t, fs in enumerate(s) for f in fs]
+        ii, tt, ff = (np.array(x) for x in zip(*at, strict=True))
+        gold_w = np.zeros_like(self.weights)
+        np.add.at(gold_w, (ff, y[ii, tt]), 1)
+        gold_t = np.zeros((3, 3))
+        for i, l in enumerate(labels):
+            for a, b in zip(l, l[1:], strict=False):
+                gold_t[a, b] += 1
+        sq_w, sq_t = np.full_like(self.weights, 1e-8), np.full((3, 3), 1e-8)
+        for _ in range(rounds):  # AdaGrad on the log likelihood
+            e = np.zeros((n, width, 3))
+            np.add.at(e, (ii, tt), self.weights[ff])
+            e[:, 0, 2] = self.BAN
+            trans = self._allowed()
+            alpha, beta = np.zeros_like(e), np.zeros_like(e)
+            alpha[:, 0] = e[:, 0]
+            lse = lambda x, axis: (m := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis))
+            for t in range(1, width):
+                step = lse(alpha[:, t - 1, :, None] + trans, 1) + e[:, t]
+                alpha[:, t] = np.where(mask[:, t, None], step, alpha[:, t - 1])
+            for t in range(width - 2, -1, -1):
+                step = lse(trans[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+                beta[:, t] = np.where(mask[:, t + 1, None], step, 0.0)
+            z = lse(alpha[:, -1], 1)
+            p = np.exp(alpha + beta - z[:, None, None])
+            exp_w = np.zeros_like(self.weights)
+            np.add.at(exp_w, ff, p[ii, tt])
+            exp_t = np.zeros((3, 3))
+            for t in range(1, width):
+                joint = np.exp(alpha[:, t - 1, :, None] + trans + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
+                exp_t += joint[mask[:, t]].sum(0)
+            gw, gt = (gold_w - exp_w) / n - l2 * self.weights / n, (gold_t - exp_t) / n - l2 * self.trans / n
+            sq_w, sq_t = sq_w + gw**2, sq_t + gt**2
+            self.weights += rate * gw / np.sqrt(sq_w)
+            self.trans += rate * gt / np.sqrt(sq_t)
+
+    def viterbi(self, seqs: list[list[list[int]]]) -> list[np.ndarray]:
+        """Best labels of each sequence; sequences of like length are decoded together."""
+        out: list = [None] * len(seqs)
+        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+        trans = self._allowed()
+        for k in range(0, len(order), 2048):
+            part = order[k : k + 2048]
+            lens = np.array([len(seqs[i]) for i in part])
+            width = int(lens.max(initial=1))
+            e = self.emissions([seqs[i] for i in part], width)
+            back = np.zeros((len(part), width, 3), np.int8)
+            score, rows = e[:, 0], np.arange(len(part))
+            for t in range(1, width):
+                via = score[:, :, None] + trans
+                best = via.argmax(1)
+                step = np.take_along_axis(via, best[:, None, :], 1)[:, 0] + e[:, t]
+                live = (t < lens)[:, None]
+                back[:, t] = np.where(live, best, np.arange(3))
+                score = np.where(live, step, score)
+            label = np.zeros((len(part), width), np.int8)
+            label[:, -1] = score.argmax(1)
+            for t in range(width - 1, 0, -1):
+                label[:, t - 1] = back[rows, t, label[:, t]]
+            for i, row, n in zip(part, label, lens.tolist(), strict=True):
+                out[i] = row[:n]
+        return out
+
+
+@functools.cache
+def trained(variants: int = 6, seed: int = 11) -> CRF:
+    """The CRF of the labelled table, each row in several digit variants (and, if a number, without its cue)."""
+    r = np.random.default_rng(seed)
+    names, labels = [], []
+    for cue, run, phone in LABELLED:
+        for v in range(variants):
+            text = "".join(str(r.integers(0, 10)) if c.isdigit() else c for c in run)
+            tokens = _TOKEN.findall(text)
+            names.append(feature_names(tokens, cue in CUES and not (v % 3 == 2 and phone and len(tokens) > 3)))
+            labels.append([0] * len(tokens) if not phone else [1] + [2] * (len(tokens) - 1))
+    crf = CRF()
+    crf.fit(names, labels)
+    return crf
+
+
+def find(texts: list[str | None], crf: CRF) -> list[tuple[list, list]]:
+    """(base spans, all spans) of each text, ordered by kind and position."""
+    bases = [base_spans(t) for t in texts]
+    runs: list[tuple[int, int, list[str]]] = []
+    for i, t in enumerate(texts):
+        taken = sorted((a, b) for _, a, b in bases[i])
+        k = 0
+        for m in _RUN.finditer(t or ""):
+            a, b = m.span()
+            while k < len(taken) and taken[k][1] <= a - 1:
+                k += 1
+            if k < len(taken) and taken[k][0] < b + 1:
+                continue
+            if sum(map(str.isdigit, m[0])) < 7:
+                continue
+            around = (t[a - 1] if a else " ") + (t[b] if b < len(t) else " ")
+            if any(c.isalnum() or c in "@_+#=/\"'" for c in around):  # part of a word, code or key
+                continue
+            runs.append((i, a, _TOKEN.findall(m[0])))
+    added: list[list] = [[] for _ in texts]
+    if runs:
+        seqs = []
+        for i, a, tokens in runs:
+            m = _CUE.search(texts[i], max(0, a - 24), a)
+            seqs.append(crf.ids(feature_names(tokens, bool(m) and m[1].lower() in CUES)))
+        for (i, a, tokens), label in zip(runs, crf.viterbi(seqs), strict=True):
+            edge = np.append(0, np.cumsum([len(x) for x in tokens]))
+            begin = np.flatnonzero(label == 1).tolist()
+            for s in begin:
+                e = s + 1
+                while e < len(label) and label[e] == 2:
+                    e += 1
+                if 7 <= sum(len(x) for x in tokens[s:e] if x[0].isdigit()) <= 15:
+                    added[i].append(("phone", a + int(edge[s]), a + int(edge[e])))
+    out = []
+    for base, more in zip(bases, added, strict=True):
+        out.append((base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1])) if more else base))
+    return out
+
+
+_SPAN = "array<struct<kind:string,start:long,end:long>>"
+
+
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, base, spans): arrays of (kind, start, end)."""
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        crf = trained()
+        for batch in batches:
+            for i, texts in text_blocks(batch, 1, 1 << 20):
+                found = find(texts, crf)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *(pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f[k]] for f in found], kind) for k in (0, 1))], names=["doc_id", "base", "spans"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, base {_SPAN}, spans {_SPAN}")
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every span of text_col replaced by its kind in angle brackets; other columns as they are."""
+    fields = docs.schema
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        crf = trained()
+        for batch in batches:
+            out = []
+            for _, texts in text_blocks(batch, place, 1 << 20):
+                for t, (_, spans) in zip(texts, find(texts, crf), strict=True):
+                    at, parts = 0, []
+                    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+                        if a >= at:
+                            parts += [t[at:a], f"<{kind}>"]
+                            at = b
+                        elif b > at:  # overlaps the span before it
+                            at = b
+                    out.append(t if not parts else "".join(parts) + t[at:])
+            yield batch.set_column(place, batch.schema.field(place).name, pa.array(out, batch.column(place).type))
+
+    return docs.mapInArrow(run, fields)

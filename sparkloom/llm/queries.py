@@ -7,6 +7,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparkloom.util import Scratch, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.toxicity import score_documents, train
+
+    held = lambda: F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), Scratch(spark, "op1"), ~held())
+    return score_documents(docs, model).select("doc_id", held().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.pii import KINDS, find_personal
+
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    out = find_personal(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.rules import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op7"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.cover import near_pairs
+
+    return near_pairs(table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.suffix import dedup_substrings
 
@@ -54,7 +85,7 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_packing, op3_suffix_dedup, op5_substring_dedup, op6_byte_bpe, op9_jaccard_join, op10_binary_ids)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_suffix_dedup, op4_pii, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_embedding_dedup, op9_jaccard_join, op10_binary_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
