@@ -84,8 +84,14 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).select("doc_id", "n_shingles", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_suffix_dedup, op4_pii, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_embedding_dedup, op9_jaccard_join, op10_binary_ids)}
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_suffix_dedup, op4_pii, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_embedding_dedup, op9_jaccard_join, op10_binary_ids, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -163,8 +163,11 @@ def by_key(method: Callable, rows: int = 20_000) -> Callable:
     return run
 
 
-def cut_out(kind: Kind) -> Callable:
-    """(id, text, spans of repeated windows) -> what is left and counts."""
+def cut_out(kind: Kind, whole: bool = False, carried: tuple = ()) -> Callable:
+    """(id, text, spans of repeated windows, carried columns) -> what is left and counts.
+
+    whole: of bytes, a character that loses a byte goes as a whole, so that what is left is UTF-8.
+    """
 
     def run(batches):
         for batch in batches:
@@ -187,6 +190,9 @@ def cut_out(kind: Kind) -> Callable:
                 np.add.at(delta, s, 1)
                 np.add.at(delta, e, -1)
                 gone = np.cumsum(delta[:total]) > 0
+                if whole and kind.unit == "bytes" and total:
+                    char = np.cumsum((data & 0xC0) != 0x80) - 1
+                    gone = (np.bincount(char, gone, int(char[-1]) + 1) > 0)[char]
                 head = gone.copy()
                 head[1:] &= ~gone[:-1]
                 first = at[:-1][at[:-1] < at[1:]]
@@ -211,14 +217,16 @@ def cut_out(kind: Kind) -> Callable:
                     bounds = cs[offsets]
                 raw = kept_bytes.tobytes()
                 kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(at[1:] - at[:-1]), pa.array(removed), pa.array(n_spans), kept], names=["doc_id", "n_symbols", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(at[1:] - at[:-1]), pa.array(removed), pa.array(n_spans), kept, *(batch.column(3 + c).slice(i, j - i) for c in range(len(carried)))], names=["doc_id", "n_symbols", "n_removed", "n_spans", "kept", *carried])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, kind: Kind, method: Callable, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", method_rows: int = 20_000) -> DataFrame:
-    """(doc_id, n_symbols, n_removed, n_spans, kept) for every row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def remove_repeats(docs: DataFrame, kind: Kind, method: Callable, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", method_rows: int = 20_000, whole: bool = False, carry: tuple = ()) -> DataFrame:
+    """(doc_id, n_symbols, n_removed, n_spans, kept) and the columns named in carry, as c0, c1, ..., for every row of docs."""
+    names = tuple(f"c{i}" for i in range(len(carry)))
+    all_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
+    docs = all_.select("doc_id", "text")
     keyed = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), "text")
     runs = scratch.keep(keyed.mapInArrow(find_runs(kind), RUNS))
     stats = runs.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("first"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("m > 1").drop("m")
@@ -236,5 +244,6 @@ def remove_repeats(docs: DataFrame, kind: Kind, method: Callable, scratch: Scrat
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = open_.repartition(n_parts, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(by_key(method, method_rows), "doc long, pos long, n int")
     spans = own.union(alone).union(copies).union(settled).union(found).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    joined = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST))).join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut_out(kind), "doc_id long, n_symbols long, n_removed long, n_spans long, kept binary")
+    joined = all_.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST))).join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans", *names)
+    more = "".join(f", {n} {all_.schema[n].dataType.simpleString()}" for n in names)
+    return joined.mapInArrow(cut_out(kind, whole, names), "doc_id long, n_symbols long, n_removed long, n_spans long, kept binary" + more)

@@ -184,9 +184,10 @@ def later_windows(window: int):
 BYTES = Kind("bytes", 100, 28)
 
 
-def dedup_substrings(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", kind: Kind = BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", kind: Kind = BYTES, whole: bool = False, carry: tuple = ()) -> DataFrame:
     """Remove every byte that an earlier equal string of `kind.window` bytes covers.
 
-    (doc_id, n_symbols, n_removed, n_spans, kept) with kept as bytes: a cut may fall inside a character.
+    (doc_id, n_symbols, n_removed, n_spans, kept) with kept as bytes: a cut may fall inside a character,
+    unless `whole` extends it to whole characters. Columns in carry come back as c0, c1, ...
     """
-    return remove_repeats(docs, kind, later_windows(kind.window), scratch, id_col, text_col)
+    return remove_repeats(docs, kind, later_windows(kind.window), scratch, id_col, text_col, whole=whole, carry=carry)

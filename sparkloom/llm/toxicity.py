@@ -195,3 +195,16 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(score(texts, model, table))], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """Rows of docs that score under the threshold, with all their columns."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        table = model.table()
+        for batch in batches:
+            ok = [score(texts, model, table) < threshold for _, texts in text_blocks(batch, place, 1 << 20)]
+            yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
+
+    return docs.mapInArrow(run, docs.schema)
