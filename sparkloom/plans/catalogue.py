@@ -1,6 +1,95 @@
+"""Queries of the engine's own operators over the test tables, and the SQL they must equal."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkloom.functions import names as N
+from sparkloom.operators import graph as G, history as H, packages as P
+from sparkloom.plans import adapters as A
+from sparkloom.util import Scratch, table
+
+NOW = "2002-01-01"
+LAYERS = [
+    {"name": "http", "patterns": ["P1*", "P2*"], "peer_limit": 3},
+    {"name": "service", "patterns": ["P3*", "*7"], "peer_limit": -1},
+    {"name": "domain", "patterns": ["*"], "peer_limit": 6},
+]
+_CHANGES = "ch as (select l_orderkey commit_seq, cast(o_orderdate as date) date, cast(o_custkey as varchar) author, 'part/' || l_partkey path, cast(l_quantity as int) added, l_linenumber deleted from lineitem join orders on l_orderkey = o_orderkey)"
+_CLASSES = "cl as (select p_partkey, 'com.' || lower(p_type) || '.' || lower(replace(p_brand, '#', '')) || '.P' || p_partkey class, 'com.' || lower(p_type) || '.' || lower(replace(p_brand, '#', '')) pkg, 'com.' || lower(p_type) pkg2, case when p_size < 10 then 'INTERFACE' when p_size < 20 then 'DATA_CLASS' when p_size < 45 then 'CONCRETE' end kind, p_size from part)"
+_EDGES = f"{_CLASSES}, e as (select distinct x.class caller_class, 'm' || a.l_returnflag caller_method, y.class callee_class, 'm' || b.l_linestatus callee_method, x.pkg src_pkg, y.pkg tgt_pkg, x.pkg2 s2, y.pkg2 t2, y.kind kind from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 join cl x on a.l_partkey = x.p_partkey join cl y on b.l_partkey = y.p_partkey)"
+_DEPS = f"{_EDGES}, d as (select distinct src_pkg, tgt_pkg, caller_class src_class, callee_class tgt_class, s2, t2, kind from e where src_pkg <> tgt_pkg)"
+_STRENGTH = "st as (select src_pkg src, tgt_pkg tgt, count(*) filter (kind = 'INTERFACE') contract, count(*) filter (kind = 'DATA_CLASS') model, count(*) filter (kind = 'CONCRETE') functional, count(*) filter (kind is null) unknown, count(*) total, cast(case when count(*) filter (kind = 'CONCRETE') > 0 then 3 when count(*) filter (kind = 'DATA_CLASS') > 0 then 2 else 1 end as bigint) \"level\" from d group by 1, 2)"
+_TRADE = "w as (select c_nationkey src, s_nationkey tgt, count(*) w from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2), t as (select src, tgt from w where src <> tgt and w > 1.5 * (select sum(w) / count(*) from w))"
+
+
+def _deps(s, d):
+    return P.package_deps(A.call_edges(s, d))
+
+
+def _kinds(s, d):
+    return A.classes(s, d).filter("kind is not null").select("class", "kind")
+
+
+def _volatile(s, d):
+    c = A.classes(s, d).select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), N.package_name(F.col("class")).alias("pkg"))
+    return H.volatility(H.hotspots(A.file_changes(s, d), n=None).join(c, "path"), F.col("pkg"))
+
+
 def queries() -> dict:
-    return {}
+    q = {
+        "hotspots": lambda s, d: H.hotspots(A.file_changes(s, d)),
+        "hotspots_marked": lambda s, d: H.mark_hotspots(H.hotspots(A.file_changes(s, d), n=None)),
+        "churn": lambda s, d: H.churn(A.file_changes(s, d)),
+        "code_age": lambda s, d: H.code_age(A.file_changes(s, d), F.lit(NOW).cast("date"), None),
+        "authors": lambda s, d: H.authors(A.file_changes(s, d), min_revs=20),
+        "coupling": lambda s, d: H.coupling(A.file_changes(s, d), min_shared=3, min_degree=5, n=None),
+        "volatility": _volatile,
+        "package_deps": lambda s, d: _deps(s, d).groupBy("src_pkg", "tgt_pkg").agg(F.count(F.lit(1)).alias("classes")),
+        "dsm": lambda s, d: P.dsm(_deps(s, d)),
+        "dsm_two_cycles": lambda s, d: P.two_cycles(P.dsm(_deps(s, d), 3)),
+        "distance": lambda s, d: P.distances(P.dsm(_deps(s, d), 3)),
+        "root_package": lambda s, d: P.root_package(A.classes(s, d).select(N.package_name(F.col("class")).alias("package"))),
+        "strength": lambda s, d: P.strength(_deps(s, d), _kinds(s, d)),
+        "balance": lambda s, d: P.balance(P.strength(_deps(s, d), _kinds(s, d)), _volatile(s, d)),
+        "layer_check": lambda s, d: P.layer_check(_deps(s, d), LAYERS),
+        "cycles": lambda s, d: G.cycles(A.trade_graph(s, d), Scratch(s, "cycles")),
+        "pagerank": lambda s, d: G.pagerank(A.call_edges(s, d).select(F.col("caller_class").alias("src"), F.col("callee_class").alias("tgt")), Scratch(s, "rank")).select("node", F.round("rank", 9).alias("rank")),
+        "complexity": lambda s, d: G.complexity(A.call_edges(s, d)),
+        "live": lambda s, d: G.live(table(s, d, "nation").agg(F.min("n_nationkey").alias("node")), A.trade_graph(s, d), Scratch(s, "live")),
+        "find_classes": lambda s, d: A.classes(s, d).filter(N.name_filter("P1.*7$", F.col("class"), F.col("class"), N.simple_name(F.col("class")), F.col("class"))).select("class"),
+        "callers": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("callee_class")).rlike("^P[0-9]$")).select("callee_class", "callee_method", "caller_class", "caller_method"),
+        "size": lambda s, d: H.sizes(table(s, d, "documents").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines")), over=10),
+    }
+    return q
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    spots = "select path, count(*) revisions, cast(sum(added + deleted) as bigint) churn from ch group by 1"
+    vol = f"hs as ({spots}), vo as (select pkg package, cast(sum(revisions) as bigint) revisions, cast(sum(churn) as bigint) churn, count(*) files, sum(revisions) / count(*) avg_revs from hs join cl on path = 'part/' || p_partkey group by 1)"
+    dist = "len(string_split(src, '.')) + len(string_split(tgt, '.')) - 2 * (case when src = tgt then 3 when split_part(src, '.', 2) = split_part(tgt, '.', 2) then 2 else 1 end)"
+    first = "case when regexp_matches({0}, '^P1.*$|^P2.*$') then 0 when regexp_matches({0}, '^P3.*$|^.*7$') then 1 else 2 end"
+    return {
+        "hotspots": f"with {_CHANGES} {spots} order by revisions desc, path limit 50",
+        "hotspots_marked": f"with {_CHANGES}, h as ({spots}) select path, revisions, churn, (select count(*) from h) >= 5 and revisions >= 2 * (select list_sort(list(revisions))[count(*) // 2 + 1] from h) hot from h",
+        "churn": f"with {_CHANGES} select path, cast(sum(added) as bigint) added, cast(sum(deleted) as bigint) deleted, count(*) commits, cast(sum(added) - sum(deleted) as bigint) net from ch group by 1 order by sum(added) + sum(deleted) desc, path limit 50",
+        "code_age": f"with {_CHANGES}, m as (select path, max(date) last_changed from ch group by 1) select path, last_changed, cast((((2002 * 12 + 1) * 32 + 1) - ((year(last_changed) * 12 + month(last_changed)) * 32 + day(last_changed))) // 32 as bigint) age_months from m",
+        "authors": f"with {_CHANGES} select path, count(distinct author) authors, count(*) revisions from ch group by 1 having count(*) >= 20 order by authors desc, path limit 50",
+        "coupling": f"with {_CHANGES}, f as (select distinct commit_seq, path from ch), u as (select * from f where commit_seq in (select commit_seq from f group by 1 having count(*) <= 30)), r as (select path, count(*) revs from u group by 1), p as (select a.path entity, b.path coupled, count(*) shared from u a join u b using (commit_seq) where a.path < b.path group by 1, 2 having count(*) >= 3) select entity, coupled, shared * 100 // ((x.revs + y.revs) // 2) degree, shared, (x.revs + y.revs) // 2 avg_revs from p join r x on entity = x.path join r y on coupled = y.path where shared * 100 // ((x.revs + y.revs) // 2) >= 5",
+        "volatility": f"with {_CHANGES}, {_CLASSES}, {vol} select * from vo",
+        "package_deps": f"with {_DEPS} select src_pkg, tgt_pkg, count(*) classes from d group by 1, 2",
+        "dsm": f"with {_DEPS} select s2 src, t2 tgt, count(*) refs from d where s2 <> t2 group by 1, 2",
+        "dsm_two_cycles": f"with {_DEPS}, c as (select src_pkg src, tgt_pkg tgt, count(*) refs from d group by 1, 2) select a.src, a.tgt, a.refs, b.refs back_refs from c a join c b on a.src = b.tgt and a.tgt = b.src where a.src < a.tgt",
+        "distance": f"with {_DEPS}, c as (select src_pkg src, tgt_pkg tgt, count(*) refs from d group by 1, 2) select src, tgt, {dist} distance, refs dependencies from c",
+        "root_package": "select 'com' root",
+        "strength": f"with {_DEPS}, {_STRENGTH} select * from st",
+        "balance": f"with {_CHANGES}, {_DEPS}, {_STRENGTH}, {vol}, m as (select quantile_disc(revisions, 0.5) median from vo), x as (select src, tgt, \"level\", {dist} distance, coalesce(a.revisions, 0) src_revs, coalesce(b.revisions, 0) tgt_revs, median from st left join vo a on a.package = src left join vo b on b.package = tgt, m) select src, tgt, \"level\", distance, src_revs, tgt_revs, case when (\"level\" >= 3) <> (distance >= 3) then 'BALANCED' when \"level\" < 3 then 'OVER_ENGINEERED' when median > 0 and greatest(src_revs, tgt_revs) >= median then 'DANGER' else 'TOLERABLE' end verdict from x",
+        "layer_check": f"with {_DEPS}, c as (select distinct src_class, tgt_class, {first.format('split_part(src_class, chr(46), 4)')} s, {first.format('split_part(tgt_class, chr(46), 4)')} t from d), p as (select src_class, count(*) m from c where s = t group by 1), v as (select 'OUTWARD' \"type\", src_class, tgt_class, s, t from c where t < s union all select 'PEER', src_class, tgt_class, s, t from c join p using (src_class) where s = t and ((s = 0 and m > 3) or (s = 2 and m > 6))) select \"type\", src_class, tgt_class, ['http', 'service', 'domain'][s + 1] src_layer, ['http', 'service', 'domain'][t + 1] tgt_layer from v",
+        "cycles": f"with recursive {_TRADE}, r as (select src, tgt from t union select r.src, t.tgt from r join t on r.tgt = t.src), b as (select x.src, x.tgt from r x join r y on x.src = y.tgt and x.tgt = y.src where x.src <> x.tgt) select least(min(tgt), src) component, src node from b group by src",
+        "pagerank": f"with recursive {_EDGES}, g as (select distinct caller_class src, callee_class tgt from e where caller_class <> callee_class), n as (select src node from g union select tgt from g), k as (select count(*) n from n), o as (select src, count(*) degree from g group by 1), h as (select g.src, g.tgt, degree from g join o using (src)), p as (select 0 i, node, cast(1.0 as double) / n rank from n, k union all select p.i + 1, n.node, cast(0.15 as double) / max(k.n) + cast(0.85 as double) * coalesce(sum(case when h.src = p.node then p.rank / h.degree end), 0) from p join h on h.src = p.node right join n on n.node = h.tgt, k where p.i < 20 group by 1, 2) select node, round(rank, 9) rank from p where i = 20",
+        "complexity": f"with {_EDGES}, x as (select distinct caller_class, caller_method, callee_class, callee_method from e where caller_class <> callee_class), o as (select caller_class class, count(*) fan_out, count(distinct callee_class) classes_out from x group by 1), i as (select callee_class class, count(*) fan_in, count(distinct caller_class) classes_in from x group by 1) select class, coalesce(fan_out, 0) fan_out, coalesce(classes_out, 0) classes_out, coalesce(fan_in, 0) fan_in, coalesce(classes_in, 0) classes_in from o full join i using (class)",
+        "live": f"with recursive {_TRADE}, r as (select min(n_nationkey) node from nation union select t.tgt from r join t on t.src = r.node) select node from r",
+        "find_classes": f"with {_CLASSES} select class from cl where regexp_matches(class, 'P1.*7$')",
+        "callers": f"with {_EDGES} select distinct callee_class, callee_method, caller_class, caller_method from e where regexp_matches(callee_class, '[.]P[0-9]$')",
+        "size": "select doc_id file, len(string_split(text, chr(10))) lines from documents where len(string_split(text, chr(10))) > 10 order by lines desc, file limit 50",
+    }
