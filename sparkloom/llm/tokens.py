@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-CACHE = 300_000  # entries a worker keeps
+CACHE = 500_000  # entries of each of two generations that a worker keeps
 _ODD = re.compile(r" \s| $")
 
 
@@ -30,8 +30,17 @@ def split_words(text: str) -> list[str]:
     return out
 
 
+#: A plain word and ASCII punctuation after it (no apostrophe): always separate matches for both public BPE files.
+_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Encoder:
-    """Texts -> ids as little-endian uint32 bytes, equal to the library's on each whole text."""
+    """Texts -> ids as little-endian uint32 bytes, equal to the library's on each whole text.
+
+    Ids of chunks are remembered in two generations of at most CACHE entries each, so that
+    frequent chunks stay when a generation is dropped. A new chunk that is a plain word with
+    punctuation is put together from both parts' ids.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,27 +48,66 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
+        #: the file folds case: words may be looked up in lower case
+        self.folds = one("A\u00c9Z") == one("a\u00e9z")
+        #: the file drops white space: a word is the same with and without its space
+        self.bare = one(" a b") == one("a b")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, w: str) -> str:
+        w = w.lower() if self.folds else w
+        return w.lstrip(" ") if self.bare else w
+
+    def _learn(self, new: set[str]) -> None:
+        """Put ids of unknown chunks into the young generation."""
+        young, old = self.young, self.old
+        fresh = []
+        for c in new:
+            if (x := old.get(c)) is not None:
+                young[c] = x
+            else:
+                fresh.append(c)
+        parts: dict[str, tuple[str, str]] = {}
+        todo: set[str] = set()
+        for c in fresh:
+            m = _PLAIN.fullmatch(c)
+            if m:
+                parts[c] = (self._word(m[1]), m[2])
+                todo.update(parts[c])
+            else:
+                todo.add(c)
+        known = {w: x for w in todo if (x := young.get(w, old.get(w))) is not None}
+        ask = [w for w in todo if w not in known]
+        if ask:
+            for w, e in zip(ask, self.batch(ask, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+        for c in fresh:
+            if c in parts:
+                word, tail = parts[c]
+                young[c] = known[word] + known[tail]
+                young[word] = known[word]
+            else:
+                young[c] = known[c]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
         rows = [None if any(a in t for a in self.added) else split_words(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {"": b""}
         new: set[str] = set()
         for r in rows:
             if r:
                 new.update(r)
-        new -= self.known.keys()
+        new -= self.young.keys()
         if new:
-            todo = list(new)
-            for w, e in zip(todo, self.batch(todo, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+            self._learn(new)
+        get = self.young.__getitem__
         return [self._whole(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, rows, strict=True)]
 
 
