@@ -11,7 +11,8 @@ part gives no key: m has room for `slack` empty parts, and only sets with more o
 their empty parts as well, which keeps the guarantee.
 
 The least set of each key is its pivot. All sets of a key belong to the pivot's group, so every
-linked pair meets in a group. Within a group a signature tree is joined with itself: nodes hold the
+linked pair meets in a group. Pivot groups that overlap are one group while they hold at most `block`
+sets together, so that a set is sent once. Within a group a signature tree is joined with itself: nodes hold the
 OR and the AND of token bitmaps and the range of sizes; node pairs that cannot reach the needed
 overlap, or that are one component already, are pruned; leaves are verified on the exact sets.
 Groups above `block` sets are split into blocks by hash, each joined with itself and the pivot; sets
@@ -289,7 +290,12 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     # a task lists keys of a set once, so a set's keys may come from several tasks: only distinct sets count
     rows = all_.select("set_id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other")).filter("pivot <> other").drop("other")
-    near = scratch.keep(rows.join(shared, "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
+    stars = scratch.keep(rows.join(shared, "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
+    # a set may have many pivots; where all sets joined by stars fit one block, they are one group, so each is sent once
+    whole = scratch.keep(components(stars.select(F.col("pivot").alias("a"), F.col("set_id").alias("b")), scratch).withColumnRenamed("node", "set_id"))
+    small = whole.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") <= join.block).select("component")
+    fitting = scratch.keep(whole.join(small, "component"))
+    near = scratch.keep(fitting.filter("set_id <> component").select(F.col("component").alias("pivot"), "set_id").union(stars.join(fitting.select("set_id"), "set_id", "left_anti").select("pivot", "set_id")))
     sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / join.block).cast("int")
     member = near.join(sizes, "pivot").select("pivot", "set_id", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
