@@ -46,12 +46,12 @@ def parse(logs: DataFrame, log: str = "log") -> DataFrame:
     # commits begin at header lines: cut the text there, then each part is one commit
     parts = F.split(F.concat(F.lit("\n"), F.col(log)), r"\n(?=--[^-\n]+--\d{4}-\d{2}-\d{2}--[^\n])")
     commits = logs.select(F.posexplode(parts).alias("commit_seq", "part")).withColumn("lines", F.split("part", "\n"))
-    head = F.regexp_replace(F.col("lines")[0], "\r$", "")
+    head = F.regexp_replace(F.get(F.col("lines"), F.lit(0)), "\r$", "")
     rows = commits.filter(head.rlike(header)).select(
         F.col("commit_seq").cast("long"), F.regexp_extract(head, header, 1).alias("hash"), F.to_date(F.regexp_extract(head, header, 2)).alias("date"), F.regexp_extract(head, header, 3).alias("author"), F.posexplode("lines").alias("pos", "line")
     )
     f = F.split("line", "\t")
-    changes = rows.filter((F.col("pos") > 0) & (F.size(f) == 3)).select("commit_seq", "hash", "date", "author", "pos", resolve_rename(f[2]).alias("path"), F.coalesce(f[0].try_cast("int"), F.lit(0)).alias("added"), F.coalesce(f[1].try_cast("int"), F.lit(0)).alias("deleted"))
+    changes = rows.filter((F.col("pos") > 0) & (F.size(f) == 3)).select("commit_seq", "hash", "date", "author", "pos", resolve_rename(F.get(f, F.lit(2))).alias("path"), F.coalesce(F.get(f, F.lit(0)).try_cast("int"), F.lit(0)).alias("added"), F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(0)).alias("deleted"))
     return changes.filter(~_starts(F.col("path"), BUILD_DIRS))
 
 
