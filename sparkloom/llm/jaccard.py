@@ -10,7 +10,13 @@ of the larger set, and a set whose partners may lie in the next class emits keys
 part gives no key: m has room for `slack` empty parts, and only sets with more of them emit keys for
 their empty parts as well, which keeps the guarantee.
 
-The least set of each key is its pivot. All sets of a key belong to the pivot's group, so every
+Parts of common passages make keys that many unlike sets hold. So m also has room for `spare` keys:
+linked sets share more than `spare` of them, and each set drops its `spare` commonest keys of a
+class, in one order of all keys (rows that hold it, then the key). The least common key that two
+linked sets share has `spare` commoner ones in both, so both keep it. A set with no more than `spare`
+shared keys drops out.
+
+The least set that kept a key is its pivot. All sets of a key belong to the pivot's group, so every
 linked pair meets in a group. Within a group a signature tree is joined with itself: nodes hold the
 OR and the AND of token bitmaps and the range of sizes; node pairs that cannot reach the needed
 overlap, or that are one component already, are pruned; leaves are verified on the exact sets.
@@ -23,11 +29,11 @@ Results: one row per row of docs; documents without a word are linked with nothi
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.llm import kernels as K
 from sparkloom.operators.components import components
@@ -43,19 +49,19 @@ class Join:
     den: int = 100
     ratio: float = 1.5
     block: int = 1024
-    classes: tuple = field(default=())
+    spare: float = 0.5
 
-    def bounds(self) -> list[tuple[int, int, int, int]]:
-        """(least size, greatest size, parts, slack) by class, sizes ascending."""
+    def bounds(self) -> list[tuple[int, int, int, int, int]]:
+        """(least size, greatest size, parts, slack, spare keys) by class, sizes ascending."""
         out, lo = [], 1
         while lo < 2**40:
             hi = max(lo, int(lo * self.ratio))
             d = 2 * hi * (self.den - self.num) // (self.den + self.num)
             if d == 0:  # equal sets only: interned already
-                out.append((lo, hi, 0, 0))
+                out.append((lo, hi, 0, 0, 0))
             else:
-                slack = 2 + d // 24
-                out.append((lo, hi, d + 1 + slack, slack))
+                slack, spare = 2 + d // 24, int(np.ceil(d * self.spare))
+                out.append((lo, hi, d + 1 + slack + spare, slack, spare))
             lo = hi + 1
         return out
 
@@ -91,6 +97,10 @@ def set_id(s: np.ndarray) -> int:
     return int(K.mix(np.array([x], np.uint64)).view(np.int64)[0])
 
 
+#: The low bits of a key hold its class.
+CLASS_BITS = 7
+
+
 def keys_of(s: np.ndarray, bounds: list, starts: np.ndarray, join: Join) -> np.ndarray:
     """Keys of a sorted set in its class and, if partners may be there, the next."""
     n = len(s)
@@ -99,7 +109,7 @@ def keys_of(s: np.ndarray, bounds: list, starts: np.ndarray, join: Join) -> np.n
     for c in (own, own + 1):
         if c > own and n * join.den // join.num < bounds[c][0]:
             break
-        _, _, m, slack = bounds[c]
+        _, _, m, slack, _ = bounds[c]
         if not m:
             continue
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ascends with s
@@ -110,42 +120,53 @@ def keys_of(s: np.ndarray, bounds: list, starts: np.ndarray, join: Join) -> np.n
             if m - len(cut) > slack:
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[cut])
                 keys = np.concatenate((keys, K.mix(empty * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c * 7_000_003 + 13))))
-        out.append(keys)
+        out.append((keys & ~np.uint64((1 << CLASS_BITS) - 1)) | np.uint64(c))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sets_and_keys(join: Join):
+def set_blocks(batches, join: Join):
+    """(first column, sets) of bounded blocks of rows."""
+    for batch in batches:
+        data, offsets = K.buffers(batch.column(1))
+        for i, j in K.blocks(offsets, 1 << 20):
+            yield batch.column(0).slice(i, j - i), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words)
+
+
+def set_ids(join: Join):
+    def run(batches):
+        for doc, sets in set_blocks(batches, join):
+            ids = pa.array([set_id(s) for s in sets], pa.int64(), mask=np.array([not len(s) for s in sets], bool))
+            yield pa.RecordBatch.from_arrays([doc, pa.array([len(s) for s in sets], pa.int64()), ids], names=["doc_id", "n", "set_id"])
+
+    return run
+
+
+def set_keys(join: Join, remember: int = 200_000):
     def run(batches):
         bounds = join.bounds()
         starts = np.array([b[0] for b in bounds])
         seen: set[int] = set()
-        for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
-            for i, j in K.blocks(offsets, 4 << 20):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words)
-                ids = [set_id(s) for s in sets]
-                if len(seen) > 500_000:
-                    seen = set()
-                keys = []
-                for s, x in zip(sets, ids, strict=True):  # a copy of a set that this task has seen emits no keys again
-                    keys.append(keys_of(s, bounds, starts, join).view(np.int64) if len(s) and x not in seen else np.zeros(0, np.int64))
-                    seen.add(x)
+        for _, sets in set_blocks(batches, join):
+            ids, keys = [], []
+            for s in sets:
+                if not len(s) or (x := set_id(s)) in seen:  # a copy of a set that this task has seen emits no keys again
+                    continue
+                seen.add(x)
+                ids.append(x)
+                keys.append(keys_of(s, bounds, starts, join).view(np.int64))
+            if len(seen) > remember:
+                seen = set()
+            if ids:
                 at = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.int64(), mask=np.array([not len(s) for s in sets], bool)), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else [], pa.int64()))],
-                    names=["doc_id", "n", "set_id", "keys"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys), pa.int64()))], names=["set_id", "keys"])
 
     return run
 
 
 def sets_only(join: Join):
     def run(batches):
-        for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
-            for i, j in K.blocks(offsets, 4 << 20):
-                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "tokens"])
+        for ids, sets in set_blocks(batches, join):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "tokens"])
 
     return run
 
@@ -285,11 +306,17 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     """(doc_id, n_shingles, set_id, component_id) for every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    all_ = scratch.keep(docs.mapInArrow(sets_and_keys(join), "doc_id long, n long, set_id long, keys array<long>"))
-    # a task lists keys of a set once, so a set's keys may come from several tasks: only distinct sets count
-    rows = all_.select("set_id", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other")).filter("pivot <> other").drop("other")
-    near = scratch.keep(rows.join(shared, "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
+    all_ = scratch.keep(docs.mapInArrow(set_ids(join), "doc_id long, n long, set_id long"))
+    # a task lists keys of a set once, so a set's keys may come from several tasks: only distinct sets count.
+    # Keys are dealt out once, for the counts and for the join with them; a key holds one row of a set's many.
+    rows = docs.select("doc_id", "text").mapInArrow(set_keys(join), "set_id long, keys array<long>").select("set_id", F.explode("keys").alias("key")).repartition(n_parts, "key")
+    held = lambda r: r.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other"), F.count(F.lit(1)).alias("held")).filter("pivot <> other").drop("other")
+    kind = F.col("key").bitwiseAND((1 << CLASS_BITS) - 1).cast("int")
+    order = Window.partitionBy("set_id", kind).orderBy(F.desc("held"), "key")
+    spare = F.element_at(F.array(*(F.lit(b[4]) for b in join.bounds())), kind + 1)
+    kept = rows.join(held(rows).drop("pivot").hint("merge"), "key").withColumn("at", F.dense_rank().over(order)).filter(F.col("at") > spare)
+    kept = scratch.keep(kept.select("set_id", "key").distinct())
+    near = scratch.keep(kept.join(held(kept).drop("held"), "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
     sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / join.block).cast("int")
     member = near.join(sizes, "pivot").select("pivot", "set_id", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))

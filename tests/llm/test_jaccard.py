@@ -68,7 +68,9 @@ def test_keys_meet():
             b = np.unique(np.concatenate((a[cut:], r.integers(0, 2**63, r.integers(0, n // 6 + 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1))))
             both = len(np.intersect1d(a, b))
             if len(b) and not np.array_equal(a, b) and join.linked(both, len(a) + len(b) - both):
-                assert len(np.intersect1d(J.keys_of(a, bounds, starts, join), J.keys_of(b, bounds, starts, join)))
+                common = np.intersect1d(J.keys_of(a, bounds, starts, join), J.keys_of(b, bounds, starts, join))
+                # more than the spare keys of some class are shared, so the least common of them is kept by both
+                assert any(n > bounds[c][4] for c, n in enumerate(np.bincount((common & np.uint64(127)).astype(int))))
 
 
 def test_odd(spark):
