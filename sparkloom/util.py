@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch in tables that are written in between.
+BATCH_ROWS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -27,10 +31,16 @@ class Scratch:
         self.paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """Write df once and read it back."""
+        """Write df once and read it back. Arrow batches of the write are small: rows may be long texts."""
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = int(conf.get(key))
+        conf.set(key, min(before, BATCH_ROWS) if before > 0 else BATCH_ROWS)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(key, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._loom_path = path
