@@ -20,7 +20,7 @@ The least set that kept a key is its pivot. All sets of a key belong to the pivo
 linked pair meets in a group. Within a group a signature tree is joined with itself: nodes hold the
 OR and the AND of token bitmaps and the range of sizes; node pairs that cannot reach the needed
 overlap, or that are one component already, are pruned; leaves are verified on the exact sets.
-Groups above `block` sets are split into blocks by hash, each joined with itself and the pivot; sets
+Groups above `block` sets or `block_tokens` shingles are split into blocks by hash, each joined with itself and the pivot; sets
 that stay apart from the pivot are then compared with every block of their group.
 
 Results: one row per row of docs; documents without a word are linked with nothing; ids may be null
@@ -48,7 +48,8 @@ class Join:
     num: int = 90
     den: int = 100
     ratio: float = 1.5
-    block: int = 1024
+    block: int = 1024  # sets of a block, and their shingles
+    block_tokens: int = 2_000_000
     spare: float = 0.5
 
     def bounds(self) -> list[tuple[int, int, int, int, int]]:
@@ -195,10 +196,12 @@ class SignatureTree:
         self.sets = sets
         self.size = np.array([len(s) for s in sets])
         self.words = max(1, 1 << int(np.ceil(np.log2(max(1, 2 * self.size.max(initial=1)) / 64))) if self.size.max(initial=1) > 32 else 1)
-        bits = np.zeros((len(sets), self.words * 64), bool)
+        self.words = min(self.words, 1024)  # fewer bits than tokens only weaken the bound
+        self.bits = np.zeros((len(sets), self.words), np.uint64)
         for i, s in enumerate(sets):
-            bits[i, (s & np.uint64(self.words * 64 - 1)).astype(np.int64)] = True
-        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+            row = np.zeros(self.words * 64, bool)
+            row[(s & np.uint64(self.words * 64 - 1)).astype(np.int64)] = True
+            self.bits[i] = np.packbits(row).view(np.uint64)
         order = np.lexsort((self.bits[:, 0], self.size))
         # nodes: (or, and, least size, greatest size, children or members)
         level = []
@@ -317,14 +320,15 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     kept = rows.join(held(rows).drop("pivot").hint("merge"), "key").withColumn("at", F.dense_rank().over(order)).filter(F.col("at") > spare)
     kept = scratch.keep(kept.select("set_id", "key").distinct())
     near = scratch.keep(kept.join(held(kept).drop("held"), "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
-    sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / join.block).cast("int")
+    keyed = all_.filter("set_id is not null")
+    first = scratch.keep(keyed.groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("doc"), F.max("n").alias("n")))
+    # sets of a key are of like size, so the pivot's stands for all
+    sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).join(first.select(F.col("set_id").alias("pivot"), "n"), "pivot")
+    blocks = F.ceil(F.greatest(F.col("m") / join.block, F.col("m") * F.col("n") / join.block_tokens)).cast("int")
     member = near.join(sizes, "pivot").select("pivot", "set_id", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     heads = sizes.select("pivot", F.col("pivot").alias("set_id"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), blocks.alias("blocks"))
     members = scratch.keep(member.unionByName(heads))
-    keyed = all_.filter("set_id is not null")
-    first = keyed.groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("doc"))
-    wanted = first.join(members.select("set_id").distinct(), "set_id")
+    wanted = first.select("set_id", "doc").join(members.select("set_id").distinct(), "set_id")
     texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST))).drop("doc_id").join(wanted.hint("shuffle_hash"), "doc").select("set_id", "text")
     # repeated ids may bring other texts: the set's own hash says which is meant
     sets = scratch.keep(texts.mapInArrow(sets_only(join), "set_id long, tokens binary"))
@@ -333,13 +337,13 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     tasks = with_sets.select("pivot", "block", "set_id", "tokens", "probe").repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "set_id")
     found = scratch.keep(tasks.mapInArrow(group_join(join, False), links))
     edges = found.filter("b is not null").select("a", "b")
-    apart = found.filter("b is null").select("pivot", F.col("a").alias("set_id")).join(sizes.filter(F.col("m") > join.block), "pivot")
+    apart = found.filter("b is null").select("pivot", F.col("a").alias("set_id")).join(sizes.filter(blocks > 1), "pivot")
     probe = apart.join(sets, "set_id").select("pivot", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "set_id", "tokens", F.lit(True).alias("probe"))
     targets = with_sets.filter("blocks > 1").join(probe.select("pivot", "block").distinct(), ["pivot", "block"], "left_semi").join(apart.select("pivot", "set_id"), ["pivot", "set_id"], "left_anti").select("pivot", "block", "set_id", "tokens", "probe")
     again = probe.unionByName(targets).repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "set_id").mapInArrow(group_join(join, True), links)
     edges = edges.union(again.filter("b is not null").select("a", "b"))
     parts = components(edges, scratch).withColumnRenamed("node", "set_id")
-    named = first.join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    named = first.select("set_id", "doc").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))
     labels = named.join(least, "component").select("set_id", "least")
     out = all_.select("doc_id", "n", "set_id").join(labels, "set_id", "left")
