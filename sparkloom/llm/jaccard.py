@@ -309,10 +309,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     """(doc_id, n_shingles, set_id, component_id) for every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    all_ = scratch.keep(docs.mapInArrow(set_ids(join), "doc_id long, n long, set_id long"))
+    all_ = scratch.keep(docs.mapInArrow(K.returning(set_ids(join)), "doc_id long, n long, set_id long"))
     # a task lists keys of a set once, so a set's keys may come from several tasks: only distinct sets count.
     # Keys are dealt out once, for the counts and for the join with them; a key holds one row of a set's many.
-    rows = docs.select("doc_id", "text").mapInArrow(set_keys(join), "set_id long, keys array<long>").select("set_id", F.explode("keys").alias("key")).repartition(n_parts, "key")
+    rows = docs.select("doc_id", "text").mapInArrow(K.returning(set_keys(join)), "set_id long, keys array<long>").select("set_id", F.explode("keys").alias("key")).repartition(n_parts, "key")
     held = lambda r: r.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("other"), F.count(F.lit(1)).alias("held")).filter("pivot <> other").drop("other")
     kind = F.col("key").bitwiseAND((1 << CLASS_BITS) - 1).cast("int")
     order = Window.partitionBy("set_id", kind).orderBy(F.desc("held"), "key")
@@ -331,16 +331,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     wanted = first.select("set_id", "doc").join(members.select("set_id").distinct(), "set_id")
     texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST))).drop("doc_id").join(wanted.hint("shuffle_hash"), "doc").select("set_id", "text")
     # repeated ids may bring other texts: the set's own hash says which is meant
-    sets = scratch.keep(texts.mapInArrow(sets_only(join), "set_id long, tokens binary"))
+    sets = scratch.keep(texts.mapInArrow(K.returning(sets_only(join)), "set_id long, tokens binary"))
     with_sets = members.join(sets, "set_id").withColumn("probe", F.lit(False))
     links = "pivot long, a long, b long"
     tasks = with_sets.select("pivot", "block", "set_id", "tokens", "probe").repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "set_id")
-    found = scratch.keep(tasks.mapInArrow(group_join(join, False), links))
+    found = scratch.keep(tasks.mapInArrow(K.returning(group_join(join, False)), links))
     edges = found.filter("b is not null").select("a", "b")
     apart = found.filter("b is null").select("pivot", F.col("a").alias("set_id")).join(sizes.filter(blocks > 1), "pivot")
     probe = apart.join(sets, "set_id").select("pivot", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "set_id", "tokens", F.lit(True).alias("probe"))
     targets = with_sets.filter("blocks > 1").join(probe.select("pivot", "block").distinct(), ["pivot", "block"], "left_semi").join(apart.select("pivot", "set_id"), ["pivot", "set_id"], "left_anti").select("pivot", "block", "set_id", "tokens", "probe")
-    again = probe.unionByName(targets).repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "set_id").mapInArrow(group_join(join, True), links)
+    again = probe.unionByName(targets).repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "set_id").mapInArrow(K.returning(group_join(join, True)), links)
     edges = edges.union(again.filter("b is not null").select("a", "b"))
     parts = components(edges, scratch).withColumnRenamed("node", "set_id")
     named = first.select("set_id", "doc").join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

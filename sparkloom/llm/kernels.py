@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,25 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers share an executor's limit with its JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
+def returning(run):
+    """run over a task's batches, then give_back."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        give_back()
+
+    return trimmed
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_POWERS["up"]) < n:

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.llm.kernels import returning
 from sparkloom.llm.tokens import text_blocks
 from sparkloom.util import Scratch
 
@@ -112,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, allowed=None, pe
         total = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             y = batch.column(0).to_numpy()
-            for i, texts in text_blocks(batch, 1):
+            for i, texts in text_blocks(batch, 1, 1 << 20):
                 b, row = _positions(texts)
                 pair = np.unique(row << BITS | b)
                 for k in (0, 1):
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, allowed=None, pe
     if not np_ or not nq:
         none.bias = float(np.log((share[1] + 0.5) / (share[0] + 0.5)))
         return none
-    c = sample.mapInArrow(counts, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter(F.col("p") + F.col("q") >= least)
+    c = sample.mapInArrow(returning(counts), "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter(F.col("p") + F.col("q") >= least)
     ratio = F.log((F.col("p") + alpha) / (np_ + 2 * alpha)) - F.log((F.col("q") + alpha) / (nq + 2 * alpha))
     top = c.select("bucket", ratio.alias("r"), (F.abs(F.col("p") / np_ - F.col("q") / nq) * F.abs(ratio)).alias("gain")).orderBy(F.desc("gain"), "bucket").limit(features).collect()
     if not top:
@@ -138,12 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, allowed=None, pe
     def pairs(batches):
         table = model.table()
         for batch in batches:
-            for i, texts in text_blocks(batch, 1):
+            for i, texts in text_blocks(batch, 1, 1 << 20):
                 row, f = present(texts, table, len(model.buckets))
                 at = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.ListArray.from_arrays(pa.array(at), pa.array(f.astype(np.int32)))], names=["y", "f"])
 
-    got = sorted((r.y, r.f) for r in sample.mapInArrow(pairs, "y int, f array<int>").collect())
+    got = sorted((r.y, r.f) for r in sample.mapInArrow(returning(pairs), "y int, f array<int>").collect())
     y = np.array([a for a, _ in got])
     lens = np.array([len(f) for _, f in got])
     cols = np.concatenate([np.array(f, np.int64) for _, f in got])
@@ -194,7 +195,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             for i, texts in text_blocks(batch, 1, 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(score(texts, model, table))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(returning(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -207,4 +208,4 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
             ok = [score(texts, model, table) < threshold for _, texts in text_blocks(batch, place, 1 << 20)]
             yield batch.filter(pa.array(np.concatenate(ok))) if ok else batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(returning(run), docs.schema)
