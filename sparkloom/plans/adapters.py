@@ -39,3 +39,15 @@ def trade_graph(spark: SparkSession, d: str) -> DataFrame:
     w = line.join(o, line.l_orderkey == o.o_orderkey).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supp, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("w"))
     mean = w.agg((F.sum("w") / F.count(F.lit(1))).alias("mean"))
     return w.crossJoin(F.broadcast(mean)).filter("src <> tgt and w > 1.5 * mean").select("src", "tgt")
+
+
+def supertypes(spark: SparkSession, d: str) -> DataFrame:
+    """A package's interface of the least key is implemented by the package's concrete classes."""
+    c = classes(spark, d).withColumn("pkg", F.regexp_extract("class", r"^(.*)\.", 1))
+    first = c.filter("kind = 'INTERFACE'").groupBy("pkg").agg(F.min_by("class", "p_partkey").alias("supertype"))
+    return c.filter("kind = 'CONCRETE'").join(first, "pkg").select("supertype", F.col("class").alias("implementor"))
+
+
+def declared_methods(spark: SparkSession, d: str) -> DataFrame:
+    """Every class declares the methods that lines can name."""
+    return classes(spark, d).select("class", F.explode(F.array(*(F.lit(f"m{x}") for x in "AFNOR"))).alias("method"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names as N
-from sparkloom.operators import graph as G, history as H, packages as P
+from sparkloom.operators import graph as G, history as H, navigation as V, packages as P
 from sparkloom.plans import adapters as A
 from sparkloom.util import Scratch, table
 
@@ -21,6 +21,31 @@ _EDGES = f"{_CLASSES}, e as (select distinct x.class caller_class, 'm' || a.l_re
 _DEPS = f"{_EDGES}, d as (select distinct src_pkg, tgt_pkg, caller_class src_class, callee_class tgt_class, s2, t2, kind from e where src_pkg <> tgt_pkg)"
 _STRENGTH = "st as (select src_pkg src, tgt_pkg tgt, count(*) filter (kind = 'INTERFACE') contract, count(*) filter (kind = 'DATA_CLASS') model, count(*) filter (kind = 'CONCRETE') functional, count(*) filter (kind is null) unknown, count(*) total, cast(case when count(*) filter (kind = 'CONCRETE') > 0 then 3 when count(*) filter (kind = 'DATA_CLASS') > 0 then 2 else 1 end as bigint) \"level\" from d group by 1, 2)"
 _TRADE = "w as (select c_nationkey src, s_nationkey tgt, count(*) w from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey group by 1, 2), t as (select src, tgt from w where src <> tgt and w > 1.5 * (select sum(w) / count(*) from w))"
+_SUPERS = "su as (select i.class supertype, c.class implementor from (select pkg, arg_min(class, p_partkey) class from cl where kind = 'INTERFACE' group by 1) i join cl c on c.pkg = i.pkg and c.kind = 'CONCRETE')"
+
+
+def _dead(s, d, name):
+    e, c = A.call_edges(s, d), A.classes(s, d)
+    project = c.filter("kind is not null").select("class")
+    noted = c.filter("p_size >= 30").select("class", F.lit(None).cast("string").alias("method"))
+    tested = e.filter("caller_method = 'mR'").select(F.col("callee_class").alias("class"), F.col("caller_method").alias("method")).distinct()
+    return V.dead_code(e, project, A.declared_methods(s, d), A.supertypes(s, d), Scratch(s, name), tested, noted)
+
+
+def _metrics(s, d):
+    loops = G.cycles(A.trade_graph(s, d), Scratch(s, "loops"))
+    return V.metrics(A.call_edges(s, d), A.classes(s, d), _dead(s, d, "metrics"), loops).select("classes", "packages", "calls", F.round("mean_out", 6).alias("mean_out"), F.round("mean_in", 6).alias("mean_in"), "dead_classes", "dead_methods", "cycles")
+
+
+def _changed(s, d):
+    new = A.file_changes(s, d).filter("date > '2001-06-01'").select(F.concat(F.lit("src/main/kotlin/"), "path").alias("path"))
+    sources = A.classes(s, d).select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), "class")
+    return V.changed_since(new, sources, A.call_edges(s, d))[0]
+
+
+def _usages(s, d):
+    files = A.classes(s, d).select("class", N.package_name(F.col("class")).alias("file"))
+    return V.usages_by_file(V.usages(A.call_edges(s, d), owner="[.]p1[0-9]*$", method="mO"), files)
 
 
 def _deps(s, d):
@@ -59,6 +84,14 @@ def queries() -> dict:
         "live": lambda s, d: G.live(table(s, d, "nation").agg(F.min("n_nationkey").alias("node")), A.trade_graph(s, d), Scratch(s, "live")),
         "find_classes": lambda s, d: A.classes(s, d).filter(N.name_filter("P1.*7$", F.col("class"), F.col("class"), N.simple_name(F.col("class")), F.col("class"))).select("class"),
         "callers": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("callee_class")).rlike("^P[0-9]$")).select("callee_class", "callee_method", "caller_class", "caller_method"),
+        "callees": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("caller_class")).rlike("^P[0-9]$")).select("caller_class", "caller_method", "callee_class", "callee_method"),
+        "usages": _usages,
+        "implementors": lambda s, d: V.implementors(A.supertypes(s, d), "brand#?[12]|P[1-9]"),
+        "hierarchy": lambda s, d: V.hierarchy(A.supertypes(s, d), Scratch(s, "hierarchy")),
+        "dead_code": lambda s, d: _dead(s, d, "dead"),
+        "metrics": _metrics,
+        "changed_since": _changed,
+        "call_tree": lambda s, d: V.call_tree(A.classes(s, d).filter("p_partkey < 10").select("class", F.lit("mR").alias("method")), A.call_edges(s, d), Scratch(s, "tree")),
         "size": lambda s, d: H.sizes(table(s, d, "documents").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines")), over=10),
     }
     return q
@@ -69,7 +102,19 @@ def oracle_sql() -> dict[str, str]:
     vol = f"hs as ({spots}), vo as (select pkg package, cast(sum(revisions) as bigint) revisions, cast(sum(churn) as bigint) churn, count(*) files, sum(revisions) / count(*) avg_revs from hs join cl on path = 'part/' || p_partkey group by 1)"
     dist = "len(string_split(src, '.')) + len(string_split(tgt, '.')) - 2 * (case when src = tgt then 3 when split_part(src, '.', 2) = split_part(tgt, '.', 2) then 2 else 1 end)"
     first = "case when regexp_matches({0}, '^P1.*$|^P2.*$') then 0 when regexp_matches({0}, '^P3.*$|^.*7$') then 1 else 2 end"
+    # an implementor's method is reached by dispatch; methods only call across classes here, or within one
+    project = "pr as (select class, p_size from cl where kind is not null)"
+    reach = "ca as (select distinct callee_class class, callee_method method from e where caller_class <> callee_class and callee_class in (select class from pr)), re as (select class, method, false via from ca union select n.class, n.method, n.via from (select re.class, e.callee_method method, re.via from re join e on e.caller_class = re.class and e.callee_class = re.class and e.caller_method = re.method union all select su.implementor, re.method, true from re join su on su.supertype = re.class where su.implementor in (select class from pr)) n), ou as (select class from ca union select class from re where via), al as (select class from ou union select supertype from su where implementor in (select class from ou) and supertype in (select class from pr))"
+    listed = "de as (select 'CLASS' kind, class, cast(null as varchar) \"method\" from pr where class not in (select class from al) union all select 'METHOD', class, m from pr, unnest(['mA', 'mF', 'mN', 'mO', 'mR']) u(m) where class in (select class from al) and (class, m) not in (select (class, method) from re)), te as (select distinct callee_class class from e where caller_method = 'mR')"
+    dead = f"with recursive {_EDGES}, {_SUPERS}, {project}, {reach}, {listed}"
     return {
+        "callees": f"with {_EDGES} select caller_class, caller_method, callee_class, callee_method from e where regexp_matches(caller_class, '[.]P[0-9]$')",
+        "usages": f"with {_EDGES} select src_pkg file, count(*) sites from e where regexp_matches(callee_class, '[.]p1[0-9]*$', 'i') and callee_method = 'mO' group by 1",
+        "implementors": f"with {_CLASSES}, {_SUPERS} select supertype, string_agg(implementor, ',' order by implementor) implementors from su where regexp_matches(supertype, 'brand#?[12]|P[1-9]', 'i') group by 1",
+        "hierarchy": f"with {_CLASSES}, {_SUPERS} select implementor class, supertype ancestor, 1 \"depth\" from su",
+        "dead_code": f"{dead} select kind, class, method, case when class in (select class from te) and (kind = 'CLASS' or method = 'mR') then 'TEST_ONLY' else 'NO_REFERENCES' end reason, case when kind = 'CLASS' and class in (select class from pr where p_size >= 30) then 'LOW' when class in (select class from te) and (kind = 'CLASS' or method = 'mR') then 'MEDIUM' else 'HIGH' end confidence from de",
+        "metrics": f"{dead}, {_TRADE.replace('t as', 'tg as')}, r as (select src, tgt from tg union select r.src, tg.tgt from r join tg on r.tgt = tg.src), b as (select x.src, x.tgt from r x join r y on x.src = y.tgt and x.tgt = y.src where x.src <> x.tgt), cy as (select least(min(tgt), src) component from b group by src), cc as (select distinct caller_class, callee_class from e where caller_class <> callee_class) select (select count(distinct class) from cl) classes, (select count(distinct pkg) from cl) packages, count(*) calls, round(count(*) / count(distinct caller_class), 6) mean_out, round(count(*) / count(distinct callee_class), 6) mean_in, (select count(*) from de where kind = 'CLASS') dead_classes, (select count(*) from de where kind = 'METHOD') dead_methods, (select count(distinct component) from cy) cycles from cc",
+        "changed_since": f"with {_CHANGES}, {_EDGES}, x as (select distinct class from ch join cl on path = 'part/' || p_partkey where date > '2001-06-01') select x.class, count(distinct caller_class) filter (caller_class <> x.class) callers from x left join e on e.callee_class = x.class group by 1",
         "hotspots": f"with {_CHANGES} {spots} order by revisions desc, path limit 50",
         "hotspots_marked": f"with {_CHANGES}, h as ({spots}) select path, revisions, churn, (select count(*) from h) >= 5 and revisions >= 2 * (select list_sort(list(revisions))[count(*) // 2 + 1] from h) hot from h",
         "churn": f"with {_CHANGES} select path, cast(sum(added) as bigint) added, cast(sum(deleted) as bigint) deleted, count(*) commits, cast(sum(added) - sum(deleted) as bigint) net from ch group by 1 order by sum(added) + sum(deleted) desc, path limit 50",
