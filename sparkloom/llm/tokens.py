@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 
+JOINED = 256  # plain words that are encoded by one call
 CACHE = 500_000  # entries of each of two generations that a worker keeps
 _ODD = re.compile(r" \s| $")
 
@@ -39,7 +40,8 @@ class Encoder:
 
     Ids of chunks are remembered in two generations of at most CACHE entries each, so that
     frequent chunks stay when a generation is dropped. A new chunk that is a plain word with
-    punctuation is put together from both parts' ids.
+    punctuation is put together from both parts' ids. New plain words are encoded many at a time,
+    and told apart by the ids that end (or begin) a word.
     """
 
     def __init__(self, path: str):
@@ -56,44 +58,68 @@ class Encoder:
         self.folds = one("A\u00c9Z") == one("a\u00e9z")
         #: the file drops white space: a word is the same with and without its space
         self.bare = one(" a b") == one("a b")
+        #: by id: whether it ends a word (files that drop white space) or begins with the word's space; None where unknown
+        edge = np.zeros(1 + max(self.tok.get_vocab().values()), bool)
+        for token, i in self.tok.get_vocab(with_added_tokens=False).items():
+            edge[i] = token.endswith("</w>") if self.bare else token.startswith("\u0120")
+        self.edge = edge if edge.any() else None
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, w: str) -> str:
-        w = w.lower() if self.folds else w
-        return w.lstrip(" ") if self.bare else w
+    def _singly(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.batch(words, add_special_tokens=False)]
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words (with their space, where the file keeps it), many to a call of the library."""
+        if self.edge is None or len(words) < JOINED:
+            return self._singly(words)
+        glue, out = " " if self.bare else "", []
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.batch([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            edge = np.flatnonzero(self.edge[ids]) + self.bare
+            cut = (4 * (np.append(0, edge) if self.bare else np.append(edge, len(ids)))).tolist()
+            if len(cut) != len(group) + 1:  # some word is not one piece of the file's pattern
+                out += self._singly(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        return out
 
     def _learn(self, new: set[str]) -> None:
         """Put ids of unknown chunks into the young generation."""
         young, old = self.young, self.old
-        fresh = []
+        again = new & old.keys()
+        young.update((c, old[c]) for c in again)
+        new -= again
+        plain, odd, words, tails = [], [], [], []
+        match = _PLAIN.fullmatch
         for c in new:
-            if (x := old.get(c)) is not None:
-                young[c] = x
-            else:
-                fresh.append(c)
-        parts: dict[str, tuple[str, str]] = {}
-        todo: set[str] = set()
-        for c in fresh:
-            m = _PLAIN.fullmatch(c)
-            if m:
-                parts[c] = (self._word(m[1]), m[2])
-                todo.update(parts[c])
-            else:
-                todo.add(c)
-        known = {w: x for w in todo if (x := young.get(w, old.get(w))) is not None}
-        ask = [w for w in todo if w not in known]
-        if ask:
-            for w, e in zip(ask, self.batch(ask, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        for c in fresh:
-            if c in parts:
-                word, tail = parts[c]
-                young[c] = known[word] + known[tail]
-                young[word] = known[word]
+            if m := match(c):
+                word, tail = m.groups()
+                plain.append(c)
+                words.append(word)
+                tails.append(tail)
             else:
-                young[c] = known[c]
+                odd.append(c)
+        if self.folds:
+            words = [w.lower() for w in words]
+        if self.bare:
+            words = [w.lstrip(" ") for w in words]
+        learnt: dict[str, bytes] = {}
+        for todo, ids in ((set(words), self._joined), (set(tails).union(odd), self._singly)):
+            kept = todo & old.keys()
+            learnt.update((w, old[w]) for w in kept)
+            todo = todo - kept - young.keys()
+            # a word without its space, at the start of a text, does not join with others
+            alone = [] if self.bare else [w for w in todo if not w.startswith(" ")]
+            ask = list(todo.difference(alone))
+            learnt.update(zip(ask, ids(ask), strict=True))
+            if alone:
+                learnt.update(zip(alone, self._singly(alone), strict=True))
+        young.update(learnt)
+        young.update([(c, young[w] + young[t]) for c, w, t in zip(plain, words, tails, strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
