@@ -15,9 +15,10 @@ repeats without comparing all positions:
 4. A key with more than `hot` variants (a common passage in different surroundings) is split:
    each of its windows becomes a key of its own, combined on the map side.
 
-Documents: id may be null (treated as the smallest id, returned as null); a null or empty text
-has no symbols; rows that repeat an id and its text count as one document listed twice; other
-columns are ignored.
+Documents: id may be null (before all ids, returned as null); a null or empty text has no symbols;
+rows that repeat an id and its text count as one document listed twice, while every row without an id
+is a document; documents of one id, and those without, are in the order of a hash of their texts;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -184,8 +185,9 @@ def cut_out(kind: Kind, whole: bool = False, carried: tuple = ()) -> Callable:
                 total = int(at[-1])
                 lo, hi = edge[i], edge[j]
                 row = np.repeat(np.arange(j - i), lens[i:j])
-                s = np.minimum(at[row] + pos[lo:hi], at[row + 1])
-                e = np.minimum(s + n[lo:hi] + kind.window - 1, at[row + 1])
+                s = at[row] + pos[lo:hi]
+                m = np.minimum(n[lo:hi], at[row + 1] - kind.window + 1 - s)
+                e = np.where(m > 0, s + m + kind.window - 1, s)
                 delta = np.zeros(total + 1, np.int64)
                 np.add.at(delta, s, 1)
                 np.add.at(delta, e, -1)
@@ -222,12 +224,31 @@ def cut_out(kind: Kind, whole: bool = False, carried: tuple = ()) -> Callable:
     return run
 
 
+def with_keys(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows with doc, a key in the order of documents, and copy: null at the row that stands for a document.
+
+    copy is false in a row listed twice, true in a row without an id whose text an earlier such row has.
+    An id is its own key, unless some id is null or has several texts: then all keys are dealt out anew.
+    """
+    body = F.xxhash64("text")
+    odd = docs.groupBy("doc_id").agg(F.min(body).alias("a"), F.max(body).alias("b")).filter(f"a <> b or doc_id is null or doc_id = {LEAST}")
+    if odd.isEmpty():
+        return docs.select("*", F.col("doc_id").alias("doc"), F.lit(None).cast("boolean").alias("copy"))
+    rows = scratch.keep(docs.select("*", body.alias("body"), F.monotonically_increasing_id().alias("at")))
+    heads = rows.groupBy("doc_id", "body").agg(F.min("at").alias("head"))
+    keys = scratch.keep(heads.orderBy(F.asc_nulls_first("doc_id"), "body").select(F.col("doc_id").alias("id"), F.col("body").alias("hash"), "head", F.monotonically_increasing_id().alias("doc")))
+    copy = F.when(F.col("at") > F.col("head"), F.col("doc_id").isNull())
+    out = scratch.keep(rows.join(keys, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("body") == F.col("hash"))).select(*docs.columns, "doc", copy.alias("copy")))
+    scratch.drop(rows, keys)
+    return out
+
+
 def remove_repeats(docs: DataFrame, kind: Kind, method: Callable, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", method_rows: int = 20_000, whole: bool = False, carry: tuple = ()) -> DataFrame:
     """(doc_id, n_symbols, n_removed, n_spans, kept) and the columns named in carry, as c0, c1, ..., for every row of docs."""
     names = tuple(f"c{i}" for i in range(len(carry)))
     all_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
-    docs = all_.select("doc_id", "text")
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("doc"), "text")
+    all_ = with_keys(all_, scratch)
+    keyed = all_.filter("copy is null").select("doc", "text")
     runs = scratch.keep(keyed.mapInArrow(find_runs(kind), RUNS))
     stats = runs.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("first"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("m > 1").drop("m")
     shared = scratch.keep(runs.join(stats, "h").filter("c1 <> c2 or doc > first").select("h", "c", "doc", "pos", "n", "off", (F.col("c1") != F.col("c2")).alias("several")))
@@ -241,9 +262,11 @@ def remove_repeats(docs: DataFrame, kind: Kind, method: Callable, scratch: Scrat
     parts = scratch.keep(keyed.join(want.hint("shuffle_hash"), "doc").mapInArrow(fetch(kind), PARTS))
     settled = parts.filter("ctx is null").select("doc", "pos", "n")
     open_ = parts.filter("ctx is not null")
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = int(all_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = open_.repartition(n_parts, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(by_key(method, method_rows), "doc long, pos long, n int")
     spans = own.union(alone).union(copies).union(settled).union(found).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    joined = all_.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST))).join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "spans", *names)
+    # a copy without an id: every window of it starts earlier
+    whole_text = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit(2**31 - 1).alias("n")))
+    joined = all_.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", F.when(F.col("copy"), whole_text).otherwise(F.col("spans")).alias("spans"), *names)
     more = "".join(f", {n} {all_.schema[n].dataType.simpleString()}" for n in names)
     return joined.mapInArrow(cut_out(kind, whole, names), "doc_id long, n_symbols long, n_removed long, n_spans long, kept binary" + more)

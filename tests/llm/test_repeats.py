@@ -69,6 +69,28 @@ def test_empty_and_twice(spark):
     assert len(rows) == 3 and len({(r.n_removed, bytes(r.kept)) for r in rows if r.doc_id == 1}) == 1
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_null_and_repeated_ids(spark, unit):
+    """Rows without an id are documents of their own, as are other texts of one id."""
+    from pyspark.sql import functions as F
+
+    texts = [t for _, t in fixture(5, 40)]
+    short = "only a few words"
+    docs = [(None if i % 3 == 0 else i % 7, t) for i, t in enumerate(texts)] + [(None, t) for t in (texts[9], texts[9], texts[12], texts[13], short, short, None)]
+    docs += [(3, texts[10]), (3, texts[10]), (-(2**63), texts[11])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    hash_ = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    once = [x for i, x in enumerate(docs) if x[0] is None or x not in docs[:i]]
+    once.sort(key=lambda x: (x[0] is not None, x[0] or 0, hash_[x[1]]))
+    made = brute([(i, t) for i, (_, t) in enumerate(once)], unit)
+    want = [(d, *made[i]) for i, (d, _) in enumerate(once)]
+    want += [w for w, (d, t) in zip(want, once) if d is not None for _ in range(docs.count((d, t)) - 1)]
+    f = dedup_substrings if unit == "bytes" else dedup_windows
+    got = [(r.doc_id, r.n_symbols, r.n_removed, r.n_spans, bytes(r.kept)) for r in f(df, Scratch(spark, "t")).collect()]
+    order = lambda x: (x[0] is not None, x[0] or 0, x[1:])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 @pytest.mark.parametrize("unit", ["bytes", "words"])
 def test_queries(spark, unit):
     d = "/root/testdata/sf0.001"
