@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import groupby, islice
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions import names as N
@@ -153,26 +156,29 @@ def call_tree(roots: DataFrame, edges: DataFrame, scratch: Scratch, depth: int =
     own = start.select("root", F.lit(None).cast("string").alias("src"), F.col("root").alias("tgt"), "class", "method")
     reach = near.join(e, "src").select("root", "src", "tgt", "class", "method").union(own)
 
-    def order(pdf):
-        import pandas as pd
-
+    def tree(root, rows):
         kids: dict[str, list] = {}
-        for r in pdf.itertuples(index=False):
-            kids.setdefault(r.src, []).append((r.tgt, r.cls, r.method))
-        root = pdf["root"].iloc[0]
+        for _, src, tgt, c, m in rows:
+            kids.setdefault(src, []).append((tgt, c, m))
         top = kids.pop(None)[0]
-        rows, seen, stack = [], set(), [(top, -1, 0)]
+        seq, seen, stack = 0, set(), [(top, -1, 0)]
         while stack:
             (node, c, m), parent, at = stack.pop()
-            seq = len(rows)
-            rows.append((root, seq, parent, at, c, m))
-            if at >= depth or node in seen:
-                continue
-            seen.add(node)
-            stack += [(k, seq, at + 1) for k in sorted(kids.get(node, []), reverse=True)]
-        return pd.DataFrame(rows, columns=["root", "seq", "parent", "depth", "class", "method"])
-
-    return reach.withColumnRenamed("class", "cls").groupBy("root").applyInPandas(order, TREE)
+            yield root, seq, parent, at, c, m
+            if at < depth and node not in seen:
+                seen.add(node)
+                stack += [(k, seq, at + 1) for k in sorted(kids.get(node, []), reverse=True)]
+            seq += 1
+
+    def order(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out = (r for root, group in groupby(rows, itemgetter(0)) for r in tree(root, group))
+        while part := list(islice(out, 10_000)):
+            columns = zip(*part, strict=True)
+            kinds = (pa.string(), *[pa.int32()] * 3, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "seq", "parent", "depth", "class", "method"])
+
+    return reach.repartition("root").sortWithinPartitions("root").mapInArrow(order, TREE)
 
 
 def hierarchy(supers: DataFrame, scratch: Scratch) -> DataFrame:

@@ -91,7 +91,7 @@ def queries() -> dict:
         "dead_code": lambda s, d: _dead(s, d, "dead"),
         "metrics": _metrics,
         "changed_since": _changed,
-        "call_tree": lambda s, d: V.call_tree(A.classes(s, d).filter("p_partkey < 10").select("class", F.lit("mR").alias("method")), A.call_edges(s, d), Scratch(s, "tree")),
+        "call_tree": lambda s, d: V.call_tree(A.declared_methods(s, d), A.call_edges(s, d), Scratch(s, "tree")),
         "size": lambda s, d: H.sizes(table(s, d, "documents").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines")), over=10),
     }
     return q

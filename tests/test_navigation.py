@@ -3,6 +3,8 @@
 import random
 
 from sparkloom.operators import duplicates as D, navigation as V
+from sparkloom.plans import adapters as A
+from sparkloom.queries import queries
 from sparkloom.sources.tokens import token_table, tokenize
 from sparkloom.util import Scratch
 
@@ -15,6 +17,26 @@ def test_call_tree(spark):
     assert [(r.seq, r.parent, r.depth, r["class"]) for r in rows] == [(0, -1, 0, "A"), (1, 0, 1, "B"), (2, 1, 2, "C"), (3, 2, 3, "A"), (4, 2, 3, "D"), (5, 0, 1, "C")]
 
 
+def test_call_tree_query(spark):
+    """Every declared method is a root."""
+    d = "/root/testdata/sf0.001"
+    calls: dict = {}
+    for a, b, c, m in A.call_edges(spark, d).collect():
+        calls.setdefault((a, b), []).append((f"{c}.{m}", c, m))
+
+    def walk(c, m, at, seen):
+        yield at, c, m
+        if at < 3 and (c, m) not in seen:
+            seen.add((c, m))
+            for _, x, y in sorted(calls.get((c, m), [])):
+                yield from walk(x, y, at + 1, seen)
+
+    got: dict = {}
+    for r in queries()["call_tree"](spark, d).orderBy("root", "seq").collect():
+        got.setdefault(r.root, []).append((r.depth, r["class"], r.method))
+    assert got == {f"{c}.{m}": list(walk(c, m, 0, set())) for c, m in A.declared_methods(spark, d).collect()}
+
+
 def test_tokenize():
     assert tokenize('val x = "a\nb" // c\n/* d */ y1 ?: 2.5') == [("KEYWORD", "val", 1), ("IDENTIFIER", "x", 1), ("OPERATOR", "=", 1), ("LITERAL", '"a\nb"', 1), ("IDENTIFIER", "y1", 2), ("OPERATOR", "?:", 2), ("LITERAL", "2.5", 2)]
     assert tokenize("") == []
