@@ -8,8 +8,9 @@ halving radii, exact covering radii) are traversed together; node pairs out of r
 pairs wholly within reach link at once, and leaves are decided by the cosine in double precision.
 
 Results: one row per row of the table. Null or zero vectors, null or non-finite components and null
-labels link with nothing; vectors of different lengths never link. Rows that repeat an id are one
-vector listed twice. A null id counts as the smallest and comes back as null.
+labels link with nothing; vectors of different lengths never link. Rows that repeat an id, its vector
+and its label are one vector listed twice; every other row is a vector of its own, also without an id.
+Null ids come before all others and come back as null. Vectors of one id are in the order of a hash.
 """
 
 from __future__ import annotations
@@ -19,9 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.operators.components import components
-from sparkloom.util import Scratch
-
-LEAST = -(2**63)
+from sparkloom.util import Scratch, with_row_keys
 
 
 class CoverTree:
@@ -142,8 +141,10 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = vectors.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
-    usable = scratch.keep(rows.filter("label is not null").dropDuplicates(["id"]).mapInArrow(_usable, "id long, label long, dim int, x binary"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
+    keyed = with_row_keys(rows, "vec_id", F.xxhash64("v", "label"), scratch, merge=True)
+    rows = rows.select("vec_id", F.col("vec_id").alias("id"), "label", "v") if keyed is None else keyed.select("vec_id", F.col("row_key").alias("id"), "label", "v")
+    usable = scratch.keep(rows.filter("label is not null").select("id", "label", "v").dropDuplicates(["id"]).mapInArrow(_usable, "id long, label long, dim int, x binary"))
     sizes = usable.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m"))
     want = F.least(F.lit(most_pivots), F.ceil(F.col("m") / cell)).cast("int")
     # pivots: the row of least hash in each of `want` residues of the hash
@@ -270,7 +271,9 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
     found = scratch.keep(tasks.mapInArrow(compare, "a long, b long, n long"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     parts = components(found.filter("b is not null").select("a", "b"), scratch).select(F.col("node").alias("id"), "component")
-    out = rows.select("id").join(counts, "id", "left").join(parts, "id", "left")
-    component = F.coalesce("component", "id")
-    null = lambda c: F.when(c == LEAST, F.lit(None)).otherwise(c)
-    return out.select(null(F.col("id")).alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), null(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    out = rows.select("vec_id", "id").join(counts, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if keyed is None:
+        out = out.withColumn("component_id", F.col("component"))
+    else:
+        out = out.join(rows.select(F.col("id").alias("component"), F.col("vec_id").alias("component_id")).distinct(), "component")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component")).alias("kept"))

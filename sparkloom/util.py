@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 #: Rows of an Arrow batch in tables that are written in between.
@@ -54,5 +54,22 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def with_row_keys(rows: DataFrame, id_col: str, body: Column, scratch: Scratch, merge: bool) -> DataFrame | None:
+    """rows and row_key, a long for each row, in the order of id (null first), body and place; None if every id is there once.
+
+    merge: rows that have an id and are equal in it and in body share a key.
+    """
+    if rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("m")).filter(F.col(id_col).isNull() | (F.col(id_col) == -(2**63)) | (F.col("m") > 1)).isEmpty():
+        return None
+    kept = scratch.keep(rows.select("*", body.alias("row_body"), F.monotonically_increasing_id().alias("row_at")))
+    at = F.when(F.col(id_col).isNull(), F.col("row_at")) if merge else F.col("row_at")
+    three = lambda *names: (x.alias(n) for x, n in zip((F.col(id_col), F.col("row_body"), at), names, strict=True))
+    keys = scratch.keep(kept.select(*three("k1", "k2", "k3")).distinct().orderBy(F.asc_nulls_first("k1"), "k2", "k3").select("*", F.monotonically_increasing_id().alias("row_key")))
+    same = F.col(id_col).eqNullSafe(F.col("k1")) & (F.col("row_body") == F.col("k2")) & at.eqNullSafe(F.col("k3"))
+    out = scratch.keep(kept.join(keys, same).select(*rows.columns, "row_key"))
+    scratch.drop(kept, keys)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -173,6 +173,22 @@ def test_embeddings(spark, cell):
     assert cover.near_pairs(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_embedding_null_and_repeated_ids(spark):
+    """Rows without an id, and other vectors of one id, are vectors of their own."""
+    from pyspark.sql import functions as F
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a, 1), (None, b, 1), (None, b, 1), (None, None, 1), (None, a, 2), (1, a, 1), (2, b, 1), (2, b, 1), (2, c, 1), (3, c, 1), (-(2**63), c, 1), (5, [1.0, 1.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    hash_ = {(tuple(r.embedding or ()), r.label): r.h for r in df.select("*", F.xxhash64(F.col("embedding").cast("array<double>"), F.col("label").cast("long")).alias("h")).collect()}
+    once = [x for i, x in enumerate(rows) if x[0] is None or x not in rows[:i]]
+    once.sort(key=lambda x: (x[0] is not None, x[0] or 0, hash_[tuple(x[1] or ()), x[2]]))
+    links = brute_links([(i, v, label) for i, (_, v, label) in enumerate(once)])
+    want = [(x[0], n, once[k][0], kept) for (n, k, kept), x in ((links[i], x) for i, x in enumerate(once)) for _ in range(1 if x[0] is None else rows.count(x))]
+    got = [tuple(x) for x in cover.near_pairs(df, Scratch(spark, "t")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 def test_embedding_query(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in Q.op8_embedding_dedup(spark, SF).collect()} == brute_links(rows)
