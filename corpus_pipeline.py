@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
 
 1 toxicity: documents that score 0.3 or more go.
-2 near duplicates: word shingles of five, similarity 0.8; of each group the smallest id stays.
+2 near duplicates: word shingles of five, similarity 0.8; of each group the row of the smallest id stays.
 3 suffix array: strings of 100 bytes that start earlier go, by whole characters.
 4 personal data: spans are replaced by their kind.
 5 packing: sequences of at most 2048 tokens; a row for each piece.
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import jaccard, packing, pii, suffix, toxicity
 from sparkloom.llm.tokens import public
-from sparkloom.util import Scratch, table
+from sparkloom.util import Scratch, table, with_row_keys
 
 NEAR = jaccard.Join(words=5, num=80, den=100)
 
@@ -24,10 +24,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.jaccard_components(docs, Scratch(spark, "jaccard"), NEAR)
-    # the smallest of a group may be a document without an id, whose component is null
-    later = found.filter("doc_id is not null and n_shingles > 0 and not doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    scratch = Scratch(spark, "jaccard")
+    # rows without an id of their own are told apart by a key in the order of ids
+    keyed = with_row_keys(docs, "doc_id", F.xxhash64("text"), scratch, merge=False)
+    rows, key = (docs, "doc_id") if keyed is None else (keyed, "row_key")
+    found = jaccard.jaccard_components(rows, scratch, NEAR, id_col=key)
+    later = found.filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias(key))
+    return rows.join(later, key, "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

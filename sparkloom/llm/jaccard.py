@@ -126,18 +126,18 @@ def keys_of(s: np.ndarray, bounds: list, starts: np.ndarray, join: Join) -> np.n
 
 
 def set_blocks(batches, join: Join):
-    """(first column, sets) of bounded blocks of rows."""
+    """(rows, sets) of bounded blocks of rows; the text is the second column."""
     for batch in batches:
         data, offsets = K.buffers(batch.column(1))
         for i, j in K.blocks(offsets, 1 << 20):
-            yield batch.column(0).slice(i, j - i), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words)
+            yield batch.slice(i, j - i), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], join.words)
 
 
 def set_ids(join: Join):
     def run(batches):
-        for doc, sets in set_blocks(batches, join):
+        for rows, sets in set_blocks(batches, join):
             ids = pa.array([set_id(s) for s in sets], pa.int64(), mask=np.array([not len(s) for s in sets], bool))
-            yield pa.RecordBatch.from_arrays([doc, pa.array([len(s) for s in sets], pa.int64()), ids], names=["doc_id", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), ids], names=["doc_id", "body", "n", "set_id"])
 
     return run
 
@@ -166,8 +166,9 @@ def set_keys(join: Join, remember: int = 200_000):
 
 def sets_only(join: Join):
     def run(batches):
-        for ids, sets in set_blocks(batches, join):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "tokens"])
+        for rows, sets in set_blocks(batches, join):
+            meant = [(x, s.tobytes()) for x, s in zip(rows.column(0).to_pylist(), sets, strict=True) if len(s) and set_id(s) == x]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in meant], pa.int64()), pa.array([s for _, s in meant], pa.binary())], names=["set_id", "tokens"])
 
     return run
 
@@ -309,7 +310,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     """(doc_id, n_shingles, set_id, component_id) for every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    all_ = scratch.keep(docs.mapInArrow(K.returning(set_ids(join)), "doc_id long, n long, set_id long"))
+    body = F.xxhash64("text")
+    all_ = scratch.keep(docs.select("doc_id", "text", body.alias("body")).mapInArrow(K.returning(set_ids(join)), "doc_id long, body long, n long, set_id long"))
     # a task lists keys of a set once, so a set's keys may come from several tasks: only distinct sets count.
     # Keys are dealt out once, for the counts and for the join with them; a key holds one row of a set's many.
     rows = docs.select("doc_id", "text").mapInArrow(K.returning(set_keys(join)), "set_id long, keys array<long>").select("set_id", F.explode("keys").alias("key")).repartition(n_parts, "key")
@@ -321,17 +323,21 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     kept = scratch.keep(kept.select("set_id", "key").distinct())
     near = scratch.keep(kept.join(held(kept).drop("held"), "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
     keyed = all_.filter("set_id is not null")
-    first = scratch.keep(keyed.groupBy("set_id").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("doc"), F.max("n").alias("n")))
+    id_ = F.coalesce("doc_id", F.lit(LEAST))
+    first = scratch.keep(keyed.groupBy("set_id").agg(F.min(id_).alias("doc"), F.min_by("body", id_).alias("body"), F.max("n").alias("n")))
     # sets of a key are of like size, so the pivot's stands for all
     sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).join(first.select(F.col("set_id").alias("pivot"), "n"), "pivot")
     blocks = F.ceil(F.greatest(F.col("m") / join.block, F.col("m") * F.col("n") / join.block_tokens)).cast("int")
     member = near.join(sizes, "pivot").select("pivot", "set_id", F.pmod(F.xxhash64("set_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
     heads = sizes.select("pivot", F.col("pivot").alias("set_id"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), blocks.alias("blocks"))
     members = scratch.keep(member.unionByName(heads))
-    wanted = first.select("set_id", "doc").join(members.select("set_id").distinct(), "set_id")
-    texts = docs.withColumn("doc", F.coalesce("doc_id", F.lit(LEAST))).drop("doc_id").join(wanted.hint("shuffle_hash"), "doc").select("set_id", "text")
-    # repeated ids may bring other texts: the set's own hash says which is meant
-    sets = scratch.keep(texts.mapInArrow(K.returning(sets_only(join)), "set_id long, tokens binary"))
+    wanted = first.select("set_id", "doc", "body").join(members.select("set_id").distinct(), "set_id")
+    # ids may repeat or be null: the text's hash says which row is meant, the set's own hash has the last word
+    texts = docs.select(id_.alias("doc"), body.alias("body"), "text").join(wanted.hint("shuffle_hash"), ["doc", "body"]).select("set_id", "text")
+    sets = texts.mapInArrow(K.returning(sets_only(join)), "set_id long, tokens binary")
+    if not all_.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty():
+        sets = sets.dropDuplicates(["set_id"])
+    sets = scratch.keep(sets)
     with_sets = members.join(sets, "set_id").withColumn("probe", F.lit(False))
     links = "pivot long, a long, b long"
     tasks = with_sets.select("pivot", "block", "set_id", "tokens", "probe").repartition(n_parts, "pivot", "block").sortWithinPartitions("pivot", "block", "set_id")

@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -85,3 +86,21 @@ def test_query(spark):
     d = "/root/testdata/sf0.001"
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in Q.op9_jaccard_join(spark, d).collect()} == want
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id, and other texts of one id, bring only sets of their own; each wanted set is read once."""
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c = text(200), text(200), text(200)
+    near = lambda t: t + " end"
+    docs = [(None, a), (None, near(a)), (None, b), (None, b), (None, ""), (4, near(b)), (7, c), (7, near(a)), (9, near(c)), (7, c)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    scratch = Scratch(spark, "t")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in J.jaccard_components(df, scratch).collect()), key=str)
+    n = len(a.split()) - 2
+    assert got == sorted([(None, n, None), (None, n + 1, None), (None, n, None), (None, n, None), (None, 0, None), (4, n + 1, None), (7, n, 7), (7, n + 1, None), (9, n + 1, 7), (7, n, 7)], key=str)
+    read = [t for t in (spark.read.parquet(p) for p in scratch.paths.values() if os.path.exists(p.removeprefix("file://"))) if t.columns == ["set_id", "tokens"]]
+    assert len(read) == 1
+    rows = read[0].collect()
+    assert len(rows) == len({x.set_id for x in rows}) and all(J.set_id(np.frombuffer(x.tokens, np.uint64)) == x.set_id for x in rows)

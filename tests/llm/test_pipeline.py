@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -69,6 +70,19 @@ def test_stages(spark):
     assert {d: np.frombuffer(b"".join(x for _, x in sorted(p)), "<u4").tolist() for d, p in parts.items()} == {d: [*tok.encode(t, add_special_tokens=False).ids, 1] for d, t in last.items()}
 
 
+def test_near_duplicates_null_and_repeated_ids(spark):
+    """One row of a group stays, whatever its ids, and the texts of other groups with it."""
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200))
+    a, b, c, d = text(), text(), text(), text()
+    docs = [(None, a), (None, a), (None, a + " end"), (None, b), (4, b), (7, c), (7, c), (7, d), (3, d + " end"), (8, c + " end"), (None, ""), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [tuple(x) for x in C.near_duplicates(spark, df, SF).collect()]
+    groups = sorted((x[1] or "")[:50] for x in got)
+    assert groups == sorted(["", "", *(t[:50] for t in (a, b, c, d))])
+    assert (None, b) in got and (7, c) in got and (3, d + " end") in got
+
+
 def test_run(spark):
     out = C.run(spark, SF)
     assert out.count() and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
