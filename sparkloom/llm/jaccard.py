@@ -1,6 +1,6 @@
 """N-gram Jaccard join by signature trees (operator 9).
 
-A document's set: hashes of its distinct k-word shingles (all its words as one where it has fewer).
+A document's set: 64-bit hashes of its distinct k-word shingles (all its words as one where it has fewer).
 Sets are interned by a hash of the set, so exact copies cost nothing further.
 
 Candidates, without loss: two linked sets differ in at most D shingles. Shingles are dealt by hash to
@@ -19,7 +19,7 @@ shared keys drops out.
 The least set that kept a key is its pivot. All sets of a key belong to the pivot's group, so every
 linked pair meets in a group. Within a group a signature tree is joined with itself: nodes hold the
 OR and the AND of token bitmaps and the range of sizes; node pairs that cannot reach the needed
-overlap, or that are one component already, are pruned; leaves are verified on the exact sets.
+overlap, or that are one component already, are pruned; leaves are verified on the whole sets of hashes.
 Groups above `block` sets or `block_tokens` shingles are split into blocks by hash, each joined with itself and the pivot; sets
 that stay apart from the pivot are then compared with every block of their group.
 
@@ -70,14 +70,9 @@ class Join:
         return self.den * both >= self.num * either
 
 
-def lower(data: np.ndarray) -> np.ndarray:
-    up = (data >= 65) & (data <= 90)
-    return np.where(up, data + 32, data).astype(np.uint8) if up.any() else data
-
-
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each row."""
-    hashes, _, _, at = K.words(lower(data), offsets)
+    hashes, _, _, at = K.words(K.lower(data), offsets)
     out = []
     n = len(hashes)
     p = K.prefix(hashes)
@@ -333,7 +328,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     members = scratch.keep(member.unionByName(heads))
     wanted = first.select("set_id", "doc", "body").join(members.select("set_id").distinct(), "set_id")
     # ids may repeat or be null: the text's hash says which row is meant, the set's own hash has the last word
-    texts = docs.select(id_.alias("doc"), body.alias("body"), "text").join(wanted.hint("shuffle_hash"), ["doc", "body"]).select("set_id", "text")
+    texts = docs.select(id_.alias("doc"), body.alias("body"), "text").join(wanted, ["doc", "body"]).select("set_id", "text")
     sets = texts.mapInArrow(K.returning(sets_only(join)), "set_id long, tokens binary")
     if not all_.groupBy("doc_id", "body").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").isEmpty():
         sets = sets.dropDuplicates(["set_id"])

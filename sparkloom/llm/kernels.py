@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Fixed random tables; every executor must use the same.
 _RNG = np.random.default_rng(20240607)
@@ -94,6 +95,45 @@ def blocks(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    up = (data >= 65) & (data <= 90)
+    return np.where(up, data + 32, data).astype(np.uint8) if up.any() else data
+
+
+def packed(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int, first: int = 0) -> list[np.ndarray]:
+    """Bytes 8 * first, ... of each string, as `most` little-endian 64-bit words padded with zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    view = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    out = []
+    for i in range(first, first + most):
+        left = size - 8 * i
+        some = left > 0
+        word = view[np.where(some, start + 8 * i, 0)]
+        drop = np.clip(8 * (8 - left), 0, 63).astype(np.uint64)  # bits beyond the string's end
+        out.append(np.where(some, (word << drop) >> drop, np.uint64(0)))
+    return out
+
+
+LONG_WORD = 64  # bytes from which a word is hashed by itself: the same function of the bytes for every copy
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each string's bytes, not linear in them: eight bytes at a time, mixed after each step."""
+    h = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x2545F4914F6CDD1D))
+    todo = np.flatnonzero(size <= LONG_WORD)
+    i = 0
+    while len(todo):
+        (word,) = packed(data, start[todo], size[todo], 1, i)
+        h[todo] = mix(h[todo] ^ word) * np.uint64(0xBF58476D1CE4E5B9)
+        i += 1
+        todo = todo[size[todo] > 8 * i]
+    for j in np.flatnonzero(size > LONG_WORD).tolist():
+        h[j] = xxhash.xxh3_64_intdigest(data[start[j] : start[j] + size[j]].tobytes(), 7)
+    return h
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, first byte, end byte, word offsets by row) of rows of UTF-8 bytes.
 
@@ -114,8 +154,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     while i < len(start):  # in pieces that stay near the caches
         j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 19), "right")))
         lo = start[i]
-        p = prefix(BYTE[data[lo : end[j - 1]]])
-        hashes[i:j] = slices(p, start[i:j] - lo, end[i:j] - lo)
+        hashes[i:j] = word_hashes(data[lo : end[j - 1]], start[i:j] - lo, end[i:j] - start[i:j])
         i = j
     return hashes, start, end, np.searchsorted(start, offsets)
 

@@ -40,13 +40,13 @@ PARTS = "key long, doc long, pos long, n int, off int, ctx binary"
 
 @dataclass(frozen=True)
 class Kind:
-    """What a symbol is: bytes, or words by their hashes."""
+    """What a symbol is: bytes, or words by 64-bit hashes of their bytes."""
 
     unit: str
     window: int
     k: int
     hot: int = 512
-    block: int = 4 << 20
+    block: int = 1 << 20
 
     def symbols(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """uint64 symbols for hashing and their row offsets."""
@@ -56,7 +56,7 @@ class Kind:
         return hashes, at
 
     def raw(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols as they are compared exactly."""
+        """Symbols as they are compared in the end: bytes, or hashes of words."""
         return (data, offsets) if self.unit == "bytes" else self.symbols(data, offsets)
 
 
@@ -249,24 +249,25 @@ def remove_repeats(docs: DataFrame, kind: Kind, method: Callable, scratch: Scrat
     all_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(n) for c, n in zip(carry, names, strict=True)))
     all_ = with_keys(all_, scratch)
     keyed = all_.filter("copy is null").select("doc", "text")
-    runs = scratch.keep(keyed.mapInArrow(find_runs(kind), RUNS))
+    runs = scratch.keep(keyed.mapInArrow(K.returning(find_runs(kind)), RUNS))
     stats = runs.filter("h is not null").groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("first"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("m > 1").drop("m")
     shared = scratch.keep(runs.join(stats, "h").filter("c1 <> c2 or doc > first").select("h", "c", "doc", "pos", "n", "off", (F.col("c1") != F.col("c2")).alias("several")))
-    own = runs.filter("h is null").select("doc", "pos", "n")
+    own = scratch.keep(runs.filter("h is null").select("doc", "pos", "n"))
+    scratch.drop(runs)
     alone = shared.filter("not several").select("doc", "pos", "n")
     mixed = shared.filter("several")
     variants = scratch.keep(mixed.groupBy("h", "c").agg(F.min("doc").alias("doc"), F.min_by("pos", "doc").alias("pos"), F.min("n").alias("n"), F.min("off").alias("off")))
     copies = mixed.join(variants.select("h", "c", F.col("doc").alias("first")), ["h", "c"]).filter("doc > first").select("doc", "pos", "n")
     busy = variants.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
     want = variants.join(busy, "h").filter("m > 1").groupBy("doc").agg(F.collect_list(F.struct("h", "pos", "n", "off", (F.col("m") > kind.hot).alias("hot"))).alias("want"))
-    parts = scratch.keep(keyed.join(want.hint("shuffle_hash"), "doc").mapInArrow(fetch(kind), PARTS))
+    parts = scratch.keep(keyed.join(want, "doc").mapInArrow(K.returning(fetch(kind)), PARTS))
     settled = parts.filter("ctx is null").select("doc", "pos", "n")
     open_ = parts.filter("ctx is not null")
     n_parts = int(all_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = open_.repartition(n_parts, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(by_key(method, method_rows), "doc long, pos long, n int")
+    found = open_.repartition(n_parts, "key").sortWithinPartitions("key", "doc", "pos").mapInArrow(K.returning(by_key(method, method_rows)), "doc long, pos long, n int")
     spans = own.union(alone).union(copies).union(settled).union(found).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     # a copy without an id: every window of it starts earlier
     whole_text = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit(2**31 - 1).alias("n")))
-    joined = all_.join(spans.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", F.when(F.col("copy"), whole_text).otherwise(F.col("spans")).alias("spans"), *names)
+    joined = all_.join(spans, "doc", "left").select("doc_id", "text", F.when(F.col("copy"), whole_text).otherwise(F.col("spans")).alias("spans"), *names)
     more = "".join(f", {n} {all_.schema[n].dataType.simpleString()}" for n in names)
-    return joined.mapInArrow(cut_out(kind, whole, names), "doc_id long, n_symbols long, n_removed long, n_spans long, kept binary" + more)
+    return joined.mapInArrow(K.returning(cut_out(kind, whole, names)), "doc_id long, n_symbols long, n_removed long, n_spans long, kept binary" + more)

@@ -82,6 +82,16 @@ def test_odd(spark):
     assert [r.component_id for r in rows if r.doc_id in (3, None)] == [None] * 3
 
 
+def test_long_words(spark):
+    from tests.llm.test_repeats import thue_morse
+
+    x, y = thue_morse()
+    docs = [(1, f"one two {x}"), (2, f"one two {y}"), (3, f"One two {x}"), (4, x), (5, y), (6, "z" * 3_000_000), (7, "z" * 2_999_999 + "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.jaccard_components(df, Scratch(spark, "t")).collect()}
+    assert got == brute(docs) and got[2][1] == 2 and got[3][1] == 1
+
+
 def test_query(spark):
     d = "/root/testdata/sf0.001"
     want = brute([(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])

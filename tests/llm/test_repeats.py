@@ -61,6 +61,28 @@ def test_matches_brute_force(spark, unit, hot):
     assert got == brute(docs, unit)
 
 
+def thue_morse(n=10):
+    """A word and its complement: equal under every polynomial hash modulo 2**64."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words(spark):
+    """Long words that differ anywhere are different words."""
+    r = random.Random(6)
+    base = ["".join(r.choice("abcd") for _ in range(r.choice([3, 30, 65, 300]))) for _ in range(25)]
+    x, y = thue_morse()
+    docs = [(1, " ".join([*base[:12], x, *base[12:24]])), (2, " ".join([*base[:12], y, *base[12:24]])), (3, " ".join(base[:3] + [x] + base[3:22])), (4, " ".join([*base[:12], x, *base[12:24]]))]
+    docs += [(5 + i, " ".join(base[:i] + [base[i][:-1] + "z"] + base[i + 1 :])) for i in range(25)]
+    docs += [(40, "q" * 5_000_000 + " " + " ".join(base)), (41, "q" * 4_999_999 + "p " + " ".join(base))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_symbols, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_windows(df, Scratch(spark, "t")).collect()}
+    assert got == brute(docs, "words")
+    assert got[2][1] == 0 and got[4][1] == 25
+
+
 def test_empty_and_twice(spark):
     schema = "doc_id long, text string"
     assert dedup_substrings(spark.createDataFrame([], schema), Scratch(spark, "t")).count() == 0
