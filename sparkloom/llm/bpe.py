@@ -16,11 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sparkloom.llm import tokens as T
+from sparkloom.llm import kernels as K
+from sparkloom.llm.chunks import ChunkEncoder
 
 NONE = np.int32(2**31 - 1)
 LONG = 192  # bytes from which a piece is merged with a heap instead: a matrix would cost its square
-KEEP = 300_000
 
 
 class PairTable:
@@ -62,7 +62,7 @@ class PairTable:
         return out
 
 
-class Codec:
+class Codec(ChunkEncoder):
     def __init__(self, path: str, pattern: str):
         import regex
 
@@ -73,16 +73,19 @@ class Codec:
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        self.table = PairTable(left, right, rank.astype(np.int32))
+        self.merges = PairTable(left, right, rank.astype(np.int32))
         self.pair = {(a, b): r for a, b, r in pairs}
-        self.known: dict[str, bytes] = {"": b""}
+        lens = np.array([len(self.vocab.get(i, b"")) for i in range(max(self.vocab) + 1)], np.int64)
+        self.starts, self.lens = np.cumsum(lens) - lens, lens
+        self.bytes = np.frombuffer(b"".join(self.vocab.get(i, b"") for i in range(len(lens))), np.uint8)
+        super().__init__(self._learn)
 
     def _matrix(self, rows: np.ndarray) -> list[np.ndarray]:
         """Ids of rows of bytes, padded with -1."""
         ids = rows.copy()
         out: list = [None] * len(ids)
         which = np.arange(len(ids))
-        rank = self.table.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        rank = self.merges.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
         while True:
             j = rank.argmin(1) if rank.shape[1] else np.zeros(len(ids), np.int64)
             best = rank[np.arange(len(ids)), j] if rank.shape[1] else np.full(len(ids), NONE)
@@ -101,9 +104,9 @@ class Codec:
             rank = np.take_along_axis(rank, wide + (wide >= j[:, None]), 1)  # drops pair j
             if rank.shape[1]:
                 has = j < rank.shape[1]
-                rank[at[has], j[has]] = self.table.get(ids[at[has], j[has]], ids[at[has], j[has] + 1])
+                rank[at[has], j[has]] = self.merges.get(ids[at[has], j[has]], ids[at[has], j[has] + 1])
                 has = j > 0
-                rank[at[has], j[has] - 1] = self.table.get(ids[at[has], j[has] - 1], ids[at[has], j[has]])
+                rank[at[has], j[has] - 1] = self.merges.get(ids[at[has], j[has] - 1], ids[at[has], j[has]])
 
     def _heap(self, piece: bytes) -> np.ndarray:
         """The same merges for one long piece, by a heap over a linked list."""
@@ -147,23 +150,17 @@ class Codec:
                     out[i] = ids
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows = [T.split_words(t or "") for t in texts]
-        if len(self.known) > KEEP:
-            self.known = {"": b""}
-        new = set().union(*rows) - self.known.keys() if rows else set()
-        if new:
-            chunks = list(new)
-            cut = [[p.encode() for p in self.find(c)] for c in chunks]
-            distinct = list(set().union(*cut))
-            ids = dict(zip(distinct, (x.tobytes() for x in self.pieces(distinct)), strict=True))
-            for c, ps in zip(chunks, cut, strict=True):
-                self.known[c] = b"".join(map(ids.__getitem__, ps))
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, r)), np.int32) for r in rows]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, ids.tolist()))
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        cut = [[p.encode() for p in self.find(c)] for c in chunks]
+        distinct = list(set().union(*cut))
+        ids = dict(zip(distinct, (x.tobytes() for x in self.pieces(distinct)), strict=True))
+        return [b"".join(map(ids.__getitem__, ps)) for ps in cut]
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of rows of ids."""
+        size = self.lens[ids]
+        edge = np.append(0, np.cumsum(size))
+        return self.bytes[np.repeat(self.starts[ids] - edge[:-1], size) + np.arange(edge[-1])], edge[at]
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -181,10 +178,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches):
         c = codec(path, pattern)
         for batch in batches:
-            for i, texts in T.text_blocks(batch, 1):
-                ids = c.encode(texts)
-                offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-                flat = pa.array(np.concatenate(ids)) if ids else pa.array([], pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([c.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
+            for i, j, ids, at in c.column(batch.column(1)):
+                raw, edge = c.decode(ids, at)
+                decoded = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(edge.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32))), decoded], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(K.returning(run), "doc_id long, ids array<int>, decoded binary")

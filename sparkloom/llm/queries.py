@@ -56,7 +56,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack_documents
     from sparkloom.llm.tokens import public
 
-    out = pack_documents(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    out = pack_documents(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), Scratch(spark, "op2"))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -7,41 +7,19 @@ import re
 
 import numpy as np
 
-JOINED = 256  # plain words that are encoded by one call
-CACHE = 500_000  # entries of each of two generations that a worker keeps
-_ODD = re.compile(r" \s| $")
-
-
-def split_words(text: str) -> list[str]:
-    """Chunks that begin at the start or at a space before a non-space; joined they are the text.
-
-    A space before a non-space always begins a match of the byte-level pattern, so chunks can be
-    encoded one by one. Other white space stays inside chunks.
-    """
-    parts = text.split(" ")
-    out = [parts[0]]
-    if _ODD.search(text):
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-    out += [" " + p for p in parts[1:]]
-    return out
+from sparkloom.llm.chunks import ChunkEncoder
 
+JOINED = 256  # plain words that are encoded by one call
 
-#: A plain word and ASCII punctuation after it (no apostrophe): always separate matches for both public BPE files.
-_PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: A plain word: one match for both public BPE files.
+_PLAIN = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
-class Encoder:
-    """Texts -> ids as little-endian uint32 bytes, equal to the library's on each whole text.
+class Encoder(ChunkEncoder):
+    """Texts -> ids, equal to the library's on each whole text.
 
-    Ids of chunks are remembered in two generations of at most CACHE entries each, so that
-    frequent chunks stay when a generation is dropped. A new chunk that is a plain word with
-    punctuation is put together from both parts' ids. New plain words are encoded many at a time,
-    and told apart by the ids that end (or begin) a word.
+    New plain words are encoded many at a time, and told apart by the ids that end (or begin) a
+    word. Texts that hold an added token are encoded as wholes.
     """
 
     def __init__(self, path: str):
@@ -49,24 +27,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
         self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
         one = lambda t: self.tok.encode(t, add_special_tokens=False).ids
-        #: the file folds case: words may be looked up in lower case
-        self.folds = one("A\u00c9Z") == one("a\u00e9z")
-        #: the file drops white space: a word is the same with and without its space
-        self.bare = one(" a b") == one("a b")
+        # the file may fold case, and drop white space: a word is then the same with and without its space
+        super().__init__(self._learn, [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()], folds=one("A\u00c9Z") == one("a\u00e9z"), bare=one(" a b") == one("a b"))
         #: by id: whether it ends a word (files that drop white space) or begins with the word's space; None where unknown
         edge = np.zeros(1 + max(self.tok.get_vocab().values()), bool)
         for token, i in self.tok.get_vocab(with_added_tokens=False).items():
             edge[i] = token.endswith("</w>") if self.bare else token.startswith("\u0120")
         self.edge = edge if edge.any() else None
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _singly(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.batch(words, add_special_tokens=False)]
 
@@ -87,54 +57,15 @@ class Encoder:
             out += [raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Put ids of unknown chunks into the young generation."""
-        young, old = self.young, self.old
-        again = new & old.keys()
-        young.update((c, old[c]) for c in again)
-        new -= again
-        plain, odd, words, tails = [], [], [], []
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = dict.fromkeys(chunks)
         match = _PLAIN.fullmatch
-        for c in new:
-            if m := match(c):
-                word, tail = m.groups()
-                plain.append(c)
-                words.append(word)
-                tails.append(tail)
-            else:
-                odd.append(c)
-        if self.folds:
-            words = [w.lower() for w in words]
-        if self.bare:
-            words = [w.lstrip(" ") for w in words]
-        learnt: dict[str, bytes] = {}
-        for todo, ids in ((set(words), self._joined), (set(tails).union(odd), self._singly)):
-            kept = todo & old.keys()
-            learnt.update((w, old[w]) for w in kept)
-            todo = todo - kept - young.keys()
-            # a word without its space, at the start of a text, does not join with others
-            alone = [] if self.bare else [w for w in todo if not w.startswith(" ")]
-            ask = list(todo.difference(alone))
-            learnt.update(zip(ask, ids(ask), strict=True))
-            if alone:
-                learnt.update(zip(alone, self._singly(alone), strict=True))
-        young.update(learnt)
-        young.update([(c, young[w] + young[t]) for c, w, t in zip(plain, words, tails, strict=True)])
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        rows = [None if any(a in t for a in self.added) else split_words(t) for t in texts]
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {"": b""}
-        new: set[str] = set()
-        for r in rows:
-            if r:
-                new.update(r)
-        new -= self.young.keys()
-        if new:
-            self._learn(new)
-        get = self.young.__getitem__
-        return [self._whole(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, rows, strict=True)]
+        # a word without its space, at the start of a text, does not join with others
+        plain = [c for c in out if match(c) and (self.bare or c[0] == " ")]
+        out.update(zip(plain, self._joined(plain), strict=True))
+        others = [c for c, ids in out.items() if ids is None]
+        out.update(zip(others, self._singly(others), strict=True))
+        return [out[c] for c in chunks]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -153,12 +84,10 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def text_blocks(batch, column: int, limit: int = 4 << 20):
+def text_blocks(batch, column: int, limit: int = 1 << 20):
     """(first row, texts) of blocks of a batch with about `limit` bytes of text."""
     from sparkloom.llm.kernels import blocks, buffers
 
     _, offsets = buffers(batch.column(column))
     for i, j in blocks(offsets, limit):
         yield i, batch.column(column).slice(i, j - i).to_pylist()
-
-
