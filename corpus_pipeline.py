@@ -46,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, public("byte_bpe_50k.json"), Scratch(spark, "packing"))
 
 
 STAGES = [("toxicity", toxic), ("ngram_jaccard", near_duplicates), ("suffix_array", repeated_passages), ("pii", personal_data), ("packing", sequences)]
