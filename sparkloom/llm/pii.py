@@ -2,21 +2,25 @@
 
 Base kinds are patterns with checks: email, ip, card (16 to 19 digits passing Luhn), phone (with a
 plus sign, 8 to 15 digits); leftmost, non-overlapping per kind, a match that fails its check is
-dropped. The method adds phone numbers without a plus sign: runs of digit groups and phone
-punctuation, at most one word before them being read as context, are labelled O, B or I by a
-linear-chain CRF over word-shape features, trained here on the small table below and decoded by
-Viterbi in numpy over padded batches of runs. Labels B and I exist inside such runs only, so texts
-without digits are never decoded and no run is cut short. A span needs 7 to 15 digits and must not
-touch a base span.
+dropped. The method adds phone numbers without a plus sign and secrets (keys and tokens of letters
+and digits). A linear-chain CRF reads stretches of the text: each word that holds a digit, the words
+joined to it by single spaces that hold one too, three words before and one after. Tokens (runs of
+letters and digits, and every other character) have word-shape features; labels are O and B, I of
+each kind. It is trained here on the small table below and decoded by Viterbi in numpy over padded
+batches of stretches. Neither kind is without a digit, so a text without digits needs no decoding.
+A phone has 7 to 15 digits, a secret 16 characters or more with both letters and digits; a span
+that touches a base span is dropped.
 
 Results: one row per row of docs; a null or empty text has no span; repeated rows give repeated
-results. Positions count code points, ends are exclusive.
+results; null ids come back as null; columns other than id and text are ignored (redact keeps them).
+Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +28,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.llm.tokens import text_blocks
 
-KINDS = ("email", "ip", "card", "phone")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_RUN = re.compile(r"[0-9(][\x20().0-9-]*[0-9]")
-_TOKEN = re.compile(r"[0-9]+|[^0-9]")
-_CUE = re.compile(r"([A-Za-z]+)[:.]?\x20?\Z")
+_DIGIT = re.compile(r"[0-9]")
+_TAIL = re.compile(r"\S{0,200}(?:[ \n][^\s0-9]{0,200}[0-9]\S{0,200})*")
+_BEFORE = re.compile(r"(?:\S{1,40}\s){0,3}\Z")
+_AFTER = re.compile(r"(?:\s\S{1,40})?")
+_TOKEN = re.compile(r"[0-9A-Za-z]+|[^0-9A-Za-z]")
+_JOINT = frozenset("().- ")
 
 
 def luhn(digits: str) -> bool:
@@ -75,45 +82,75 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Labelled table: context before, run of digits and punctuation, whether all of the run is a phone number.
-#: Written for this module; digits are varied below.
-LABELLED = [
-    ("call", "555-123-4567", 1), ("phone", "(266) 555-7228", 1), ("tel", "020 7946 0958", 1), ("", "(017) 555-7713", 1), ("fax", "030 123456-78", 1), ("mobile", "07700 900123", 1),
-    ("cell", "555.867.5309", 1), ("at", "(555) 010-9999", 1), ("number", "1-800-555-0199", 1), ("phone", "5550199", 1), ("call", "555-0199", 1), ("dial", "0800 1111 222", 1), ("tel", "(0)30 901820", 1), ("contact", "202-555-0147", 1), ("telefon", "089 1234567", 1), ("", "415-555-2671", 1),
-    ("version", "4.0.2.1 1", 0), ("on", "2024-01-15", 0), ("date", "15-01-2024", 0), ("", "12 345 678", 0), ("page", "120-134", 0), ("years", "1998-2004", 0), ("token", "7831179344661714", 0), ("id", "980791576", 0), ("", "1 2 3 4 5 6 7 8", 0),
-    ("of", "10 20 30", 0), ("section", "3.1.4.1.5.9.2", 0), ("isbn", "978-3-16-148410-0", 0), ("pi", "3.14159265", 0), ("from", "5927243074273351", 0), ("sum", "100 200 300", 0), ("", "2001 2002 2003", 0), ("in", "1234567", 0), ("order", "00012345", 0), ("", "20240115 093000", 0), ("ratio", "16.9.2004 12", 0), ("address", "132.201.103", 0), ("", "(1) (2) (3) 4567", 0), ("", "0.5 0.25 0.125", 0), ("the", "10000000", 0),
-]
-CUES = frozenset(("call", "phone", "tel", "fax", "mobile", "cell", "telephone", "dial", "telefon", "contact"))
+#: Labelled rows: `[phone ...]` and `[secret ...]` mark spans. Written for this module; digits and
+#: letters inside numbers and keys are varied below.
+LABELLED = (
+    "call [phone 555-123-4567] now", "phone: [phone (266) 555-7228] office", "tel [phone 020 7946 0958] at", "reach me on [phone 07700 900123] today", "fax [phone 030 123456-78]", "cell [phone 555.867.5309] or",
+    "home [phone (555) 010-9999] in", "toll free [phone 1-800-555-0199] now", "phone [phone 5550199] please", "call [phone 555-0199] after", "dial [phone 0800 1111 222]", "telefon [phone 089 1234567] an", "ask for [phone 202-555-0147].",
+    "the [phone 415-555-2671] and", "call [phone 555-123-4567] or [phone 555-987-6543] now", "numbers [phone 555-123-4567] [phone 555-987-6543]", '"phone": "[phone 555-123-4567]",', "phone=[phone 555-123-4567];", "tel.: [phone (017) 555-7713], fax", "mobile/[phone 07700 900123]/x",
+    'token = "[secret 9d999bd9c9a9b9de9f999a99c99d99e9999ddb9a]" in', 'key = "[secret 4f5a1bb0c2d3e4f5a6b7c8d9e0f1a2b3c4d5e6f7]"', "api_key: [secret AKxA99ZZ0Q1W2E3R4T5Y] end", "secret=[secret sk9aLive8fj3kd9f3kd8fj2kf9d8f7]", 'password: "[secret a8f7s6d5f4g3h2j1k0l9]" yes', "Bearer [secret eyJ0eXAiOiJKV1QiLCJhbGciOi]", "token [secret ghp9aB8cD7eF6gH5iJ4kL3mN2oP1]", "auth = '[secret 0a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d]'",
+    'TOKEN = "[secret 9D999BD9C9A9B9DE9F999A99C99D99E9999DDB9A]"', 'access token = "[secret a1b2c3d4e5f60718293a4b5c6d7e8f9012345678]" the', "client_secret [secret 8f7e6d5c4b3a29180f1e2d3c4b5a6978]", 'token = "[secret 11d9d99999999b99c99a99a9999999999999dd9a]" of',
+    "version 4.0.2.1 of", "on 2024-01-15 the", "date: 15-01-2024 and", "about 12 345 678 people", "pages 120-134 of", "years 1998-2004 and", "the 7831179344661714 der", "id 980791576 is", "1 2 3 4 5 6 7 8", "of 10 20 30 and", "section 3.1.4.1.5.9.2 says",
+    "isbn 978-3-16-148410-0 is", "pi is 3.14159265 or so", "in 5927243074273351 the", "sum 100 200 300", "2001 2002 2003", "in 1234567 cases", "order 00012345 was", "at 20240115 093000 utc", "ratio 16.9.2004 12", "address 132.201.103.7 and", "(1) (2) (3) 4567", "0.5 0.25 0.125", "the 10000000 of",
+    "chapter 12 and 13", "part17model88 of", "a1 b2 c3 d4", "commit 9f3c2ab in", "isbn 9783161484100 was", "size 1024x768 and", "on 12/04/1999 at", "call 911 now", "call 42 times", "phone model 3310 is", "key 7 of 12", "token 55 of the", "token ring 802 and", "the word p53protein binds", "abcdefghijklmnopqrst1 it", "room 101, floor 3", "mail a.b99@host9.example.com to",
+    "price 1,234,567 or", "line 555 123 of 4567", "user_12345 wrote", "model X9000Pro2020Edition of",
+)
+CUES = frozenset(("call", "phone", "tel", "fax", "mobile", "cell", "telephone", "dial", "telefon", "contact", "home", "token", "key", "secret", "password", "auth", "bearer", "api", "isbn", "version", "date", "order", "id", "page", "pages", "commit", "on", "in", "of"))
 
 
 def shape(token: str) -> str:
-    return f"d{min(len(token), 11)}" if token[0].isdigit() else token
-
-
-def feature_names(tokens: list[str], cue: bool) -> list[list[str]]:
+    if not (token[0].isalnum() and token.isascii()):
+        return token if token.isascii() else "?"
+    if token.isdigit():
+        return f"d{min(len(token), 11)}"
+    n = len(token)
+    size = "1" if n == 1 else "2-7" if n < 8 else "8-15" if n < 16 else "16-23" if n < 24 else "24+"
+    if token.isalpha():
+        low = token.lower()
+        return f"w={low}" if low in CUES else f"w{size}"
+    turns = sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:], strict=False))
+    return f"m{size}{'+' if 4 * turns >= n else '-'}"
+
+
+def feature_names(tokens: list[str]) -> list[list[str]]:
     s = [shape(t) for t in tokens]
-    digits = sum(len(t) for t in tokens if t[0].isdigit())
-    size = "n<7" if digits < 7 else "n>15" if digits > 15 else "n7" if digits == 7 else "n8-9" if digits < 10 else "n10-11" if digits < 12 else "n12-15"
-    whole = "+".join(s) if len(s) <= 9 else "long"
+    n = len(s)
+    run = [0] * n  # digits of the run of numbers and phone punctuation that a token is in
+    i = 0
+    while i < n:
+        j = i
+        while j < n and (s[j][0] == "d" or s[j] in _JOINT):
+            j += 1
+        if j > i:
+            run[i:j] = [sum(len(t) for t in tokens[i:j] if t.isdigit())] * (j - i)
+        i = max(j, i + 1)
+    cue = [""] * n
+    last = ""
+    for i, x in enumerate(s):
+        cue[i] = last
+        if x[0] == "w" and len(x) > 1:
+            last = x if x[1] == "=" else ""
     out = []
     for i, x in enumerate(s):
-        before, after = s[i - 1] if i else "^", s[i + 1] if i + 1 < len(s) else "$"
-        two = s[i - 2] if i > 1 else "^"
-        next2 = s[i + 2] if i + 2 < len(s) else "$"
-        out.append(["bias", x, f"{before}<{x}", f"{x}>{after}", f"{two}<<{x}", f"{x}>>{next2}", size, f"{size}:{x}", f"w{whole}", f"cue{cue}", f"cue{cue}{size}"])
+        before, after = s[i - 1] if i else "^", s[i + 1] if i + 1 < n else "$"
+        two, next2 = s[i - 2] if i > 1 else "^", s[i + 2] if i + 2 < n else "$"
+        d = run[i]
+        size = "0" if not d else "<7" if d < 7 else "7" if d == 7 else "8-9" if d < 10 else "10-11" if d < 12 else "12-15" if d < 16 else ">15"
+        out.append(["bias", x, f"{before}<{x}", f"{x}>{after}", f"{two}<{before}<{x}", f"{x}>{after}>{next2}", f"{before}<{x}>{after}", f"n{size}", f"n{size}:{x}", f"c{cue[i]}", f"c{cue[i]}:{x}", f"c{cue[i]}n{size}"])
     return out
 
 
 class CRF:
-    """Labels O, B, I; I only after B or I."""
+    """Labels O and B, I of each kind; I only after its own B or I."""
 
-    LABELS = 3
+    ADDED = ("phone", "secret")
+    LABELS = 1 + 2 * len(ADDED)
     BAN = -1e4
 
     def __init__(self):
         self.index: dict[str, int] = {}
-        self.weights = np.zeros((0, 3))
-        self.trans = np.zeros((3, 3))
+        self.weights = np.zeros((0, self.LABELS))
+        self.trans = np.zeros((self.LABELS, self.LABELS))
 
     def ids(self, names: list[list[str]], grow: bool = False) -> list[list[int]]:
         out = []
@@ -126,20 +163,21 @@ class CRF:
 
     def _allowed(self) -> np.ndarray:
         t = self.trans.copy()
-        t[0, 2] = self.BAN
+        for inner in range(2, self.LABELS, 2):
+            t[[k for k in range(self.LABELS) if k not in (inner - 1, inner)], inner] = self.BAN
         return t
 
     def emissions(self, seqs: list[list[list[int]]], width: int) -> np.ndarray:
-        out = np.zeros((len(seqs), width, 3))
+        out = np.zeros((len(seqs), width, self.LABELS))
         for i, s in enumerate(seqs):
             for t, f in enumerate(s):
                 out[i, t] = self.weights[f].sum(0) if f else 0.0
-        out[:, 0, 2] = self.BAN
+        out[:, 0, 2::2] = self.BAN
         return out
 
     def fit(self, names: list, labels: list[list[int]], rounds: int = 120, rate: float = 0.3, l2: float = 0.01) -> None:
         seqs = [self.ids(n, True) for n in names]
-        self.weights = np.zeros((len(self.index), 3))
+        self.weights = np.zeros((len(self.index), self.LABELS))
         n, width = len(seqs), max(map(len, seqs))
         lens = np.array([len(s) for s in seqs])
         mask = np.arange(width) < lens[:, None]
@@ -150,15 +188,15 @@ class CRF:
         ii, tt, ff = (np.array(x) for x in zip(*at, strict=True))
         gold_w = np.zeros_like(self.weights)
         np.add.at(gold_w, (ff, y[ii, tt]), 1)
-        gold_t = np.zeros((3, 3))
+        gold_t = np.zeros_like(self.trans)
         for i, l in enumerate(labels):
             for a, b in zip(l, l[1:], strict=False):
                 gold_t[a, b] += 1
-        sq_w, sq_t = np.full_like(self.weights, 1e-8), np.full((3, 3), 1e-8)
+        sq_w, sq_t = np.full_like(self.weights, 1e-8), np.full_like(self.trans, 1e-8)
         for _ in range(rounds):  # AdaGrad on the log likelihood
-            e = np.zeros((n, width, 3))
+            e = np.zeros((n, width, self.LABELS))
             np.add.at(e, (ii, tt), self.weights[ff])
-            e[:, 0, 2] = self.BAN
+            e[:, 0, 2::2] = self.BAN
             trans = self._allowed()
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0]
@@ -173,7 +211,7 @@ class CRF:
             p = np.exp(alpha + beta - z[:, None, None])
             exp_w = np.zeros_like(self.weights)
             np.add.at(exp_w, ff, p[ii, tt])
-            exp_t = np.zeros((3, 3))
+            exp_t = np.zeros_like(self.trans)
             for t in range(1, width):
                 joint = np.exp(alpha[:, t - 1, :, None] + trans + (e[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
                 exp_t += joint[mask[:, t]].sum(0)
@@ -192,14 +230,14 @@ class CRF:
             lens = np.array([len(seqs[i]) for i in part])
             width = int(lens.max(initial=1))
             e = self.emissions([seqs[i] for i in part], width)
-            back = np.zeros((len(part), width, 3), np.int8)
+            back = np.zeros((len(part), width, self.LABELS), np.int8)
             score, rows = e[:, 0], np.arange(len(part))
             for t in range(1, width):
                 via = score[:, :, None] + trans
                 best = via.argmax(1)
                 step = np.take_along_axis(via, best[:, None, :], 1)[:, 0] + e[:, t]
                 live = (t < lens)[:, None]
-                back[:, t] = np.where(live, best, np.arange(3))
+                back[:, t] = np.where(live, best, np.arange(self.LABELS))
                 score = np.where(live, step, score)
             label = np.zeros((len(part), width), np.int8)
             label[:, -1] = score.argmax(1)
@@ -210,56 +248,105 @@ class CRF:
         return out
 
 
+def labelled(row: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """(text, spans) of a row of the table."""
+    text, spans, at = "", [], 0
+    for m in re.finditer(r"\[(phone|secret) ([^\]]*)\]", row):
+        text += row[at : m.start()]
+        spans.append((m[1], len(text), len(text) + len(m[2])))
+        text += m[2]
+        at = m.end()
+    return text + row[at:], spans
+
+
+def _varied(text: str, spans: list, r: np.random.Generator) -> str:
+    """Other digits everywhere, other letters in secrets."""
+    key = {i for kind, a, b in spans if kind == "secret" for i in range(a, b)}
+    out = []
+    for i, c in enumerate(text):
+        if i in key and c.lower() in "abcdef0123456789":
+            out.append("0123456789abcdef"[r.integers(0, 16)] if not c.isupper() else "0123456789ABCDEF"[r.integers(0, 16)])
+        elif c.isdigit():
+            out.append(str(r.integers(0, 10)))
+        else:
+            out.append(c)
+    return "".join(out)
+
+
 @functools.cache
 def trained(variants: int = 6, seed: int = 11) -> CRF:
-    """The CRF of the labelled table, each row in several digit variants (and, if a number, without its cue)."""
+    """The CRF of the labelled table, each row in several variants."""
     r = np.random.default_rng(seed)
     names, labels = [], []
-    for cue, run, phone in LABELLED:
-        for v in range(variants):
-            text = "".join(str(r.integers(0, 10)) if c.isdigit() else c for c in run)
-            tokens = _TOKEN.findall(text)
-            names.append(feature_names(tokens, cue in CUES and not (v % 3 == 2 and phone and len(tokens) > 3)))
-            labels.append([0] * len(tokens) if not phone else [1] + [2] * (len(tokens) - 1))
+    for row in LABELLED:
+        text, spans = labelled(row)
+        for _ in range(variants):
+            tokens = _TOKEN.findall(_varied(text, spans, r))
+            edge = np.append(0, np.cumsum([len(t) for t in tokens])).tolist()
+            own = [0] * len(tokens)
+            for kind, a, b in spans:
+                k = 1 + 2 * CRF.ADDED.index(kind)
+                for i in range(edge.index(a), edge.index(b)):
+                    own[i] = k if edge[i] == a else k + 1
+            names.append(feature_names(tokens))
+            labels.append(own)
     crf = CRF()
     crf.fit(names, labels)
     return crf
 
 
-def find(texts: list[str | None], crf: CRF) -> list[tuple[list, list]]:
+def _fits(kind: str, part: str) -> bool:
+    if kind == "phone":
+        return part[0] in "(0123456789" and part[-1].isdigit() and 7 <= sum(map(str.isdigit, part)) <= 15 and all(c.isdigit() or c in _JOINT for c in part)
+    return len(part) >= 16 and any(map(str.isdigit, part)) and any(map(str.isalpha, part))
+
+
+def stretches(text: str) -> Iterator[tuple[int, int]]:
+    """Words that hold a digit and are joined by single spaces or line breaks, with the words around them."""
+    done, m = 0, _DIGIT.search(text)
+    while m:
+        a = m.start()
+        low = max(done, a - 200)
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        end = _TAIL.match(text, m.start()).end()
+        low = max(done, a - 123)
+        yield low + _BEFORE.search(text[low:a]).start(), _AFTER.match(text, end).end()
+        done, m = end, _DIGIT.search(text, end)
+
+
+def find(texts: list[str | None], crf: CRF, most: int = 4000) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text, ordered by kind and position."""
     bases = [base_spans(t) for t in texts]
-    runs: list[tuple[int, int, list[str]]] = []
-    for i, t in enumerate(texts):
-        taken = sorted((a, b) for _, a, b in bases[i])
-        k = 0
-        for m in _RUN.finditer(t or ""):
-            a, b = m.span()
-            while k < len(taken) and taken[k][1] <= a - 1:
-                k += 1
-            if k < len(taken) and taken[k][0] < b + 1:
-                continue
-            if sum(map(str.isdigit, m[0])) < 7:
-                continue
-            around = (t[a - 1] if a else " ") + (t[b] if b < len(t) else " ")
-            if any(c.isalnum() or c in "@_+#=/\"'" for c in around):  # part of a word, code or key
-                continue
-            runs.append((i, a, _TOKEN.findall(m[0])))
     added: list[list] = [[] for _ in texts]
-    if runs:
-        seqs = []
-        for i, a, tokens in runs:
-            m = _CUE.search(texts[i], max(0, a - 24), a)
-            seqs.append(crf.ids(feature_names(tokens, bool(m) and m[1].lower() in CUES)))
-        for (i, a, tokens), label in zip(runs, crf.viterbi(seqs), strict=True):
-            edge = np.append(0, np.cumsum([len(x) for x in tokens]))
-            begin = np.flatnonzero(label == 1).tolist()
-            for s in begin:
+    taken = [sorted((a, b) for _, a, b in base) for base in bases]
+    seqs: list = []
+    where: list[tuple[int, int, list[str]]] = []
+
+    def decode():
+        for (i, start, tokens), label in zip(where, crf.viterbi(seqs), strict=True):
+            if not label.any():
+                continue
+            edge = np.append(start, start + np.cumsum([len(x) for x in tokens])).tolist()
+            for s in np.flatnonzero(label % 2 == 1).tolist():
                 e = s + 1
-                while e < len(label) and label[e] == 2:
+                while e < len(label) and label[e] == label[s] + 1:
                     e += 1
-                if 7 <= sum(len(x) for x in tokens[s:e] if x[0].isdigit()) <= 15:
-                    added[i].append(("phone", a + int(edge[s]), a + int(edge[e])))
+                a, b, kind = edge[s], edge[e], crf.ADDED[label[s] // 2]
+                if _fits(kind, texts[i][a:b]) and not any(x <= b and a <= y for x, y in taken[i]):
+                    added[i].append((kind, a, b))
+        seqs.clear()
+        where.clear()
+
+    for i, t in enumerate(texts):
+        for a, b in stretches(t or ""):
+            tokens = _TOKEN.findall(t[a:b])
+            where.append((i, a, tokens))
+            seqs.append(crf.ids(feature_names(tokens)))
+            if len(seqs) >= most:
+                decode()
+    if seqs:
+        decode()
     out = []
     for base, more in zip(bases, added, strict=True):
         out.append((base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1])) if more else base))
@@ -273,8 +360,9 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, base, spans): arrays of (kind, start, end)."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
+    crf = trained()  # on the driver, once; tasks get its weights
+
     def run(batches):
-        crf = trained()
         for batch in batches:
             for i, texts in text_blocks(batch, 1, 1 << 20):
                 found = find(texts, crf)
@@ -288,8 +376,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fields = docs.schema
     place = docs.columns.index(text_col)
 
+    crf = trained()
+
     def run(batches):
-        crf = trained()
         for batch in batches:
             out = []
             for _, texts in text_blocks(batch, place, 1 << 20):

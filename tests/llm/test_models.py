@@ -69,7 +69,7 @@ def test_pii_query(spark):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in Q.op4_pii(spark, SF).collect():
         base = brute_pii(text[r.doc_id])
-        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in pii.KINDS]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(b[0] == k for b in base) for k in pii.BASE]
         s = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(s.encode()).hexdigest() and set(filter(None, s.split(","))) <= set(filter(None, r.spans.split(",")))
 
@@ -80,16 +80,38 @@ def test_pii_crf(spark):
     assert found("please call 555-321-7788 now") == ["555-321-7788"] and found("tel: (212) 555-0123.") == ["(212) 555-0123"]
     for clean in ("on 2023-11-05 it", "version 2.3.14.7", "the 12345678 of", "years 1990-1995", 'key "9233801234567890"', "id 980791576", "1 2 3 4 5 6 7 8 9"):
         assert found(clean) == []
+    assert found("call 555-123-4567 or 555-987-6543 today") == ["555-123-4567", "555-987-6543"]
+    assert found("numbers: 555-123-4567 555-987-6543") == ["555-123-4567", "555-987-6543"]
+    assert found('"phone":"212-555-0177"') == ["212-555-0177"]
+    secrets = lambda t: [t[a:b] for k, a, b in pii.find([t], crf)[0][1] if k == "secret"]
+    r = random.Random(9)
+    for _ in range(40):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        assert secrets(f'the and token = "{key}" of it') == [key]
+    for clean in ("user_12345 wrote", "the 5927243074273351 of", "a.b99@host9.example.com", "x" * 5000 + "1", "1 " * 5000, "commit 9f3c2ab in"):
+        assert secrets(clean) == [] and found(clean) == []
+    # stretches hold every digit, in order, and a text of any length
+    for t in ("a1", "1" * 10_000, "é " * 99 + "x9y", "a b c d e 1 f", "1\u00a02", " 1 2  3\n4 x 5"):
+        spans = list(pii.stretches(t))
+        assert {i for i, c in enumerate(t) if c in "0123456789"} <= {i for a, b in spans for i in range(a, b)} and spans == sorted(spans)
+    # spans beyond the base exist on the test table, and none of them touches a base span
+    docs = [x.text for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    more = [(t, base, [s for s in every if s not in base]) for t, (base, every) in zip(docs, pii.find(docs, crf))]
+    assert sum(len(m) for _, _, m in more) > 5 and all(b <= x or y <= a for _, base, m in more for _, a, b in m for _, x, y in base)
+    # without the CRF's weights nothing is added
+    empty = pii.CRF()
+    assert all(base == every for base, every in pii.find(docs[:200], empty))
     # Viterbi against every labelling
     r = np.random.default_rng(0)
     c = pii.CRF()
-    c.index, c.weights, c.trans = {str(i): i for i in range(5)}, r.normal(size=(5, 3)), r.normal(size=(3, 3))
+    c.index, c.weights, c.trans = {str(i): i for i in range(5)}, r.normal(size=(5, 5)), r.normal(size=(5, 5))
     seqs = [[[int(r.integers(5))] for _ in range(n)] for n in (1, 2, 3, 5)]
     import itertools
 
+    ban = {(a, 2) for a in (0, 3, 4)} | {(a, 4) for a in (0, 1, 2)}
     for s, got in zip(seqs, c.viterbi(seqs)):
-        value = lambda l: sum(c.weights[s[i][0], x] for i, x in enumerate(l)) + sum(c.trans[a, b] if (a, b) != (0, 2) else -1e4 for a, b in zip(l, l[1:])) - 1e4 * (l[0] == 2)  # noqa: B023,E731
-        assert abs(value(tuple(got)) - max(map(value, itertools.product(range(3), repeat=len(s))))) < 1e-9
+        value = lambda l: sum(c.weights[s[i][0], x] for i, x in enumerate(l)) + sum(c.trans[a, b] if (a, b) not in ban else -1e4 for a, b in zip(l, l[1:])) - 1e4 * (l[0] in (2, 4))  # noqa: B023,E731
+        assert abs(value(tuple(got)) - max(map(value, itertools.product(range(5), repeat=len(s))))) < 1e-9
     df = spark.createDataFrame([(1, "call 555-321-7788 or a@b.co", "en"), (2, None, None), (3, "", "x")], "doc_id long, text string, spans string")
     assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == ["call <phone> or <email>", None, ""]
     assert pii.find_personal(df.limit(0)).count() == 0

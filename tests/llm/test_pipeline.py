@@ -59,8 +59,9 @@ def test_stages(spark):
     rows = step.collect()
     assert step.columns == docs.columns and len(rows) == len(want)
     for r in rows:
-        if not brute_pii(want[r.doc_id]):
+        if not brute_pii(want[r.doc_id]) and not re.search(r'token = "|[0-9][-. ][0-9]{4}', want[r.doc_id]):
             assert r.text == want[r.doc_id]
+        assert not re.search(r'token = "[0-9a-f]{40}"', r.text)
         assert not [x for x in brute_pii(r.text) if x[0] in ("email", "card", "phone")] and r.n_chars == len(r.text)
     last = {r.doc_id: r.text for r in rows}
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
