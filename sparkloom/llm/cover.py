@@ -1,6 +1,7 @@
 """Embedding near-dedup by dual traversal of cover trees (operator 8).
 
-Unit vectors of one label are dealt to cells: the nearest of at most `most_pivots` pivots of the
+Equal unit vectors of one label are one row with a count first (combined before the shuffle), so a
+large group of copies costs one row. Unit vectors of one label are dealt to cells: the nearest of at most `most_pivots` pivots of the
 label (rows of least hash; the pivots only place rows, every row is compared). Cells above `cell`
 rows are split by hash. Two cells are compared unless their centres lie further apart than both
 covering radii and the threshold distance. In each task the cells' cover trees (nested centres,
@@ -145,11 +146,14 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
     keyed = with_row_keys(rows, "vec_id", F.xxhash64("v", "label"), scratch, merge=True)
     rows = rows.select("vec_id", F.col("vec_id").alias("id"), "label", "v") if keyed is None else keyed.select("vec_id", F.col("row_key").alias("id"), "label", "v")
     usable = scratch.keep(rows.filter("label is not null").select("id", "label", "v").dropDuplicates(["id"]).mapInArrow(_usable, "id long, label long, dim int, x binary"))
-    sizes = usable.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m"))
+    # equal vectors link with each other and alike with all else: one of them stands for all, with their number
+    single = scratch.keep(usable.groupBy("label", "dim", "x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w")))
+    copies = usable.join(single.select("label", "dim", "x", F.col("id").alias("rep"), "w"), ["label", "dim", "x"]).select("id", "rep", "w")
+    sizes = single.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("m"))
     want = F.least(F.lit(most_pivots), F.ceil(F.col("m") / cell)).cast("int")
     # pivots: the row of least hash in each of `want` residues of the hash
     slot = F.pmod(F.xxhash64("id"), want).cast("int")
-    pivots = [(r.label, r.dim, np.frombuffer(r.x)) for r in usable.join(sizes, ["label", "dim"]).groupBy("label", "dim", slot.alias("slot")).agg(F.min_by("x", F.xxhash64("id", F.lit(7))).alias("x")).orderBy("label", "dim", "slot").collect()]
+    pivots = [(r.label, r.dim, np.frombuffer(r.x)) for r in single.join(sizes, ["label", "dim"]).groupBy("label", "dim", slot.alias("slot")).agg(F.min_by("x", F.xxhash64("id", F.lit(7))).alias("x")).orderBy("label", "dim", "slot").collect()]
     by: dict = {}
     for k, (label, dim, x) in enumerate(pivots):
         by.setdefault((label, dim), ([], []))[0].append(k)
@@ -158,18 +162,18 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
 
     def assign(batches):
         for batch in batches:
-            label, dim = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            label, dim = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             home, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for key in set(zip(label.tolist(), dim.tolist(), strict=True)):
                 at = np.flatnonzero((label == key[0]) & (dim == key[1]))
-                x = np.array([np.frombuffer(batch.column(3)[i].as_py()) for i in at.tolist()])
+                x = np.array([np.frombuffer(batch.column(2)[i].as_py()) for i in at.tolist()])
                 ks, ps = by[key]
                 dot = x @ ps.T
                 best = dot.argmax(1)
                 home[at], far[at] = ks[best], np.sqrt(np.maximum(0.0, 2 - 2 * dot.max(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(home), pa.array(far), batch.column(3)], names=["id", "home", "far", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(home), pa.array(far), batch.column(2), batch.column(4)], names=["id", "home", "far", "x", "w"])
 
-    dealt = scratch.keep(usable.mapInArrow(assign, "id long, home long, far double, x binary"))
+    dealt = scratch.keep(single.select("label", "dim", "x", "id", "w").mapInArrow(assign, "id long, home long, far double, x binary, w long"))
     stats = {r.home: (r.far, max(1, -(-r.m // cell))) for r in dealt.groupBy("home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("m")).collect()}
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-9
     partners: dict[int, list[int]] = {k: [] for k in stats}
@@ -192,10 +196,10 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
                         lo, hi = sorted(((home, sub), (other, s)))
                         rows.append((*lo, *hi, (home, sub) == hi and lo != hi, k))
             take = pa.array([r[5] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.array([r[4] for r in rows], pa.bool_()), batch.column(0).take(take), batch.column(3).take(take)], names=["a", "sa", "b", "sb", "second", "id", "x"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.array([r[4] for r in rows], pa.bool_()), *(batch.column(c).take(take) for c in (0, 3, 4))], names=["a", "sa", "b", "sb", "second", "id", "x", "w"])
 
     keys = ["a", "sa", "b", "sb"]
-    tasks = dealt.mapInArrow(spread, "a long, sa long, b long, sb long, second boolean, id long, x binary").repartition(n_parts, *keys).sortWithinPartitions(*keys, "id")
+    tasks = dealt.mapInArrow(spread, "a long, sa long, b long, sb long, second boolean, id long, x binary, w long").repartition(n_parts, *keys).sortWithinPartitions(*keys, "id")
 
     def compare(batches):
         held: list[tuple] = []
@@ -205,6 +209,7 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
             sides = [[h for h in held if h[0] == s] for s in (False, True)]
             ids = [np.array([h[1] for h in s], np.int64) for s in sides]
             xs = [np.array([np.frombuffer(h[2]) for h in s]) for s in sides]
+            ws = [np.array([h[3] for h in s], np.int64) for s in sides]
             links = [np.zeros(len(s), np.int64) for s in sides]
             inner = last[:2] == last[2:]
             total = len(sides[0]) + len(sides[1])
@@ -232,19 +237,19 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
                         span.append((p, int(qs[k])))
 
             def emit(i, j):
-                np.add.at(links[0], i, 1)
-                np.add.at(links[other], j, 1)
+                np.add.at(links[0], i, ws[other][j])
+                np.add.at(links[other], j, ws[0][i])
                 cut = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1], [True])))
                 for s, t in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     unite(int(i[s]), j[s:t] + shift)
 
             def emit_all(i, j):
                 if j is None:
-                    links[0][i] += len(i) - 1
+                    links[0][i] += ws[0][i].sum() - ws[0][i]
                     unite(int(i[0]), i[1:])
                     return
-                links[0][i] += len(j)
-                links[other][j] += len(i)
+                links[0][i] += ws[other][j].sum()
+                links[other][j] += ws[0][i].sum()
                 unite(int(i[0]), j + shift)
                 unite(int(j[0]) + shift, i)
 
@@ -259,19 +264,20 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*count[hit].tolist(), *([0] * len(span))], pa.int64())], names=["a", "b", "n"])
 
         for batch in batches:
-            for *key, second, i, x in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for *key, second, i, x, w in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if key != last:
                     if held:
                         yield flush()
                     held, last = [], key
-                held.append((second, i, x))
+                held.append((second, i, x, w))
         if held:
             yield flush()
 
     found = scratch.keep(tasks.mapInArrow(compare, "a long, b long, n long"))
-    counts = found.filter("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
-    parts = components(found.filter("b is not null").select("a", "b"), scratch).select(F.col("node").alias("id"), "component")
-    out = rows.select("vec_id", "id").join(counts, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    parts = components(found.filter("b is not null").select("a", "b"), scratch).select(F.col("node").alias("rep"), "component")
+    own = copies.join(counts, "rep", "left").join(parts, "rep", "left").select("id", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    out = rows.select("vec_id", "id").join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     if keyed is None:
         out = out.withColumn("component_id", F.col("component"))
     else:
