@@ -94,5 +94,34 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_suffix_dedup, op4_pii, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_embedding_dedup, op9_jaccard_join, op10_binary_ids, pipeline)}
 
 
+#: Words of the contracts, in the syntax of DuckDB's regular expressions.
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what SQL can say; tests compare the other queries with brute force."""
+    words = "wo as (select doc_id, unnest(w) word, unnest(range(len(w))) k from (select doc_id, regexp_extract_all({0}, '" + _WORD + "') w from documents))"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    reach = "re as (select id, id other from no union select re.id, li.b from re join li on re.other = li.a), co as (select id, min(other) component_id from re group by 1)"
+    return {
+        "op3_suffix_dedup": "with he as (select doc_id, hex(encode(coalesce(text, ''))) h from documents), po as (select doc_id, unnest(range(len(h) // 2)) k, h from he),"
+        " wi as (select doc_id, k, row_number() over (partition by md5(substr(h, 2 * k + 1, 200)) order by doc_id, k) > 1 again from po where 2 * k + 200 <= len(h)),"
+        " co as (select doc_id, k, substr(h, 2 * k + 1, 2) b, coalesce(max(case when again then k end) over (partition by doc_id order by k) + 100 > k, false) gone from po left join wi using (doc_id, k)),"
+        " ed as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by k), false) head from co),"
+        " ag as (select doc_id, count(*) n_bytes, count(*) filter (gone) n_removed, count(*) filter (head) n_spans, string_agg(b, '' order by k) filter (not gone) kept from ed group by 1)"
+        " select doc_id, coalesce(n_bytes, 0) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from he left join ag using (doc_id)",
+        "op5_substring_dedup": f"with {words.format('text')}, wi as (select doc_id, k, string_agg(word, ' ') over w s, count(*) over w n from wo window w as (partition by doc_id order by k rows between current row and 19 following)),"
+        " ag as (select doc_id, k, row_number() over (partition by s order by doc_id, k) > 1 again from wi where n = 20),"
+        " co as (select doc_id, k, word, coalesce(max(case when again then k end) over (partition by doc_id order by k) + 20 > k, false) gone from wo left join ag using (doc_id, k)),"
+        " su as (select doc_id, count(*) n_words, count(*) filter (gone) n_removed, string_agg(word, ' ' order by k) filter (not gone) kept from co group by 1)"
+        " select doc_id, coalesce(n_words, 0) n_words, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents left join su using (doc_id)",
+        "op8_embedding_dedup": "with recursive us as (select vec_id id, label, embedding::double[] e from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(embedding::double[], lambda x: x * x)) > 0),"
+        " li as (select x.id a, y.id b from us x join us y on x.label = y.label and x.id <> y.id and len(x.e) = len(y.e) where case when len(x.e) = len(y.e) then list_cosine_similarity(x.e, y.e) end >= 0.98),"
+        f" no as (select vec_id id from embeddings), {reach}, cn as (select a id, count(*) n from li group by 1)"
+        " select id vec_id, coalesce(n, 0) n_links, component_id, id = component_id kept from co left join cn using (id)",
+        "op9_jaccard_join": f"with recursive {words.format(lower)}, nw as (select doc_id, count(*) m from wo group by 1), sh as (select doc_id, string_agg(word, ' ') over w s, count(*) over w n from wo window w as (partition by doc_id order by k rows between current row and 2 following)),"
+        " se as (select distinct doc_id, s from sh join nw using (doc_id) where n = 3 or m < 3 and n = m), sz as (select doc_id, count(*) n from se group by 1),"
+        " pa as (select x.doc_id a, y.doc_id b, count(*) shared from se x join se y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2),"
+        " li as (select a, b from pa join sz x on a = x.doc_id join sz y on b = y.doc_id where 100 * shared >= 90 * (x.n + y.n - shared)),"
+        f" no as (select doc_id id from documents), {reach} select co.id doc_id, coalesce(n, 0) n_shingles, component_id from co left join sz on sz.doc_id = co.id",
+    }
