@@ -36,11 +36,18 @@ def outer_class(c: Column) -> Column:
     return F.when(c.contains("$"), F.regexp_extract(c, r"^(.*)\$", 1))
 
 
-def collapse_lambda(c: Column, rounds: int = 6) -> Column:
-    """Drop trailing $N, and with it a trailing $lower..., until nothing changes (at most `rounds` nestings)."""
-    for _ in range(rounds):
-        c = F.when(c.rlike(r"\$\d+$"), F.regexp_replace(F.regexp_replace(c, r"\$\d+$", ""), r"\$[a-z][^$]*$", "")).otherwise(c)
-    return c
+def collapse_lambda(c: Column) -> Column:
+    """Drop trailing $N, and with it a trailing $lower..., until nothing changes: any number of such endings at once."""
+    return F.regexp_replace(c, r"(?:(?:\$[a-z][^$]*)?\$\d+)+$", "")
+
+
+def candidate_names(simple: Column) -> Column:
+    """Array: the name without its last Kt or Test, without its last two of them, and so on; no empty name."""
+    ends = F.regexp_extract_all(F.regexp_extract(simple, "((?:Kt|Test)+)$", 1), F.lit("(Kt|Test)"), 1)
+    cut = lambda i: F.regexp_replace(simple, F.concat(F.lit("(?:Kt|Test){"), i.cast("string"), F.lit("}$")), F.lit(""))
+    # a sequence from 1 to 0 would run backwards
+    some = F.filter(F.transform(F.sequence(F.lit(0), F.size(ends)), cut), lambda x, i: (i > 0) & (x != ""))
+    return some
 
 
 def truncate_package(c: Column, depth: int, root: str = "") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sparkloom.functions import names as N
 from sparkloom.operators.components import components
 from sparkloom.util import Scratch
 
@@ -46,6 +47,21 @@ def pagerank(edges: DataFrame, scratch: Scratch, rounds: int = 20, damping: floa
     return rank
 
 
+def collapsed(edges: DataFrame) -> DataFrame:
+    """Call edges with lambda classes counted as the classes they stand in."""
+    return edges.withColumn("caller_class", N.collapse_lambda(F.col("caller_class"))).withColumn("callee_class", N.collapse_lambda(F.col("callee_class")))
+
+
+def complexity_by_class(edges: DataFrame, pattern: str = "", collapse: bool = False) -> DataFrame:
+    """(class, side, other, calls): method-level calls between a class without `$` that matches (case counts) and each other class."""
+    cross = edges.filter("caller_class <> callee_class").distinct()
+    ends = lambda own, other, side: cross.select(F.col(f"{own}_class").alias("class"), F.lit(side).alias("side"), F.col(f"{other}_class").alias("other"))
+    rows = ends("caller", "callee", "out").union(ends("callee", "caller", "in")).filter(F.col("class").rlike(pattern) & ~F.col("class").contains("$"))
+    if collapse:
+        rows = rows.withColumn("other", N.collapse_lambda(F.col("other")))
+    return rows.groupBy("class", "side", "other").agg(F.count(F.lit(1)).alias("calls"))
+
+
 def complexity(edges: DataFrame) -> DataFrame:
     """Per class: method-level calls out of and into it, and the distinct classes at the other end."""
     cross = edges.filter("caller_class <> callee_class").distinct()
@@ -57,8 +73,9 @@ def complexity(edges: DataFrame) -> DataFrame:
 def live(roots: DataFrame, edges: DataFrame, scratch: Scratch, most: int = 10_000) -> DataFrame:
     """(node) reachable from roots along (src, tgt), roots included; the frontier is what is new."""
     known = frontier = scratch.keep(roots.select("node").distinct())
+    out = scratch.keep(edges.select(F.col("src").alias("node"), "tgt").distinct())
     for _ in range(most):
-        step = frontier.join(edges.select(F.col("src").alias("node"), "tgt"), "node").select(F.col("tgt").alias("node")).distinct()
+        step = frontier.join(out, "node").select(F.col("tgt").alias("node")).distinct()
         frontier = scratch.keep(step.join(known, "node", "left_anti"))
         if frontier.isEmpty():
             return known

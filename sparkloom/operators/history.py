@@ -62,11 +62,29 @@ def volatility(spots: DataFrame, package: Column, n: int | None = None) -> DataF
     return top(out, n, F.desc("revisions"), "package")
 
 
+def upper_median(df: DataFrame, c: str) -> DataFrame:
+    """(k, median): rows, and the middle value, the greater of two: the lower one of the descending order."""
+    return df.agg(F.count(F.lit(1)).alias("k"), F.expr(f"percentile_disc(0.5) within group (order by {c} desc)").alias("median"))
+
+
 def mark_hotspots(spots: DataFrame) -> DataFrame:
     """hot: of five or more files, at least twice the upper median of revisions."""
-    m = spots.agg(F.array_sort(F.collect_list("revisions")).alias("r")).select(F.size("r").alias("k"), F.expr("r[size(r) div 2]").alias("median"))
+    m = upper_median(spots, "revisions")  # one row
     return spots.crossJoin(F.broadcast(m)).withColumn("hot", (F.col("k") >= 5) & (F.col("revisions") >= 2 * F.col("median"))).drop("k", "median")
 
 
+def mark_sizes(files: DataFrame) -> DataFrame:
+    """large: of three or more files, at least three times the upper median of lines, if that is above zero."""
+    m = upper_median(files, "lines")  # one row
+    return files.crossJoin(F.broadcast(m)).withColumn("large", (F.col("k") >= 3) & (F.col("median") > 0) & (F.col("lines") >= 3 * F.col("median"))).drop("k", "median")
+
+
+def mark_coupling(pairs: DataFrame, high: int = 70) -> DataFrame:
+    """strong: a high degree, but for a main file with a test file."""
+    side = lambda c, s: F.col(c).startswith(f"src/{s}/")
+    tested = side("entity", "main") & side("coupled", "test") | side("entity", "test") & side("coupled", "main")
+    return pairs.withColumn("strong", (F.col("degree") >= high) & ~tested)
+
+
 def sizes(files: DataFrame, over: int = 0, n: int | None = 50) -> DataFrame:
     return top(files.filter(F.col("lines") > over), n, F.desc("lines"), "file")

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions import names as N
+from sparkloom.operators.presets import is_modifier
 from sparkloom.util import Scratch
 
 CALL = ("caller_class", "caller_method", "callee_class", "callee_method")
@@ -67,31 +68,43 @@ def changed_since(changed: DataFrame, sources: DataFrame, edges: DataFrame) -> t
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int = 10_000) -> DataFrame:
-    """All rows reached from start by step, each round from the new rows only."""
+    """All rows reached from start by step, each round from the new rows only; only new rows are written."""
     keys = start.columns
     known = frontier = scratch.keep(start.distinct())
     for _ in range(most):
         frontier = scratch.keep(step(frontier).select(keys).distinct().join(known, keys, "left_anti"))
         if frontier.isEmpty():
             return known
-        known = scratch.keep(known.union(frontier))
+        known = known.union(frontier)
     raise RuntimeError("fixpoint did not end")
 
 
-def dead_code(edges: DataFrame, project: DataFrame, declared: DataFrame, supers: DataFrame, scratch: Scratch, tested: DataFrame | None = None, annotated: DataFrame | None = None) -> DataFrame:
+def dead_code(
+    edges: DataFrame,
+    project: DataFrame,
+    declared: DataFrame,
+    supers: DataFrame,
+    scratch: Scratch,
+    tested: DataFrame | None = None,
+    annotated: DataFrame | None = None,
+    external: DataFrame | None = None,
+    fields: DataFrame | None = None,
+) -> DataFrame:
     """(kind, class, method, reason, confidence) of classes and methods that nothing live calls.
 
     project (class); declared (class, method); supers (supertype, implementor); tested (class, method)
-    called by tests; annotated (class, method null for the class). A call from another class makes the
-    callee and its outer project classes live. Called methods reach implementors' methods of the same
-    name, which makes the implementor live, and methods of their own class. An interface with a live
-    implementor is live (one pass).
+    called by tests; annotated (class, method null for the class) and, if it has that column, annotation:
+    a modifier on the class lowers its methods' confidence too; external (class) with supertypes outside
+    the project lowers that of methods; fields (class, field), whose accessors are never dead. A call from
+    another class makes the callee and its outer project classes live. Called methods reach implementors'
+    methods of the same name, which makes the implementor live, and methods of their own class. An
+    interface with a live implementor is live (one pass).
     """
     project = scratch.keep(project.select("class").distinct())
-    inside = edges.join(project.withColumnRenamed("class", "callee_class"), "callee_class", "left_semi")
+    inside = scratch.keep(edges.join(project.withColumnRenamed("class", "callee_class"), "callee_class", "left_semi"))
     called = inside.filter("caller_class <> callee_class").select(F.col("callee_class").alias("class"), F.col("callee_method").alias("method")).distinct()
     intra = inside.filter("caller_class = callee_class").select(F.col("caller_class").alias("class"), F.col("caller_method").alias("method"), F.col("callee_method").alias("next"))
-    impl = supers.join(project.withColumnRenamed("class", "implementor"), "implementor", "left_semi").select(F.col("supertype").alias("class"), "implementor").distinct()
+    impl = scratch.keep(supers.join(project.withColumnRenamed("class", "implementor"), "implementor", "left_semi").select(F.col("supertype").alias("class"), "implementor").distinct())
 
     def step(now: DataFrame) -> DataFrame:
         own = now.join(intra, ["class", "method"]).select("class", F.col("next").alias("method"), "via")
@@ -105,7 +118,11 @@ def dead_code(edges: DataFrame, project: DataFrame, declared: DataFrame, supers:
     classes = project.join(alive, "class", "left_anti").filter("not contains(class, '$') and not class like '%.package-info'").select(F.lit("CLASS").alias("kind"), "class", F.lit(None).cast("string").alias("method"))
     methods = declared.select("class", "method").distinct().join(project, "class", "left_semi").join(alive, "class", "left_semi").join(reached.select("class", "method").distinct(), ["class", "method"], "left_anti")
     methods = methods.filter(~F.col("class").contains("$") & ~F.col("method").contains("$") & ~generated_method(F.col("method"))).select(F.lit("METHOD").alias("kind"), "class", "method")
-    out = classes.union(methods)
+    if fields is not None:
+        title = F.concat(F.upper(F.substring("field", 1, 1)), F.expr("substring(field, 2)"))
+        accessors = fields.select("class", F.explode(F.array(*(F.concat(F.lit(p), title) for p in ("get", "set", "is")))).alias("method")).filter("method rlike '^(get|set|is)[A-Z]'").distinct()
+        methods = methods.join(accessors, ["class", "method"], "left_anti")
+    out = classes.unionByName(methods)
     none = out.select("kind", "class", "method").limit(0)
     by_test = none if tested is None else tested.select(F.lit("METHOD").alias("kind"), "class", "method").union(tested.select(F.lit("CLASS"), "class", F.lit(None).cast("string")))
     by_note = none if annotated is None else annotated.select(F.when(F.col("method").isNull(), "CLASS").otherwise("METHOD").alias("kind"), "class", "method")
@@ -113,8 +130,16 @@ def dead_code(edges: DataFrame, project: DataFrame, declared: DataFrame, supers:
         # a class's own row has no method
         marks = df.select("kind", "class", F.coalesce("method", F.lit("")).alias("m")).distinct().withColumn(name, F.lit(True))
         out = out.withColumn("m", F.coalesce("method", F.lit(""))).join(marks, ["kind", "class", "m"], "left").drop("m").fillna(False, [name])
+    low = F.lit(False)
+    if annotated is not None and "annotation" in annotated.columns:
+        modified = annotated.filter(F.col("method").isNull() & is_modifier(F.col("annotation"))).select("class").distinct().withColumn("modified", F.lit(True))
+        out = out.join(modified, "class", "left")
+        low = low | F.coalesce("modified", F.lit(False))
+    if external is not None:
+        out = out.join(external.select("class").distinct().withColumn("external", F.lit(True)), "class", "left")
+        low = low | (F.coalesce("external", F.lit(False)) & (F.col("kind") == "METHOD"))
     reason = F.when(F.col("tested"), "TEST_ONLY").otherwise("NO_REFERENCES")
-    sure = F.when(F.col("annotated"), "LOW").when(F.col("tested"), "MEDIUM").otherwise("HIGH")
+    sure = F.when(F.col("annotated") | low, "LOW").when(F.col("tested"), "MEDIUM").otherwise("HIGH")
     return out.select("kind", "class", "method", reason.alias("reason"), sure.alias("confidence"))
 
 
@@ -137,15 +162,24 @@ def metrics(edges: DataFrame, classes: DataFrame, dead: DataFrame, loops: DataFr
 TREE = "root string, seq int, parent int, depth int, class string, method string"
 
 
-def call_tree(roots: DataFrame, edges: DataFrame, scratch: Scratch, depth: int = 3, callers: bool = False) -> DataFrame:
+def dispatched(edges: DataFrame, supers: DataFrame) -> DataFrame:
+    """Edges, and for a call of a supertype's method the same call of each direct implementor's."""
+    over = edges.join(supers.select(F.col("supertype").alias("callee_class"), "implementor").distinct(), "callee_class").select("caller_class", "caller_method", F.col("implementor").alias("callee_class"), "callee_method")
+    return edges.select(*CALL).union(over).distinct()
+
+
+def call_tree(roots: DataFrame, edges: DataFrame, scratch: Scratch, depth: int = 3, callers: bool = False, supers: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Trees of calls, flat: (root, seq, parent, depth, class, method), in depth-first order.
 
-    roots (class, method). Children are sorted by name. A tree expands a method once: where it comes
+    roots (class, method). supers (supertype, implementor): calls of a supertype reach its implementors.
+    keep: a filter of edges by their far end (see search.call_filter); roots are not filtered. Children are sorted by name. A tree expands a method once: where it comes
     again it is a leaf, and nothing is expanded at the last depth. The edges within reach of a root
     are cut out by joins; the order of a tree is then made per root.
     """
     a, b = (("callee_class", "callee_method"), ("caller_class", "caller_method")) if callers else (("caller_class", "caller_method"), ("callee_class", "callee_method"))
     name = lambda c: F.concat_ws(".", *c)
+    edges = edges if supers is None else dispatched(edges, supers)
+    edges = edges if keep is None else keep(edges)
     e = scratch.keep(edges.select(name(a).alias("src"), name(b).alias("tgt"), F.col(b[0]).alias("class"), F.col(b[1]).alias("method")).distinct())
     start = roots.select(name(("class", "method")).alias("root"), "class", "method").distinct()
     now = start.select("root", F.col("root").alias("src"))
@@ -192,3 +226,51 @@ def hierarchy(supers: DataFrame, scratch: Scratch) -> DataFrame:
             return known
         known = scratch.keep(known.union(new))
     raise RuntimeError("hierarchy did not end")
+
+
+TYPES = "root string, seq int, parent int, depth int, class string, kind string"
+
+
+def type_tree(index: DataFrame, scratch: Scratch, pattern: str = "", project_only: bool = False, most: int = 10_000) -> DataFrame:
+    """Trees of supertypes, flat: (root, seq, parent, depth, class, kind), in depth-first order, the superclass first.
+
+    index (class, supertype, kind CLASS or INTERFACE, place among a class's supertypes); supertype is null
+    in the row of a class without any. Roots are the index's classes that match (case does not count). In
+    a tree a type comes once, where it is met first; project_only leaves out those that are not in the index.
+    """
+    known = scratch.keep(index.select("class").distinct().withColumn("inside", F.lit(True)))
+    direct = index.filter("supertype is not null").select("class", "supertype", "kind", "place").join(known.select(F.col("class").alias("supertype"), "inside"), "supertype", "left")
+    direct = scratch.keep(direct.select("class", "supertype", "kind", "place", F.coalesce("inside", F.lit(False)).alias("inside")).distinct())
+    start = known.filter(F.col("class").rlike("(?i)" + pattern)).select(F.col("class").alias("root"), "class")
+    ups = direct.select("class", F.col("supertype").alias("next")).distinct()
+    near = fixpoint(start, lambda now: now.join(ups, "class").select("root", F.col("next").alias("class")), scratch, most)
+    reach = near.join(direct, "class").select("root", "class", "supertype", "kind", "place", "inside")
+    none = start.select("root", "class", F.lit(None).cast("string").alias("supertype"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("place"), F.lit(True).alias("inside"))
+
+    def tree(root, rows):
+        above: dict[str, list] = {}
+        for _, c, up, kind, place, inside in rows:
+            if up is not None:
+                above.setdefault(c, []).append((kind != "CLASS", place, up, kind, inside))
+        yield root, 0, -1, 0, root, "ROOT"
+        # a type is met in depth-first order; what an outside type would show below it has no rows
+        seq, seen, stack = 1, set(), [(x, 0, 1) for x in sorted(above.get(root, []), reverse=True)]
+        while stack:
+            (_, _, up, kind, inside), parent, at = stack.pop()
+            if up in seen:
+                continue
+            seen.add(up)
+            if project_only and not inside:
+                continue
+            yield root, seq, parent, at, up, kind
+            stack += [(x, seq, at + 1) for x in sorted(above.get(up, []), reverse=True)]
+            seq += 1
+
+    def order(batches):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out = (r for root, group in groupby(rows, itemgetter(0)) for r in tree(root, group))
+        while part := list(islice(out, 10_000)):
+            kinds = (pa.string(), *[pa.int32()] * 3, pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=["root", "seq", "parent", "depth", "class", "kind"])
+
+    return reach.unionByName(none).repartition("root").sortWithinPartitions("root").mapInArrow(order, TYPES)

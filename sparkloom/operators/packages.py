@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions import names as N
@@ -16,6 +19,29 @@ def package_deps(edges: DataFrame) -> DataFrame:
     return out.filter("src_pkg <> '' and tgt_pkg <> '' and src_pkg <> tgt_pkg").distinct()
 
 
+def about_package(deps: DataFrame, prefix: str) -> DataFrame:
+    """Dependencies either end of which starts with the prefix (any string, an empty one keeps all)."""
+    return deps.filter(F.col("src_pkg").startswith(prefix) | F.col("tgt_pkg").startswith(prefix)) if prefix else deps
+
+
+def dependents(deps: DataFrame) -> DataFrame:
+    """(package, used_by) of distinct package pairs: the dependencies read backwards."""
+    return deps.select(F.col("tgt_pkg").alias("package"), F.col("src_pkg").alias("used_by")).distinct()
+
+
+def find_packages(deps: DataFrame, pattern: str) -> DataFrame:
+    """(package) at either end that matches a case-insensitive regex."""
+    both = deps.select(F.col("src_pkg").alias("package")).union(deps.select("tgt_pkg")).distinct()
+    return both.filter(F.col("package").rlike("(?i)" + pattern))
+
+
+def cycle_edges(loops: DataFrame, deps: DataFrame, depth: int = 2, root: str = "") -> DataFrame:
+    """(component, src, tgt, src_class, tgt_class) of dependencies inside a cycle; loops: (component, node) of truncated packages."""
+    t = deps.select(N.truncate_package(F.col("src_pkg"), depth, root).alias("src"), N.truncate_package(F.col("tgt_pkg"), depth, root).alias("tgt"), "src_class", "tgt_class").filter("src <> tgt").distinct()
+    a, b = loops.select("component", F.col("node").alias("src")), loops.select("component", F.col("node").alias("tgt"))
+    return t.join(a, "src").join(b, ["component", "tgt"]).select("component", "src", "tgt", "src_class", "tgt_class")
+
+
 def dsm(deps: DataFrame, depth: int = 2, root: str = "") -> DataFrame:
     """Cells of the matrix: distinct class pairs between truncated packages."""
     t = deps.select(N.truncate_package(F.col("src_pkg"), depth, root).alias("src"), N.truncate_package(F.col("tgt_pkg"), depth, root).alias("tgt"))
@@ -77,34 +103,67 @@ def balance(strong: DataFrame, volatile: DataFrame) -> DataFrame:
 
 
 def glob(pattern: str) -> str:
-    import re
-
-    return "^" + ".*".join(map(re.escape, pattern.split("*"))) + "$"
+    """A regex of a layer's pattern: a star stands for anything at either end only."""
+    if pattern == "*":
+        return ""
+    head, tail = pattern.startswith("*"), pattern.endswith("*")
+    return ("" if head else "^") + re.escape(pattern[head : len(pattern) - tail]) + ("" if tail else "$")
+
+
+def parse_layers(text: str) -> list[dict]:
+    """Layers of a JSON config: name, patterns, peer_limit (0 unless given) and test_infrastructure of each; raises where one is unfit."""
+    root = json.loads(text)
+    if not isinstance(root, dict) or not isinstance(root.get("layers"), list):
+        raise ValueError("a config needs an array of layers")
+    out = []
+    for x in root["layers"]:
+        if not isinstance(x, dict) or not isinstance(x.get("name"), str):
+            raise ValueError("a layer needs a name")
+        if not isinstance(x.get("patterns"), list) or not all(isinstance(p, str) for p in x["patterns"]):
+            raise ValueError(f"layer {x['name']!r} needs an array of patterns")
+        limit, tests = x.get("peerLimit"), x.get("testInfrastructure")
+        if limit is not None and (isinstance(limit, bool) or not isinstance(limit, (int, float, str))):
+            raise ValueError(f"the peer limit of layer {x['name']!r} is no number")
+        if tests is not None and not isinstance(tests, bool):
+            raise ValueError(f"testInfrastructure of layer {x['name']!r} is neither true nor false")
+        out.append({"name": x["name"], "patterns": x["patterns"], "peer_limit": int(limit or 0), "test_infrastructure": bool(tests)})
+    return out
 
 
 def layer_of(name: Column, layers: list[dict]) -> Column:
-    """Index of the first layer with a pattern that matches; of a test, its subject's name is tried first."""
-    subject = F.regexp_replace(F.regexp_replace(name, "Kt$", ""), "Test$", "")
+    """Index of the first layer with a pattern that matches; of names that end in Kt or Test, what is left without is tried first."""
 
     def first(c):
         out = F
         for i, layer in enumerate(layers):
-            out = out.when(c.rlike("|".join(map(glob, layer["patterns"]))), F.lit(i))
-        return out.otherwise(F.lit(None).cast("int"))
+            if layer["patterns"]:
+                out = out.when(c.rlike("|".join(f"(?:{glob(p)})" for p in layer["patterns"])), F.lit(i))
+        return out.otherwise(F.lit(None).cast("int")) if out is not F else F.lit(None).cast("int")
+
+    tried = F.filter(F.transform(N.candidate_names(name), first), lambda i: i.isNotNull())
+    return F.coalesce(F.get(tried, F.lit(0)), first(name))
+
+
+def layered(deps: DataFrame, layers: list[dict]) -> DataFrame:
+    """(class, layer) of every class at either end; the layer's index is null where none matches."""
+    both = deps.select(F.col("src_class").alias("class")).union(deps.select("tgt_class")).distinct()
+    return both.withColumn("layer", layer_of(N.simple_name(F.col("class")), layers))
+
 
-    return F.when((subject != name) & (subject != ""), F.coalesce(first(subject), first(name))).otherwise(first(name))
+def unassigned(deps: DataFrame, layers: list[dict]) -> DataFrame:
+    """(class) of dependencies' ends that no layer matches."""
+    return layered(deps, layers).filter("layer is null").select("class")
 
 
 def layer_check(deps: DataFrame, layers: list[dict]) -> DataFrame:
-    """Violations: OUTWARD dependencies, and PEER ones beyond a layer's limit. Layers go from outer to inner."""
-    c = deps.select("src_class", "tgt_class").distinct()
-    c = c.select("src_class", "tgt_class", layer_of(N.simple_name(F.col("src_class")), layers).alias("s"), layer_of(N.simple_name(F.col("tgt_class")), layers).alias("t")).filter("s is not null and t is not null and src_class <> tgt_class")
+    """Violations: OUTWARD dependencies, and PEER ones beyond a layer's limit (0 unless given; below 0: none). Layers go from outer to inner."""
+    at = layered(deps, layers).filter("layer is not null")
+    c = deps.select("src_class", "tgt_class").distinct().join(at.select(F.col("class").alias("src_class"), F.col("layer").alias("s")), "src_class").join(at.select(F.col("class").alias("tgt_class"), F.col("layer").alias("t")), "tgt_class")
     name = F.array(*(F.lit(x["name"]) for x in layers))
-    limit = F.array(*(F.lit(int(x.get("peer_limit", -1))) for x in layers))
+    limit = F.array(*(F.lit(int(x.get("peer_limit", 0))) for x in layers))
     infra = F.array(*(F.lit(bool(x.get("test_infrastructure", False))) for x in layers))
-    outward = c.filter(F.col("t") < F.col("s")).filter(~(F.get(infra, F.col("t")) & N.is_test(F.col("src_class")))).withColumn("type", F.lit("OUTWARD"))
-    peers = c.filter("s = t")
-    busy = peers.groupBy("src_class").agg(F.countDistinct("tgt_class").alias("m"))
-    peer = peers.join(busy, "src_class").filter((F.get(limit, F.col("s")) >= 0) & (F.col("m") > F.get(limit, F.col("s")))).drop("m").withColumn("type", F.lit("PEER"))
-    both = outward.unionByName(peer)
-    return both.select("type", "src_class", "tgt_class", F.get(name, F.col("s")).alias("src_layer"), F.get(name, F.col("t")).alias("tgt_layer"))
+    peers = c.filter("s = t").groupBy("src_class").agg(F.count(F.lit(1)).alias("peers"))
+    free = F.get(infra, F.col("t")) & N.is_test(F.col("src_class"))
+    kind = F.when((F.col("t") < F.col("s")) & ~free, "OUTWARD").when((F.col("s") == F.col("t")) & (F.get(limit, F.col("s")) >= 0) & (F.col("peers") > F.get(limit, F.col("s"))), "PEER")
+    found = c.join(peers, "src_class", "left").withColumn("type", kind).filter("type is not null")
+    return found.select("type", "src_class", "tgt_class", F.get(name, F.col("s")).alias("src_layer"), F.get(name, F.col("t")).alias("tgt_layer"))

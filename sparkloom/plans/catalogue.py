@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names as N
-from sparkloom.operators import graph as G, history as H, navigation as V, packages as P
+from sparkloom.operators import graph as G, history as H, navigation as V, packages as P, presets as R, search as S
 from sparkloom.plans import adapters as A
+from sparkloom.sources import gitlog as L
 from sparkloom.util import Scratch, table
 
 NOW = "2002-01-01"
@@ -37,6 +38,42 @@ def _metrics(s, d):
     return V.metrics(A.call_edges(s, d), A.classes(s, d), _dead(s, d, "metrics"), loops).select("classes", "packages", "calls", F.round("mean_out", 6).alias("mean_out"), F.round("mean_in", 6).alias("mean_in"), "dead_classes", "dead_methods", "cycles")
 
 
+def _services(s, d):
+    classes = A.service_classes(s, d)
+    noted = classes.filter("note is not null").select("class", F.lit(None).cast("string").alias("method"), F.col("note").alias("annotation"))
+    declared = classes.select("class", F.explode(F.array(*map(F.lit, ("buy", "take", "count", "send", "sellA", "sellN", "sellR", "sellX", "getStock")))).alias("method"))
+    fields = classes.filter("class like 'app.store.%'").select("class", F.lit("stock").alias("field"))
+    none = classes.limit(0).select(F.col("class").alias("supertype"), F.col("class").alias("implementor"))
+    external = classes.filter("class like 'app.store.S%7'").select("class")
+    return V.dead_code(A.service_edges(s, d), classes.select("class"), declared, none, Scratch(s, "services"), A.service_tests(s, d), noted, external, fields)
+
+
+def _service_filters(s, d):
+    classes = A.service_classes(s, d)
+    noted = classes.filter("note is not null").select("class", F.lit(None).cast("string").alias("method"), F.col("note").alias("annotation"))
+    entry = noted.filter(R.is_entry_point(F.col("annotation")))
+    names = [r.annotation for r in entry.select("annotation").distinct().collect()]  # as many as presets tell apart
+    return S.dead_code_filters(_services(s, d), pattern="client", notes=noted, entry_annotations=names, scope="prod")
+
+
+def _sources_of(s, d):
+    name = N.simple_name(F.col("class"))
+    return A.classes(s, d).select("class", F.concat(name, F.lit(".kt")).alias("source_file"), F.concat(F.translate(N.package_name(F.col("class")), ".", "/"), F.lit("/"), name, F.lit(".kt")).alias("source_path"), (F.col("p_size") < 48).alias("user_defined"))
+
+
+def _price_files(s, d):
+    return table(s, d, "lineitem").select(F.concat(F.lit("price/"), F.floor(F.col("l_extendedprice") / 500).cast("string")).alias("path"), F.col("l_quantity").cast("int").alias("added"), F.col("l_linenumber").alias("deleted"))
+
+
+def _lambda_edges(s, d):
+    e = A.call_edges(s, d)
+    return e.withColumn("caller_class", F.when(F.col("caller_method") == "mR", F.concat("caller_class", F.lit("$run$1$2"))).otherwise(F.col("caller_class"))).withColumn("callee_class", F.when(F.col("callee_method") == "mO", F.concat("callee_class", F.lit("$4"))).otherwise(F.col("callee_class")))
+
+
+def _log(s, d):
+    return L.parse(A.log_texts(s, d)).select("hash", "date", "author", "path", "added", "deleted")
+
+
 def _changed(s, d):
     new = A.file_changes(s, d).filter("date > '2001-06-01'").select(F.concat(F.lit("src/main/kotlin/"), "path").alias("path"))
     sources = A.classes(s, d).select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("path"), "class")
@@ -64,31 +101,53 @@ def _volatile(s, d):
 def queries() -> dict:
     q = {
         "hotspots": lambda s, d: H.hotspots(A.file_changes(s, d)),
-        "hotspots_marked": lambda s, d: H.mark_hotspots(H.hotspots(A.file_changes(s, d), n=None)),
+        "hotspots_marked": lambda s, d: H.mark_hotspots(H.hotspots(_price_files(s, d), n=None)),
+        "sizes_marked": lambda s, d: H.mark_sizes(table(s, d, "documents").select(F.col("doc_id").alias("file"), F.size(F.split("text", "\n", -1)).cast("long").alias("lines"))),
+        "coupling_marked": lambda s, d: H.mark_coupling(H.coupling(A.file_changes(s, d).withColumn("path", F.concat(F.when(F.col("added") > 25, "src/main/").otherwise("src/test/"), "path")), min_shared=2, min_degree=5, n=None), high=12),
+        "file_packages": lambda s, d: _sources_of(s, d).select("class", H.package_of_file(F.concat(F.when(F.col("user_defined"), "src/main/kotlin/").otherwise("lib/src/main/kotlin/"), "source_path")).alias("package")),
+        "git_log": _log,
+        "git_log_hotspots": lambda s, d: H.hotspots(_log(s, d), n=None),
         "churn": lambda s, d: H.churn(A.file_changes(s, d)),
         "code_age": lambda s, d: H.code_age(A.file_changes(s, d), F.lit(NOW).cast("date"), None),
         "authors": lambda s, d: H.authors(A.file_changes(s, d), min_revs=20),
         "coupling": lambda s, d: H.coupling(A.file_changes(s, d), min_shared=3, min_degree=5, n=None),
         "volatility": _volatile,
         "package_deps": lambda s, d: _deps(s, d).groupBy("src_pkg", "tgt_pkg").agg(F.count(F.lit(1)).alias("classes")),
+        "package_dependents": lambda s, d: P.dependents(_deps(s, d)),
+        "find_packages": lambda s, d: P.find_packages(_deps(s, d), "BRAND#?1[0-9]*$"),
+        "about_package": lambda s, d: P.dsm(P.about_package(_deps(s, d), "com.p"), 3),
+        "cycle_edges": lambda s, d: P.cycle_edges(G.cycles(P.dsm(_deps(s, d)).filter("refs > 1").select("src", "tgt"), Scratch(s, "loops")), _deps(s, d)),
         "dsm": lambda s, d: P.dsm(_deps(s, d)),
         "dsm_two_cycles": lambda s, d: P.two_cycles(P.dsm(_deps(s, d), 3)),
         "distance": lambda s, d: P.distances(P.dsm(_deps(s, d), 3)),
-        "root_package": lambda s, d: P.root_package(A.classes(s, d).select(N.package_name(F.col("class")).alias("package"))),
+        "root_package": lambda s, d: P.root_package(A.classes(s, d).select(N.package_name(F.col("class")).alias("package"))).union(P.root_package(A.service_classes(s, d).filter("class like 'app.client.%'").select(N.package_name(F.col("class")).alias("package")))),
         "strength": lambda s, d: P.strength(_deps(s, d), _kinds(s, d)),
         "balance": lambda s, d: P.balance(P.strength(_deps(s, d), _kinds(s, d)), _volatile(s, d)),
         "layer_check": lambda s, d: P.layer_check(_deps(s, d), LAYERS),
+        "unassigned": lambda s, d: P.unassigned(_deps(s, d), P.parse_layers('{"layers": [{"name": "a", "patterns": ["P1*", "*5*"]}, {"name": "b", "patterns": ["*9"], "peerLimit": 2}]}')),
         "cycles": lambda s, d: G.cycles(A.trade_graph(s, d), Scratch(s, "cycles")),
         "pagerank": lambda s, d: G.pagerank(A.call_edges(s, d).select(F.col("caller_class").alias("src"), F.col("callee_class").alias("tgt")), Scratch(s, "rank")).select("node", F.round("rank", 9).alias("rank")),
         "complexity": lambda s, d: G.complexity(A.call_edges(s, d)),
+        "complexity_collapsed": lambda s, d: G.complexity(G.collapsed(_lambda_edges(s, d))),
+        "complexity_by_class": lambda s, d: G.complexity_by_class(_lambda_edges(s, d), "[.]P[0-9]*3$", collapse=True),
         "live": lambda s, d: G.live(table(s, d, "nation").agg(F.min("n_nationkey").alias("node")), A.trade_graph(s, d), Scratch(s, "live")),
-        "find_classes": lambda s, d: A.classes(s, d).filter(N.name_filter("P1.*7$", F.col("class"), F.col("class"), N.simple_name(F.col("class")), F.col("class"))).select("class"),
+        "find_classes": lambda s, d: S.find_classes(_sources_of(s, d), "P1.*7$").select("class", "source_path"),
+        "find_symbols": lambda s, d: S.find_symbols(A.symbols(s, d), "OfPart$|^mr"),
+        "find_methods": lambda s, d: S.find_methods(A.call_edges(s, d), "P[0-9]*1\\.mO$"),
+        "call_filter": lambda s, d: S.call_filter(A.call_edges(s, d), "callee", _kinds(s, d).select("class"), False, _kinds(s, d).select("class", F.when(F.col("kind") == "INTERFACE", "test").otherwise("prod").alias("source_set")), "prod"),
+        "annotation_tags": lambda s, d: R.annotation_tags(A.declared_methods(s, d), A.notes(s, d)).select("class", "method", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["annotation"], t["framework"])), ",").alias("tags")),
+        "entry_points": lambda s, d: A.notes(s, d).select("class", "method", R.framework_of(F.col("annotation")).alias("framework"), R.is_modifier(F.col("annotation")).alias("modifier"), R.is_entry_point(F.col("annotation"), ["jaxrs", "QUARKUS"]).alias("entry")),
+        "dispatched": lambda s, d: V.dispatched(A.call_edges(s, d), A.supertypes(s, d)),
         "callers": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("callee_class")).rlike("^P[0-9]$")).select("callee_class", "callee_method", "caller_class", "caller_method"),
         "callees": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("caller_class")).rlike("^P[0-9]$")).select("caller_class", "caller_method", "callee_class", "callee_method"),
         "usages": _usages,
         "implementors": lambda s, d: V.implementors(A.supertypes(s, d), "brand#?[12]|P[1-9]"),
-        "hierarchy": lambda s, d: V.hierarchy(A.supertypes(s, d), Scratch(s, "hierarchy")),
+        "hierarchy": lambda s, d: V.hierarchy(A.supertype_index(s, d).filter("supertype is not null").select("supertype", F.col("class").alias("implementor")), Scratch(s, "hierarchy")),
+        "type_tree": lambda s, d: V.type_tree(A.supertype_index(s, d), Scratch(s, "types")),
+        "type_tree_project": lambda s, d: V.type_tree(A.supertype_index(s, d), Scratch(s, "types"), "p[0-9]*5$", True),
         "dead_code": lambda s, d: _dead(s, d, "dead"),
+        "dead_services": _services,
+        "dead_services_prod": _service_filters,
         "metrics": _metrics,
         "changed_since": _changed,
         "call_tree": lambda s, d: V.call_tree(A.declared_methods(s, d), A.call_edges(s, d), Scratch(s, "tree")),
@@ -102,21 +161,48 @@ def oracle_sql() -> dict[str, str]:
     vol = f"hs as ({spots}), vo as (select pkg package, cast(sum(revisions) as bigint) revisions, cast(sum(churn) as bigint) churn, count(*) files, sum(revisions) / count(*) avg_revs from hs join cl on path = 'part/' || p_partkey group by 1)"
     dist = "len(string_split(src, '.')) + len(string_split(tgt, '.')) - 2 * (case when src = tgt then 3 when split_part(src, '.', 2) = split_part(tgt, '.', 2) then 2 else 1 end)"
     first = "case when regexp_matches({0}, '^P1.*$|^P2.*$') then 0 when regexp_matches({0}, '^P3.*$|^.*7$') then 1 else 2 end"
+    index = f"{_CLASSES}, fi as (select pkg, pkg2, arg_min(class, p_partkey) i, min(p_partkey) k from cl where kind = 'INTERFACE' group by 1, 2), tp as (select pkg2, arg_min(i, k) top from fi group by 1), ix as (select class from cl), up as (select cl.class, i supertype from cl join fi using (pkg) where kind = 'CONCRETE' union select i, top from fi join tp using (pkg2) where i <> top union select top, 'java.lang.' || upper(pkg2[5]) || pkg2[6:] from tp)"
+    above = "re as (select class root, class, 0 \"depth\" from ix union all select re.root, up.supertype, \"depth\" + 1 from re join up on up.class = re.class)"
+    services = "with recursive sc as (select 'app.client.C' || c_custkey class, case c_mktsegment when 'BUILDING' then 'org.springframework.stereotype.Service' when 'MACHINERY' then 'org.springframework.transaction.annotation.Transactional' end note from customer union all select 'app.store.S' || s_suppkey, case when s_acctbal < 0 then 'org.springframework.cache.annotation.Cacheable' end from supplier), ca as (select distinct 'app.store.S' || l_suppkey class, 'sell' || l_returnflag \"method\" from lineitem join orders on l_orderkey = o_orderkey union select 'app.client.C' || c_custkey, 'take' from customer join supplier on c_custkey = s_suppkey), me as (select * from ca union select class, 'count' from ca where \"method\" = 'sellA'), al as (select distinct class from ca), te as (select distinct 'app.client.C' || user_id class from events), de as (select 'CLASS' kind, class, cast(null as varchar) \"method\", note from sc where class not in (select class from al) union all select 'METHOD', class, m, note from sc, unnest(['buy', 'take', 'count', 'send', 'sellA', 'sellN', 'sellR', 'sellX', 'getStock']) u(m) where class in (select class from al) and (class, m) not in (select (class, \"method\") from me) and not (m = 'getStock' and class like 'app.store.%')), ds as (select kind, class, \"method\", case when class in (select class from te) and (kind = 'CLASS' or \"method\" = 'buy') then 'TEST_ONLY' else 'NO_REFERENCES' end reason, case when note like '%Transactional' or note like '%Cacheable' or (note is not null and kind = 'CLASS') or (kind = 'METHOD' and class like 'app.store.S%7') then 'LOW' when class in (select class from te) and (kind = 'CLASS' or \"method\" = 'buy') then 'MEDIUM' else 'HIGH' end confidence from de)"
+    log = "lo as (select 'h' || o_orderkey hash, cast(o_orderdate as date) date, 'Ann ' || o_custkey author, case when l_returnflag = 'R' then 'src/new/' || n when l_returnflag = 'A' then 'src/deep/{b}/' || n when l_linestatus = 'F' then 'lib/' || n else 'src/' || n end path, case when l_tax < 0.02 then 0 else cast(trunc(l_quantity) as int) end added, case when l_tax < 0.02 then 0 else l_linenumber end deleted from (select *, l_partkey || '/' || l_linenumber n from lineitem) join orders on l_orderkey = o_orderkey where l_linenumber <> 1)"
+    root = "p{2} as (select distinct string_split({1}, '.') s from {0}), m{2} as (select min(s) x, max(s) y from p{2}), n{2} as (select x, list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i]), true) pos, least(len(x), len(y)) most from m{2}), o{2} as (select array_to_string(x[1:case when coalesce(pos, 0) = 0 then most else pos - 1 end], '.') root from n{2})"
     # an implementor's method is reached by dispatch; methods only call across classes here, or within one
     project = "pr as (select class, p_size from cl where kind is not null)"
     reach = "ca as (select distinct callee_class class, callee_method method from e where caller_class <> callee_class and callee_class in (select class from pr)), re as (select class, method, false via from ca union select n.class, n.method, n.via from (select re.class, e.callee_method method, re.via from re join e on e.caller_class = re.class and e.callee_class = re.class and e.caller_method = re.method union all select su.implementor, re.method, true from re join su on su.supertype = re.class where su.implementor in (select class from pr)) n), ou as (select class from ca union select class from re where via), al as (select class from ou union select supertype from su where implementor in (select class from ou) and supertype in (select class from pr))"
     listed = "de as (select 'CLASS' kind, class, cast(null as varchar) \"method\" from pr where class not in (select class from al) union all select 'METHOD', class, m from pr, unnest(['mA', 'mF', 'mN', 'mO', 'mR']) u(m) where class in (select class from al) and (class, m) not in (select (class, method) from re)), te as (select distinct callee_class class from e where caller_method = 'mR')"
     dead = f"with recursive {_EDGES}, {_SUPERS}, {project}, {reach}, {listed}"
-    return {
+    out = {
         "callees": f"with {_EDGES} select caller_class, caller_method, callee_class, callee_method from e where regexp_matches(caller_class, '[.]P[0-9]$')",
         "usages": f"with {_EDGES} select src_pkg file, count(*) sites from e where regexp_matches(callee_class, '[.]p1[0-9]*$', 'i') and callee_method = 'mO' group by 1",
         "implementors": f"with {_CLASSES}, {_SUPERS} select supertype, string_agg(implementor, ',' order by implementor) implementors from su where regexp_matches(supertype, 'brand#?[12]|P[1-9]', 'i') group by 1",
-        "hierarchy": f"with {_CLASSES}, {_SUPERS} select implementor class, supertype ancestor, 1 \"depth\" from su",
+        "hierarchy": f"with recursive {index}, {above} select root class, class ancestor, cast(min(\"depth\") as int) \"depth\" from re where \"depth\" > 0 group by 1, 2",
+        # no class has two supertypes here, so a tree is a chain
+        "type_tree": f"with recursive {index}, {above} select root, cast(\"depth\" as int) seq, cast(\"depth\" - 1 as int) parent, cast(\"depth\" as int) \"depth\", class, case when \"depth\" = 0 then 'ROOT' else 'INTERFACE' end kind from re",
+        "type_tree_project": f"with recursive {index}, {above} select root, cast(\"depth\" as int) seq, cast(\"depth\" - 1 as int) parent, cast(\"depth\" as int) \"depth\", class, case when \"depth\" = 0 then 'ROOT' else 'INTERFACE' end kind from re where regexp_matches(root, 'p[0-9]*5$', 'i') and class in (select class from ix)",
+        "dead_services": f"{services} select * from ds",
+        "dead_services_prod": f"{services} select kind, class, method, reason, confidence from ds where class like '%client%' and reason = 'NO_REFERENCES' and class not in (select class from sc where note = 'org.springframework.stereotype.Service')",
+        "sizes_marked": "with f as (select doc_id file, len(string_split(text, chr(10))) lines from documents), m as (select list_sort(list(lines))[count(*) // 2 + 1] median, count(*) k from f) select file, lines, k >= 3 and median > 0 and lines >= 3 * median large from f, m",
+        "coupling_marked": f"with {_CHANGES}, f as (select distinct commit_seq, case when added > 25 then 'src/main/' else 'src/test/' end || path path from ch), u as (select * from f where commit_seq in (select commit_seq from f group by 1 having count(*) <= 30)), r as (select path, count(*) revs from u group by 1), p as (select a.path entity, b.path coupled, count(*) shared from u a join u b using (commit_seq) where a.path < b.path group by 1, 2 having count(*) >= 2), x as (select entity, coupled, shared * 100 // ((x.revs + y.revs) // 2) degree, shared, (x.revs + y.revs) // 2 avg_revs from p join r x on entity = x.path join r y on coupled = y.path where shared * 100 // ((x.revs + y.revs) // 2) >= 5) select *, degree >= 12 and substr(entity, 1, 9) = substr(coupled, 1, 9) strong from x",
+        "file_packages": f"with {_CLASSES} select class, case when p_size < 48 then pkg end package from cl",
+        "git_log": f"with {log} select * from lo",
+        "git_log_hotspots": f"with {log} select path, count(*) revisions, cast(sum(added + deleted) as bigint) churn from lo group by 1",
+        "package_dependents": f"with {_DEPS} select distinct tgt_pkg package, src_pkg used_by from d",
+        "find_packages": f"with {_DEPS}, p as (select src_pkg package from d union select tgt_pkg from d) select package from p where regexp_matches(package, 'brand#?1[0-9]*$', 'i')",
+        "about_package": f"with {_DEPS} select src_pkg src, tgt_pkg tgt, count(*) refs from d where src_pkg like 'com.p%' or tgt_pkg like 'com.p%' group by 1, 2",
+        "cycle_edges": f"with recursive {_DEPS}, t as (select s2 src, t2 tgt from d where s2 <> t2 group by 1, 2 having count(*) > 1), r as (select src, tgt from t union select r.src, t.tgt from r join t on r.tgt = t.src), b as (select x.src, x.tgt from r x join r y on x.src = y.tgt and x.tgt = y.src where x.src <> x.tgt), lo as (select least(min(tgt), src) component, src node from b group by src) select x.component, d.s2 src, d.t2 tgt, src_class, tgt_class from d join lo x on x.node = d.s2 join lo y on y.node = d.t2 and y.component = x.component where d.s2 <> d.t2",
+        "unassigned": f"with {_DEPS}, c as (select src_class class from d union select tgt_class from d) select class from c where not regexp_matches(split_part(class, '.', 4), '^P1|5|9$')",
+        "complexity_by_class": f"with {_EDGES}, l as (select distinct case when caller_method = 'mR' then caller_class || '$run$1$2' else caller_class end a, caller_method, case when callee_method = 'mO' then callee_class || '$4' else callee_class end b, callee_method from e), x as (select a class, 'out' side, b other from l where a <> b union all select b, 'in', a from l where a <> b) select class, side, split_part(other, '$', 1) other, count(*) calls from x where regexp_matches(class, '[.]P[0-9]*3$') and class not like '%$%' group by 1, 2, 3",
+        "find_symbols": f"with {_CLASSES}, sy as (select pkg package, class, 'm' || unnest(['A', 'F', 'N', 'O', 'R']) symbol, 'METHOD' kind from cl union all select pkg, class, 'valueOfPart', 'FIELD' from cl where kind is null) select * from sy where regexp_matches(symbol, 'OfPart$|^mr', 'i')",
+        "find_methods": f"with {_EDGES}, m as (select caller_class class, caller_method \"method\" from e union select callee_class, callee_method from e) select * from m where regexp_matches(class || '.' || \"method\", 'P[0-9]*1\\.mO$')",
+        "call_filter": f"with {_EDGES} select caller_class, caller_method, callee_class, callee_method from e where kind is not null and kind <> 'INTERFACE'",
+        "annotation_tags": f"with {_CLASSES}, t as (select class, 'm' || unnest(['A', 'F', 'N', 'O', 'R']) \"method\", p_size from cl) select class, \"method\", case when \"method\" = 'mA' and p_size >= 35 then 'jakarta.ws.rs.GET:jaxrs' when p_size < 10 then 'jakarta.persistence.Entity:jpa' when p_size < 20 then 'org.springframework.stereotype.Service:spring' when p_size < 30 then 'org.springframework.transaction.annotation.Transactional:spring' when p_size < 40 then 'com.acme.Own' end tags from t",
+        "entry_points": f"with {_CLASSES} select class, null \"method\", case when p_size < 10 then 'jpa' when p_size < 30 then 'spring' end framework, p_size >= 20 and p_size < 30 modifier, p_size < 20 entry from cl where p_size < 40 union all select class, 'mA', 'jaxrs', false, false from cl where p_size >= 35",
+        "dispatched": f"with {_EDGES}, {_SUPERS} select caller_class, caller_method, callee_class, callee_method from e union select caller_class, caller_method, implementor, callee_method from e join su on callee_class = supertype",
         "dead_code": f"{dead} select kind, class, method, case when class in (select class from te) and (kind = 'CLASS' or method = 'mR') then 'TEST_ONLY' else 'NO_REFERENCES' end reason, case when kind = 'CLASS' and class in (select class from pr where p_size >= 30) then 'LOW' when class in (select class from te) and (kind = 'CLASS' or method = 'mR') then 'MEDIUM' else 'HIGH' end confidence from de",
         "metrics": f"{dead}, {_TRADE.replace('t as', 'tg as')}, r as (select src, tgt from tg union select r.src, tg.tgt from r join tg on r.tgt = tg.src), b as (select x.src, x.tgt from r x join r y on x.src = y.tgt and x.tgt = y.src where x.src <> x.tgt), cy as (select least(min(tgt), src) component from b group by src), cc as (select distinct caller_class, callee_class from e where caller_class <> callee_class) select (select count(distinct class) from cl) classes, (select count(distinct pkg) from cl) packages, count(*) calls, round(count(*) / count(distinct caller_class), 6) mean_out, round(count(*) / count(distinct callee_class), 6) mean_in, (select count(*) from de where kind = 'CLASS') dead_classes, (select count(*) from de where kind = 'METHOD') dead_methods, (select count(distinct component) from cy) cycles from cc",
         "changed_since": f"with {_CHANGES}, {_EDGES}, x as (select distinct class from ch join cl on path = 'part/' || p_partkey where date > '2001-06-01') select x.class, count(distinct caller_class) filter (caller_class <> x.class) callers from x left join e on e.callee_class = x.class group by 1",
         "hotspots": f"with {_CHANGES} {spots} order by revisions desc, path limit 50",
-        "hotspots_marked": f"with {_CHANGES}, h as ({spots}) select path, revisions, churn, (select count(*) from h) >= 5 and revisions >= 2 * (select list_sort(list(revisions))[count(*) // 2 + 1] from h) hot from h",
+        "hotspots_marked": f"with ch as (select 'price/' || cast(floor(l_extendedprice / 500) as bigint) path, cast(l_quantity as int) added, l_linenumber deleted from lineitem), h as ({spots}) select path, revisions, churn, (select count(*) from h) >= 5 and revisions >= 2 * (select list_sort(list(revisions))[count(*) // 2 + 1] from h) hot from h",
         "churn": f"with {_CHANGES} select path, cast(sum(added) as bigint) added, cast(sum(deleted) as bigint) deleted, count(*) commits, cast(sum(added) - sum(deleted) as bigint) net from ch group by 1 order by sum(added) + sum(deleted) desc, path limit 50",
         "code_age": f"with {_CHANGES}, m as (select path, max(date) last_changed from ch group by 1) select path, last_changed, cast((((2002 * 12 + 1) * 32 + 1) - ((year(last_changed) * 12 + month(last_changed)) * 32 + day(last_changed))) // 32 as bigint) age_months from m",
         "authors": f"with {_CHANGES} select path, count(distinct author) authors, count(*) revisions from ch group by 1 having count(*) >= 20 order by authors desc, path limit 50",
@@ -126,7 +212,7 @@ def oracle_sql() -> dict[str, str]:
         "dsm": f"with {_DEPS} select s2 src, t2 tgt, count(*) refs from d where s2 <> t2 group by 1, 2",
         "dsm_two_cycles": f"with {_DEPS}, c as (select src_pkg src, tgt_pkg tgt, count(*) refs from d group by 1, 2) select a.src, a.tgt, a.refs, b.refs back_refs from c a join c b on a.src = b.tgt and a.tgt = b.src where a.src < a.tgt",
         "distance": f"with {_DEPS}, c as (select src_pkg src, tgt_pkg tgt, count(*) refs from d group by 1, 2) select src, tgt, {dist} distance, refs dependencies from c",
-        "root_package": "select 'com' root",
+        "root_package": f"with {_CLASSES}, {root.format('cl', 'pkg', '1')}, {root.format('customer', chr(39) + 'app.client' + chr(39), '2')} select root from o1 union all select root from o2",
         "strength": f"with {_DEPS}, {_STRENGTH} select * from st",
         "balance": f"with {_CHANGES}, {_DEPS}, {_STRENGTH}, {vol}, m as (select quantile_disc(revisions, 0.5) median from vo), x as (select src, tgt, \"level\", {dist} distance, coalesce(a.revisions, 0) src_revs, coalesce(b.revisions, 0) tgt_revs, median from st left join vo a on a.package = src left join vo b on b.package = tgt, m) select src, tgt, \"level\", distance, src_revs, tgt_revs, case when (\"level\" >= 3) <> (distance >= 3) then 'BALANCED' when \"level\" < 3 then 'OVER_ENGINEERED' when median > 0 and greatest(src_revs, tgt_revs) >= median then 'DANGER' else 'TOLERABLE' end verdict from x",
         "layer_check": f"with {_DEPS}, c as (select distinct src_class, tgt_class, {first.format('split_part(src_class, chr(46), 4)')} s, {first.format('split_part(tgt_class, chr(46), 4)')} t from d), p as (select src_class, count(*) m from c where s = t group by 1), v as (select 'OUTWARD' \"type\", src_class, tgt_class, s, t from c where t < s union all select 'PEER', src_class, tgt_class, s, t from c join p using (src_class) where s = t and ((s = 0 and m > 3) or (s = 2 and m > 6))) select \"type\", src_class, tgt_class, ['http', 'service', 'domain'][s + 1] src_layer, ['http', 'service', 'domain'][t + 1] tgt_layer from v",
@@ -134,7 +220,9 @@ def oracle_sql() -> dict[str, str]:
         "pagerank": f"with recursive {_EDGES}, g as (select distinct caller_class src, callee_class tgt from e where caller_class <> callee_class), n as (select src node from g union select tgt from g), k as (select count(*) n from n), o as (select src, count(*) degree from g group by 1), h as (select g.src, g.tgt, degree from g join o using (src)), p as (select 0 i, node, cast(1.0 as double) / n rank from n, k union all select p.i + 1, n.node, cast(0.15 as double) / max(k.n) + cast(0.85 as double) * coalesce(sum(case when h.src = p.node then p.rank / h.degree end), 0) from p join h on h.src = p.node right join n on n.node = h.tgt, k where p.i < 20 group by 1, 2) select node, round(rank, 9) rank from p where i = 20",
         "complexity": f"with {_EDGES}, x as (select distinct caller_class, caller_method, callee_class, callee_method from e where caller_class <> callee_class), o as (select caller_class class, count(*) fan_out, count(distinct callee_class) classes_out from x group by 1), i as (select callee_class class, count(*) fan_in, count(distinct caller_class) classes_in from x group by 1) select class, coalesce(fan_out, 0) fan_out, coalesce(classes_out, 0) classes_out, coalesce(fan_in, 0) fan_in, coalesce(classes_in, 0) classes_in from o full join i using (class)",
         "live": f"with recursive {_TRADE}, r as (select min(n_nationkey) node from nation union select t.tgt from r join t on t.src = r.node) select node from r",
-        "find_classes": f"with {_CLASSES} select class from cl where regexp_matches(class, 'P1.*7$')",
+        "find_classes": f"with {_CLASSES}, x as (select class, replace(pkg, '.', '/') || '/P' || p_partkey || '.kt' source_path, p_partkey, p_size from cl) select class, source_path from x where p_size < 48 and (regexp_matches(class, 'P1.*7$', 'i') or regexp_matches(source_path, 'P1.*7$', 'i'))",
         "callers": f"with {_EDGES} select distinct callee_class, callee_method, caller_class, caller_method from e where regexp_matches(callee_class, '[.]P[0-9]$')",
         "size": "select doc_id file, len(string_split(text, chr(10))) lines from documents where len(string_split(text, chr(10))) > 10 order by lines desc, file limit 50",
     }
+    out["complexity_collapsed"] = out["complexity"]
+    return out

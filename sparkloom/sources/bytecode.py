@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -42,12 +43,21 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
+#: What a damaged or encrypted archive or entry raises.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, ValueError)
+
+
 def _entries(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
     """Class files of a JAR, each as path!/entry."""
     with zipfile.ZipFile(io.BytesIO(data)) as jar:
         for entry in jar.infolist():
             if entry.filename.endswith(".class"):
-                yield f"{path}!/{entry.filename}", jar.read(entry)
+                name = f"{path}!/{entry.filename}"
+                try:
+                    content = jar.read(entry)
+                except UNREADABLE as e:  # the other entries of the JAR are still read
+                    content = e
+                yield name, content
 
 
 def _parse(jars: bool, rows: int = 20_000):
@@ -57,11 +67,11 @@ def _parse(jars: bool, rows: int = 20_000):
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     for name, content in _entries(path, data.as_py()) if jars else [(path, data.as_py())]:
-                        held += _rows(content, name)
+                        held += [{"record": "error", "path": name, "value": f"{type(content).__name__}: {content}"}] if isinstance(content, Exception) else _rows(content, name)
                         if len(held) >= rows:
                             yield _batch(held)
                             held = []
-                except zipfile.BadZipFile as e:
+                except UNREADABLE as e:
                     held.append({"record": "error", "path": path, "value": str(e)})
         if held:
             yield _batch(held)

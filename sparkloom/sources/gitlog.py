@@ -29,9 +29,10 @@ def run_git_diff(directory: str, ref: str) -> list[str]:
 
 def resolve_rename(c):
     """`pre{old => new}suf` and `old => new` give the new path."""
-    brace = r"^(.*)\{(.*) => (.*)\}(.*)$"
+    #: fixed value: the form of a rename inside a path
+    brace = r"^(.*?)\{([^}]*) => ([^}]*)\}(.*)$"
     parts = F.array(*(F.regexp_replace(F.regexp_extract(c, brace, i), "^/+|/+$", "") for i in (1, 3, 4)))
-    return F.when(c.rlike(brace), F.array_join(F.filter(parts, lambda x: x != ""), "/")).when(c.contains(" => "), F.regexp_extract(c, r"^.* => (.*)$", 1)).otherwise(c)
+    return F.when(c.rlike(brace), F.array_join(F.filter(parts, lambda x: x != ""), "/")).when(c.rlike("^.+ => .+$"), F.regexp_extract(c, r"^.+ => (.+)$", 1)).otherwise(c)
 
 
 def parse(logs: DataFrame, log: str = "log") -> DataFrame:
@@ -42,15 +43,16 @@ def parse(logs: DataFrame, log: str = "log") -> DataFrame:
     A log is one string, so its lines are numbered inside the row; headers split it into commits
     by a higher-order fold, without a global window.
     """
+    #: fixed value: the form of a commit's first line
     header = r"^--([^-]+)--(\d{4}-\d{2}-\d{2})--(.+)$"
     # commits begin at header lines: cut the text there, then each part is one commit
     parts = F.split(F.concat(F.lit("\n"), F.col(log)), r"\n(?=--[^-\n]+--\d{4}-\d{2}-\d{2}--[^\n])")
-    commits = logs.select(F.posexplode(parts).alias("commit_seq", "part")).withColumn("lines", F.split("part", "\n"))
+    commits = logs.select(F.posexplode(parts).alias("commit_seq", "part")).withColumn("lines", F.split("part", "\r?\n"))
     head = F.regexp_replace(F.get(F.col("lines"), F.lit(0)), "\r$", "")
     rows = commits.filter(head.rlike(header)).select(
         F.col("commit_seq").cast("long"), F.regexp_extract(head, header, 1).alias("hash"), F.to_date(F.regexp_extract(head, header, 2)).alias("date"), F.regexp_extract(head, header, 3).alias("author"), F.posexplode("lines").alias("pos", "line")
     )
-    f = F.split("line", "\t")
+    f = F.split(F.regexp_replace("line", "\r$", ""), "\t")
     changes = rows.filter((F.col("pos") > 0) & (F.size(f) == 3)).select("commit_seq", "hash", "date", "author", "pos", resolve_rename(F.get(f, F.lit(2))).alias("path"), F.coalesce(F.get(f, F.lit(0)).try_cast("int"), F.lit(0)).alias("added"), F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(0)).alias("deleted"))
     return changes.filter(~_starts(F.col("path"), BUILD_DIRS))
 
@@ -63,4 +65,4 @@ def _starts(c, prefixes):
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse(spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "log"))
+    return parse(spark.read.text(path, wholetext=True).withColumnRenamed("value", "log"))

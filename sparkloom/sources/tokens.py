@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Keywords of both languages.
 KEYWORDS = frozenset(
@@ -64,3 +64,18 @@ def token_table(files: DataFrame) -> DataFrame:
                     yield pd.DataFrame({"file": file, "offset": range(len(found)), "type": kinds, "text": texts, "line": lines})
 
     return files.selectExpr("cast(file as string) file", "text").mapInPandas(run, TOKENS)
+
+
+def read_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(file, text) of the Kotlin and Java files below a folder, named by their path from it."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{kt,java}").load(root)
+    top = F.lit(root.rstrip("/").split("://")[-1].lstrip("/") + "/")
+    path = F.regexp_replace("path", "^[a-z0-9]+:/+", "")
+    return found.select(F.substring(path, F.length(top) + 1, F.length(path)).alias("file"), F.decode("content", "UTF-8").alias("text"))
+
+
+def line_counts(files: DataFrame) -> DataFrame:
+    """(file, lines): lines as an editor counts them, a last line break opening none."""
+    text = F.regexp_replace("text", "\\r\\n?", "\n")
+    lines = F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n", -1))
+    return files.select("file", F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(lines).cast("long").alias("lines"))

@@ -15,10 +15,12 @@ BATCH_ROWS = 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine a temporary folder is set; a cluster must name one.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark, "_loom_shared", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = spark._loom_shared = "file://" + tempfile.mkdtemp(prefix="loom-")
     return path.rstrip("/")
 

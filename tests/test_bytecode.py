@@ -111,3 +111,19 @@ def test_every_class_of_a_jar():
                     assert [r["class"].replace(".", "/") for r in got if r["record"] == "class"] == [name[:-6]]
                     n += 1
     assert n > 50
+
+
+def test_damaged_entry(spark, tmp_path):
+    """One damaged entry is a row of errors; the rest of the JAR, and other JARs, are read."""
+    jar = sorted(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "*.jar")), key=os.path.getsize)
+    good = next(j for j in jar if len([e for e in zipfile.ZipFile(j).namelist() if e.endswith(".class")]) > 2)
+    bad = tmp_path / "bad.jar"
+    shutil.copy(good, bad)
+    first = next(e for e in zipfile.ZipFile(bad).infolist() if e.filename.endswith(".class") and e.file_size > 200)
+    data = bytearray(bad.read_bytes())
+    at = first.header_offset + 30 + len(first.filename)
+    data[at + 20 : at + 60] = b"\xff" * 40
+    bad.write_bytes(data)
+    (tmp_path / "no.jar").write_bytes(b"nothing")
+    facts = B.read_jars(spark, [str(tmp_path)])
+    assert len({r.path for r in B.errors(facts).collect()}) == 2 and B.classes(facts).count() >= 1

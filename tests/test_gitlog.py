@@ -1,3 +1,8 @@
+import subprocess
+
+import pytest
+from pyspark.sql import functions as F
+
 from sparkloom.sources import gitlog as G
 
 LOG = """junk before
@@ -23,3 +28,40 @@ def test_parse(spark):
     rows = G.parse(spark.createDataFrame([(LOG,), ("",)], "log string")).orderBy("commit_seq", "pos").collect()
     assert {r.hash for r in rows} == {"a1"} and {r.author for r in rows} == {"Ann Lee"} and {str(r.date) for r in rows} == {"2024-01-02"}
     assert [(r.path, r.added, r.deleted) for r in rows] == [("src/a.kt", 3, 1), ("img.png", 0, 0), ("new.kt", 0, 0), ("mod/y/f.kt", 1, 1), ("mod/z/f.kt", 1, 1), ("mod/f.kt", 1, 1), ("build-tools/t.kt", 2, 2), ("module/build/x", 4, 4)]
+
+
+def test_line_ends_and_renames(spark):
+    """Carriage returns are no part of a path; the first brace is the rename's, and only up to its closing one."""
+    crlf = spark.createDataFrame([(LOG.replace("\n", "\r\n"),)], "log string")
+    assert [r.path for r in G.parse(crlf).orderBy("pos").collect()][:3] == ["src/a.kt", "img.png", "new.kt"]
+    cases = {"a/{b => c}/{d}/e": "a/c/{d}/e", "a/{b => c}/d": "a/c/d", "{ => x}/f": "x/f", "{x => }/f": "f", "a => b => c": "c", "a/b.kt": "a/b.kt", "a/{b}/c": "a/{b}/c", " => ": " => ", "a/{b/c => d}.kt": "a/d/.kt"}
+    df = spark.createDataFrame(list(cases.items()), "raw string, want string")
+    assert [(r.raw, r.got) for r in df.select("raw", "want", G.resolve_rename(F.col("raw")).alias("got")).filter("want <> got").collect()] == []
+
+
+def test_odd_logs(spark):
+    logs = ["", "no header", "--h1--2024-01-02--A", "--h1--2024-01-02--A\n\n--h2--2024-01-03--B\n1\t2\tx\n", "--h1--bad--A\n1\t2\tx", "--h3--2024-01-02--A -- B\n1\t2\ty\n1 2 z\n1\t2\n", None]
+    rows = G.parse(spark.createDataFrame([(x,) for x in logs], "log string")).collect()
+    assert sorted((r.hash, r.author, r.path) for r in rows) == [("h2", "B", "x"), ("h3", "A -- B", "y")]
+
+
+def test_run_git(spark, tmp_path):
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=Ann", "-c", "user.email=a@b.c", "-c", "init.defaultBranch=main", *a], cwd=tmp_path, check=True, capture_output=True)
+    git("init")
+    (tmp_path / "a.kt").write_text("one\ntwo\nthree\n" * 9)
+    git("add", ".")
+    git("commit", "-m", "first")
+    git("branch", "base")
+    git("mv", "a.kt", "b.kt")
+    git("commit", "-am", "second")
+    (tmp_path / "c.bin").write_bytes(bytes(range(256)))
+    git("add", ".")
+    git("commit", "-m", "third")
+    path = tmp_path / "log.txt"
+    path.write_text(G.run_git_log(str(tmp_path)))
+    rows = G.read_log(spark, str(path)).orderBy("commit_seq").collect()
+    assert {(r.path, r.added, r.deleted) for r in rows} == {("c.bin", 0, 0), ("b.kt", 0, 0), ("a.kt", 27, 0)} and {r.author for r in rows} == {"Ann"}
+    assert "b.kt" in G.run_git_log(str(tmp_path), follow_renames=False) and G.run_git_log(str(tmp_path), after="2999-01-01").strip() == ""
+    assert sorted(G.run_git_diff(str(tmp_path), "base")) in (["b.kt", "c.bin"], ["a.kt", "b.kt", "c.bin"])
+    with pytest.raises(RuntimeError):
+        G.run_git_diff(str(tmp_path), "nowhere")

@@ -1,11 +1,16 @@
 """Call trees, duplicate runs and the tokenizer on small fixtures; changed files."""
 
 import random
+import re
 
-from sparkloom.operators import duplicates as D, navigation as V
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.functions import names as N
+from sparkloom.operators import duplicates as D, navigation as V, packages as P, presets as R, search as S
 from sparkloom.plans import adapters as A
 from sparkloom.queries import queries
-from sparkloom.sources.tokens import token_table, tokenize
+from sparkloom.sources.tokens import line_counts, read_sources, token_table, tokenize
 from sparkloom.util import Scratch
 
 
@@ -37,6 +42,95 @@ def test_call_tree_query(spark):
     assert got == {f"{c}.{m}": list(walk(c, m, 0, set())) for c, m in A.declared_methods(spark, d).collect()}
 
 
+def test_call_tree_dispatch(spark):
+    """A call of an interface's method reaches implementors, in both directions; the filter keeps children only."""
+    e = spark.createDataFrame([("A", "a", "I", "m"), ("X", "m", "Z", "z"), ("Y", "m", "Z", "z"), ("I", "m", "Q$1", "q")], V.CALL)
+    supers = spark.createDataFrame([("I", "X"), ("I", "Y")], "supertype string, implementor string")
+    tree = lambda c, m, **k: [(r.depth, r["class"]) for r in V.call_tree(spark.createDataFrame([(c, m)], "class string, method string"), e, Scratch(spark, "t"), **k).orderBy("seq").collect()]
+    assert tree("A", "a", supers=supers) == [(0, "A"), (1, "I"), (2, "Q$1"), (1, "X"), (2, "Z"), (1, "Y"), (2, "Z")]
+    assert tree("X", "m", supers=supers, callers=True) == [(0, "X"), (1, "A")]
+    assert tree("X", "m", callers=True) == [(0, "X")]
+    assert tree("A", "a", keep=lambda x: S.call_filter(x, "callee", generated=False)) == [(0, "A"), (1, "I")]
+
+
+def test_type_tree(spark):
+    """The superclass comes first; a type met twice comes once; types outside the project can be left out."""
+    rows = [("C", "B", "CLASS", 0), ("C", "J", "INTERFACE", 0), ("C", "I", "INTERFACE", 1), ("B", "I", "INTERFACE", 0), ("I", "K", "INTERFACE", 0), ("J", None, None, 0), ("L", "M", "CLASS", 0), ("M", "L", "CLASS", 0)]
+    index = spark.createDataFrame(rows, "class string, supertype string, kind string, place int")
+    out = lambda *a: [(r.root, r.seq, r.parent, r.depth, r["class"], r.kind) for r in V.type_tree(index, Scratch(spark, "t"), *a).orderBy("root", "seq").collect()]
+    assert out("^c$") == [("C", 0, -1, 0, "C", "ROOT"), ("C", 1, 0, 1, "B", "CLASS"), ("C", 2, 1, 2, "I", "INTERFACE"), ("C", 3, 2, 3, "K", "INTERFACE"), ("C", 4, 0, 1, "J", "INTERFACE")]
+    assert [x[4] for x in out("^C$", True)] == ["C", "B", "I", "J"]
+    assert [x[4] for x in out("^L$")] == ["L", "M", "L"] and [x[4] for x in out("^J$")] == ["J"] and out("nothing") == []
+
+
+def test_dead_code_confidence(spark):
+    e = spark.createDataFrame([("A", "run", "B", "used"), ("B", "used", "B", "inner")], V.CALL)
+    project = spark.createDataFrame([(c,) for c in ("A", "B", "C", "D", "E$1", "p.package-info")], "class string")
+    declared = spark.createDataFrame([("B", m) for m in ("used", "inner", "idle", "getSize", "setSize", "getOther", "toString", "x$lambda$0")], "class string, method string")
+    none = spark.createDataFrame([], "supertype string, implementor string")
+    notes = spark.createDataFrame([("B", None, "io.smallrye.common.annotation.Blocking"), ("D", None, "com.acme.Own")], "class string, method string, annotation string")
+    fields = spark.createDataFrame([("B", "size")], "class string, field string")
+    rows = V.dead_code(e, project, declared, none, Scratch(spark, "t"), annotated=notes, fields=fields).collect()
+    assert {(r["class"], r.method, r.confidence) for r in rows} == {("A", None, "HIGH"), ("C", None, "HIGH"), ("D", None, "LOW"), ("B", "idle", "LOW"), ("B", "getOther", "LOW")}
+    rows = V.dead_code(e, project, declared, none, Scratch(spark, "t"), external=spark.createDataFrame([("B",), ("C",)], "class string")).collect()
+    assert {(r["class"], r.method): r.confidence for r in rows}[("B", "idle")] == "LOW" and {(r["class"], r.method): r.confidence for r in rows}[("C", None)] == "HIGH"
+
+
+def test_presets(spark):
+    names = {
+        "jakarta.persistence.Entity": ("jpa", True), "org.springframework.stereotype.Service": ("spring", True), "org.springframework.cache.annotation.Cacheable": ("spring", False), "io.quarkus.grpc.GrpcService": ("grpc", True),
+        "io.quarkus.scheduler.Scheduled": ("quarkus", True), "io.quarkus.grpc.RegisterInterceptor": ("grpc", False), "org.eclipse.microprofile.faulttolerance.Retry": ("microprofile", False), "com.acme.X": (None, False), "org.junit.jupiter.api.Test": ("junit", True),
+    }
+    df = spark.createDataFrame([(n,) for n in names], "a string")
+    got = {r.a: (r.f, r.e) for r in df.select("a", R.framework_of(F.col("a")).alias("f"), R.is_entry_point(F.col("a")).alias("e")).collect()}
+    assert got == names
+    entry = lambda *dead: {r.a for r in df.filter(R.is_entry_point(F.col("a"), dead)).collect()}
+    assert entry("ALL") == set()
+    # what another preset holds too stays
+    assert "jakarta.persistence.Entity" in entry("jpa") and "jakarta.persistence.Entity" not in entry("jpa", "Spring", "quarkus") and "org.junit.jupiter.api.Test" not in entry("junit")
+    sup = spark.createDataFrame([("org.springframework.data.jpa.repository.JpaRepository",), ("io.ktor.server.html.Template",), ("com.acme.Repository",)], "a string")
+    assert [r.x for r in sup.select(R.is_entry_supertype(F.col("a")).alias("x")).collect()] == [True, True, False]
+    assert [r.x for r in sup.select(R.is_entry_supertype(F.col("a"), ["spring", "ktor"]).alias("x")).collect()] == [False] * 3
+    rec = spark.createDataFrame([("io.ktor.server.routing.Route",), ("x.Route",)], "a string")
+    assert [r.x for r in rec.select(R.is_entry_receiver(F.col("a")).alias("x")).collect()] == [True, False]
+
+
+def test_layers(spark):
+    layers = P.parse_layers('{"layers": [{"name": "http", "patterns": ["*Controller", "a*b"]}, {"name": "infra", "patterns": ["*Fake*"], "peerLimit": "1", "testInfrastructure": true}, {"name": "domain", "patterns": ["*"], "peerLimit": -1}]}')
+    assert [x["peer_limit"] for x in layers] == [0, 1, -1]
+    for bad in ("[]", "{}", '{"layers": [1]}', '{"layers": [{"name": "a"}]}', '{"layers": [{"name": "a", "patterns": [], "peerLimit": true}]}', '{"layers": [{"name": "a", "patterns": [], "testInfrastructure": 1}]}'):
+        with pytest.raises(ValueError):
+            P.parse_layers(bad)
+    names = {"UserController": 0, "UserControllerTest": 0, "UserControllerTestKt": 2, "a*b": 0, "aXb": 2, "MyFakeStore": 1, "Kt": 2, "Test": 2, "X": 2}
+    df = spark.createDataFrame(list(names.items()), "n string, want int")
+    assert df.withColumn("got", P.layer_of(F.col("n"), layers)).filter("want <> got or got is null").collect() == []
+    assert {r.n: r.c for r in df.select("n", N.candidate_names(F.col("n")).alias("c")).collect()}["UserControllerTestKt"] == ["UserControllerTest", "UserController"]
+    deps = spark.createDataFrame([("p", "q", "p.X", "q.UController"), ("p", "q", "p.AController", "q.BController"), ("p", "q", "p.SomeTest", "q.FakeX"), ("p", "q", "p.Some", "q.FakeX"), ("p", "q", "p.FakeA", "q.FakeB"), ("p", "q", "p.X", "q.Y")], "src_pkg string, tgt_pkg string, src_class string, tgt_class string")
+    got = {(r.type, r.src_class, r.tgt_class) for r in P.layer_check(deps, layers).collect()}
+    assert got == {("OUTWARD", "p.X", "q.UController"), ("PEER", "p.AController", "q.BController"), ("OUTWARD", "p.Some", "q.FakeX")}
+    assert {r["class"] for r in P.unassigned(deps, layers[:1]).collect()} == {"p.X", "p.SomeTest", "q.FakeX", "p.Some", "p.FakeA", "q.FakeB", "q.Y"}
+
+
+def test_collapse_lambda(spark):
+    def loop(x):
+        while (y := re.sub(r"\$\d+$", "", x)) != x:
+            x = re.sub(r"\$[a-z][^$]*$", "", y)
+        return x
+
+    r = random.Random(2)
+    cases = ["".join(r.choice(("A", "$1", "$23", "$run", "$Inner", "$lambda", "$")) for _ in range(r.randint(1, 14))) for _ in range(400)] + ["A" + "$x$1" * 30]
+    df = spark.createDataFrame([(x, loop(x)) for x in cases], "c string, want string")
+    assert df.withColumn("got", N.collapse_lambda(F.col("c"))).filter("want <> got").collect() == []
+
+
+def test_sources(spark, tmp_path):
+    for name, text in {"a/B.kt": "x\ny\n", "C.java": "one", "d.txt": "no", "a/b/E.kt": ""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    files = read_sources(spark, str(tmp_path))
+    assert {r.file: r.lines for r in line_counts(files).collect()} == {"a/B.kt": 2, "C.java": 1, "a/b/E.kt": 0}
+
+
 def test_tokenize():
     assert tokenize('val x = "a\nb" // c\n/* d */ y1 ?: 2.5') == [("KEYWORD", "val", 1), ("IDENTIFIER", "x", 1), ("OPERATOR", "=", 1), ("LITERAL", '"a\nb"', 1), ("IDENTIFIER", "y1", 2), ("OPERATOR", "?:", 2), ("LITERAL", "2.5", 2)]
     assert tokenize("") == []
