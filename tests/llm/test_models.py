@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,3 +216,43 @@ def test_embedding_null_and_repeated_ids(spark):
 def test_embedding_query(spark):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert {x.vec_id: (x.n_links, x.component_id, x.kept) for x in Q.op8_embedding_dedup(spark, SF).collect()} == brute_links(rows)
+
+
+def test_toxicity_brute_force(spark):
+    """Counts, log-count ratios, chosen features and scores against sets of character n-grams."""
+    r = random.Random(12)
+    word = lambda bad: r.choice(["vile", "Rotten", "scum é"] if bad else ["tree", "House", "road ß"]) + str(r.randrange(30))
+    rows = [(i, " ".join(word(i % 3 == 0 and r.random() < 0.6) for _ in range(r.randint(0, 12))), i % 3 == 0) for i in range(150)] + [(200, None, False), (201, "", False), (202, "\t" * 50, True)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(3, rows[3][1])], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs.dropDuplicates(["doc_id"]), labels, Scratch(spark, "t"), features=60)
+    mask = 2**64 - 1
+
+    def buckets(text):
+        chars = [32 if 9 <= ord(c) <= 13 else ord(c) for c in "  " + (text or "").lower() + "  "]
+        out = set()
+        for n in toxicity.ORDERS:
+            for a in range(len(chars) - n + 1):
+                h = chars[a]
+                for c in chars[a + 1 : a + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + c) & mask
+                out.add((((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> (64 - toxicity.BITS))
+        return out
+
+    sets = {i: buckets(t) for i, t, _ in rows}
+    n = {y: sum(x == y for *_, x in rows) for y in (False, True)}
+    count = {y: Counter(b for i, _, x in rows if x == y for b in sets[i]) for y in (False, True)}
+    gain = {}
+    for b in set(count[True]) | set(count[False]):
+        p, q = count[True][b], count[False][b]
+        if p + q >= 4:
+            ratio = math.log((p + 1) / (n[True] + 2)) - math.log((q + 1) / (n[False] + 2))
+            gain[b] = abs(p / n[True] - q / n[False]) * abs(ratio)
+    best = sorted(gain, key=lambda b: (-round(gain[b], 12), b))[:60]
+    assert len(set(best) & set(model.buckets.tolist())) >= 58  # ties at the edge may fall either way
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    got = {x.doc_id: x.score for x in toxicity.score_documents(docs, model).collect()}
+    for i, *_ in rows:
+        assert abs(got[i] - 1 / (1 + math.exp(-model.bias - sum(weight.get(b, 0.0) for b in sets[i])))) < 1e-9
+    # the slope is positive, so ratios say which way a feature counts for most features
+    assert toxicity.score_documents(docs, model).count() == len(rows) + 1

@@ -87,3 +87,35 @@ def test_near_duplicates_null_and_repeated_ids(spark):
 def test_run(spark):
     out = C.run(spark, SF)
     assert out.count() and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, body string, doc long, c0 string, spans string, key int"
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and clashing column names: each stage has a defined result."""
+    r = random.Random(3)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c = text(60), text(60), text(40_000)
+    rows = [(1, a), (1, a), (2, a), (None, b), (None, b), (None, None), (3, None), (4, ""), (None, ""), (5, c), (6, c[:-6] + "zzzzzz"), (7, "call 555-123-4567 é"), (8, "\u00e9" * 300), (9, " \n\t ")]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "x", 5, None, "y", 1) for i, t in rows], ODD).repartition(3)
+    empty = docs.limit(0)
+    for name, stage in C.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = [tuple(x) for x in out.collect()]
+        assert stage(spark, empty, SF).collect() == [], name
+        texts = sorted((x[0] is not None, x[0] or 0, x[1] or "") for x in got)
+        assert all(x[3] == "s" and x[5:] == ("x", 5, None, "y", 1) for x in got), name
+        if name == "toxicity":
+            assert len(got) <= len(rows)
+        elif name == "ngram_jaccard":  # one row of each group, and every row without a word
+            assert len(got) == 10 and [x[2] for x in texts].count(a) == 1 and [x[2] for x in texts].count(b) == 1
+        elif name == "suffix_array":  # repeated rows with an id lose alike, rows without one lose what an earlier row holds
+            assert len(got) == len(rows) and sum(len(x[2]) > 50_000 for x in texts) == 1
+            assert [x[2] for x in texts if not x[0]].count(b) == 1
+        else:
+            assert len(got) == len(rows) and (True, 7, "call <phone> é") in texts
+    packed = C.sequences(spark, docs, SF).collect()
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert sum(x.length for x in packed) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows) and C.sequences(spark, empty, SF).collect() == []
