@@ -5,6 +5,16 @@
 3 suffix array: strings of 100 bytes that start earlier go, by whole characters.
 4 personal data: spans are replaced by their kind.
 5 packing: sequences of at most 2048 tokens; a row for each piece.
+
+Every stage takes any table with the columns of documents (more may be there; the first four stages return
+them unchanged) and gives no row for an empty table. A null text counts as an empty one and stays null, but
+in stage 3, which returns it empty. Rows without an id are documents of their own.
+1: repeated rows score alike, so all go or all stay.
+2: of equal rows, with or without ids, one stays; texts without a word are in no group and all stay.
+3: ids say what starts earlier, null ids first and equal ids by a hash of the text; a repeated row with an
+   id loses what its first copy loses, one without an id loses all that the first copy keeps.
+4: a text without spans is unchanged.
+5: a row without text gives a piece with the end id alone; repeated rows are packed each by itself.
 """
 
 from __future__ import annotations

@@ -67,7 +67,7 @@ def token_table(files: DataFrame) -> DataFrame:
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
-    """(file, text) of the Kotlin and Java files below a folder, named by their path from it."""
+    """(file, text) of the Kotlin and Java files below a folder, named by their path from it; Spark reads no empty file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{kt,java}").load(root)
     top = F.lit(root.rstrip("/").split("://")[-1].lstrip("/") + "/")
     path = F.regexp_replace("path", "^[a-z0-9]+:/+", "")
