@@ -25,7 +25,11 @@ from sparkloom.util import Scratch, with_row_keys
 
 
 class CoverTree:
-    """Nested nets of halving radii; every node knows its exact covering radius."""
+    """Nested nets of halving radii; every node knows its exact covering radius.
+
+    Balls of at most `floor` are leaves: below the distance of the threshold bounds part next to no pairs,
+    and a leaf's rows are compared by one matrix product.
+    """
 
     def __init__(self, x: np.ndarray, floor: float = 0.02):
         self.x = x
@@ -117,19 +121,21 @@ def dual(a: CoverTree, b: CoverTree | None, cosine: float, emit, emit_all) -> No
                 emit(i[s : s + 512][u], j[v])
 
 
-def unit(batch_vectors: pa.Array) -> tuple[np.ndarray, list]:
-    """(usable rows, unit vectors in double precision)."""
-    good, out = [], []
-    for i, v in enumerate(batch_vectors):
-        v = v.as_py()
-        if not v or any(y is None for y in v):
-            continue
-        x = np.array(v, float)
-        norm = np.sqrt(x @ x) if np.isfinite(x).all() else 0.0
-        if 0 < norm < np.inf:
-            good.append(i)
-            out.append(x / norm)
-    return np.array(good, np.int64), out
+def unit(vectors: pa.ListArray) -> tuple[np.ndarray, list]:
+    """(usable rows, unit vectors in double precision), one matrix for each length of a batch."""
+    flat = vectors.values.to_numpy(zero_copy_only=False)  # a null component reads as NaN
+    offsets, there = vectors.offsets.to_numpy().astype(np.int64), vectors.is_valid().to_numpy(zero_copy_only=False)
+    length = np.where(there, np.diff(offsets), 0)
+    rows, out = [], []
+    for n in np.unique(length[length > 0]).tolist():
+        at = np.flatnonzero(length == n)
+        x = flat[offsets[at][:, None] + np.arange(n)].astype(float)
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((x * x).sum(1))
+        good = np.isfinite(x).all(1) & (norm > 0) & (norm < np.inf)
+        rows.append(at[good])
+        out += list(x[good] / norm[good, None])
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64), out
 
 
 def _usable(batches):
@@ -187,16 +193,20 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
     def spread(batches):
         """A row for each task its sub-cell takes part in; a task is a pair of sub-cells."""
         for batch in batches:
-            rows = []
-            for k, (i, home) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                me = (home, (i * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 33, stats[home][1])
-                sub = me[1] % me[2]
-                for other in partners[home]:
-                    for s in range(stats[other][1]):
-                        lo, hi = sorted(((home, sub), (other, s)))
-                        rows.append((*lo, *hi, (home, sub) == hi and lo != hi, k))
-            take = pa.array([r[5] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(4)), pa.array([r[4] for r in rows], pa.bool_()), *(batch.column(c).take(take) for c in (0, 3, 4))], names=["a", "sa", "b", "sb", "second", "id", "x", "w"])
+            homes = batch.column(1).to_numpy()
+            mixed = (batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            for home in np.unique(homes).tolist():
+                at = np.flatnonzero(homes == home)
+                sub = (mixed[at].astype(np.int64) % stats[home][1])[:, None]
+                other = np.concatenate([np.full(stats[o][1], o) for o in partners[home]])
+                part = np.concatenate([np.arange(stats[o][1]) for o in partners[home]])
+                step = max(1, 65536 // len(other))
+                for k in range(0, len(at), step):
+                    me = sub[k : k + step]
+                    ahead = (home < other) | ((home == other) & (me <= part))
+                    ends = (np.where(ahead, home, other), np.where(ahead, me, part), np.where(ahead, other, home), np.where(ahead, part, me))
+                    take = pa.array(np.repeat(at[k : k + step], len(other)))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.ravel()) for c in ends), pa.array(~ahead.ravel()), *(batch.column(c).take(take) for c in (0, 3, 4))], names=["a", "sa", "b", "sb", "second", "id", "x", "w"])
 
     keys = ["a", "sa", "b", "sb"]
     tasks = dealt.mapInArrow(spread, "a long, sa long, b long, sb long, second boolean, id long, x binary, w long").repartition(n_parts, *keys).sortWithinPartitions(*keys, "id")
@@ -254,9 +264,9 @@ def near_pairs(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, cell:
                 unite(int(j[0]) + shift, i)
 
             if inner and len(sides[0]) > 1:
-                dual(CoverTree(xs[0]), None, cosine, emit, emit_all)
+                dual(CoverTree(xs[0], reach), None, cosine, emit, emit_all)
             elif not inner and len(sides[0]) and len(sides[1]):
-                dual(CoverTree(xs[0]), CoverTree(xs[1]), cosine, emit, emit_all)
+                dual(CoverTree(xs[0], reach), CoverTree(xs[1], reach), cosine, emit, emit_all)
             every, count = np.concatenate(ids), np.concatenate(links)
             hit = np.flatnonzero(count)
             a = [*every[hit].tolist(), *(int(every[p]) for p, _ in span)]
