@@ -1,7 +1,9 @@
-"""Graph kernels: closure, strongly connected components, PageRank, degrees, liveness."""
+"""Graph kernels: strongly connected components, PageRank, degrees, liveness."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from sparkloom.functions import names as N
@@ -9,24 +11,68 @@ from sparkloom.operators.components import components
 from sparkloom.util import Scratch
 
 
-def closure(edges: DataFrame, scratch: Scratch, most: int = 10_000) -> DataFrame:
-    """(src, tgt) pairs joined by a path, semi-naive: only new pairs are extended."""
-    edges = scratch.keep(edges.select("src", "tgt").distinct())
-    known = new = edges
-    for _ in range(most):
-        step = new.join(edges.select(F.col("src").alias("tgt"), F.col("tgt").alias("next")), "tgt").select("src", F.col("next").alias("tgt")).distinct()
-        new = scratch.keep(step.join(known, ["src", "tgt"], "left_anti"))
-        if new.isEmpty():
+def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int = 10_000) -> DataFrame:
+    """All rows reached from start by step, each round from the new rows only.
+
+    Only new rows are written; the parts of 32 rounds become one table, so plans stay short.
+    """
+    keys = start.columns
+    known = frontier = scratch.keep(start.distinct())
+    for i in range(1, most):
+        frontier = scratch.keep(step(frontier).select(keys).distinct().join(known, keys, "left_anti"))
+        if frontier.isEmpty():
             return known
-        known = scratch.keep(known.union(new))
-    raise RuntimeError("closure did not end")
+        known = known.union(frontier)
+        if i % 32 == 0:
+            known = scratch.keep(known)
+    raise RuntimeError("fixpoint did not end")
+
+
+def _trimmed(e: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (src, tgt) less those that no cycle can hold: with nothing into src, or nothing out of tgt."""
+    n = e.count()
+    while n:
+        ends = lambda c, name: e.select(F.col(c).alias(name)).distinct()  # noqa: B023, E731
+        less = scratch.keep(e.join(ends("tgt", "src"), "src", "left_semi").join(ends("src", "tgt"), "tgt", "left_semi").select("src", "tgt"))
+        scratch.drop(e)
+        e, before, n = less, n, less.count()
+        if n == before:
+            break
+    return e
+
+
+def _least_above(e: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, color, moved): the least node from which a path leads to the node, itself included."""
+    color = scratch.keep(e.select(F.col("src").alias("node")).union(e.select("tgt")).distinct().select("node", F.col("node").alias("color"), F.lit(True).alias("moved")))
+    while not color.filter("moved").isEmpty():
+        said = color.filter("moved").select(F.col("node").alias("src"), "color").join(e, "src").groupBy(F.col("tgt").alias("node")).agg(F.min("color").alias("said"))
+        lower = F.coalesce(F.col("said") < F.col("color"), F.lit(False))
+        new = scratch.keep(color.join(said, "node", "left").select("node", F.when(lower, F.col("said")).otherwise(F.col("color")).alias("color"), lower.alias("moved")))
+        scratch.drop(color)
+        color = new
+    return color.drop("moved")
 
 
 def cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(component, node) of strongly connected components with two nodes or more, named by their least node."""
-    reach = closure(edges.filter("src <> tgt"), scratch)
-    both = reach.join(reach.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")), ["src", "tgt"]).filter("src <> tgt")
-    return both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("tgt"), F.col("node")).alias("component")).select("component", "node")
+    """(component, node) of strongly connected components with two nodes or more, named by their least node.
+
+    By colouring: each node takes the least node that reaches it, and a colour's component is what reaches
+    its least node without leaving the colour. What is found, and edges between colours, go; the rest is
+    coloured again. Tables grow with the nodes and edges, not with the pairs that reach each other.
+    """
+    e = scratch.keep(edges.select("src", "tgt").filter("src <> tgt").distinct())
+    found = e.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
+    while not (e := _trimmed(e, scratch)).isEmpty():
+        color = _least_above(e, scratch)
+        a, b = color.select(F.col("node").alias("src"), "color"), color.select(F.col("node").alias("tgt"), F.col("color").alias("other"))
+        inner = scratch.keep(e.join(a, "src").join(b, "tgt").filter("color = other").select("src", "tgt", "color"))
+        back = inner.select(F.col("tgt").alias("node"), "color", F.col("src").alias("next"))
+        own = fixpoint(color.filter("node = color"), lambda now: now.join(back, ["node", "color"]).select(F.col("next").alias("node"), "color"), scratch)  # noqa: B023
+        large = own.groupBy("color").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("color")
+        found = found.union(scratch.keep(own.join(large, "color").select(F.col("color").alias("component"), "node")))
+        gone = lambda c: own.select(F.col("node").alias(c))  # noqa: B023, E731
+        e = scratch.keep(inner.select("src", "tgt").join(gone("src"), "src", "left_anti").join(gone("tgt"), "tgt", "left_anti"))
+    return found
 
 
 def pagerank(edges: DataFrame, scratch: Scratch, rounds: int = 20, damping: float = 0.85) -> DataFrame:
@@ -71,16 +117,9 @@ def complexity(edges: DataFrame) -> DataFrame:
 
 
 def live(roots: DataFrame, edges: DataFrame, scratch: Scratch, most: int = 10_000) -> DataFrame:
-    """(node) reachable from roots along (src, tgt), roots included; the frontier is what is new."""
-    known = frontier = scratch.keep(roots.select("node").distinct())
+    """(node) reachable from roots along (src, tgt), roots included."""
     out = scratch.keep(edges.select(F.col("src").alias("node"), "tgt").distinct())
-    for _ in range(most):
-        step = frontier.join(out, "node").select(F.col("tgt").alias("node")).distinct()
-        frontier = scratch.keep(step.join(known, "node", "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = scratch.keep(known.union(frontier))
-    raise RuntimeError("liveness did not end")
+    return fixpoint(roots.select("node"), lambda now: now.join(out, "node").select(F.col("tgt").alias("node")), scratch, most)
 
 
-__all__ = ["closure", "complexity", "components", "cycles", "live", "pagerank"]
+__all__ = ["complexity", "components", "cycles", "fixpoint", "live", "pagerank"]

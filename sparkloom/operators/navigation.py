@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkloom.functions import names as N
+from sparkloom.operators.graph import fixpoint
 from sparkloom.operators.presets import is_modifier
 from sparkloom.util import Scratch
 
@@ -67,18 +68,6 @@ def changed_since(changed: DataFrame, sources: DataFrame, edges: DataFrame) -> t
     return impact, lost
 
 
-def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], scratch: Scratch, most: int = 10_000) -> DataFrame:
-    """All rows reached from start by step, each round from the new rows only; only new rows are written."""
-    keys = start.columns
-    known = frontier = scratch.keep(start.distinct())
-    for _ in range(most):
-        frontier = scratch.keep(step(frontier).select(keys).distinct().join(known, keys, "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = known.union(frontier)
-    raise RuntimeError("fixpoint did not end")
-
-
 def dead_code(
     edges: DataFrame,
     project: DataFrame,
@@ -103,7 +92,7 @@ def dead_code(
     project = scratch.keep(project.select("class").distinct())
     inside = scratch.keep(edges.join(project.withColumnRenamed("class", "callee_class"), "callee_class", "left_semi"))
     called = inside.filter("caller_class <> callee_class").select(F.col("callee_class").alias("class"), F.col("callee_method").alias("method")).distinct()
-    intra = inside.filter("caller_class = callee_class").select(F.col("caller_class").alias("class"), F.col("caller_method").alias("method"), F.col("callee_method").alias("next"))
+    intra = scratch.keep(inside.filter("caller_class = callee_class").select(F.col("caller_class").alias("class"), F.col("caller_method").alias("method"), F.col("callee_method").alias("next")).distinct())
     impl = scratch.keep(supers.join(project.withColumnRenamed("class", "implementor"), "implementor", "left_semi").select(F.col("supertype").alias("class"), "implementor").distinct())
 
     def step(now: DataFrame) -> DataFrame:
@@ -224,7 +213,7 @@ def hierarchy(supers: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.keep(step.join(known, ["class", "ancestor"], "left_anti").withColumn("depth", F.lit(at)))
         if new.isEmpty():
             return known
-        known = scratch.keep(known.union(new))
+        known = known.union(new) if at % 32 else scratch.keep(known.union(new))
     raise RuntimeError("hierarchy did not end")
 
 

@@ -138,8 +138,8 @@ def queries() -> dict:
         "annotation_tags": lambda s, d: R.annotation_tags(A.declared_methods(s, d), A.notes(s, d)).select("class", "method", F.array_join(F.transform("tags", lambda t: F.concat_ws(":", t["annotation"], t["framework"])), ",").alias("tags")),
         "entry_points": lambda s, d: A.notes(s, d).select("class", "method", R.framework_of(F.col("annotation")).alias("framework"), R.is_modifier(F.col("annotation")).alias("modifier"), R.is_entry_point(F.col("annotation"), ["jaxrs", "QUARKUS"]).alias("entry")),
         "dispatched": lambda s, d: V.dispatched(A.call_edges(s, d), A.supertypes(s, d)),
-        "callers": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("callee_class")).rlike("^P[0-9]$")).select("callee_class", "callee_method", "caller_class", "caller_method"),
-        "callees": lambda s, d: A.call_edges(s, d).filter(N.simple_name(F.col("caller_class")).rlike("^P[0-9]$")).select("caller_class", "caller_method", "callee_class", "callee_method"),
+        "callers": lambda s, d: A.call_edges(s, d).filter(F.col("callee_class").rlike("[.]brand1[0-9]*[.]")).select("callee_class", "callee_method", "caller_class", "caller_method"),
+        "callees": lambda s, d: A.call_edges(s, d).filter(F.col("caller_class").rlike("[.]brand1[0-9]*[.]")).select("caller_class", "caller_method", "callee_class", "callee_method"),
         "usages": _usages,
         "implementors": lambda s, d: V.implementors(A.supertypes(s, d), "brand#?[12]|P[1-9]"),
         "hierarchy": lambda s, d: V.hierarchy(A.supertype_index(s, d).filter("supertype is not null").select("supertype", F.col("class").alias("implementor")), Scratch(s, "hierarchy")),
@@ -172,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
     listed = "de as (select 'CLASS' kind, class, cast(null as varchar) \"method\" from pr where class not in (select class from al) union all select 'METHOD', class, m from pr, unnest(['mA', 'mF', 'mN', 'mO', 'mR']) u(m) where class in (select class from al) and (class, m) not in (select (class, method) from re)), te as (select distinct callee_class class from e where caller_method = 'mR')"
     dead = f"with recursive {_EDGES}, {_SUPERS}, {project}, {reach}, {listed}"
     out = {
-        "callees": f"with {_EDGES} select caller_class, caller_method, callee_class, callee_method from e where regexp_matches(caller_class, '[.]P[0-9]$')",
+        "callees": f"with {_EDGES} select caller_class, caller_method, callee_class, callee_method from e where regexp_matches(caller_class, '[.]brand1[0-9]*[.]')",
         "usages": f"with {_EDGES} select src_pkg file, count(*) sites from e where regexp_matches(callee_class, '[.]p1[0-9]*$', 'i') and callee_method = 'mO' group by 1",
         "implementors": f"with {_CLASSES}, {_SUPERS} select supertype, string_agg(implementor, ',' order by implementor) implementors from su where regexp_matches(supertype, 'brand#?[12]|P[1-9]', 'i') group by 1",
         "hierarchy": f"with recursive {index}, {above} select root class, class ancestor, cast(min(\"depth\") as int) \"depth\" from re where \"depth\" > 0 group by 1, 2",
@@ -221,7 +221,7 @@ def oracle_sql() -> dict[str, str]:
         "complexity": f"with {_EDGES}, x as (select distinct caller_class, caller_method, callee_class, callee_method from e where caller_class <> callee_class), o as (select caller_class class, count(*) fan_out, count(distinct callee_class) classes_out from x group by 1), i as (select callee_class class, count(*) fan_in, count(distinct caller_class) classes_in from x group by 1) select class, coalesce(fan_out, 0) fan_out, coalesce(classes_out, 0) classes_out, coalesce(fan_in, 0) fan_in, coalesce(classes_in, 0) classes_in from o full join i using (class)",
         "live": f"with recursive {_TRADE}, r as (select min(n_nationkey) node from nation union select t.tgt from r join t on t.src = r.node) select node from r",
         "find_classes": f"with {_CLASSES}, x as (select class, replace(pkg, '.', '/') || '/P' || p_partkey || '.kt' source_path, p_partkey, p_size from cl) select class, source_path from x where p_size < 48 and (regexp_matches(class, 'P1.*7$', 'i') or regexp_matches(source_path, 'P1.*7$', 'i'))",
-        "callers": f"with {_EDGES} select distinct callee_class, callee_method, caller_class, caller_method from e where regexp_matches(callee_class, '[.]P[0-9]$')",
+        "callers": f"with {_EDGES} select distinct callee_class, callee_method, caller_class, caller_method from e where regexp_matches(callee_class, '[.]brand1[0-9]*[.]')",
         "size": "select doc_id file, len(string_split(text, chr(10))) lines from documents where len(string_split(text, chr(10))) > 10 order by lines desc, file limit 50",
     }
     out["complexity_collapsed"] = out["complexity"]
