@@ -183,6 +183,21 @@ def bridge_methods(facts: DataFrame) -> DataFrame:
     return _of(facts, "method").filter(_has(C.ACC_BRIDGE)).select("class", F.col("member").alias("method")).distinct()
 
 
+def inline_methods(facts: DataFrame) -> DataFrame:
+    """(class, method) of Kotlin's inline functions, whose calls leave no edges."""
+    return _of(facts, "inline").select("class", F.col("member").alias("method")).distinct()
+
+
+def delegated_methods(facts: DataFrame) -> DataFrame:
+    """(class, method) of Kotlin classes' methods that their metadata does not list, as the compiler adds for delegation.
+
+    Bridges, synthetic methods and constructors are no such methods; files and other languages have none.
+    """
+    known = _of(facts, "kotlin").filter("name = 'class'").select("path", "class", F.col("names").alias("known"))
+    methods = _of(facts, "method").filter(~_has(C.ACC_BRIDGE) & ~_has(C.ACC_SYNTHETIC) & ~F.col("member").isin("<init>", "<clinit>"))
+    return methods.join(known, ["path", "class"]).filter(~F.array_contains("known", F.col("member"))).select("class", F.col("member").alias("method")).distinct()
+
+
 def annotations(facts: DataFrame) -> DataFrame:
     """(class, method, annotation, params): method null for the class; generated methods, fields and compilers' own annotations are left out."""
     found = _of(facts, "note").filter(~F.col("name").isin(*COMPILER_NOTES))

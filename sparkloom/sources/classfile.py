@@ -9,10 +9,13 @@ from __future__ import annotations
 import re
 import struct
 
+from sparkloom.sources import kotlin
+
 #: The columns of a row. `record` says which are filled:
 #: class (name: super class, value: source file, names: interfaces), field, method (line: first line),
 #: call (owner, name: callee), use (owner, name, desc; value: kind of usage), text (value: constant),
-#: note (name: annotation; params; member null for the class), ref (owner: referenced type).
+#: note (name: annotation; params; member null for the class), ref (owner: referenced type),
+#: kotlin (name: class or file; names: JVM names of the functions its metadata lists), inline (member: a function).
 FACT = "record string, path string, class string, member string, desc string, owner string, name string, value string, line int, access int, names array<string>, params map<string,string>"
 COLUMNS = [c.split()[0] for c in FACT.split(", ")]
 
@@ -21,6 +24,8 @@ ACC_STATIC, ACC_BRIDGE, ACC_INTERFACE, ACC_ABSTRACT, ACC_SYNTHETIC = 0x8, 0x40,
 ACC_RECORD = 0x10000
 
 NEWEST = 69  # major version of the format that is known here
+#: Fixed value: the annotation that holds Kotlin's metadata.
+METADATA = "Lkotlin/Metadata;"
 
 
 class BadClassFile(ValueError):
@@ -216,6 +221,29 @@ class _Reader:
         self.at = back
         return out
 
+    def plain(self):
+        """An element value as it is: a list, a constant, or text for the other kinds."""
+        tag = chr(self.data[self.at])
+        if tag in "ec@":
+            return self.element()
+        self.at += 1
+        return [self.plain() for _ in range(self.u2())] if tag == "[" else self.pool[self.u2()][1]
+
+    def metadata(self, found) -> dict:
+        """Parameters of the Kotlin metadata among a class's annotations, as they are."""
+        values, back = {}, self.at
+        for name, start, _ in found:
+            if name == "RuntimeVisibleAnnotations":
+                self.at = start
+                for _ in range(self.u2()):
+                    if self.text(self.u2()) == METADATA:
+                        values = {self.text(self.u2()): self.plain() for _ in range(self.u2())}
+                    else:
+                        self.at -= 2
+                        self.annotation()
+        self.at = back
+        return values
+
 
 _PRIMITIVES = dict(zip("VZCBSIFJD", ("void", "boolean", "char", "byte", "short", "int", "float", "long", "double"), strict=True))
 
@@ -358,6 +386,13 @@ def _parse(r: _Reader, path: str) -> list[dict]:
             access |= ACC_RECORD
     row("class", name=parent and dotted(parent), value=source, access=access, names=[dotted(f) for f in faces])
     note(attributes)
+    if data := r.metadata(attributes):
+        known = kotlin.functions(data.get("k", 1), data.get("d1", []), data.get("d2", []))
+        if known is not None:
+            row("kotlin", name="class" if data.get("k", 1) == kotlin.CLASS else "file", names=[n for n, _ in known])
+            for n, inline in known:
+                if inline:
+                    once("inline", n, member=n)
     refer(parent, *faces)
     for method, flags, name, desc, found in members:
         refer_all(desc)
