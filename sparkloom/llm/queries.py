@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10 and their SQL."""
+"""The thin queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.util import Scratch, table
 
+#: Words of the contracts as a regular expression.
+_WORD = "[^\\x20\\x09-\\x0D]+"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.toxicity import score_documents, train
@@ -84,6 +87,48 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark, "op9")).select("doc_id", "n_shingles", "component_id")
 
 
+def periodized(docs: DataFrame) -> DataFrame:
+    """documents as operator 11's query takes them: of a tenth by hash, the words from a place on repeat their first ones."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.withColumn("h", h).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))))
+    some = words.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10))
+    some = some.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    some = some.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    text = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest))
+    return some.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.runs import find_runs
+
+    out = find_runs(periodized(table(spark, sf_dir, "documents")))
+    # greatest length / period exactly: fractions are compared crosswise
+    ahead = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    first = F.aggregate(F.slice("runs", 2, 1 << 30), F.element_at("runs", 1), lambda x, y: F.when(ahead(y, x), y).otherwise(x))
+    best = out.withColumn("best", F.when(F.size("runs") > 0, first))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli")
+    own = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *own, milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.onebit import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, Scratch(spark, "op12"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.bitslice import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < float("inf"), F.floor(x * 256).cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), whole.alias("v"))
+    return hard_negatives(rows, F.col("id") % 50 == 0, Scratch(spark, "op13"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -91,19 +136,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_suffix_dedup, op4_pii, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_embedding_dedup, op9_jaccard_join, op10_binary_ids, pipeline)}
-
-
-#: Words of the contracts, in the syntax of DuckDB's regular expressions.
-_WORD = "[^\\x20\\x09-\\x0D]+"
+    return {f.__name__: f for f in (op1_toxicity, op2_packing, op3_suffix_dedup, op4_pii, op5_substring_dedup, op6_byte_bpe, op7_quality_rules, op8_embedding_dedup, op9_jaccard_join, op10_binary_ids, op11_periodic_runs, op12_nearest, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of what SQL can say; tests compare the other queries with brute force."""
+    from sparkloom.llm import search_sql
+
     words = "wo as (select doc_id, unnest(w) word, unnest(range(len(w))) k from (select doc_id, regexp_extract_all({0}, '" + _WORD + "') w from documents))"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     reach = "re as (select id, id other from no union select re.id, li.b from re join li on re.other = li.a), co as (select id, min(other) component_id from re group by 1)"
     return {
+        "op11_periodic_runs": search_sql.RUNS,
+        "op12_nearest": search_sql.NEAREST,
+        "op13_hard_negatives": search_sql.NEGATIVES,
         "op3_suffix_dedup": "with he as (select doc_id, hex(encode(coalesce(text, ''))) h from documents), po as (select doc_id, unnest(range(len(h) // 2)) k, h from he),"
         " wi as (select doc_id, k, row_number() over (partition by md5(substr(h, 2 * k + 1, 200)) order by doc_id, k) > 1 again from po where 2 * k + 200 <= len(h)),"
         " co as (select doc_id, k, substr(h, 2 * k + 1, 2) b, coalesce(max(case when again then k end) over (partition by doc_id order by k) + 100 > k, false) gone from po left join wi using (doc_id, k)),"
