@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 
-def queries() -> dict:
-    from sparkloom.plans import catalogue
+def _modules() -> list:
+    from sparkloom.plans import catalogue, class_queries
 
-    return catalogue.queries()
+    return [catalogue, class_queries]
 
 
-def oracle_sql() -> dict[str, str]:
-    from sparkloom.plans import catalogue
+def queries() -> dict:
+    return {name: q for m in _modules() for name, q in m.queries().items()}
 
-    return catalogue.oracle_sql()
+
+def oracle_sql() -> dict[str, str]:
+    return {name: q for m in _modules() for name, q in m.oracle_sql().items()}

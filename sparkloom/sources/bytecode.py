@@ -79,9 +79,14 @@ def _parse(jars: bool, rows: int = 20_000):
     return run
 
 
+def parse_files(files: DataFrame, source_set: str = "prod", jars: bool = False) -> DataFrame:
+    """Facts of class files (or JARs) that are rows (path, content), wherever they come from."""
+    return files.select("path", "content").mapInArrow(_parse(jars), C.FACT).withColumn("source_set", F.lit(source_set))
+
+
 def _read(spark: SparkSession, paths: list[str], pattern: str, jars: bool, source_set: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(paths)
-    return files.select("path", "content").mapInArrow(_parse(jars), C.FACT).withColumn("source_set", F.lit(source_set))
+    return parse_files(files, source_set, jars)
 
 
 def read_classes(spark: SparkSession, paths: list[str], source_set: str = "prod") -> DataFrame:
