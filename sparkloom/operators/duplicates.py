@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sparkloom.operators.clones import settle
 from sparkloom.util import Scratch
 
 
@@ -41,33 +42,6 @@ KEPT = "file_a string, start_a int, file_b string, start_b int, length int"
 
 
 def without_covered(runs: DataFrame) -> DataFrame:
-    """Runs (KEPT) both of whose ranges are not inside ranges of longer runs that stay.
-
-    By length, then files and places: a run goes only where both its ranges are covered. That order is
-    sequential among runs that touch the same files, so runs are dealt by component of files: files
-    that share no duplicate do not meet in a task.
-    """
-    from sparkloom.operators.components import components
-    from sparkloom.util import Scratch
-
-    runs = runs.select("file_a", "start_a", "file_b", "start_b", "length")
-    scratch = Scratch(runs.sparkSession, "covered")
-    runs = scratch.keep(runs)
-    code = lambda c: F.xxhash64(c)
-    parts = components(runs.select(code("file_a").alias("a"), code("file_b").alias("b")).filter("a <> b").distinct(), scratch)
-    placed = runs.withColumn("node", code("file_a")).join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-
-    def keep(pdf):
-        pdf = pdf.sort_values(["length", "file_a", "start_a", "file_b", "start_b"], ascending=[False, True, True, True, True])
-        ranges: dict[str, list[tuple[int, int]]] = {}
-        stays = []
-        for r in pdf.itertuples(index=False):
-            ends = ((r.file_a, r.start_a), (r.file_b, r.start_b))
-            stay = not all(any(i <= at and at + r.length <= j for i, j in ranges.get(f, ())) for f, at in ends)
-            stays.append(stay)
-            if stay:
-                for f, at in ends:
-                    ranges.setdefault(f, []).append((at, at + r.length))
-        return pdf[stays][[c.split()[0] for c in KEPT.split(", ")]]
-
-    return placed.groupBy("part").applyInPandas(keep, KEPT)
+    """Runs (KEPT) both of whose ranges are not inside ranges of longer runs that stay, by length, then files and places."""
+    ends = [runs.select(F.col(f"file_{x}").alias("file"), F.col(f"start_{x}").alias("off"), "length", F.col(f"file_{y}").alias("pfile"), F.col(f"start_{y}").alias("poff")) for x, y in ("ab", "ba")]
+    return settle(ends[0].union(ends[1]))

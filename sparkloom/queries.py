@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from sparkloom.plans import catalogue, class_queries
+    from sparkloom.plans import catalogue, class_queries, text_queries
 
-    return [catalogue, class_queries]
+    return [catalogue, class_queries, text_queries]
 
 
 def queries() -> dict:
