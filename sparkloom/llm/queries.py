@@ -150,12 +150,7 @@ def oracle_sql() -> dict[str, str]:
         "op11_periodic_runs": search_sql.RUNS,
         "op12_nearest": search_sql.NEAREST,
         "op13_hard_negatives": search_sql.NEGATIVES,
-        "op3_suffix_dedup": "with he as (select doc_id, hex(encode(coalesce(text, ''))) h from documents), po as (select doc_id, unnest(range(len(h) // 2)) k, h from he),"
-        " wi as (select doc_id, k, row_number() over (partition by md5(substr(h, 2 * k + 1, 200)) order by doc_id, k) > 1 again from po where 2 * k + 200 <= len(h)),"
-        " co as (select doc_id, k, substr(h, 2 * k + 1, 2) b, coalesce(max(case when again then k end) over (partition by doc_id order by k) + 100 > k, false) gone from po left join wi using (doc_id, k)),"
-        " ed as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by k), false) head from co),"
-        " ag as (select doc_id, count(*) n_bytes, count(*) filter (gone) n_removed, count(*) filter (head) n_spans, string_agg(b, '' order by k) filter (not gone) kept from ed group by 1)"
-        " select doc_id, coalesce(n_bytes, 0) n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from he left join ag using (doc_id)",
+        "op3_suffix_dedup": search_sql.SUBSTRINGS,
         "op5_substring_dedup": f"with {words.format('text')}, wi as (select doc_id, k, string_agg(word, ' ') over w s, count(*) over w n from wo window w as (partition by doc_id order by k rows between current row and 19 following)),"
         " ag as (select doc_id, k, row_number() over (partition by s order by doc_id, k) > 1 again from wi where n = 20),"
         " co as (select doc_id, k, word, coalesce(max(case when again then k end) over (partition by doc_id order by k) + 20 > k, false) gone from wo left join ag using (doc_id, k)),"

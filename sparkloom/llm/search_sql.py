@@ -1,4 +1,4 @@
-"""SQL of the queries op11 to op13, in DuckDB's dialect."""
+"""SQL of the queries op3 and op11 to op13, in DuckDB's dialect."""
 
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -77,3 +77,22 @@ ne as (
   from po join sc on po.a = sc.a and not same and 50 * po.s <= 100 * sc.s and 100 * sc.s <= 95 * po.s)
 select a anchor_id, positive positive_id, rank::integer rank, negative negative_id, positive_score, negative_score from ne where rank <= 3
 """
+
+SUBSTRINGS = """
+with he as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+sz as (select doc_id, h, len(h) // 2 n from he),
+pi as (select doc_id, i, substr(h, 2 * i + 1, 2 * 611) p, n from (select doc_id, h, n, unnest(range(0, n, 512)) i from sz)),
+wi as (select doc_id, i + k k, md5(substr(p, 2 * k + 1, 200)) m from (select *, unnest(range(512)) k from pi) where i + k + 100 <= n),
+fi as (select m, min((doc_id, k)) first from wi group by 1 having count(*) > 1),
+ag as (select doc_id, k from wi join fi using (m) where (doc_id, k) <> first),
+he2 as (select *, coalesce(k > lag(k) over (partition by doc_id order by k) + 100, true) head from ag),
+nu as (select *, sum(head::integer) over (partition by doc_id order by k) island from he2),
+sp as (select doc_id, min(k) a, max(k) + 100 b from nu group by doc_id, island),
+ed as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) s, a e from sp
+  union all select sz.doc_id, coalesce(max(b), 0), any_value(n) from sz left join sp on sz.doc_id = sp.doc_id group by sz.doc_id),
+ke as (select ed.doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' order by s) kept from ed join sz on ed.doc_id = sz.doc_id group by 1),
+su as (select doc_id, sum(b - a)::bigint n_removed, count(*) n_spans from sp group by 1)
+select sz.doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(kept)) kept_sha256
+from sz left join su on sz.doc_id = su.doc_id left join ke on ke.doc_id = sz.doc_id
+"""
