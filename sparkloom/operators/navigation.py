@@ -7,7 +7,7 @@ from itertools import groupby, islice
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkloom.functions import names as N
 from sparkloom.operators.graph import fixpoint
@@ -148,9 +148,6 @@ def metrics(edges: DataFrame, classes: DataFrame, dead: DataFrame, loops: DataFr
     return out
 
 
-TREE = "root string, seq int, parent int, depth int, class string, method string"
-
-
 def dispatched(edges: DataFrame, supers: DataFrame) -> DataFrame:
     """Edges, and for a call of a supertype's method the same call of each direct implementor's."""
     over = edges.join(supers.select(F.col("supertype").alias("callee_class"), "implementor").distinct(), "callee_class").select("caller_class", "caller_method", F.col("implementor").alias("callee_class"), "callee_method")
@@ -161,47 +158,40 @@ def call_tree(roots: DataFrame, edges: DataFrame, scratch: Scratch, depth: int =
     """Trees of calls, flat: (root, seq, parent, depth, class, method), in depth-first order.
 
     roots (class, method). supers (supertype, implementor): calls of a supertype reach its implementors.
-    keep: a filter of edges by their far end (see search.call_filter); roots are not filtered. Children are sorted by name. A tree expands a method once: where it comes
-    again it is a leaf, and nothing is expanded at the last depth. The edges within reach of a root
-    are cut out by joins; the order of a tree is then made per root.
+    keep: a filter of edges by their far end (see search.call_filter); roots are not filtered. Children are sorted by name. A tree expands a method once, where it
+    comes first in that order above the last depth; elsewhere it is a leaf.
+
+    A place in a tree is its path of names, and paths sort depth first. In rounds, every method's place is the least
+    path that the places found so far lead to, until none moves: each round puts at least the next method in order
+    where it belongs. Rounds are joins and map-side minima, so a root with very many calls is spread out.
     """
     a, b = (("callee_class", "callee_method"), ("caller_class", "caller_method")) if callers else (("caller_class", "caller_method"), ("callee_class", "callee_method"))
     name = lambda c: F.concat_ws(".", *c)
     edges = edges if supers is None else dispatched(edges, supers)
     edges = edges if keep is None else keep(edges)
-    e = scratch.keep(edges.select(name(a).alias("src"), name(b).alias("tgt"), F.col(b[0]).alias("class"), F.col(b[1]).alias("method")).distinct())
-    start = roots.select(name(("class", "method")).alias("root"), "class", "method").distinct()
-    now = start.select("root", F.col("root").alias("src"))
-    near = now
-    for _ in range(depth - 1):
-        now = scratch.keep(now.join(e, "src").select("root", F.col("tgt").alias("src")).distinct().join(near, ["root", "src"], "left_anti"))
-        near = near.union(now)
-    own = start.select("root", F.lit(None).cast("string").alias("src"), F.col("root").alias("tgt"), "class", "method")
-    reach = near.join(e, "src").select("root", "src", "tgt", "class", "method").union(own)
-
-    def tree(root, rows):
-        kids: dict[str, list] = {}
-        for _, src, tgt, c, m in rows:
-            kids.setdefault(src, []).append((tgt, c, m))
-        top = kids.pop(None)[0]
-        seq, seen, stack = 0, set(), [(top, -1, 0)]
-        while stack:
-            (node, c, m), parent, at = stack.pop()
-            yield root, seq, parent, at, c, m
-            if at < depth and node not in seen:
-                seen.add(node)
-                stack += [(k, seq, at + 1) for k in sorted(kids.get(node, []), reverse=True)]
-            seq += 1
-
-    def order(batches):
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        out = (r for root, group in groupby(rows, itemgetter(0)) for r in tree(root, group))
-        while part := list(islice(out, 10_000)):
-            columns = zip(*part, strict=True)
-            kinds = (pa.string(), *[pa.int32()] * 3, pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["root", "seq", "parent", "depth", "class", "method"])
-
-    return reach.repartition("root").sortWithinPartitions("root").mapInArrow(order, TREE)
+    e = scratch.keep(edges.select(name(a).alias("node"), name(b).alias("tgt"), F.col(b[0]).alias("class"), F.col(b[1]).alias("method")).distinct())
+    start = scratch.keep(roots.select(name(("class", "method")).alias("root"), "class", "method").distinct())
+    top = start.select("root", F.col("root").alias("node"), F.array().cast("array<string>").alias("path"), "class", "method")
+
+    def led(places: DataFrame) -> DataFrame:
+        """The top, and what the methods at their places call."""
+        below = places.filter(F.size("path") < depth).join(e, "node").select("root", F.col("tgt").alias("node"), F.concat("path", F.array("tgt")).alias("path"), "class", "method")
+        return top.union(below)
+
+    now = scratch.keep(top.select("root", "node", "path"))
+    while True:
+        after = scratch.keep(led(now).filter(F.size("path") < depth).groupBy("root", "node").agg(F.min("path").alias("path")))
+        moved = not after.join(now, ["root", "node", "path"], "left_anti").isEmpty()
+        scratch.drop(now)
+        now = after
+        if not moved:
+            break
+    order = Window.partitionBy("root").orderBy("path")
+    rows = scratch.keep(led(now).withColumn("seq", F.row_number().over(order) - 1))
+    # of a place only its own path leads on, so a parent is told by root and path
+    up = rows.select("root", F.col("path").alias("above"), F.col("seq").alias("parent"))
+    rows = rows.withColumn("above", F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))))
+    return rows.join(up, ["root", "above"], "left").select("root", "seq", F.coalesce("parent", F.lit(-1)).alias("parent"), F.size("path").alias("depth"), "class", "method")
 
 
 def hierarchy(supers: DataFrame, scratch: Scratch) -> DataFrame:

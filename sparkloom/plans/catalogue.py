@@ -225,4 +225,26 @@ def oracle_sql() -> dict[str, str]:
         "size": "select doc_id file, len(string_split(text, chr(10))) lines from documents where len(string_split(text, chr(10))) > 10 order by lines desc, file limit 50",
     }
     out["complexity_collapsed"] = out["complexity"]
+    # of a root's calls, in order, those are expanded that no expanded one before them calls; of theirs, those not expanded yet
+    out["call_tree"] = f"""with {_EDGES},
+        ro as (select class || '.m' || f root, class, 'm' || f "method" from cl, unnest(['A', 'F', 'N', 'O', 'R']) u(f)),
+        ed as (select distinct caller_class || '.' || caller_method a, callee_class || '.' || callee_method b, callee_class class, callee_method "method" from e),
+        ch as (select root, list(b order by b) kids from ro join ed on a = root where b <> root group by root),
+        am as (
+          select x.a root, list(y.a || '>' || y.b) pairs
+          from ed x join ed y on y.a = x.b join ed z on z.a = x.a and z.b = y.b where y.a < y.b group by 1),
+        ex as (
+          select root, unnest(list_reduce(list_prepend([]::varchar[], list_transform(kids, lambda k: [k])),
+            lambda got, k: case when len(list_filter(got, lambda g: list_contains(coalesce(pairs, []), g || '>' || k[1]))) > 0 then got else list_concat(got, k) end)) node
+          from ch left join am using (root)),
+        o1 as (select root, [b] path, ed.class, ed."method" from ro join ed on a = root),
+        o2 as (select ex.root, [node, b] path, class, "method", b from ex join ed on a = node),
+        x2 as (select o2.root, b node, min(path) path from o2 left join ex on ex.root = o2.root and ex.node = o2.b where ex.node is null and b <> o2.root group by 1, 2),
+        o3 as (select x2.root, list_append(path, b) path, class, "method" from x2 join ed on a = node),
+        al as (
+          select root, []::varchar[] path, class, "method" from ro union all select root, path, class, "method" from o1
+          union all select root, path, class, "method" from o2 union all select root, path, class, "method" from o3),
+        nu as (select *, (row_number() over (partition by root order by path) - 1)::integer seq from al)
+        select x.root, x.seq, coalesce(y.seq, -1) parent, len(x.path)::integer "depth", x.class, x."method"
+        from nu x left join nu y on x.root = y.root and len(x.path) > 0 and y.path = x.path[1:len(x.path) - 1]"""
     return out
