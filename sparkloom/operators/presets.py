@@ -1,7 +1,6 @@
 """Frameworks and what of them keeps code alive: entry-point annotations, modifiers, supertypes, receivers, model annotations.
 
-Entry points are told by the packages that frameworks keep their annotations in, not name by name: an
-annotation of such a package counts, also where a list of names would leave it out. Callers may add
+Entry points are told by name, so an annotation of a framework that is not listed is none. Callers may add
 presets of their own to PRESETS.
 """
 
@@ -63,43 +62,236 @@ JPA_MODEL = (
 )
 MODIFIERS = SPRING_MODIFIERS + MICROPROFILE_MODIFIERS + GRPC_MODIFIERS
 
-#: Framework of an annotation by the package it is in: the longest prefix decides.
-PACKAGES = {
-    "jakarta.persistence.": "jpa",
-    "com.fasterxml.jackson.annotation.": "jackson",
-    "com.fasterxml.jackson.databind.annotation.": "jackson",
-    "jakarta.ws.rs.": "jaxrs",
-    "jakarta.enterprise.": "cdi",
-    "jakarta.interceptor.": "cdi",
-    "jakarta.decorator.": "cdi",
-    "org.eclipse.microprofile.": "microprofile",
-    "io.quarkus.grpc.": "grpc",
-    "net.devh.boot.grpc.": "grpc",
-    "io.grpc.stub.annotations.": "grpc",
-    "io.smallrye.common.annotation.": "grpc",
-    "jakarta.annotation.": "jakarta",
-    "jakarta.inject.": "jakarta",
-    "jakarta.validation.": "validation",
-    "org.hibernate.validator.constraints.": "validation",
-    "org.junit.jupiter.": "junit",
-    "io.quarkus.": "quarkus",
-    "org.springframework.": "spring",
+#: Annotations that mark entry points, by framework; of an annotation in two lists the first is its framework.
+ENTRY_POINTS = {
+    "spring": (
+        "org.springframework.stereotype.Controller",
+        "org.springframework.web.bind.annotation.RestController",
+        "org.springframework.stereotype.Service",
+        "org.springframework.stereotype.Component",
+        "org.springframework.stereotype.Repository",
+        "org.springframework.context.annotation.Configuration",
+        "org.springframework.context.annotation.Bean",
+        "org.springframework.scheduling.annotation.Scheduled",
+        "org.springframework.context.event.EventListener",
+        "org.springframework.web.bind.annotation.ExceptionHandler",
+        "org.springframework.web.bind.annotation.ControllerAdvice",
+        "org.springframework.boot.actuate.endpoint.annotation.Endpoint",
+        "org.springframework.boot.autoconfigure.SpringBootApplication",
+        "org.springframework.boot.autoconfigure.EnableAutoConfiguration",
+        "org.springframework.context.annotation.ComponentScan",
+        "org.springframework.web.bind.annotation.GetMapping",
+        "org.springframework.web.bind.annotation.PostMapping",
+        "org.springframework.web.bind.annotation.PutMapping",
+        "org.springframework.web.bind.annotation.DeleteMapping",
+        "org.springframework.web.bind.annotation.PatchMapping",
+        "org.springframework.web.bind.annotation.RequestMapping",
+        "org.springframework.web.bind.annotation.ModelAttribute",
+        "org.springframework.web.bind.annotation.InitBinder",
+        "org.springframework.web.bind.annotation.ResponseBody",
+        "org.springframework.web.bind.annotation.RequestBody",
+        "org.springframework.web.bind.annotation.PathVariable",
+        "org.springframework.web.bind.annotation.RequestParam",
+        "org.springframework.beans.factory.annotation.Autowired",
+        "org.springframework.beans.factory.annotation.Value",
+        "org.springframework.beans.factory.annotation.Qualifier",
+        "org.springframework.context.annotation.Primary",
+        "org.springframework.context.annotation.Lazy",
+        "org.springframework.context.annotation.Scope",
+        "org.springframework.context.annotation.Profile",
+        "org.springframework.context.annotation.Conditional",
+        "org.springframework.context.annotation.Import",
+        "org.springframework.context.annotation.ImportResource",
+        "org.springframework.context.annotation.PropertySource",
+        "org.springframework.cache.annotation.EnableCaching",
+    ),
+    "jpa": (
+        "jakarta.persistence.Entity",
+        "jakarta.persistence.Table",
+        "jakarta.persistence.MappedSuperclass",
+        "jakarta.persistence.Embeddable",
+        "jakarta.persistence.Converter",
+        "jakarta.persistence.EntityListeners",
+        "jakarta.persistence.Id",
+        "jakarta.persistence.GeneratedValue",
+        "jakarta.persistence.Column",
+        "jakarta.persistence.JoinColumn",
+        "jakarta.persistence.OneToMany",
+        "jakarta.persistence.ManyToOne",
+        "jakarta.persistence.OneToOne",
+        "jakarta.persistence.ManyToMany",
+        "jakarta.persistence.Transient",
+        "jakarta.persistence.Enumerated",
+        "jakarta.persistence.Temporal",
+        "jakarta.persistence.Lob",
+        "jakarta.persistence.NamedQuery",
+        "jakarta.persistence.NamedQueries",
+    ),
+    "jackson": (
+        "com.fasterxml.jackson.annotation.JsonCreator",
+        "com.fasterxml.jackson.annotation.JsonProperty",
+        "com.fasterxml.jackson.annotation.JsonIgnore",
+        "com.fasterxml.jackson.annotation.JsonIgnoreProperties",
+        "com.fasterxml.jackson.annotation.JsonFormat",
+        "com.fasterxml.jackson.annotation.JsonValue",
+        "com.fasterxml.jackson.annotation.JsonTypeInfo",
+        "com.fasterxml.jackson.annotation.JsonSubTypes",
+        "com.fasterxml.jackson.annotation.JsonTypeName",
+        "com.fasterxml.jackson.annotation.JsonInclude",
+        "com.fasterxml.jackson.annotation.JsonAlias",
+        "com.fasterxml.jackson.annotation.JsonUnwrapped",
+        "com.fasterxml.jackson.annotation.JsonRootName",
+        "com.fasterxml.jackson.databind.annotation.JsonDeserialize",
+        "com.fasterxml.jackson.databind.annotation.JsonSerialize",
+    ),
+    "jaxrs": (
+        "jakarta.ws.rs.GET",
+        "jakarta.ws.rs.POST",
+        "jakarta.ws.rs.PUT",
+        "jakarta.ws.rs.DELETE",
+        "jakarta.ws.rs.PATCH",
+        "jakarta.ws.rs.HEAD",
+        "jakarta.ws.rs.OPTIONS",
+        "jakarta.ws.rs.Path",
+        "jakarta.ws.rs.Produces",
+        "jakarta.ws.rs.Consumes",
+        "jakarta.ws.rs.PathParam",
+        "jakarta.ws.rs.QueryParam",
+        "jakarta.ws.rs.HeaderParam",
+        "jakarta.ws.rs.FormParam",
+        "jakarta.ws.rs.BeanParam",
+        "jakarta.ws.rs.CookieParam",
+        "jakarta.ws.rs.DefaultValue",
+        "jakarta.ws.rs.ext.Provider",
+        "jakarta.ws.rs.NameBinding",
+    ),
+    "cdi": (
+        "jakarta.enterprise.context.ApplicationScoped",
+        "jakarta.enterprise.context.RequestScoped",
+        "jakarta.enterprise.context.SessionScoped",
+        "jakarta.enterprise.context.Dependent",
+        "jakarta.enterprise.inject.Produces",
+        "jakarta.enterprise.event.Observes",
+        "jakarta.enterprise.event.ObservesAsync",
+        "jakarta.enterprise.inject.Alternative",
+        "jakarta.enterprise.inject.Disposes",
+        "jakarta.interceptor.Interceptor",
+        "jakarta.interceptor.AroundInvoke",
+        "jakarta.interceptor.AroundConstruct",
+        "jakarta.decorator.Decorator",
+        "jakarta.decorator.Delegate",
+    ),
+    "microprofile": (
+        "org.eclipse.microprofile.health.Liveness",
+        "org.eclipse.microprofile.health.Readiness",
+        "org.eclipse.microprofile.health.Startup",
+        "org.eclipse.microprofile.rest.client.inject.RegisterRestClient",
+        "org.eclipse.microprofile.rest.client.inject.RestClient",
+        "org.eclipse.microprofile.config.inject.ConfigProperty",
+        "org.eclipse.microprofile.openapi.annotations.Operation",
+        "org.eclipse.microprofile.openapi.annotations.responses.APIResponse",
+        "org.eclipse.microprofile.openapi.annotations.tags.Tag",
+    ),
+    "grpc": (
+        "io.quarkus.grpc.GrpcService",
+        "io.quarkus.grpc.GrpcClient",
+        "io.quarkus.grpc.GlobalInterceptor",
+        "net.devh.boot.grpc.server.service.GrpcService",
+        "net.devh.boot.grpc.client.inject.GrpcClient",
+        "net.devh.boot.grpc.client.inject.GrpcClientBean",
+        "net.devh.boot.grpc.server.interceptor.GrpcGlobalServerInterceptor",
+        "net.devh.boot.grpc.client.interceptor.GrpcGlobalClientInterceptor",
+        "io.grpc.stub.annotations.GrpcGenerated",
+    ),
+    "jakarta": (
+        "jakarta.annotation.PostConstruct",
+        "jakarta.annotation.PreDestroy",
+        "jakarta.inject.Inject",
+        "jakarta.inject.Named",
+        "jakarta.inject.Singleton",
+        "jakarta.inject.Qualifier",
+    ),
+    "validation": (
+        "jakarta.validation.Valid",
+        "jakarta.validation.constraints.NotNull",
+        "jakarta.validation.constraints.NotBlank",
+        "jakarta.validation.constraints.NotEmpty",
+        "jakarta.validation.constraints.Size",
+        "jakarta.validation.constraints.Min",
+        "jakarta.validation.constraints.Max",
+        "jakarta.validation.constraints.Pattern",
+        "jakarta.validation.constraints.Email",
+        "jakarta.validation.constraints.Positive",
+        "jakarta.validation.constraints.PositiveOrZero",
+        "jakarta.validation.constraints.Negative",
+        "jakarta.validation.constraints.NegativeOrZero",
+        "jakarta.validation.constraints.Past",
+        "jakarta.validation.constraints.PastOrPresent",
+        "jakarta.validation.constraints.Future",
+        "jakarta.validation.constraints.FutureOrPresent",
+        "jakarta.validation.constraints.Digits",
+        "jakarta.validation.constraints.DecimalMin",
+        "jakarta.validation.constraints.DecimalMax",
+        "jakarta.validation.constraints.AssertTrue",
+        "jakarta.validation.constraints.AssertFalse",
+        "jakarta.validation.constraints.Null",
+        "org.hibernate.validator.constraints.Length",
+        "org.hibernate.validator.constraints.Range",
+        "org.hibernate.validator.constraints.URL",
+        "org.hibernate.validator.constraints.CreditCardNumber",
+    ),
+    "junit": (
+        "org.junit.jupiter.api.Test",
+        "org.junit.jupiter.api.BeforeEach",
+        "org.junit.jupiter.api.AfterEach",
+        "org.junit.jupiter.api.BeforeAll",
+        "org.junit.jupiter.api.AfterAll",
+        "org.junit.jupiter.params.ParameterizedTest",
+        "org.junit.jupiter.api.RepeatedTest",
+        "org.junit.jupiter.api.TestFactory",
+        "org.junit.jupiter.api.Disabled",
+        "org.junit.jupiter.api.extension.ExtendWith",
+        "org.junit.jupiter.api.Tag",
+        "org.junit.jupiter.api.Nested",
+        "org.junit.jupiter.api.DisplayName",
+    ),
+    "quarkus": (
+        "io.quarkus.scheduler.Scheduled",
+        "io.quarkus.vertx.ConsumeEvent",
+        "io.quarkus.runtime.Startup",
+    ),
 }
+MODIFIERS_OF = {"microprofile": MICROPROFILE_MODIFIERS, "grpc": GRPC_MODIFIERS, "spring": SPRING_MODIFIERS}
+#: Supertypes of Spring Data.
+SPRING_SUPERTYPES = (
+    "org.springframework.data.repository.Repository",
+    "org.springframework.data.repository.CrudRepository",
+    "org.springframework.data.repository.ListCrudRepository",
+    "org.springframework.data.jpa.repository.JpaRepository",
+    "org.springframework.data.repository.PagingAndSortingRepository",
+    "org.springframework.data.repository.ListPagingAndSortingRepository",
+    "org.springframework.data.repository.reactive.ReactiveCrudRepository",
+    "org.springframework.data.repository.reactive.ReactiveSortingRepository",
+    "org.springframework.data.mongodb.repository.MongoRepository",
+    "org.springframework.data.mongodb.repository.ReactiveMongoRepository",
+    "org.springframework.data.elasticsearch.repository.ElasticsearchRepository",
+    "org.springframework.data.redis.repository.RedisRepository",
+)
 
 
 @dataclass(frozen=True)
 class Preset:
-    """frameworks: those whose annotations are entry points; supertypes: names, or a prefix and an ending."""
+    """frameworks: those whose annotations are entry points."""
 
     frameworks: tuple[str, ...] = ()
     supertypes: tuple[str, ...] = ()
-    repositories: str = ""  # prefix of the packages whose types named ...Repository are supertypes as well
     receivers: tuple[str, ...] = ()
     models: tuple[str, ...] = ()
 
 
+#: What each preset holds.
 PRESETS = {
-    "spring": Preset(("spring", "jpa", "jakarta", "validation", "grpc"), repositories="org.springframework.data.", models=JPA_MODEL),
+    "spring": Preset(("spring", "jpa", "jakarta", "validation", "grpc"), SPRING_SUPERTYPES, models=JPA_MODEL),
     "quarkus": Preset(("quarkus", "jaxrs", "cdi", "microprofile", "jpa", "jakarta", "validation", "jackson", "grpc"), PANACHE_SUPERTYPES, models=JPA_MODEL),
     "grpc": Preset(("grpc",)),
     "jaxrs": Preset(("jaxrs",)),
@@ -123,8 +315,8 @@ def presets_but(dead: Iterable[str] = ()) -> list[Preset]:
 def framework_of(annotation: Column) -> Column:
     """Name of the framework an annotation belongs to; null for others."""
     out = F
-    for prefix in sorted(PACKAGES, key=lambda p: (-len(p), p)):
-        out = out.when(annotation.startswith(prefix), F.lit(PACKAGES[prefix]))
+    for name, listed in ENTRY_POINTS.items():
+        out = out.when(annotation.isin(*listed, *MODIFIERS_OF.get(name, ())), F.lit(name))
     return out.otherwise(F.lit(None).cast("string"))
 
 
@@ -133,19 +325,14 @@ def is_modifier(annotation: Column) -> Column:
 
 
 def is_entry_point(annotation: Column, dead: Iterable[str] = ()) -> Column:
-    """An annotation of a framework in force that is no modifier."""
-    names = sorted({f for p in presets_but(dead) for f in p.frameworks})
-    return F.coalesce(framework_of(annotation).isin(names), F.lit(False)) & ~is_modifier(annotation) if names else F.lit(False)
+    """An annotation that a preset in force lists as an entry point; modifiers are none."""
+    names = sorted({a for p in presets_but(dead) for f in p.frameworks for a in ENTRY_POINTS[f]})
+    return F.coalesce(annotation.isin(names), F.lit(False)) if names else F.lit(False)
 
 
 def is_entry_supertype(supertype: Column, dead: Iterable[str] = ()) -> Column:
-    out = F.lit(False)
-    for p in presets_but(dead):
-        if p.supertypes:
-            out = out | supertype.isin(*p.supertypes)
-        if p.repositories:
-            out = out | (supertype.startswith(p.repositories) & supertype.endswith("Repository"))
-    return out
+    names = sorted({x for p in presets_but(dead) for x in p.supertypes})
+    return supertype.isin(names) if names else F.lit(False)
 
 
 def is_entry_receiver(receiver: Column, dead: Iterable[str] = ()) -> Column:
@@ -162,3 +349,12 @@ def annotation_tags(nodes: DataFrame, notes: DataFrame) -> DataFrame:
     of_method = tags(notes.filter("method is not null"), "class", "method").withColumnRenamed("tags", "own")
     of_class = tags(notes.filter("method is null"), "class").withColumnRenamed("tags", "outer_tags")
     return nodes.join(of_method, ["class", "method"], "left").join(of_class, "class", "left").withColumn("tags", F.coalesce("own", "outer_tags")).select(*nodes.columns, "tags")
+
+
+def entry_point_hints(roots: DataFrame, notes: DataFrame) -> DataFrame:
+    """(class, method, hint) of roots of caller trees that a framework calls, from their first annotation by name that is a framework's."""
+    tagged = annotation_tags(roots.select("class", "method").distinct(), notes)
+    first = F.element_at(F.filter("tags", lambda t: t["framework"].isNotNull()), 1)
+    simple = F.substring_index(F.col("t.annotation"), ".", -1)
+    hint = F.concat(F.lit("@"), simple, F.lit(" is a "), F.col("t.framework"), F.lit(" entry point; invoked by the framework at runtime."))
+    return tagged.filter(F.exists("tags", lambda t: t["framework"].isNotNull())).withColumn("t", first).select("class", "method", hint.alias("hint"))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 from sparkloom.operators.navigation import generated_method
 from sparkloom.plans import class_files as A
-from sparkloom.sources import bytecode as B
-from sparkloom.util import Scratch
+from sparkloom.sources import bytecode as B, jars
+from sparkloom.util import Scratch, table
 
 #: What the queries on usages look for.
 FIVE, TENS = "[.]P[0-9]*5$", "[.]P[0-9]*[12]$"
@@ -33,8 +33,18 @@ def _sets(s, d):
     return B.source_sets(both, ["test", "prod"])
 
 
+def _from_jars(s, d):
+    """The parts' facts by way of JARs of about 500 classes in the shared folder."""
+    scratch, files = Scratch(s, "jars"), A.part_files(s, d)
+    folder = f"{scratch.base}/archives"
+    scratch.keep(jars.write(files, folder, max(1, table(s, d, "part").count() // 500)))
+    return scratch.keep(B.read_jars(s, [folder]))
+
+
 def queries() -> dict:
     return {
+        "jar_classes": lambda s, d: B.classes(_from_jars(s, d)),
+        "jar_errors": lambda s, d: B.errors(_from_jars(s, d)).select(F.regexp_extract("path", "!/(.*)", 1).alias("entry"), "reason"),
         "class_infos": lambda s, d: B.classes(A.facts(s, d)),
         "class_errors": lambda s, d: B.errors(A.facts(s, d)),
         "project_classes": lambda s, d: B.project_classes(A.facts(s, d)),
@@ -95,6 +105,13 @@ def oracle_sql() -> dict[str, str]:
     base = f"with {_CLASSES}"
     tag = f"regexp_matches({{}}, '{FIVE}', 'i')"
     return {
+        "jar_classes": f"""{base}
+            select class, file source_file, case when file = '<unknown>' then file else replace(pkg, '.', '/') || '/' || file end source_path,
+              true user_defined from pc""",
+        "jar_errors": f"""{base}
+            select replace(class, '.', '/') || '.class' entry,
+              case k % 50 when 7 then 'no class file' else 'class file version 99 (Java 55)' end reason
+            from pa where k % 50 in (7, 8)""",
         "class_infos": f"""{with_all}
             select class, file source_file, case when file = '<unknown>' then file else replace(pkg, '.', '/') || '/' || file end source_path,
               not contains(class, '$1') user_defined from al""",

@@ -1,10 +1,10 @@
-"""Queries on source text over the table documents, and the SQL they must equal."""
+"""Queries on source text and on annotations of frameworks, and the SQL they must equal."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clones
+from sparkloom.operators import clones, presets as R
 from sparkloom.sources import tokens as T
 from sparkloom.util import Scratch, table
 
@@ -17,9 +17,31 @@ def word_tokens(s, d):
     return by_line.select("file", F.posexplode(words).alias("offset", "t")).select("file", "offset", "t.text", "t.line")
 
 
+#: Annotations inside and outside the lists of frameworks, by a customer's nation.
+MARKS = ("org.springframework.lang.Nullable", "jakarta.annotation.Nullable", "jakarta.annotation.PostConstruct", "org.springframework.context.annotation.Bean", "org.junit.jupiter.api.Test")
+
+
+def _marks(s, d):
+    mark = F.element_at(F.array(*map(F.lit, MARKS)), F.col("c_nationkey") % 5 + 1)
+    method = F.when(F.col("c_custkey") % 2 == 0, "open")
+    return table(s, d, "customer").select(F.concat(F.lit("app.client.C"), F.col("c_custkey").cast("string")).alias("class"), method.alias("method"), mark.alias("annotation"))
+
+
+def _listed(s, d):
+    a = F.col("annotation")
+    return _marks(s, d).select("class", "method", R.framework_of(a).alias("framework"), R.is_entry_point(a).alias("entry"), R.is_entry_point(a, ["Spring"]).alias("but_spring"))
+
+
+def _hints(s, d):
+    notes = _marks(s, d)
+    return R.entry_point_hints(notes.select("class", F.explode(F.array(F.lit("open"), F.lit("close"))).alias("method")), notes)
+
+
 def queries() -> dict:
     return {
         "source_tokens": lambda s, d: T.token_table(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")).select("file", "offset", "type", "text"),
+        "entry_points_listed": _listed,
+        "entry_point_hints": _hints,
         "duplicates": lambda s, d: clones.duplicate_groups(word_tokens(s, d), Scratch(s, "duplicates")),
     }
 
@@ -30,7 +52,15 @@ def oracle_sql() -> dict[str, str]:
     skip = r"//[^\n]*|/\*(?:.|\n)*?(?:\*/|\z)"
     literal = r'"""(?:.|\n)*?(?:"""|\z)|"(?:\\(?:.|\n)|[^"\\])*(?:"|\z)|' + r"''(?:\\(?:.|\n)|[^''\\])*(?:''|\z)|\d[\w.\pL]*"
     token = rf"{skip}|{literal}|[\pL_][\pL\pN_]*|{escaped}|[-+*/%=<>!&|^~?:;.,()\{{\}}\[\]@#]"
+    marks = f"ma as (select 'app.client.C' || c_custkey class, case when c_custkey % 2 = 0 then 'open' end \"method\", c_nationkey % 5 n, [{', '.join(repr(m) for m in MARKS)}][c_nationkey % 5 + 1] a from customer)"
     return {
+        "entry_points_listed": f"""
+            with {marks}
+            select class, "method", case n when 2 then 'jakarta' when 3 then 'spring' when 4 then 'junit' end framework, n >= 2 entry, n in (2, 4) but_spring from ma""",
+        "entry_point_hints": f"""
+            with {marks}, me as (select class, unnest(case when "method" is null then ['open', 'close'] else ['open'] end) "method", n, a from ma)
+            select class, "method", '@' || split_part(a, '.', -1) || ' is a ' || case n when 2 then 'jakarta' when 3 then 'spring' else 'junit' end
+              || ' entry point; invoked by the framework at runtime.' hint from me where n >= 2""",
         "source_tokens": f"""
             with fo as (select doc_id, regexp_extract_all(coalesce(text, ''), '{token}') t from documents),
             un as (select doc_id, unnest(t) text, unnest(range(len(t))) k from fo),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.functions import names as N
 from sparkloom.operators.navigation import generated_method
-from sparkloom.sources import classfile as C
+from sparkloom.sources import classfile as C, jars
 
 UNKNOWN = "<unknown>"
 #: Annotations that compilers write.
@@ -94,9 +94,27 @@ def read_classes(spark: SparkSession, paths: list[str], source_set: str = "prod"
     return _read(spark, paths, "*.class", False, source_set)
 
 
-def read_jars(spark: SparkSession, paths: list[str], source_set: str = "prod") -> DataFrame:
-    """Facts of all classes in the JARs (files or folders); a JAR is read by one task."""
-    return _read(spark, paths, "*.jar", True, source_set)
+def read_jars(spark: SparkSession, paths: list[str], source_set: str = "prod", whole: bool = False) -> DataFrame:
+    """Facts of all classes in the JARs (files or folders).
+
+    Only the directories of the archives are read first; their entries are dealt out in stretches of about `jars.STRETCH`
+    bytes and read by range, so one large JAR is the work of many tasks. whole: each JAR is one row that Spark
+    reads, for stores that pyarrow cannot open.
+    """
+    if whole:
+        return _read(spark, paths, "*.jar", True, source_set)
+    return jars.entries(spark, paths).mapInArrow(_parse_entries, C.FACT).withColumn("source_set", F.lit(source_set))
+
+
+def _parse_entries(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    held: list[dict] = []
+    for name, content in jars.contents(batches):
+        held += [{"record": "error", "path": name, "value": content}] if isinstance(content, str) else _rows(content, name)
+        if len(held) >= rows:
+            yield _batch(held)
+            held = []
+    if held:
+        yield _batch(held)
 
 
 def _of(facts: DataFrame, record: str) -> DataFrame:

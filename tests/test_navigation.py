@@ -80,6 +80,7 @@ def test_presets(spark):
     names = {
         "jakarta.persistence.Entity": ("jpa", True), "org.springframework.stereotype.Service": ("spring", True), "org.springframework.cache.annotation.Cacheable": ("spring", False), "io.quarkus.grpc.GrpcService": ("grpc", True),
         "io.quarkus.scheduler.Scheduled": ("quarkus", True), "io.quarkus.grpc.RegisterInterceptor": ("grpc", False), "org.eclipse.microprofile.faulttolerance.Retry": ("microprofile", False), "com.acme.X": (None, False), "org.junit.jupiter.api.Test": ("junit", True),
+        "org.springframework.lang.Nullable": (None, False), "jakarta.annotation.Nullable": (None, False), "jakarta.annotation.PostConstruct": ("jakarta", True), "org.springframework.data.annotation.Id": (None, False),
     }
     df = spark.createDataFrame([(n,) for n in names], "a string")
     got = {r.a: (r.f, r.e) for r in df.select("a", R.framework_of(F.col("a")).alias("f"), R.is_entry_point(F.col("a")).alias("e")).collect()}
@@ -91,10 +92,21 @@ def test_presets(spark):
     sup = spark.createDataFrame([("org.springframework.data.jpa.repository.JpaRepository",), ("io.ktor.server.html.Template",), ("com.acme.Repository",)], "a string")
     assert [r.x for r in sup.select(R.is_entry_supertype(F.col("a")).alias("x")).collect()] == [True, True, False]
     assert [r.x for r in sup.select(R.is_entry_supertype(F.col("a"), ["spring", "ktor"]).alias("x")).collect()] == [False] * 3
+    other = spark.createDataFrame([("org.springframework.data.custom.OwnRepository",), ("org.springframework.data.repository.CrudRepository",)], "a string")
+    assert [r.x for r in other.select(R.is_entry_supertype(F.col("a")).alias("x")).collect()] == [False, True]
     rec = spark.createDataFrame([("io.ktor.server.routing.Route",), ("x.Route",)], "a string")
     assert [r.x for r in rec.select(R.is_entry_receiver(F.col("a")).alias("x")).collect()] == [True, False]
 
 
+def test_hints(spark):
+    roots = spark.createDataFrame([("p.A", "get"), ("p.A", "other"), ("p.B", "run"), ("p.C", "run")], "class string, method string")
+    notes = spark.createDataFrame([("p.A", "get", "z.Last"), ("p.A", "get", "jakarta.ws.rs.GET"), ("p.A", None, "org.springframework.stereotype.Service"), ("p.B", None, "org.springframework.lang.Nullable")], "class string, method string, annotation string")
+    assert {tuple(r) for r in R.entry_point_hints(roots, notes).collect()} == {
+        ("p.A", "get", "@GET is a jaxrs entry point; invoked by the framework at runtime."),
+        ("p.A", "other", "@Service is a spring entry point; invoked by the framework at runtime."),
+    }
+
+
 def test_layers(spark):
     layers = P.parse_layers('{"layers": [{"name": "http", "patterns": ["*Controller", "a*b"]}, {"name": "infra", "patterns": ["*Fake*"], "peerLimit": "1", "testInfrastructure": true}, {"name": "domain", "patterns": ["*"], "peerLimit": -1}]}')
     assert [x["peer_limit"] for x in layers] == [0, 1, -1]
