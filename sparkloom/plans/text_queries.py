@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.operators import clones, presets as R
-from sparkloom.sources import tokens as T
+from sparkloom.plans import adapters as A, catalogue
+from sparkloom.sources import gitlog as L, tokens as T
 from sparkloom.util import Scratch, table
 
 
@@ -37,8 +38,17 @@ def _hints(s, d):
     return R.entry_point_hints(notes.select("class", F.explode(F.array(F.lit("open"), F.lit("close"))).alias("method")), notes)
 
 
+def _log_files(s, d):
+    """The logs of all customers as files of the shared folder, read by ranges of 1 MB."""
+    scratch = Scratch(s, "logs")
+    folder = f"{scratch.base}/text"
+    A.log_texts(s, d).repartition(4, "log").write.text(folder)
+    return L.read_log(s, folder, 1 << 20).select("hash", "date", "author", "path", "added", "deleted")
+
+
 def queries() -> dict:
     return {
+        "git_log_files": _log_files,
         "source_tokens": lambda s, d: T.token_table(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")).select("file", "offset", "type", "text"),
         "entry_points_listed": _listed,
         "entry_point_hints": _hints,
@@ -54,6 +64,7 @@ def oracle_sql() -> dict[str, str]:
     token = rf"{skip}|{literal}|[\pL_][\pL\pN_]*|{escaped}|[-+*/%=<>!&|^~?:;.,()\{{\}}\[\]@#]"
     marks = f"ma as (select 'app.client.C' || c_custkey class, case when c_custkey % 2 = 0 then 'open' end \"method\", c_nationkey % 5 n, [{', '.join(repr(m) for m in MARKS)}][c_nationkey % 5 + 1] a from customer)"
     return {
+        "git_log_files": catalogue.oracle_sql()["git_log"],
         "entry_points_listed": f"""
             with {marks}
             select class, "method", case n when 2 then 'jakarta' when 3 then 'spring' when 4 then 'junit' end framework, n >= 2 entry, n in (2, 4) but_spring from ma""",

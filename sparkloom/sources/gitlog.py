@@ -12,6 +12,7 @@ BUILD_DIRS = ("build/", "target/", "bin/", ".gradle/", "out/", "node_modules/")
 
 def run_git_log(directory: str, after: str | None = None, follow_renames: bool = True) -> str:
     """`git log` of all branches with numstat; raises if git fails."""
+    #: fixed value: the form in which git prints a commit
     cmd = ["git", "log", "--all", "--numstat", "--date=short", "--pretty=format:--%h--%ad--%aN", "-M" if follow_renames else "--no-renames"]
     done = subprocess.run(cmd + ([f"--after={after}"] if after else []), cwd=directory, capture_output=True, text=True)
     if done.returncode:
@@ -35,7 +36,7 @@ def resolve_rename(c):
     return F.when(c.rlike(brace), F.array_join(F.filter(parts, lambda x: x != ""), "/")).when(c.rlike("^.+ => .+$"), F.regexp_extract(c, r"^.+ => (.+)$", 1)).otherwise(c)
 
 
-def parse(logs: DataFrame, log: str = "log") -> DataFrame:
+def parse(logs: DataFrame, log: str = "log", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per log text -> (commit_seq, hash, date, author, pos, path, added, deleted).
 
     Header lines are `--hash--date--author`; other lines count with three tab-separated fields and
@@ -47,13 +48,13 @@ def parse(logs: DataFrame, log: str = "log") -> DataFrame:
     header = r"^--([^-]+)--(\d{4}-\d{2}-\d{2})--(.+)$"
     # commits begin at header lines: cut the text there, then each part is one commit
     parts = F.split(F.concat(F.lit("\n"), F.col(log)), r"\n(?=--[^-\n]+--\d{4}-\d{2}-\d{2}--[^\n])")
-    commits = logs.select(F.posexplode(parts).alias("commit_seq", "part")).withColumn("lines", F.split("part", "\r?\n"))
+    commits = logs.select(*keep, F.posexplode(parts).alias("commit_seq", "part")).withColumn("lines", F.split("part", "\r?\n"))
     head = F.regexp_replace(F.get(F.col("lines"), F.lit(0)), "\r$", "")
     rows = commits.filter(head.rlike(header)).select(
-        F.col("commit_seq").cast("long"), F.regexp_extract(head, header, 1).alias("hash"), F.to_date(F.regexp_extract(head, header, 2)).alias("date"), F.regexp_extract(head, header, 3).alias("author"), F.posexplode("lines").alias("pos", "line")
+        *keep, F.col("commit_seq").cast("long"), F.regexp_extract(head, header, 1).alias("hash"), F.to_date(F.regexp_extract(head, header, 2)).alias("date"), F.regexp_extract(head, header, 3).alias("author"), F.posexplode("lines").alias("pos", "line")
     )
     f = F.split(F.regexp_replace("line", "\r$", ""), "\t")
-    changes = rows.filter((F.col("pos") > 0) & (F.size(f) == 3)).select("commit_seq", "hash", "date", "author", "pos", resolve_rename(F.get(f, F.lit(2))).alias("path"), F.coalesce(F.get(f, F.lit(0)).try_cast("int"), F.lit(0)).alias("added"), F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(0)).alias("deleted"))
+    changes = rows.filter((F.col("pos") > 0) & (F.size(f) == 3)).select(*keep, "commit_seq", "hash", "date", "author", "pos", resolve_rename(F.get(f, F.lit(2))).alias("path"), F.coalesce(F.get(f, F.lit(0)).try_cast("int"), F.lit(0)).alias("added"), F.coalesce(F.get(f, F.lit(1)).try_cast("int"), F.lit(0)).alias("deleted"))
     return changes.filter(~_starts(F.col("path"), BUILD_DIRS))
 
 
@@ -64,5 +65,16 @@ def _starts(c, prefixes):
     return out
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse(spark.read.text(path, wholetext=True).withColumnRenamed("value", "log"))
+def parse_commits(rows: DataFrame) -> DataFrame:
+    """The changes of rows (file, at, commit) of the data source `commitlog`, as parse gives them; commit_seq is the place in the log."""
+    changes = parse(rows, "commit", ("file", "at"))
+    return changes.withColumn("commit_seq", F.col("at")).drop("file", "at")
+
+
+def read_log(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """The changes of a log, or of a folder of logs, read by ranges of bytes."""
+    from sparkloom.sources import gitsource
+
+    gitsource.register(spark)
+    reader = spark.read.format("commitlog")
+    return parse_commits((reader.option("splitBytes", split_bytes) if split_bytes else reader).load(path))

@@ -65,3 +65,55 @@ def test_run_git(spark, tmp_path):
     assert sorted(G.run_git_diff(str(tmp_path), "base")) in (["b.kt", "c.bin"], ["a.kt", "b.kt", "c.bin"])
     with pytest.raises(RuntimeError):
         G.run_git_diff(str(tmp_path), "nowhere")
+
+
+def big_log(n, ends="\n"):
+    return "junk\n" + "".join(f"--h{i}--2024-01-{i % 28 + 1:02}--Ann é{ends}" + "".join(f"{j}\t1\tsrc/{i}_{j}.kt{ends}" for j in range(i % 7)) + ends for i in range(n))
+
+
+@pytest.mark.parametrize("split", [1, 7, 97, 1000, 1 << 20])
+def test_ranges_give_every_commit_once(tmp_path, split):
+    from sparkloom.sources import gitsource as S
+
+    path = tmp_path / "log"
+    path.write_bytes(big_log(60).encode())
+    size = path.stat().st_size
+    got = [(r["at"], r["commit"]) for a in range(0, size, split) for b in S.commits(S.Range(str(path), a, min(size, a + split))) for r in b.to_pylist()]
+    assert [c.split("--")[1] for _, c in got] == [f"h{i}" for i in range(60)]
+    assert "".join(c for _, c in got) == big_log(60).removeprefix("junk\n") and [a for a, _ in got] == sorted(a for a, _ in got)
+
+
+def test_log_is_read_by_many_tasks(spark, tmp_path):
+    for name, ends in (("a.txt", "\n"), ("b.txt", "\r\n")):
+        (tmp_path / name).write_text(big_log(200, ends), newline="")
+    rows = G.read_log(spark, str(tmp_path), 512)
+    assert rows.rdd.getNumPartitions() > 20
+    whole = G.parse(spark.read.text(str(tmp_path), wholetext=True), "value")
+    key = ("hash", "date", "author", "path", "added", "deleted")
+    assert sorted(map(str, rows.select(*key).collect())) == sorted(map(str, whole.select(*key).collect())) and rows.count() > 1000
+    # the order of commits is that of the log
+    first = G.read_log(spark, str(tmp_path / "a.txt"), 300).select("commit_seq", "hash").distinct().orderBy("commit_seq").collect()
+    assert [r.hash for r in first] == [f"h{i}" for i in range(200) if i % 7]
+    (tmp_path / "empty").mkdir()
+    assert G.read_log(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    from sparkloom.sources import gitsource as S
+
+    S.register(spark)
+    log, out, state = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "state")
+    text = big_log(30)
+    cut = text.index("--h17--") + 20  # the header of h17 is there, its changes are not
+
+    def run(final):
+        rows = G.parse_commits(spark.readStream.format("commitlog").option("splitBytes", 200).option("final", final).load(str(log)))
+        rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+        return [r.path for r in spark.read.parquet(out).orderBy("commit_seq", "pos").collect()]
+
+    want = [f"src/{i}_{j}.kt" for i in range(30) for j in range(i % 7)]
+    log.write_text(text[:cut])
+    assert run("false") == [w for w in want if int(w[4:].split("_")[0]) < 17]
+    log.write_text(text)
+    assert run("false") == [w for w in want if int(w[4:].split("_")[0]) < 29]
+    assert run("true") == want
