@@ -8,8 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.operators import graph as G, history as H, navigation as V, packages as P, presets as R, search as S
-from sparkloom.sources import bytecode as B
+from sparkloom.operators import clones, graph as G, history as H, navigation as V, packages as P, presets as R, search as S
+from sparkloom.sources import bytecode as B, tokens as T
 from sparkloom.util import Scratch
 
 #: Parameters, their kind and default. A flag is set by being there; a date is by default a year ago.
@@ -20,17 +20,23 @@ PARAMS = {
     "owner-class": ("text", None), "field": ("text", None), "type": ("text", None), "outside-package": ("text", None), "filter": ("text", None), "exclude": ("text", None),
     "classes-only": ("bool", None), "exclude-annotated": ("list", None), "scope": ("text", "all"), "group-by": ("text", "none"), "treat-as-dead": ("list", None),
     "collapse-lambdas": ("bool", "true"), "min-shared-revs": ("int", "5"), "min-coupling": ("int", "30"), "max-changeset-size": ("int", "30"), "methods": ("bool", "false"),
+    "ref": ("text", None), "config": ("text", None), "init": ("bool", "false"), "min-tokens": ("int", "50"),
 }
 
+#: Defaults that differ by task.
+OTHER = {("context", "maxdepth"): "2"}
+
 
 @dataclass
 class Inputs:
-    """What tasks read: facts of class files, changes(after, follow renames) of the history, (file, lines) of sources."""
+    """What tasks read: facts of class files, changes(after, follow renames) of the history, (file, lines) of sources, and more."""
 
     spark: SparkSession
     facts: DataFrame | None = None
     changes: Callable[[datetime.date, bool], DataFrame] | None = None
     files: DataFrame | None = None
+    texts: DataFrame | None = None  # (file, text) of sources
+    changed: Callable[[str], DataFrame] | None = None  # (path) of files that differ from a revision
     source_sets: tuple[str, ...] = ("prod", "test")
 
     def scratch(self, name: str) -> Scratch:
@@ -71,6 +77,7 @@ def parse(task: str, given: dict[str, str | None]) -> dict:
     out = {}
     for name in names:
         kind, default = PARAMS[name]
+        default = OTHER.get((task, name), default)
         if name == "top" and wide:  # without a limit unless one is given
             out[name] = None if given.get(name) in (None, "all") else int(given[name])
             if out[name] is not None and out[name] < 1:
@@ -167,6 +174,53 @@ def _log(i: Inputs, p: dict) -> DataFrame:
     return i.changes(p["after"], not p["no-follow"])
 
 
+def _metrics(i: Inputs, p: dict) -> DataFrame:
+    """Counts, and the files that change most (path and revisions), most changed first."""
+    all_of = {k: parsed(kind, None, default) for k, (kind, default) in PARAMS.items()}
+    pairs = _deps(i, all_of | p).select(F.col("src_pkg").alias("src"), F.col("tgt_pkg").alias("tgt")).distinct()
+    loops = G.cycles(pairs, i.scratch("loops"))
+    row = V.metrics(_project_edges(i, all_of | p), B.classes(i.of(p["scope"])).filter("user_defined"), _dead(i, all_of | p), loops)
+    spots = H.hotspots(_log(i, p), 1, p["top"]).agg(F.sort_array(F.collect_list(F.struct((-F.col("revisions")).alias("m"), "path"))).alias("s"))
+    named = F.transform("s", lambda x: F.struct(x["path"].alias("path"), (-x["m"]).alias("revisions")))
+    return row.crossJoin(F.broadcast(spots.select(named.alias("top_hotspots"))))  # one row each
+
+
+def _balance(i: Inputs, p: dict) -> DataFrame:
+    changes = H.volatility(H.hotspots(_log(i, p), 1, None), H.package_of_file(F.col("path")))
+    return P.balance(P.strength(_deps(i, p), B.class_kinds(i.facts)), changes)
+
+
+def _layers(i: Inputs, p: dict) -> DataFrame:
+    """Violations of the layers in `config` (JSON, or the path of a file of the driver); with init the layers that fit the classes."""
+    if p["init"]:
+        rows = [(k, x["name"], x["patterns"]) for k, x in enumerate(S.layer_proposal(B.classes(i.of(p["scope"])).filter("user_defined")))]
+        return i.spark.createDataFrame(rows, "place int, layer string, patterns array<string>")
+    text = _need(p, "config")
+    if not text.lstrip().startswith("{"):
+        with open(text, encoding="utf-8") as f:
+            text = f.read()
+    return P.layer_check(_deps(i, p), P.parse_layers(text))
+
+
+def _changed(i: Inputs, p: dict) -> DataFrame:
+    edges = B.call_edges(i.of(p["scope"]))
+    edges = S.call_filter(edges, "caller", B.classes(i.facts).select("class")) if p["project-only"] else edges
+    sources = B.classes(i.facts).select("class", F.col("source_path").alias("path"))
+    return V.changed_since(i.changed(_need(p, "ref")), sources, edges)[0]
+
+
+def _context(i: Inputs, p: dict) -> DataFrame:
+    """(part, row): everything around the classes that match, each row as JSON under the name of its part."""
+    f = i.of(p["scope"])
+    supers = B.supertypes(f).select("supertype", "implementor")
+    parts = S.context(B.class_details(f), B.call_edges(f), supers, i.scratch("context"), S.enhance(_need(p, "pattern")), p["maxdepth"])
+    rows = [d.select(F.lit(name).alias("part"), F.to_json(F.struct("*")).alias("row")) for name, d in parts.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
 _DEPS, _LOG = "package-filter include-external dsm-depth scope", "after no-follow"
 #: name: (parameters, top without a limit, what it runs)
 TASKS: dict[str, tuple[str, bool, Callable[[Inputs, dict], DataFrame]]] = {
@@ -196,6 +250,12 @@ TASKS: dict[str, tuple[str, bool, Callable[[Inputs, dict], DataFrame]]] = {
     "coupling": (f"{_LOG} min-shared-revs min-coupling max-changeset-size top", False, lambda i, p: H.coupling(_log(i, p), p["min-shared-revs"], p["min-coupling"], p["max-changeset-size"], p["top"])),
     "volatility": (f"{_LOG} min-revs top", False, lambda i, p: H.volatility(H.hotspots(_log(i, p), p["min-revs"], None), H.package_of_file(F.col("path")), p["top"])),
     "size": ("top over", False, lambda i, p: H.sizes(i.files, p["over"], p["top"])),
+    "metrics": (f"{_LOG} top package-filter include-external project-only collapse-lambdas exclude-annotated treat-as-dead scope", False, _metrics),
+    "balance": (f"{_DEPS} {_LOG}", False, _balance),
+    "layer-check": (f"{_DEPS} config init", False, _layers),
+    "changed-since": ("ref project-only scope", False, _changed),
+    "context": ("pattern maxdepth scope", False, _context),
+    "duplicates": ("min-tokens top", False, lambda i, p: H.top(clones.duplicate_groups(T.token_table(i.texts), i.scratch("duplicates"), p["min-tokens"]), p["top"], F.desc("length"), "file_a", "start_a", "file_b", "start_b")),
 }
 
 

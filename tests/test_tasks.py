@@ -34,7 +34,9 @@ def inputs(spark, tmp_path_factory):
     rows = [("h1", day, "x", "src/main/kotlin/a/Box.kt", 3, 1), ("h2", day, "y", "src/main/kotlin/a/Box.kt", 1, 0), ("h2", day, "y", "src/main/kotlin/b/Store.kt", 2, 2)]
     changes = spark.createDataFrame([(int(h[1:]), h, *r) for h, *r in rows], "commit_seq int, hash string, date date, author string, path string, added int, deleted int")
     files = spark.createDataFrame([("a.kt", 10), ("b.kt", 30)], "file string, lines long")
-    return T.Inputs(spark, facts, lambda after, follow: changes.filter(changes.date > after), files)
+    texts = spark.createDataFrame([(f"{k}.kt", f"fun f{k}() {{ " + " ".join(f"x{j} = y{j} + {j}" for j in range(30)) + " }") for k in range(3)], "file string, text string")
+    diff = lambda ref: spark.createDataFrame([("src/main/java/b/Store.java",), ("README.md",)] if ref == "main" else [], "path string")
+    return T.Inputs(spark, facts, lambda after, follow: changes.filter(changes.date > after), files, texts=texts, changed=diff)
 
 
 def rows(df, *columns):
@@ -82,3 +84,21 @@ def test_history(inputs):
     assert go("coupling", min_shared_revs="1", min_coupling="1").count() == 1
     assert T.run(inputs, "churn", after="2024-02-01").count() == 0
     assert rows(T.run(inputs, "size", over="20"), "file") == [("b.kt",)]
+
+
+def test_more_tasks(inputs):
+    go = lambda name, **p: T.run(inputs, name, **p)
+    (m,) = go("metrics", after="2024-01-01", top="1").collect()
+    assert m.classes == go("list-classes").count() and m.cycles == 1 and [tuple(x) for x in m.top_hotspots] == [("src/main/kotlin/a/Box.kt", 2)]
+    assert {r[:2] for r in rows(go("balance", after="2024-01-01"), "src", "tgt")} >= {("a", "b"), ("b", "a")}
+    layers = '{"layers": [{"name": "low", "patterns": ["Store"]}, {"name": "high", "patterns": ["*"], "peerLimit": -1}]}'
+    assert {("a.Box", "b.Store")} <= set(rows(go("layer-check", config=layers), "src_class", "tgt_class"))
+    assert rows(go("layer-check", init="true"), "layer")[-1:] == [("domain",)]
+    assert ("b.Store", 1) in rows(go("changed-since", ref="main"), "class", "callers")
+    parts = {r.part for r in go("context", pattern="Box").collect()}
+    assert {"details", "callers", "callees", "supertypes"} <= parts and T.parse("context", {"pattern": "x"})["maxdepth"] == 2
+    got = rows(go("duplicates", min_tokens="50"), "file_a", "file_b", "length")
+    assert [x[:2] for x in got] == [("0.kt", "1.kt"), ("0.kt", "2.kt")]
+    for task in ("layer-check", "changed-since", "context"):
+        with pytest.raises(ValueError):
+            go(task)
