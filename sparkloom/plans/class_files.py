@@ -58,8 +58,8 @@ def _part(r: dict) -> tuple[str, bytes]:
         c.method("<init>", "()V", [("special", parent, "<init>", "()V")])
         c.method("getPrice", "()D", [("line", size), ("getfield", own, "price", "D")])
     route = [S.Note(("Lcom/shared/Route;", {"path": f"/p/{k}", "verb": S.Enum(("Lcom/shared/Verb;", "GET")), "type": S.Type("Lcom/shared/Owner;")}))] if size >= 35 else []
-    body = [("line", k % 100 + 1), ("op", S.NOP), ("text", r["title"]), ("line", k % 100 + 3), ("static", "java/lang/String", "valueOf", "(I)Ljava/lang/String;")]
-    c.method("describe", DESCRIBE, None if face else body, S.PUBLIC | (S.ABSTRACT if face else 0), ["java/io/IOException"] if k % 13 == 0 else [], route)
+    body = [("line", k % 100 + 1), ("op", S.NOP), ("text", r["title"]), ("line", k % 100 + 3), ("load", 2), ("static", "java/lang/String", "valueOf", "(I)Ljava/lang/String;")]
+    c.method("describe", DESCRIBE, None if face else body, S.PUBLIC | (S.ABSTRACT if face else 0), ["java/io/IOException"] if k % 13 == 0 else [], route, ["count", "title"])
     if data:
         c.method("component1", "()D", [("getfield", own, "price", "D")])
         c.method("copy", f"(D)L{own};", [("text", "copied")])

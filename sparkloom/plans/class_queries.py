@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from sparkloom.operators import renames as R
 from sparkloom.operators.navigation import generated_method
 from sparkloom.plans import class_files as A
 from sparkloom.sources import bytecode as B, jars
@@ -41,8 +42,40 @@ def _from_jars(s, d):
     return scratch.keep(B.read_jars(s, [folder]))
 
 
+def _targets(facts, method: str, *more: str):
+    """Every class that declares the method, the method, and constants."""
+    return B.declared_methods(facts).filter(F.col("method") == method).select("class", "method", *(F.lit(m).alias("param") for m in more))
+
+
+def _rename_method(s, d):
+    facts, scratch = _kept(s, d), Scratch(s, "rename")
+    above = s.createDataFrame([("com.shared.Priced", "describe")], "class string, method string")
+    return R.rename_method(facts, _targets(facts, "describe").union(above), scratch)
+
+
+def _rename_parameter(s, d):
+    facts = _kept(s, d)
+    return R.rename_parameter(facts, _targets(facts, "describe", "title"), Scratch(s, "rename"))
+
+
+def _rename_property(s, d):
+    facts = _kept(s, d)
+    return R.rename_property(facts, B.fields(facts).filter("field = 'price'").select("class", F.col("field").alias("property")))
+
+
+def _move_class(s, d):
+    """Parts move to the package com.moved under a new name."""
+    facts = _kept(s, d)
+    parts = B.classes(facts).filter("class rlike '[.]P[0-9]+$'").select("class", F.concat(F.lit("com.moved.New"), F.regexp_extract("class", "(P[0-9]+)$", 1)).alias("new_class"))
+    return R.move_class(facts, parts)
+
+
 def queries() -> dict:
     return {
+        "rename_method_sites": _rename_method,
+        "rename_parameter_sites": _rename_parameter,
+        "rename_property_sites": _rename_property,
+        "move_class_sites": _move_class,
         "jar_classes": lambda s, d: B.classes(_from_jars(s, d)),
         "jar_errors": lambda s, d: B.errors(_from_jars(s, d)).select(F.regexp_extract("path", "!/(.*)", 1).alias("entry"), "reason"),
         "class_infos": lambda s, d: B.classes(A.facts(s, d)),
@@ -95,6 +128,7 @@ ol as (
 sc as (
   select s_suppkey k, 'com.suppliers' pkg, 'com.suppliers.S' || s_suppkey || 'Kt' class, 'Suppliers.kt' file, s_nationkey nation, s_acctbal balance
   from supplier)"""
+_PATH = "case when {0}file = '<unknown>' then '<unknown>' else replace({0}pkg, '.', '/') || '/' || {0}file end"
 _ALL = "al as (select class, pkg, file from pc union all select class, pkg, file from oc union all select class, pkg, file from sc)"
 _DESCRIBE = "(ILjava/lang/String;)Ljava/lang/String;"
 
@@ -104,7 +138,30 @@ def oracle_sql() -> dict[str, str]:
     with_all = f"with {_CLASSES}, {_ALL}"
     base = f"with {_CLASSES}"
     tag = f"regexp_matches({{}}, '{FIVE}', 'i')"
+    path = _PATH.format("")
     return {
+        "rename_method_sites": f"""{base}
+            select class, 'describe' "method", 'DECLARATION' kind, class site_class, 'describe' site_method, {path} source_path,
+              cast(case when not face then k % 100 + 1 end as integer) line from pc
+            union select 'com.shared.Priced', 'describe', 'DECLARATION', class, 'describe', {path},
+              cast(case when not face then k % 100 + 1 end as integer) from pc where k % 3 = 0
+            union select pc.class, 'describe', 'CALL', ol.class, m, {_PATH.format('ol.')}, q from ol join pc on ol.tk = pc.k where n = 1""",
+        "rename_parameter_sites": f"""{base}
+            select class, 'describe' "method", 'title' param, 'PARAMETER' kind, class site_class, 'describe' site_method, {path} source_path,
+              cast(k % 100 + 1 as integer) line from pc where not face
+            union select class, 'describe', 'title', 'READ', class, 'describe', {path}, cast(k % 100 + 3 as integer) from pc where not face
+            union select pc.class, 'describe', 'title', 'CALL', ol.class, m, {_PATH.format('ol.')}, q
+              from ol join pc on ol.tk = pc.k where n = 1 and not face""",
+        "rename_property_sites": f"""{base}
+            select class, 'price' property, 'FIELD' kind, class site_class, cast(null as varchar) site_method, {path} source_path,
+              cast(null as integer) line from pc where not face
+            union select pc.class, 'price', 'READ', ol.class, m, {_PATH.format('ol.')}, null from ol join pc on ol.tk = pc.k
+              where n in (2, 4) and not face""",
+        "move_class_sites": f"""{base}
+            select class, 'com.moved.NewP' || k new_class, 'MOVED' kind, class site_class, {path} source_path,
+              case when file <> '<unknown>' then 'com/moved/NewP' || k || '.kt' end new_path from pc
+            union select pc.class, 'com.moved.NewP' || pc.k, 'REFERENCE', ol.class, {_PATH.format('ol.')}, null
+              from ol join pc on ol.tk = pc.k where n <> 5""",
         "jar_classes": f"""{base}
             select class, file source_file, case when file = '<unknown>' then file else replace(pkg, '.', '/') || '/' || file end source_path,
               true user_defined from pc""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import clones, presets as R
+from sparkloom.operators import clones, diffs, presets as R
 from sparkloom.plans import adapters as A, catalogue
 from sparkloom.sources import gitlog as L, tokens as T
 from sparkloom.util import Scratch, table
@@ -38,6 +38,12 @@ def _hints(s, d):
     return R.entry_point_hints(notes.select("class", F.explode(F.array(F.lit("open"), F.lit("close"))).alias("method")), notes)
 
 
+def _diffs(s, d):
+    """Each document against itself with some words changed and some lines joined."""
+    docs = table(s, d, "documents").select("doc_id", F.col("text").alias("before"))
+    return diffs.diff_lines(docs.withColumn("after", F.replace(F.replace("before", F.lit("er\n"), F.lit("er ")), F.lit(" of "), F.lit(" for "))), ["doc_id"])
+
+
 def _log_files(s, d):
     """The logs of all customers as files of the shared folder, read by ranges of 1 MB."""
     scratch = Scratch(s, "logs")
@@ -49,6 +55,7 @@ def _log_files(s, d):
 def queries() -> dict:
     return {
         "git_log_files": _log_files,
+        "text_diffs": _diffs,
         "source_tokens": lambda s, d: T.token_table(table(s, d, "documents").select(F.col("doc_id").alias("file"), "text")).select("file", "offset", "type", "text"),
         "entry_points_listed": _listed,
         "entry_point_hints": _hints,
@@ -65,6 +72,13 @@ def oracle_sql() -> dict[str, str]:
     marks = f"ma as (select 'app.client.C' || c_custkey class, case when c_custkey % 2 = 0 then 'open' end \"method\", c_nationkey % 5 n, [{', '.join(repr(m) for m in MARKS)}][c_nationkey % 5 + 1] a from customer)"
     return {
         "git_log_files": catalogue.oracle_sql()["git_log"],
+        "text_diffs": """
+            with pa as (select doc_id, regexp_split_to_array(text, '\\r\\n|\\n|\\r') a,
+              regexp_split_to_array(replace(replace(text, 'er' || chr(10), 'er '), ' of ', ' for '), '\\r\\n|\\n|\\r') b from documents where text is not null),
+            li as (select doc_id, a, b, unnest(range(1, greatest(len(a), len(b)) + 1)) line from pa),
+            xy as (select doc_id, line, a[line] x, b[line] y from li)
+            select doc_id, line::integer line, '-' sign, x text from xy where x is distinct from y and x is not null
+            union all select doc_id, line::integer, '+', y from xy where x is distinct from y and y is not null""",
         "entry_points_listed": f"""
             with {marks}
             select class, "method", case n when 2 then 'jakarta' when 3 then 'spring' when 4 then 'junit' end framework, n >= 2 entry, n in (2, 4) but_spring from ma""",

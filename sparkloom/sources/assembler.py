@@ -7,17 +7,20 @@ Names are internal (slashes). Code carries no stack maps, so its classes are for
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Iterable
 
+from sparkloom.sources.classfile import parameter_slots
+
 #: Fixed values of the JVM specification: tags of constants.
 UTF8, INT, CLASS, STRING, FIELD, METHOD, FACE_METHOD, NAME_TYPE, HANDLE, METHOD_TYPE, DYNAMIC = 1, 3, 7, 8, 9, 10, 11, 12, 15, 16, 18
 #: Fixed values of the JVM specification: opcodes by the names that `code` takes.
 CALLS = {"virtual": 0xB6, "special": 0xB7, "static": 0xB8, "interface": 0xB9}
 FIELDS = {"getstatic": 0xB2, "putstatic": 0xB3, "getfield": 0xB4, "putfield": 0xB5}
 TYPES = {"new": 0xBB, "newarray": 0xBD, "checkcast": 0xC0, "instanceof": 0xC1}
-LDC, LDC_W, SWITCH, INVOKEDYNAMIC, RETURN, NOP = 0x12, 0x13, 0xAA, 0xBA, 0xB1, 0x00
+LDC, LDC_W, SWITCH, INVOKEDYNAMIC, RETURN, NOP, LOAD, STORE = 0x12, 0x13, 0xAA, 0xBA, 0xB1, 0x00, 0x19, 0x3A
 INVOKE_STATIC_HANDLE, INVOKE_VIRTUAL_HANDLE = 6, 5
 FACTORY = ("java/lang/invoke/LambdaMetafactory", "metafactory", "(Ljava/lang/invoke/MethodHandles$Lookup;Ljava/lang/String;)Ljava/lang/invoke/CallSite;")
 PUBLIC, STATIC, SUPER, BRIDGE, INTERFACE, ABSTRACT, SYNTHETIC = 0x1, 0x8, 0x20, 0x40, 0x200, 0x400, 0x1000
@@ -126,8 +129,10 @@ class ClassFile:
     def field(self, name: str, desc: str, access: int = PUBLIC, notes: Iterable[Note] = ()) -> None:
         self._member(0, access, name, desc, self._notes(notes))
 
-    def method(self, name: str, desc: str, code: Iterable[tuple] | None = None, access: int = PUBLIC, throws: Iterable[str] = (), notes: Iterable[Note] = ()) -> None:
-        attributes = [] if code is None else [self._attribute("Code", self._code(list(code)))]
+    def method(self, name: str, desc: str, code: Iterable[tuple] | None = None, access: int = PUBLIC, throws: Iterable[str] = (), notes: Iterable[Note] = (), params: Iterable[str] = ()) -> None:
+        """params: names of the parameters, kept with the code for debuggers."""
+        variables = [] if code is None else list(zip(params, parameter_slots(desc, bool(access & STATIC)), re.findall(r"\[*(?:L[^;]+;|[A-Z])", desc), strict=False))
+        attributes = [] if code is None else [self._attribute("Code", self._code(list(code), variables))]
         if throws := list(throws):
             attributes.append(self._attribute("Exceptions", _u2(len(throws), *map(self.type, throws))))
         self._member(1, access, name, desc, attributes + self._notes(notes))
@@ -135,10 +140,10 @@ class ClassFile:
     def _member(self, kind: int, access: int, name: str, desc: str, attributes: list[bytes]) -> None:
         self.members[kind].append(_u2(access, self.utf8(name), self.utf8(desc), len(attributes)) + b"".join(attributes))
 
-    def _code(self, items: list[tuple]) -> bytes:
+    def _code(self, items: list[tuple], variables: list[tuple[str, int, str]] = ()) -> bytes:
         """Items: (call kind, owner, name, desc), (field access, owner, name, desc), (type instruction, type), ("text", s),
         ("classof", type), ("lambda", name, desc, owner, method, method's desc), ("line", n), ("label", l),
-        ("jump", opcode, l), ("switch", low, labels, default) and ("op", opcode)."""
+        ("jump", opcode, l), ("switch", low, labels, default), ("load", slot), ("store", slot) and ("op", opcode)."""
         labels: dict = {}
         jumps = any(what in ("jump", "switch") for what, *_ in items)
         for _ in range(2 if jumps else 1):  # the first round places the labels, the second knows them
@@ -168,12 +173,17 @@ class ClassFile:
                     out += bytes([SWITCH]) + bytes(3 - at % 4)
                     out += struct.pack(">iii", labels.get(default, at) - at, low, low + len(cases) - 1)
                     out += b"".join(struct.pack(">i", labels.get(c, at) - at) for c in cases)
+                elif what in ("load", "store"):
+                    out += bytes([LOAD if what == "load" else STORE, args[0]])
                 elif what == "op":
                     out.append(args[0])
                 else:
                     raise ValueError(f"unknown item {what}")
             out.append(RETURN)
         tables = [self._attribute("LineNumberTable", _u2(len(lines), *(n for pair in lines for n in pair)))] if lines else []
+        if variables:
+            rows = (_u2(0, len(out), self.utf8(n), self.utf8(d), slot) for n, slot, d in variables)
+            tables.append(self._attribute("LocalVariableTable", _u2(len(variables)) + b"".join(rows)))
         return _u2(4, 4) + struct.pack(">I", len(out)) + bytes(out) + _u2(0, len(tables)) + b"".join(tables)
 
     def _dynamic(self, name: str, desc: str, owner: str, method: str, method_desc: str) -> int:

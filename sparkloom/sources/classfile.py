@@ -1,13 +1,14 @@
 """JVM class files, read once by their published format into plain records.
 
 `parse` gives rows of one wide shape (FACT) for one class file; `sparkloom.sources.bytecode` spreads
-them over Spark. Names are dotted. Nothing is read from debug tables but source file and lines.
+them over Spark. Names are dotted. Of debug tables, source file, lines and the names of parameters are read.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from bisect import bisect_right
 
 from sparkloom.sources import kotlin
 
@@ -15,7 +16,9 @@ from sparkloom.sources import kotlin
 #: class (name: super class, value: source file, names: interfaces), field, method (line: first line),
 #: call (owner, name: callee), use (owner, name, desc; value: kind of usage), text (value: constant),
 #: note (name: annotation; params; member null for the class), ref (owner: referenced type),
-#: kotlin (name: class or file; names: JVM names of the functions its metadata lists), inline (member: a function).
+#: kotlin (name: class or file; names: JVM names of the functions its metadata lists), inline (member: a function),
+#: site (owner, name, desc: what an instruction touches; value: CALL, REFERENCE, READ or WRITE; line; access: the member's),
+#: param (desc: the method's; name; line: its place), local (desc: the method's; name: a parameter; value: READ or WRITE; line).
 FACT = "record string, path string, class string, member string, desc string, owner string, name string, value string, line int, access int, names array<string>, params map<string,string>"
 COLUMNS = [c.split()[0] for c in FACT.split(", ")]
 
@@ -65,14 +68,16 @@ TYPE_OPS = {0xBB: "new", 0xBD: "newarray", 0xC0: "checkcast", 0xC1: "instanceof"
 
 
 def instructions(code: bytes):
-    """(opcode, constant index or 0) of every instruction."""
+    """(opcode, operand, place) of every instruction but switches: the constant's index, the local's slot, else 0."""
     at, n = 0, len(code)
     while at < n:
         op = code[at]
         size = OPERANDS[op]
         if size == -1:
             if op == WIDE:
-                size = 5 if code[at + 1] == IINC else 3
+                yield code[at + 1], code[at + 2] << 8 | code[at + 3], at
+                at += 6 if code[at + 1] == IINC else 4
+                continue
             else:
                 base = at + 4 - at % 4
                 if op == TABLESWITCH:
@@ -82,13 +87,37 @@ def instructions(code: bytes):
                     end = base + 8 + 8 * struct.unpack_from(">i", code, base + 4)[0]
                 at = end
                 continue
-        if op == LDC:
-            yield op, code[at + 1]
-        elif size >= 2:
-            yield op, code[at + 1] << 8 | code[at + 2]
+        if size == 1 or op == IINC:
+            yield op, code[at + 1], at
+        elif size:
+            yield op, code[at + 1] << 8 | code[at + 2], at
+        else:
+            yield op, 0, at
         at += size + 1
 
 
+def local_use(op: int, operand: int) -> tuple[int, str] | None:
+    """(slot, READ or WRITE) of an instruction on a local variable."""
+    if 0x15 <= op <= 0x19:
+        return operand, "READ"
+    if 0x1A <= op <= 0x2D:
+        return (op - 0x1A) % 4, "READ"
+    if 0x36 <= op <= 0x3A or op == IINC:
+        return operand, "WRITE"
+    if 0x3B <= op <= 0x4E:
+        return (op - 0x3B) % 4, "WRITE"
+    return None
+
+
+def parameter_slots(desc: str, static: bool) -> dict[int, int]:
+    """Place of each parameter by its first slot."""
+    slot, out = 0 if static else 1, {}
+    for place, t in enumerate(re.findall(r"\[*(?:L[^;]+;|[A-Z])", desc[1:].split(")")[0])):
+        out[slot] = place
+        slot += 2 if t in ("J", "D") else 1
+    return out
+
+
 def _utf8(raw: bytes) -> str:
     """The format's own UTF-8: two bytes for NUL, surrogate pairs as three bytes each."""
     try:
@@ -324,22 +353,47 @@ def _parse(r: _Reader, path: str) -> list[dict]:
         for name, params in r.annotations(found):
             row("note", member=member, desc=desc, name=name, params=params)
 
-    def body(name: str, start: int) -> int | None:
+    def body(name: str, start: int, flags: int, own_desc: str) -> int | None:
         """Records of a method's code; its first line."""
         r.at = start + 4
         code = r.take(r.u4())
         r.take(8 * r.u2())  # exception table
-        lines = []
+        lines, variables = [], []
         for what, at, _ in r.attributes():
-            if what == "LineNumberTable":
+            if what in ("LineNumberTable", "LocalVariableTable"):
                 back, r.at = r.at, at
-                lines += [(r.u2(), r.u2()) for _ in range(r.u2())]
+                if what == "LineNumberTable":
+                    lines += [(r.u2(), r.u2()) for _ in range(r.u2())]
+                else:
+                    variables += [(r.u2(), r.u2(), r.text(r.u2()), r.u2(), r.u2()) for _ in range(r.u2())]
                 r.at = back
-        for op, i in instructions(code):
-            if INVOKEVIRTUAL <= op <= INVOKEINTERFACE:
+        lines.sort()
+        places = parameter_slots(own_desc, bool(flags & ACC_STATIC))
+        named = {slot: (n, size) for first, size, n, _, slot in variables if first == 0 and slot in places}
+        for slot, (n, _) in sorted(named.items()):
+            row("param", member=name, desc=own_desc, name=n, line=places[slot])
+        starts = [at for at, _ in lines]
+
+        def line_of(at: int) -> int | None:
+            k = bisect_right(starts, at)
+            return lines[k - 1][1] if k else None
+
+        def site(at: int, owner: str, n: str, d: str, kind: str) -> None:
+            line = line_of(at)
+            once("site", name, own_desc, owner, n, d, kind, line, member=name, owner=dotted(owner), name=n, desc=d, value=kind, line=line, access=flags)
+
+        for op, i, at in instructions(code):
+            touched = local_use(op, i)
+            if touched:
+                n, size = named.get(touched[0], (None, 0))
+                if n is not None and at < size:
+                    line = line_of(at)
+                    once("local", name, own_desc, n, touched[1], line, member=name, desc=own_desc, name=n, value=touched[1], line=line)
+            elif INVOKEVIRTUAL <= op <= INVOKEINTERFACE:
                 owner, n, d = r.member(i)
                 call(name, owner, n)
                 use(name, owner, n, d, "METHOD_CALL")
+                site(at, owner, n, d, "CALL")
                 refer(owner)
                 refer_all(d)
             elif GETSTATIC <= op <= PUTFIELD:
@@ -347,6 +401,7 @@ def _parse(r: _Reader, path: str) -> list[dict]:
                 if owner != own:
                     call(name, owner, f"<field:{n}>")
                 use(name, owner, n, d, "FIELD_ACCESS")
+                site(at, owner, n, d, "READ" if op % 2 == 0 else "WRITE")
                 refer(owner)
                 refer_all(d)
             elif op == INVOKEDYNAMIC:
@@ -357,6 +412,7 @@ def _parse(r: _Reader, path: str) -> list[dict]:
                         owner, n, d = r.member(r.pool[arg][1][1])
                         call(name, owner, n)
                         use(name, owner, n, d, "METHOD_CALL")
+                        site(at, owner, n, d, "REFERENCE")
                         refer(owner)
                         refer_all(d)
             elif op in TYPE_OPS:
@@ -399,7 +455,7 @@ def _parse(r: _Reader, path: str) -> list[dict]:
         line = None
         for what, start, _ in found:
             if what == "Code":
-                line = body(name, start)
+                line = body(name, start, flags, desc)
             elif what == "Exceptions":
                 r.at = start
                 refer(*[r.class_name(r.u2()) for _ in range(r.u2())])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkloom.operators import clones, graph as G, history as H, navigation as V, packages as P, presets as R, search as S
+from sparkloom.operators import clones, graph as G, history as H, navigation as V, packages as P, presets as R, renames as M, search as S
 from sparkloom.sources import bytecode as B, tokens as T
 from sparkloom.util import Scratch
 
@@ -21,6 +21,8 @@ PARAMS = {
     "classes-only": ("bool", None), "exclude-annotated": ("list", None), "scope": ("text", "all"), "group-by": ("text", "none"), "treat-as-dead": ("list", None),
     "collapse-lambdas": ("bool", "true"), "min-shared-revs": ("int", "5"), "min-coupling": ("int", "30"), "max-changeset-size": ("int", "30"), "methods": ("bool", "false"),
     "ref": ("text", None), "config": ("text", None), "init": ("bool", "false"), "min-tokens": ("int", "50"),
+    "target-class": ("text", None), "param": ("text", None), "property": ("text", None), "new-name": ("text", None), "from": ("text", None), "to": ("text", None),
+    "preview": ("flag", None),
 }
 
 #: Defaults that differ by task.
@@ -221,6 +223,18 @@ def _context(i: Inputs, p: dict) -> DataFrame:
     return out
 
 
+def _sites(preview: Callable[[DataFrame, DataFrame, Scratch], DataFrame], **columns: str):
+    """What changing one class or member would touch: parameters by the targets' columns."""
+
+    def run(i: Inputs, p: dict) -> DataFrame:
+        if not p["preview"]:
+            raise ValueError("sources are not rewritten here: ask for a preview")
+        row = tuple(_need(p, n) for n in columns.values())
+        return preview(i.facts, i.spark.createDataFrame([row], ", ".join(f"{c} string" for c in columns)), i.scratch("sites"))
+
+    return run
+
+
 _DEPS, _LOG = "package-filter include-external dsm-depth scope", "after no-follow"
 #: name: (parameters, top without a limit, what it runs)
 TASKS: dict[str, tuple[str, bool, Callable[[Inputs, dict], DataFrame]]] = {
@@ -254,6 +268,10 @@ TASKS: dict[str, tuple[str, bool, Callable[[Inputs, dict], DataFrame]]] = {
     "balance": (f"{_DEPS} {_LOG}", False, _balance),
     "layer-check": (f"{_DEPS} config init", False, _layers),
     "changed-since": ("ref project-only scope", False, _changed),
+    "rename-method": ("target-class method new-name preview", False, _sites(M.rename_method, **{"class": "target-class", "method": "method"})),
+    "rename-param": ("target-class method param new-name preview", False, _sites(M.rename_parameter, **{"class": "target-class", "method": "method", "param": "param"})),
+    "rename-property": ("target-class property new-name preview", False, _sites(lambda f, t, _: M.rename_property(f, t), **{"class": "target-class", "property": "property"})),
+    "move-class": ("from to preview", False, _sites(lambda f, t, _: M.move_class(f, t), **{"class": "from", "new_class": "to"})),
     "context": ("pattern maxdepth scope", False, _context),
     "duplicates": ("min-tokens top", False, lambda i, p: H.top(clones.duplicate_groups(T.token_table(i.texts), i.scratch("duplicates"), p["min-tokens"]), p["top"], F.desc("length"), "file_a", "start_a", "file_b", "start_b")),
 }
