@@ -28,17 +28,49 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], scratch:
     raise RuntimeError("fixpoint did not end")
 
 
-def _trimmed(e: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges (src, tgt) less those that no cycle can hold: with nothing into src, or nothing out of tgt."""
-    n = e.count()
-    while n:
-        ends = lambda c, name: e.select(F.col(c).alias(name)).distinct()  # noqa: B023, E731
-        less = scratch.keep(e.join(ends("tgt", "src"), "src", "left_semi").join(ends("src", "tgt"), "tgt", "left_semi").select("src", "tgt"))
-        scratch.drop(e)
-        e, before, n = less, n, less.count()
-        if n == before:
+def _folded(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Edges with every node that has one edge into it folded into the node that edge comes from, and so on up to a root.
+
+    Gives (edges left, pointers by doubled steps, rings). A node with one edge into it lies on no cycle without the edge's
+    start, so what the roots' cycles are tells the rest (`_unfolded`). Pointers double, so a chain of n nodes takes log n rounds. What
+    hangs below a root that nothing leads to goes. Where pointers end nowhere they run round a ring, which is a component.
+    """
+    into = scratch.keep(e.groupBy("tgt").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to")))
+    at = scratch.keep(into.filter("n = 1").select(F.col("tgt").alias("node"), "to", F.col("tgt").alias("low"), F.lit(True).alias("moved")))
+    steps, n, length = [at], at.count(), 1
+    while length <= n:
+        up = at.select(F.col("node").alias("to"), F.col("to").alias("up"), F.col("low").alias("below"))
+        moved = F.col("up").isNotNull()
+        at = scratch.keep(at.join(up, "to", "left").select("node", F.coalesce("up", "to").alias("to"), F.least("low", "below").alias("low"), moved.alias("moved")))
+        length *= 2
+        if at.filter("moved").isEmpty():
             break
-    return e
+        steps.append(at)
+    many = into.filter("n > 1").select("tgt")
+    # after more steps than there are nodes, who still points at a node with a pointer hangs on a ring, and those pointed at are the ring
+    lost = at.join(at.select(F.col("node").alias("to")), "to", "left_semi") if length > n else at.filter("false")
+    ring = at.join(lost.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(F.col("low").alias("component"), "node")
+    roots = at.join(lost, "node", "left_anti").select(F.col("node").alias("src"), F.col("to").alias("root"))
+    kept = e.join(many, "tgt", "left_semi").join(lost.select(F.col("node").alias("src")), "src", "left_anti").join(roots, "src", "left").select(F.coalesce("root", "src").alias("src"), "tgt")
+    kept = kept.filter("src <> tgt").join(many.withColumnRenamed("tgt", "src"), "src", "left_semi").distinct()
+    return scratch.keep(kept), steps, scratch.keep(ring)
+
+
+def _unfolded(found: DataFrame, e: DataFrame, steps: list[DataFrame], ring: DataFrame, scratch: Scratch) -> DataFrame:
+    """(component, node) of the edges e from those of the edges that `_folded` left of them.
+
+    A folded node belongs to its root's component if it, or one folded below it, has an edge to a node of that component.
+    """
+    at = steps[-1]
+    many = e.groupBy("tgt").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tgt")
+    name = lambda c, to: found.select(F.col("node").alias(c), F.col("component").alias(to))
+    back = e.join(many, "tgt", "left_semi").join(at.select(F.col("node").alias("src"), F.col("to").alias("root")), "src")
+    back = back.join(name("root", "a"), "root", "left").join(name("tgt", "b"), "tgt", "left")
+    marked = scratch.keep(back.filter(F.coalesce("a", "root") == F.coalesce("b", "tgt")).select(F.coalesce("a", "root").alias("component"), F.col("src").alias("node")).distinct())
+    if not marked.isEmpty():
+        for step in steps:
+            marked = scratch.keep(marked.union(marked.join(step, "node").select("component", F.col("to").alias("node"))).distinct())
+    return scratch.keep(found.union(marked).distinct().union(ring))
 
 
 def _least_above(e: DataFrame, scratch: Scratch) -> DataFrame:
@@ -53,26 +85,49 @@ def _least_above(e: DataFrame, scratch: Scratch) -> DataFrame:
     return color.drop("moved")
 
 
+def _coloured(e: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(component, node) of one round of colours, and the edges inside colours that it leaves."""
+    color = _least_above(e, scratch)
+    a, b = color.select(F.col("node").alias("src"), "color"), color.select(F.col("node").alias("tgt"), F.col("color").alias("other"))
+    inner = scratch.keep(e.join(a, "src").join(b, "tgt").filter("color = other").select("src", "tgt", "color"))
+    back = inner.select(F.col("tgt").alias("node"), "color", F.col("src").alias("next"))
+    own = fixpoint(color.filter("node = color"), lambda now: now.join(back, ["node", "color"]).select(F.col("next").alias("node"), "color"), scratch)
+    large = own.groupBy("color").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("color")
+    found = scratch.keep(own.join(large, "color").select(F.col("color").alias("component"), "node"))
+    gone = lambda c: own.select(F.col("node").alias(c))
+    return found, scratch.keep(inner.select("src", "tgt").join(gone("src"), "src", "left_anti").join(gone("tgt"), "tgt", "left_anti"))
+
+
 def cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(component, node) of strongly connected components with two nodes or more, named by their least node.
 
-    By colouring: each node takes the least node that reaches it, and a colour's component is what reaches
-    its least node without leaving the colour. What is found, and edges between colours, go; the rest is
-    coloured again. Tables grow with the nodes and edges, not with the pairs that reach each other.
+    Nodes with one edge into them, then those with one edge out, are folded away by doubled steps until none is left:
+    chains, trees and rings of any length take a logarithm of it in rounds. The rest is coloured: each node takes the least
+    node that reaches it, and a colour's component is what reaches its least node without leaving the colour. What is
+    found, and edges between colours, go; the rest starts again. Tables grow with nodes and edges only.
     """
     e = scratch.keep(edges.select("src", "tgt").filter("src <> tgt").distinct())
-    found = e.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
-    while not (e := _trimmed(e, scratch)).isEmpty():
-        color = _least_above(e, scratch)
-        a, b = color.select(F.col("node").alias("src"), "color"), color.select(F.col("node").alias("tgt"), F.col("color").alias("other"))
-        inner = scratch.keep(e.join(a, "src").join(b, "tgt").filter("color = other").select("src", "tgt", "color"))
-        back = inner.select(F.col("tgt").alias("node"), "color", F.col("src").alias("next"))
-        own = fixpoint(color.filter("node = color"), lambda now: now.join(back, ["node", "color"]).select(F.col("next").alias("node"), "color"), scratch)  # noqa: B023
-        large = own.groupBy("color").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("color")
-        found = found.union(scratch.keep(own.join(large, "color").select(F.col("color").alias("component"), "node")))
-        gone = lambda c: own.select(F.col("node").alias(c))  # noqa: B023, E731
-        e = scratch.keep(inner.select("src", "tgt").join(gone("src"), "src", "left_anti").join(gone("tgt"), "tgt", "left_anti"))
-    return found
+    none = e.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
+    turned = lambda df: df.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+    done: list[tuple] = []  # what undoes each step, last first
+    n = e.count()
+    while n:
+        before = n
+        for _ in range(2):  # by edges into nodes, then by edges out of them
+            left, steps, ring = _folded(e, scratch)
+            done.append((e, steps, ring))
+            e, n = turned(left), left.count()
+            if not n:
+                break
+        if n > 0.9 * before:  # folding has little left to do
+            found, e = _coloured(e, scratch)
+            done.append((found,))
+            n = e.count()
+    out = none
+    for step in reversed(done):
+        out = out.union(step[0]) if len(step) == 1 else _unfolded(out, *step, scratch)
+    least = out.groupBy("component").agg(F.min("node").alias("least"))
+    return out.join(least, "component").select(F.col("least").alias("component"), "node")
 
 
 def pagerank(edges: DataFrame, scratch: Scratch, rounds: int = 20, damping: float = 0.85) -> DataFrame:

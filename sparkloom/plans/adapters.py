@@ -41,6 +41,17 @@ def trade_graph(spark: SparkSession, d: str) -> DataFrame:
     return w.crossJoin(F.broadcast(mean)).filter("src <> tgt and w > 1.5 * mean").select("src", "tgt")
 
 
+def next_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(src, tgt): each class to the class on the line after it in its first order, and in its last."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next"))
+    step = F.struct("l_orderkey", "l_linenumber", "next")
+    ends = lines.join(after, ["l_orderkey", "l_linenumber"]).groupBy("l_partkey").agg(F.min(step).alias("first"), F.max(step).alias("last"))
+    pairs = ends.select("l_partkey", F.explode(F.array("first.next", "last.next")).alias("next"))
+    named = lambda key, name: classes(spark, d).select(F.col("p_partkey").alias(key), F.col("class").alias(name))
+    return pairs.join(named("l_partkey", "src"), "l_partkey").join(named("next", "tgt"), "next").select("src", "tgt").distinct()
+
+
 def supertypes(spark: SparkSession, d: str) -> DataFrame:
     """A package's interface of the least key is implemented by the package's concrete classes."""
     c = classes(spark, d).withColumn("pkg", F.regexp_extract("class", r"^(.*)\.", 1))

@@ -125,6 +125,7 @@ def queries() -> dict:
         "balance": lambda s, d: P.balance(P.strength(_deps(s, d), _kinds(s, d)), _volatile(s, d)),
         "layer_check": lambda s, d: P.layer_check(_deps(s, d), LAYERS),
         "unassigned": lambda s, d: P.unassigned(_deps(s, d), P.parse_layers('{"layers": [{"name": "a", "patterns": ["P1*", "*5*"]}, {"name": "b", "patterns": ["*9"], "peerLimit": 2}]}')),
+        "class_cycles": lambda s, d: G.cycles(A.next_classes(s, d), Scratch(s, "cycles")),
         "cycles": lambda s, d: G.cycles(A.trade_graph(s, d), Scratch(s, "cycles")),
         "pagerank": lambda s, d: G.pagerank(A.call_edges(s, d).select(F.col("caller_class").alias("src"), F.col("callee_class").alias("tgt")), Scratch(s, "rank")).select("node", F.round("rank", 9).alias("rank")),
         "complexity": lambda s, d: G.complexity(A.call_edges(s, d)),
@@ -216,6 +217,17 @@ def oracle_sql() -> dict[str, str]:
         "strength": f"with {_DEPS}, {_STRENGTH} select * from st",
         "balance": f"with {_CHANGES}, {_DEPS}, {_STRENGTH}, {vol}, m as (select quantile_disc(revisions, 0.5) median from vo), x as (select src, tgt, \"level\", {dist} distance, coalesce(a.revisions, 0) src_revs, coalesce(b.revisions, 0) tgt_revs, median from st left join vo a on a.package = src left join vo b on b.package = tgt, m) select src, tgt, \"level\", distance, src_revs, tgt_revs, case when (\"level\" >= 3) <> (distance >= 3) then 'BALANCED' when \"level\" < 3 then 'OVER_ENGINEERED' when median > 0 and greatest(src_revs, tgt_revs) >= median then 'DANGER' else 'TOLERABLE' end verdict from x",
         "layer_check": f"with {_DEPS}, c as (select distinct src_class, tgt_class, {first.format('split_part(src_class, chr(46), 4)')} s, {first.format('split_part(tgt_class, chr(46), 4)')} t from d), p as (select src_class, count(*) m from c where s = t group by 1), v as (select 'OUTWARD' \"type\", src_class, tgt_class, s, t from c where t < s union all select 'PEER', src_class, tgt_class, s, t from c join p using (src_class) where s = t and ((s = 0 and m > 3) or (s = 2 and m > 6))) select \"type\", src_class, tgt_class, ['http', 'service', 'domain'][s + 1] src_layer, ['http', 'service', 'domain'][t + 1] tgt_layer from v",
+        "class_cycles": """
+            with recursive st as (
+              select a.l_partkey p, (a.l_orderkey, a.l_linenumber, b.l_partkey) x
+              from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber),
+            en as (select p, unnest([min(x), max(x)]) x from st group by p),
+            cl as (select p_partkey, 'com.' || lower(p_type) || '.' || lower(replace(p_brand, '#', '')) || '.P' || p_partkey class from part),
+            e as (select distinct c.class s, t.class t from en join cl c on c.p_partkey = p join cl t on t.p_partkey = struct_extract_at(x, 3)
+              where c.class <> t.class),
+            r as (select s, t from e union select r.s, e.t from r join e on r.t = e.s),
+            b as (select x.s, x.t from r x join r y on x.s = y.t and x.t = y.s where x.s <> x.t)
+            select least(min(t), s) component, s node from b group by s""",
         "cycles": f"with recursive {_TRADE}, r as (select src, tgt from t union select r.src, t.tgt from r join t on r.tgt = t.src), b as (select x.src, x.tgt from r x join r y on x.src = y.tgt and x.tgt = y.src where x.src <> x.tgt) select least(min(tgt), src) component, src node from b group by src",
         "pagerank": f"with recursive {_EDGES}, g as (select distinct caller_class src, callee_class tgt from e where caller_class <> callee_class), n as (select src node from g union select tgt from g), k as (select count(*) n from n), o as (select src, count(*) degree from g group by 1), h as (select g.src, g.tgt, degree from g join o using (src)), p as (select 0 i, node, cast(1.0 as double) / n rank from n, k union all select p.i + 1, n.node, cast(0.15 as double) / max(k.n) + cast(0.85 as double) * coalesce(sum(case when h.src = p.node then p.rank / h.degree end), 0) from p join h on h.src = p.node right join n on n.node = h.tgt, k where p.i < 20 group by 1, 2) select node, round(rank, 9) rank from p where i = 20",
         "complexity": f"with {_EDGES}, x as (select distinct caller_class, caller_method, callee_class, callee_method from e where caller_class <> callee_class), o as (select caller_class class, count(*) fan_out, count(distinct callee_class) classes_out from x group by 1), i as (select callee_class class, count(*) fan_in, count(distinct caller_class) classes_in from x group by 1) select class, coalesce(fan_out, 0) fan_out, coalesce(classes_out, 0) classes_out, coalesce(fan_in, 0) fan_in, coalesce(classes_in, 0) classes_in from o full join i using (class)",

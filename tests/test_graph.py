@@ -50,3 +50,38 @@ def test_live_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51)], "src long, tgt long")
     roots = spark.createDataFrame([(0,), (0,), (60,)], "node long")
     assert sorted(r.node for r in G.live(roots, edges, Scratch(spark, "t")).collect()) == [*range(41), 60]
+
+
+SHAPES = {
+    "ring": [(k, (k + 1) % 9) for k in range(9)],
+    "ring with trees above and below": [(k, (k + 1) % 5) for k in range(5)] + [(2, 10), (10, 11), (10, 12), (20, 21), (21, 3), (22, 21)],
+    "two rings joined by a chain": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (7, 5)],
+    "rings that share a node": [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 2)],
+    "loop back from a branch": [(0, 1), (1, 2), (2, 3), (3, 0), (1, 4), (4, 5), (2, 6), (6, 1), (9, 0)],
+    "pair": [(1, 2), (2, 1), (1, 1), (3, 3)],
+    "no cycle": [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)],
+    "dense": [(a, b) for a in range(5) for b in range(5)] + [(a, b) for a in range(5, 9) for b in range(5, 9)] + [(4, 5), (3, 6)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_shapes_of_cycles(spark, shape):
+    got = G.cycles(spark.createDataFrame(SHAPES[shape], "src long, tgt long"), Scratch(spark, "t")).collect()
+    assert sorted((r.component, r.node) for r in got) == plain(SHAPES[shape])
+
+
+def test_random_graphs_at_once(spark):
+    """Many graphs of different density as one graph: their nodes are kept apart."""
+    rng = random.Random(7)
+    edges = [(100 * g + rng.randrange(n), 100 * g + rng.randrange(n)) for g in range(150) for n in [rng.randrange(2, 25)] for _ in range(rng.randrange(1, 3 * n))]
+    got = G.cycles(spark.createDataFrame(edges, "src long, tgt long"), Scratch(spark, "t")).collect()
+    assert sorted((r.component, r.node) for r in got) == plain(edges)
+
+
+def test_long_path_takes_few_rounds(spark):
+    n, scratch = 10_000, Scratch(spark, "t")
+    edges = [((k * 7919) % n, ((k + 1) * 7919) % n) for k in range(n - 1)] + [((n - 1) * 7919 % n, (n - 4) * 7919 % n)]
+    got = {(r.component, r.node) for r in G.cycles(spark.createDataFrame(edges, "src long, tgt long"), scratch).collect()}
+    tail = [k * 7919 % n for k in range(n - 4, n)]
+    assert got == {(min(tail), x) for x in tail}
+    assert scratch.n < 40
