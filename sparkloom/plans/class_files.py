@@ -8,9 +8,11 @@ instruction on the line's part or supplier. A supplier is a Kotlin file com.supp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.sources import assembler as S, bytecode as B
@@ -20,68 +22,101 @@ FILE = "path string, content binary"
 DESCRIBE = "(ILjava/lang/String;)Ljava/lang/String;"
 
 
-def _build(make: Callable[[dict], tuple[str, bytes]]):
+@lru_cache(None)
+def _forms(make: Callable[..., bytes]) -> S.Forms:
+    """A worker's forms serve all its tasks."""
+    return S.Forms(make)
+
+
+def _build(rows: Callable[[pa.RecordBatch], Iterable[tuple]], make: Callable[..., bytes]):
+    """rows gives (form, texts, line numbers, numbers) of each row; the first text is the file's own name."""
+
     def run(batches):
+        forms = _forms(make)
         for batch in batches:
-            made = [make(r) for r in batch.to_pylist()]
+            made = [(f"{texts[0]}.class", forms.file(form, texts, lines, ints)) for form, texts, lines, ints in rows(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([c for _, c in made], pa.binary())], names=["path", "content"])
 
     return run
 
 
-def _part(r: dict) -> tuple[str, bytes]:
-    k, size, own = r["k"], r["size"], r["name"]
-    path = f"{own}.class"
-    if k % 50 == 7:
-        return path, b"PK\3\4 no class"
-    face, data, record = size < 10, 10 <= size < 20, 20 <= size < 30
-    access = S.PUBLIC | (S.INTERFACE | S.ABSTRACT if face else S.SUPER) | (S.ABSTRACT if 30 <= size < 35 else 0)
-    parent = "java/lang/Record" if record else "com/shared/Base" if k % 4 == 0 and not face else "java/lang/Object"
-    faces = ["com/shared/Priced"] * (k % 3 == 0) + ["java/io/Serializable"] * (k % 6 == 0)
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
+    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+
+
+def _parts(batch: pa.RecordBatch) -> Iterable[tuple]:
+    for k, size, name, title in _columns(batch, "k", "size", "name", "title"):
+        kind = min(size // 10, 2) if size < 30 else 3 + (size >= 35) + (size >= 40)
+        form = (k % 50 == 7, k % 50 == 8, kind, size % 2 == 0, *(k % n == 0 for n in (2, 3, 4, 5, 7, 8, 9, 10, 11, 13)))
+        yield form, [name, f"P{k}.kt", f"P{k}", f"/p/{k}", title, f"a{size}"], [size, k % 100 + 1, k % 100 + 3], [size]
+
+
+def _part(form: tuple, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
+    own, source, short, route_path, title, tag = texts
+    broken, new, kind, even, by2, by3, by4, by5, by7, by8, by9, by10, by11, by13 = form
+    if broken:
+        return b"PK\3\4 no class"
+    face, data, record = kind == 0, kind == 1, kind == 2
+    access = S.PUBLIC | (S.INTERFACE | S.ABSTRACT if face else S.SUPER) | (S.ABSTRACT if kind == 3 else 0)
+    parent = "java/lang/Record" if record else "com/shared/Base" if by4 and not face else "java/lang/Object"
+    faces = ["com/shared/Priced"] * by3 + ["java/io/Serializable"] * (by2 and by3)
     notes = []
-    if 35 <= size < 40:
-        notes.append(S.Note(("Ljakarta/persistence/Entity;", {"name": f"P{k}", "lazy": k % 2 == 0, "rank": size})))
-    if k % 11 == 0:
-        notes.append(S.Note(("Lcom/shared/Tags;", {"value": [S.Note(("Lcom/shared/Tag;", {"value": t})) for t in (f"a{size}", "b")]})))
+    if kind == 4:
+        notes.append(S.Note(("Ljakarta/persistence/Entity;", {"name": short, "lazy": by2, "rank": ints[0]})))
+    if by11:
+        notes.append(S.Note(("Lcom/shared/Tags;", {"value": [S.Note(("Lcom/shared/Tag;", {"value": t})) for t in (tag, "b")]})))
     if data:
-        notes.append(S.kotlin_metadata([("describe", k % 2 == 0), ("getPrice", False), ("component1", False), ("copy", False)]))
-    c = S.ClassFile(own, access, parent, faces, f"P{k}.kt" if k % 5 else None, notes, record, 99 if k % 50 == 8 else 61)
+        notes.append(S.kotlin_metadata([("describe", by2), ("getPrice", False), ("component1", False), ("copy", False)]))
+    c = S.ClassFile(own, access, parent, faces, None if by5 else source, notes, record, 99 if new else 61)
     if not face:
         c.field("price", "D")
-        if size % 2 == 0:
+        if even:
             c.field("owner", "Lcom/shared/Owner;")
-        if k % 7 == 0:
+        if by7:
             c.field("tags", "[[Ljava/lang/String;")
-        if k % 9 == 0:
+        if by9:
             c.field("cache", "I", S.PUBLIC | S.SYNTHETIC)
             c.field("INSTANCE", f"L{own};", S.PUBLIC | S.STATIC)
         c.method("<init>", "()V", [("special", parent, "<init>", "()V")])
-        c.method("getPrice", "()D", [("line", size), ("getfield", own, "price", "D")])
-    route = [S.Note(("Lcom/shared/Route;", {"path": f"/p/{k}", "verb": S.Enum(("Lcom/shared/Verb;", "GET")), "type": S.Type("Lcom/shared/Owner;")}))] if size >= 35 else []
-    body = [("line", k % 100 + 1), ("op", S.NOP), ("text", r["title"]), ("line", k % 100 + 3), ("load", 2), ("static", "java/lang/String", "valueOf", "(I)Ljava/lang/String;")]
-    c.method("describe", DESCRIBE, None if face else body, S.PUBLIC | (S.ABSTRACT if face else 0), ["java/io/IOException"] if k % 13 == 0 else [], route, ["count", "title"])
+        c.method("getPrice", "()D", [("line", lines[0]), ("getfield", own, "price", "D")])
+    route = [S.Note(("Lcom/shared/Route;", {"path": route_path, "verb": S.Enum(("Lcom/shared/Verb;", "GET")), "type": S.Type("Lcom/shared/Owner;")}))] if kind >= 4 else []
+    body = [("line", lines[1]), ("op", S.NOP), ("text", title), ("line", lines[2]), ("load", 2), ("static", "java/lang/String", "valueOf", "(I)Ljava/lang/String;")]
+    c.method("describe", DESCRIBE, None if face else body, S.PUBLIC | (S.ABSTRACT if face else 0), ["java/io/IOException"] if by13 else [], route, ["count", "title"])
     if data:
         c.method("component1", "()D", [("getfield", own, "price", "D")])
         c.method("copy", f"(D)L{own};", [("text", "copied")])
-        if k % 2:
+        if not by2:
             c.method("size", "()I", [])
-    if k % 8 == 0:
+    if by8:
         c.method("compareTo", "(Ljava/lang/Object;)I", [], S.PUBLIC | S.BRIDGE | S.SYNTHETIC)
-    if k % 10 == 0:
+    if by10:
         c.method("access$getPrice", "()D", [("text", "hidden")], S.STATIC | S.SYNTHETIC)
-    return path, c.bytes()
-
-
-def _order(r: dict) -> tuple[str, bytes]:
-    k = r["k"]
-    level = int(r["priority"][0])
-    c = S.ClassFile(r["name"], source=f"O{k}.kt" if k % 4 != 1 else None, notes=[S.Note(("Lcom/shared/Priority;", {"value": r["priority"], "level": level}))])
+    return c.bytes()
+
+
+def _orders(batch: pa.RecordBatch) -> Iterable[tuple]:
+    lines = batch.column("lines")
+    found, at = lines.flatten(), 0
+    columns = zip(*(found.field(c).to_pylist() for c in ("number", "quantity", "part", "supplier", "status")), strict=True)
+    columns = list(columns)
+    for k, priority, name, n in zip(*(batch.column(c).to_pylist() for c in ("k", "priority", "name")), pc.list_value_length(lines).to_pylist(), strict=True):
+        own = sorted(columns[at : at + n])
+        at += n
+        texts = [name, f"O{k}.kt", priority]
+        for _, _, part, supplier, status in own:
+            texts += part, supplier, status
+        yield (k % 4 != 1, *(line[0] for line in own)), texts, [line[1] for line in own], [int(priority[0])]
+
+
+def _order(form: tuple, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
+    name, source, priority = texts[:3]
+    c = S.ClassFile(name, source=source if form[0] else None, notes=[S.Note(("Lcom/shared/Priority;", {"value": priority, "level": ints[0]}))])
     methods: dict[int, list] = {}
-    for line in sorted(r["lines"], key=lambda x: (x["number"], x["quantity"], x["part"], x["supplier"], x["status"])):
-        n, part = line["number"], line["part"]
+    for i, n in enumerate(form[1:]):
+        part, supplier, status = texts[3 + 3 * i : 6 + 3 * i]
         code = methods.setdefault(n, [])
         if n % 2:
-            code.append(("line", line["quantity"]))
+            code.append(("line", lines[i]))
         if n == 1:
             code += [("virtual", part, "describe", DESCRIBE)] * 2
         elif n == 2:
@@ -91,29 +126,35 @@ def _order(r: dict) -> tuple[str, bytes]:
         elif n == 4:
             code.append(("lambda", "get", "()Ljava/util/function/Supplier;", part, "getPrice", "()D"))
         elif n == 5:
-            code.append(("text", line["status"]))
+            code.append(("text", status))
         elif n == 6:
             code += [("switch", 0, ["end"], "end"), ("label", "end"), ("classof", part)]
         else:
-            code += [("checkcast", part), ("static", line["supplier"], "ext", "(Ljava/lang/Object;)V")]
+            code += [("checkcast", part), ("static", supplier, "ext", "(Ljava/lang/Object;)V")]
     for n, code in methods.items():
         c.method(f"line{n}", "()V", code)
-    return f"{r['name']}.class", c.bytes()
+    return c.bytes()
+
+
+def _suppliers(batch: pa.RecordBatch) -> Iterable[tuple]:
+    for own, nation, balance in _columns(batch, "name", "nation", "balance"):
+        yield balance < 0, [own, f"(Lcom/nations/N{nation};)V"], [], []
 
 
-def _supplier(r: dict) -> tuple[str, bytes]:
-    own = r["name"]
-    c = S.ClassFile(own, source="Suppliers.kt", notes=[S.kotlin_metadata([("ext", r["balance"] < 0), ("of", False)], file=True)])
-    c.method("ext", f"(Lcom/nations/N{r['nation']};)V", [("getstatic", "com/shared/Registry", "ALL", "Ljava/util/List;")], S.PUBLIC | S.STATIC)
+def _supplier(inline: bool, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
+    own, desc = texts
+    c = S.ClassFile(own, source="Suppliers.kt", notes=[S.kotlin_metadata([("ext", inline), ("of", False)], file=True)])
+    c.method("ext", desc, [("getstatic", "com/shared/Registry", "ALL", "Ljava/util/List;")], S.PUBLIC | S.STATIC)
     c.method("of", "(I)V", [], S.PUBLIC | S.STATIC)
     c.method("list", "([Ljava/lang/String;)V", [], S.PUBLIC | S.STATIC)
-    return f"{own}.class", c.bytes()
+    return c.bytes()
 
 
-def _files(rows: DataFrame, make: Callable[[dict], tuple[str, bytes]]) -> DataFrame:
-    """(path, content): small rows make large files and long work, so they are dealt out by hand."""
-    n = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(n, "name").mapInArrow(_build(make), FILE)
+def _files(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple]], make: Callable[..., bytes]) -> DataFrame:
+    """(path, content): small rows make large files and long work, so they are dealt out by hand, to no fewer tasks than a shuffle has."""
+    spark = rows.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, "name").mapInArrow(_build(read, make), FILE)
 
 
 def _part_name() -> F.Column:
@@ -122,7 +163,7 @@ def _part_name() -> F.Column:
 
 def part_files(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_name").alias("title"), _part_name().alias("name"))
-    return _files(rows, _part)
+    return _files(rows, _parts, _part)
 
 
 def order_files(spark: SparkSession, d: str) -> DataFrame:
@@ -136,26 +177,26 @@ def order_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("com/orders/"), F.lower("o_orderstatus"), F.lit("/O"), F.col("o_orderkey").cast("string"), inner)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("priority"), name.alias("name"))
     none = F.array().cast(lines.schema["lines"].dataType)
-    return _files(orders.join(lines, "k", "left").select("k", "priority", "name", F.coalesce("lines", none).alias("lines")), _order)
+    return _files(orders.join(lines, "k", "left").select("k", "priority", "name", F.coalesce("lines", none).alias("lines")), _orders, _order)
 
 
 def supplier_files(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select(F.concat(F.lit("com/suppliers/S"), F.col("s_suppkey").cast("string"), F.lit("Kt")).alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
-    return _files(rows, _supplier)
+    return _files(rows, _suppliers, _supplier)
 
 
-def part_facts(spark: SparkSession, d: str) -> DataFrame:
-    return B.parse_files(part_files(spark, d))
+def part_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
+    return B.parse_files(part_files(spark, d), records=records)
 
 
-def order_facts(spark: SparkSession, d: str) -> DataFrame:
-    return B.parse_files(order_files(spark, d))
+def order_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
+    return B.parse_files(order_files(spark, d), records=records)
 
 
-def supplier_facts(spark: SparkSession, d: str) -> DataFrame:
-    return B.parse_files(supplier_files(spark, d), "test")
+def supplier_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
+    return B.parse_files(supplier_files(spark, d), "test", records=records)
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """The facts of all classes."""
-    return part_facts(spark, d).union(order_facts(spark, d)).union(supplier_facts(spark, d))
+def facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
+    """The facts of all classes; records: only these of them."""
+    return part_facts(spark, d, records).union(order_facts(spark, d, records)).union(supplier_facts(spark, d, records))

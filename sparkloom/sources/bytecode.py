@@ -30,15 +30,19 @@ _ARROW = pa.schema(
 )
 
 
-def _rows(data: bytes, path: str) -> list[dict]:
+def _error(path: str, reason: object, wanted: frozenset[str] | None) -> list[tuple]:
+    return [("error", path, None, None, None, None, None, str(reason), None, None, None, None)] if wanted is None or "error" in wanted else []
+
+
+def _rows(data: bytes, path: str, wanted: frozenset[str] | None) -> list[tuple]:
     try:
-        return C.parse(data, path)
+        return C.rows(data, path, wanted=wanted)
     except C.BadClassFile as e:
-        return [{"record": "error", "path": path, "value": str(e)}]
+        return _error(path, e, wanted)
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    columns = [[r.get(c) for r in rows] for c in C.COLUMNS]
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
     columns[-1] = [None if p is None else list(p.items()) for p in columns[-1]]
     return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
@@ -60,28 +64,40 @@ def _entries(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
                 yield name, content
 
 
-def _parse(jars: bool, rows: int = 20_000):
+def _parse(jars: bool, wanted: frozenset[str] | None, rows: int = 20_000):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
                     for name, content in _entries(path, data.as_py()) if jars else [(path, data.as_py())]:
-                        held += [{"record": "error", "path": name, "value": f"{type(content).__name__}: {content}"}] if isinstance(content, Exception) else _rows(content, name)
+                        held += _error(name, f"{type(content).__name__}: {content}", wanted) if isinstance(content, Exception) else _rows(content, name, wanted)
                         if len(held) >= rows:
                             yield _batch(held)
                             held = []
                 except UNREADABLE as e:
-                    held.append({"record": "error", "path": path, "value": str(e)})
+                    held += _error(path, e, wanted)
         if held:
             yield _batch(held)
 
     return run
 
 
-def parse_files(files: DataFrame, source_set: str = "prod", jars: bool = False) -> DataFrame:
-    """Facts of class files (or JARs) that are rows (path, content), wherever they come from."""
-    return files.select("path", "content").mapInArrow(_parse(jars), C.FACT).withColumn("source_set", F.lit(source_set))
+def _wanted(records: Iterable[str] | None) -> frozenset[str] | None:
+    if records is None:
+        return None
+    if unknown := set(records) - set(C.RECORDS):
+        raise ValueError(f"no such records: {sorted(unknown)}")
+    return frozenset(records)
+
+
+def parse_files(files: DataFrame, source_set: str = "prod", jars: bool = False, records: Iterable[str] | None = None) -> DataFrame:
+    """Facts of class files (or JARs) that are rows (path, content), wherever they come from.
+
+    records: only these are made (`NEEDS` says what a view is made of); without `error` among them a file is read
+    no further than they ask, so damage elsewhere in it is not seen.
+    """
+    return files.select("path", "content").mapInArrow(_parse(jars, _wanted(records)), C.FACT).withColumn("source_set", F.lit(source_set))
 
 
 def _read(spark: SparkSession, paths: list[str], pattern: str, jars: bool, source_set: str) -> DataFrame:
@@ -107,9 +123,9 @@ def read_jars(spark: SparkSession, paths: list[str], source_set: str = "prod", w
 
 
 def _parse_entries(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
+    held: list[tuple] = []
     for name, content in jars.contents(batches):
-        held += [{"record": "error", "path": name, "value": content}] if isinstance(content, str) else _rows(content, name)
+        held += _error(name, content, None) if isinstance(content, str) else _rows(content, name, None)
         if len(held) >= rows:
             yield _batch(held)
             held = []
@@ -117,6 +133,37 @@ def _parse_entries(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Ite
         yield _batch(held)
 
 
+#: The records that each view, and each preview of operators.renames, reads.
+NEEDS = {
+    "errors": ("error",),
+    "classes": ("class",),
+    "project_classes": ("class",),
+    "source_sets": ("class",),
+    "call_edges": ("call",),
+    "declared_methods": ("method",),
+    "supertypes": ("class",),
+    "class_index": ("class",),
+    "fields": ("field",),
+    "field_accessors": ("field", "method"),
+    "symbols": ("class", "field", "method"),
+    "bridge_methods": ("method",),
+    "inline_methods": ("inline",),
+    "delegated_methods": ("kotlin", "method"),
+    "annotations": ("note",),
+    "string_constants": ("class", "text"),
+    "class_kinds": ("class", "method", "note"),
+    "package_deps": ("class", "ref"),
+    "receiver_types": ("method",),
+    "find_usages": ("class", "use"),
+    "find_usages_type": ("class", "field", "method", "use"),
+    "class_details": ("class", "field", "method", "note"),
+    "rename_method": ("class", "method", "site"),
+    "rename_parameter": ("class", "field", "local", "method", "param", "site"),
+    "rename_property": ("class", "field", "method", "param", "site"),
+    "move_class": ("class", "ref"),
+}
+
+
 def _of(facts: DataFrame, record: str) -> DataFrame:
     return facts.filter(F.col("record") == record)
 
