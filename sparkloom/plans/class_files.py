@@ -150,23 +150,23 @@ def _supplier(inline: bool, texts: list[str], lines: list[int], ints: list[int])
     return c.bytes()
 
 
-def _files(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterable[tuple]], make: Callable[..., bytes]) -> DataFrame:
-    """(path, content): small rows make large files and long work, so they are dealt out by hand, to no fewer tasks than a shuffle has."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Small rows make large files and long work, so they are dealt out by hand, to no fewer tasks than a shuffle has."""
     spark = rows.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "name").mapInArrow(_build(read, make), FILE)
+    return rows.repartition(n, "name")
 
 
 def _part_name() -> F.Column:
     return F.concat(F.lit("com/"), F.lower("p_type"), F.lit("/"), F.lower(F.translate("p_brand", "#", "")), F.lit("/P"), F.col("p_partkey").cast("string"))
 
 
-def part_files(spark: SparkSession, d: str) -> DataFrame:
+def part_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), F.col("p_name").alias("title"), _part_name().alias("name"))
-    return _files(rows, _parts, _part)
+    return _dealt(rows)
 
 
-def order_files(spark: SparkSession, d: str) -> DataFrame:
+def order_rows(spark: SparkSession, d: str) -> DataFrame:
     """A class holds the lines of one order, so no class grows with the tables."""
     part = table(spark, d, "part").select("p_partkey", _part_name().alias("part"))
     line = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -177,24 +177,34 @@ def order_files(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("com/orders/"), F.lower("o_orderstatus"), F.lit("/O"), F.col("o_orderkey").cast("string"), inner)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("priority"), name.alias("name"))
     none = F.array().cast(lines.schema["lines"].dataType)
-    return _files(orders.join(lines, "k", "left").select("k", "priority", "name", F.coalesce("lines", none).alias("lines")), _orders, _order)
+    return _dealt(orders.join(lines, "k", "left").select("k", "priority", "name", F.coalesce("lines", none).alias("lines")))
 
 
-def supplier_files(spark: SparkSession, d: str) -> DataFrame:
+def supplier_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "supplier").select(F.concat(F.lit("com/suppliers/S"), F.col("s_suppkey").cast("string"), F.lit("Kt")).alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
-    return _files(rows, _suppliers, _supplier)
+    return _dealt(rows)
+
+
+def part_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content)."""
+    return part_rows(spark, d).mapInArrow(_build(_parts, _part), FILE)
+
+
+def supplier_files(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content)."""
+    return supplier_rows(spark, d).mapInArrow(_build(_suppliers, _supplier), FILE)
 
 
 def part_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    return B.parse_files(part_files(spark, d), records=records)
+    return B.parse_made(part_rows(spark, d), _build(_parts, _part), records=records)
 
 
 def order_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    return B.parse_files(order_files(spark, d), records=records)
+    return B.parse_made(order_rows(spark, d), _build(_orders, _order), records=records)
 
 
 def supplier_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    return B.parse_files(supplier_files(spark, d), "test", records=records)
+    return B.parse_made(supplier_rows(spark, d), _build(_suppliers, _supplier), "test", records=records)
 
 
 def facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -100,6 +100,12 @@ def parse_files(files: DataFrame, source_set: str = "prod", jars: bool = False,
     return files.select("path", "content").mapInArrow(_parse(jars, _wanted(records)), C.FACT).withColumn("source_set", F.lit(source_set))
 
 
+def parse_made(rows: DataFrame, files: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], source_set: str = "prod", records: Iterable[str] | None = None) -> DataFrame:
+    """Facts of class files that `files` makes of rows, as batches of (path, content), read in the task that made them."""
+    parse = _parse(False, _wanted(records))
+    return rows.mapInArrow(lambda batches: parse(files(batches)), C.FACT).withColumn("source_set", F.lit(source_set))
+
+
 def _read(spark: SparkSession, paths: list[str], pattern: str, jars: bool, source_set: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(paths)
     return parse_files(files, source_set, jars)
