@@ -10,9 +10,9 @@ stays unless both its ranges lie in ranges of matches that stay. That rule reads
 So the matches that stay are the first match of each place whose longest range is in no longer one: a group of m
 copies gives m - 1 rows, all found by running maxima over the files.
 
-The longest match of a place with other files comes from a search by halves over hashes of token ranges: places that
-agree on the next 2^k tokens with another file go on together, the others stay with two places (of different files) of
-each group that goes on, so a round holds at most about twice the places. Only places that are not all preceded by the
+The longest match of a place with other files comes from a search by sixteenths over hashes of token ranges: places that
+agree on the next i * 16^k tokens with another file, for the greatest i below 16, go on together, with two places (of
+different files) of each group that agrees on a step more; hashes of all i are made in one round, of which there are at most five below 2^20 tokens. Only places that are not all preceded by the
 same token take part, others lie in a longer match. Matches within a file are found in the file's own row.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkloom.util import Scratch
@@ -59,16 +60,49 @@ class Ranges:
         return size
 
 
+def _files(batch: pa.RecordBatch):
+    """(file, tokens) of the rows of a batch."""
+    tokens = batch.column(1)
+    flat, at = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy().tolist()
+    for file, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+        yield file, flat[a:b]
+
+
+def _gathered(found, names: list[str], rows: int = 200_000):
+    """Batches of about `rows` rows of what is found by file: (file, whether it is a column at this place or an array), ..."""
+    held: list[tuple] = []
+    n = 0
+
+    def flush():
+        counts = [next(len(x) for x in h if not isinstance(x, str)) for h in held]
+        columns = []
+        for c in zip(*held, strict=True):
+            if isinstance(c[0], str):
+                columns.append(pa.array(c, pa.string()).take(pa.array(np.repeat(np.arange(len(c)), counts))))
+            else:
+                columns.append(pa.array(np.concatenate(c)))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    for h in found:
+        held.append(h)
+        n += next(len(x) for x in h if not isinstance(x, str))
+        if n >= rows:
+            yield flush()
+            held, n = [], 0
+    if held:
+        yield flush()
+
+
 def _windows(least: int):
     """Places of a file: hash of their window, and of the token before; that of a file's start is its own."""
 
-    def run(frames):
-        for f in frames:
-            for file, tokens in zip(f["file"], f["tokens"], strict=True):
-                n = len(tokens) - least + 1
-                if n > 0:
-                    before = np.append(np.int64(hash_of(file)), np.asarray(tokens, np.int64)[: n - 1])
-                    yield pd.DataFrame({"file": file, "off": np.arange(n, dtype=np.int32), "h": Ranges(tokens).of(np.arange(n), least).view(np.int64), "before": before})
+    def of(file: str, tokens: np.ndarray) -> tuple:
+        n = len(tokens) - least + 1
+        return file, np.arange(n, dtype=np.int32), Ranges(tokens).of(np.arange(n), least).view(np.int64), np.append(np.int64(hash_of(file)), tokens[: n - 1])
+
+    def run(batches):
+        found = (of(file, tokens) for batch in batches for file, tokens in _files(batch) if len(tokens) >= least)
+        yield from _gathered(found, ["file", "off", "h", "before"])
 
     return run
 
@@ -77,52 +111,80 @@ def hash_of(s: str) -> int:
     return int(pd.util.hash_array(np.array([s], object))[0].view(np.int64))
 
 
+def _own_pairs(tokens: np.ndarray, least: int, pairs: int = 1_000_000):
+    """Matches (starts, later starts, lengths) within a file that no token to the left makes longer, some pairs at a time."""
+    n = len(tokens) - least + 1
+    if n < 2:
+        return
+    ranges = Ranges(tokens)
+    h = ranges.of(np.arange(n), least)
+    order = np.argsort(h, kind="stable")
+    new = h[order][1:] != h[order][:-1]
+    if new.all():
+        return
+    cut = np.flatnonzero(np.concatenate(([True], new, [True])))
+    size = np.diff(cut)
+    before = np.append(np.int64(0), tokens[: n - 1])
+    first = order[cut[:-1]]
+    unlike = np.add.reduceat(before[order] != np.repeat(before[first], size), cut[:-1]) > 0
+    partners = np.repeat(np.where((size > 1) & ((first == 0) | unlike), cut[1:], 0), size) - np.arange(n) - 1
+    left = np.flatnonzero(partners > 0)
+    upto = np.cumsum(partners[left])
+    for some in np.split(left, np.flatnonzero(np.diff(upto // pairs)) + 1):
+        if not len(some):
+            continue
+        m = partners[some]
+        q = np.repeat(some, m)
+        a, b = order[q], order[q + 1 + np.arange(len(q)) - np.repeat(np.cumsum(m) - m, m)]
+        starts = (before[b] != before[a]) | (a == 0)
+        a, b = a[starts], b[starts]
+        long = ranges.common(a, b, least)
+        short = np.minimum(long, b - a)  # ranges that would overlap start later
+        good = short >= least
+        if good.any():
+            yield (a + long - short)[good], (b + long - short)[good], short[good]
+
+
 def _within(least: int):
     """Ends of the matches within one file (ENDS)."""
 
-    def run(frames):
-        for f in frames:
-            for file, tokens in zip(f["file"], f["tokens"], strict=True):
-                n = len(tokens) - least + 1
-                if n < 2:
-                    continue
-                ranges = Ranges(tokens)
-                h = ranges.of(np.arange(n), least)
-                order = np.argsort(h, kind="stable")
-                cut = np.flatnonzero(np.concatenate(([True], h[order][1:] != h[order][:-1], [True])))
-                before = np.append(np.int64(0), np.asarray(tokens, np.int64)[: n - 1])
-                for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    at = order[s:e]
-                    if e - s < 2 or (at[0] > 0 and (before[at] == before[at[0]]).all()):
-                        continue
-                    for i in range(len(at) - 1):  # matches that no token to the left makes longer
-                        b = at[i + 1 :]
-                        b = b[(before[b] != before[at[i]]) | (at[i] == 0)]
-                        a = np.full(len(b), at[i])
-                        size = ranges.common(a, b, least)
-                        short = np.minimum(size, b - a)  # ranges that would overlap start later
-                        good = short >= least
-                        a, b, short = (a + size - short)[good], (b + size - short)[good], short[good]
-                        if len(a):
-                            yield pd.DataFrame({"file": file, "off": np.append(a, b), "length": np.append(short, short), "pfile": file, "poff": np.append(b, a)})
+    def of(file: str, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> tuple:
+        both, other = np.append(a, b).astype(np.int32), np.append(b, a).astype(np.int32)
+        return file, both, np.append(length, length).astype(np.int32), file, other
+
+    def run(batches):
+        found = (of(file, *match) for batch in batches for file, tokens in _files(batch) for match in _own_pairs(tokens, least))
+        yield from _gathered(found, ["file", "off", "length", "pfile", "poff"])
 
     return run
 
 
+#: Lengths that a round of the search tries at once, the known one among them.
+FAN = 16
+
+
 def _next(step: int):
-    """Places with the hash of the `step` tokens after those they are known to share; null beyond the file's end."""
-
-    def run(frames):
-        for f in frames:
-            for file, tokens, group, off, lo, search in zip(*(f[c] for c in ("file", "tokens", "set", "off", "lo", "search")), strict=True):
-                ranges, start = Ranges(tokens), np.asarray(off) + np.asarray(lo)
-                fits = start + step <= ranges.n
-                h = pd.array(np.zeros(len(start), np.int64), "Int64")
-                h[fits] = ranges.of(start[fits], step).view(np.int64)
-                h[~fits] = pd.NA
-                yield pd.DataFrame({"set": group, "file": file, "off": off, "lo": lo, "search": search, "h": h})
+    """Places with the hashes of the i * step tokens after those they are known to share, and of a step less, for each i that the file has room for."""
 
-    return run
+    def of(file: str, tokens: np.ndarray, group: np.ndarray, off: np.ndarray, lo: np.ndarray, search: np.ndarray) -> tuple:
+        ranges, start = Ranges(tokens), off.astype(np.int64) + lo
+        at, i, h, less = [], [], [], []
+        for k in range(FAN):
+            fits = np.flatnonzero(start + k * step <= ranges.n)
+            at.append(fits)
+            i.append(np.full(len(fits), k, np.int32))
+            h.append(ranges.of(start[fits], k * step).view(np.int64))
+            less.append(ranges.of(start[fits], max(0, k - 1) * step).view(np.int64))
+        at = np.concatenate(at)
+        return group[at], file, off[at], lo[at], search[at], np.concatenate(i), np.concatenate(h), np.concatenate(less)
+
+    def places(batches):
+        for batch in batches:
+            columns = [(c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()) for c in (batch.column(k) for k in range(2, 6))]
+            for row, (file, tokens) in enumerate(_files(batch)):
+                yield of(file, tokens, *(flat[at[row] : at[row + 1]] for flat, at in columns))
+
+    return lambda batches: _gathered(places(batches), ["set", "file", "off", "lo", "search", "i", "h", "less"])
 
 
 def _two(places: DataFrame, by: list[str]) -> DataFrame:
@@ -134,22 +196,30 @@ def _two(places: DataFrame, by: list[str]) -> DataFrame:
 
 def _across(files: DataFrame, longest: int, least: int, scratch: Scratch) -> DataFrame:
     """The longest match of places with other files (ENDS), with the first of its partners."""
-    places = scratch.keep(files.mapInPandas(_windows(least), "file string, off int, h long, before long"))
+    places = scratch.keep(files.mapInArrow(_windows(least), "file string, off int, h long, before long"))
     shared = places.groupBy("h").agg(*(F.min(c).alias(f"{c}0") for c in ("file", "before")), *(F.max(c).alias(f"{c}1") for c in ("file", "before")))
     shared = shared.filter("file0 <> file1 and before0 <> before1").select("h")
     now = scratch.keep(places.join(shared, "h").select(F.col("h").alias("set"), "file", "off", F.lit(least).alias("lo"), F.lit(True).alias("search")))
-    step = 1 << max(1, longest - least).bit_length()
-    while step := step >> 1:
+    scratch.drop(places)
+    step = 1
+    while step * FAN <= longest - least:
+        step *= FAN
+    group = ["set", "i", "h"]
+    while step:
         wants = now.groupBy("file").agg(F.collect_list(F.struct("set", "off", "lo", "search")).alias("w")).select("file", *(F.col(f"w.{c}") for c in ("set", "off", "lo", "search")))
-        looked = scratch.keep(wants.join(files, "file").mapInPandas(_next(step), "set long, file string, off int, lo int, search boolean, h long"))
-        groups = looked.filter("h is not null").groupBy("set", "h").agg(F.min("file").alias("f0"), F.max("file").alias("f1"), F.max("search").alias("any")).filter("f0 <> f1 and any").select("set", "h", F.lit(True).alias("deep"))
-        looked = looked.join(groups, ["set", "h"], "left")
-        deep = looked.filter("deep").select(F.xxhash64("set", "h", F.lit(step)).alias("set"), "file", "off", (F.col("lo") + step).alias("lo"), "search")
-        stand = _two(looked.filter("deep").select("set", "h", "file", "off", "lo"), ["set", "h"]).select("set", "file", "off", "lo", F.lit(False).alias("search"))
-        stay = looked.filter("deep is null").select("set", "file", "off", "lo", "search").union(stand)
-        alive = stay.groupBy("set").agg(F.max("search").alias("any")).filter("any").select("set")
-        before, now = now, scratch.keep(deep.union(stay.join(alive, "set", "left_semi")))
-        scratch.drop(before)
+        tried = files.join(wants, "file").select("file", "tokens", "set", "off", "lo", "search").mapInArrow(_next(step), "set long, file string, off int, lo int, search boolean, i int, h long, less long")
+        looked = scratch.keep(tried)
+        common = looked.groupBy(*group).agg(F.min("file").alias("f0"), F.max("file").alias("f1"), F.max("search").alias("any")).filter("f0 <> f1 and any").select(*group)
+        member = scratch.keep(looked.join(common, group))
+        far = member.groupBy("set", "file", "off", "lo", "search").agg(F.max(F.struct("i", "h")).alias("m"))
+        far = scratch.keep(far.select("set", "m.i", "m.h", "file", "off", (F.col("lo") + F.col("m.i") * step).alias("lo"), "search"))
+        # two places of each group that goes on may be partners of those that end a step before it
+        stand = _two(member.filter("i > 0"), ["set", "i", "h", "less"]).select("set", (F.col("i") - 1).alias("i"), F.col("less").alias("h"), "file", "off", (F.col("lo") + (F.col("i") - 1) * step).alias("lo"), F.lit(False).alias("search"))
+        alive = far.filter("search").select(*group).distinct()
+        after = far.union(stand).join(alive, group, "left_semi").select(F.xxhash64(*group, F.lit(step)).alias("set"), "file", "off", "lo", "search")
+        before, now = now, scratch.keep(after)
+        scratch.drop(before, looked, member, far)
+        step //= FAN
     firsts = _two(now, ["set"]).groupBy("set").agg(*(F.min(F.when(F.col("rank") == r, F.struct("file", "off"))).alias(f"p{r}") for r in (1, 2)))
     found = now.filter("search").join(firsts, "set").withColumn("p", F.when(F.col("p1.file") != F.col("file"), F.col("p1")).otherwise(F.col("p2")))
     return found.select("file", "off", F.col("lo").alias("length"), F.col("p.file").alias("pfile"), F.col("p.off").alias("poff")).filter("pfile is not null")
@@ -174,15 +244,16 @@ def duplicate_groups(tokens: DataFrame, scratch: Scratch, least: int = 50) -> Da
     Offsets run from 0 in each file. Ranges are compared by 64-bit hashes. A file is worked on in one row.
     """
     what = F.xxhash64("type", "text") if "type" in tokens.columns else F.xxhash64("text")
-    one = tokens.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", what.alias("t")))).alias("s")).select("file", F.col("s.t").alias("tokens"))
-    files = scratch.keep(one.filter(F.size("tokens") >= least))
+    one = tokens.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("offset", what.alias("t"), "line"))).alias("s"))
+    kept = scratch.keep(one.filter(F.size("s") >= least).select("file", F.col("s.t").alias("tokens"), F.col("s.line").alias("lines")))
+    files = kept.select("file", "tokens")
     longest = files.agg(F.max(F.size("tokens"))).first()[0] or 0
-    within = files.mapInPandas(_within(least), ENDS)
+    within = files.mapInArrow(_within(least), ENDS)
     ends = scratch.keep(within.union(_across(files, longest, least, scratch)) if longest else within)
-    runs = settle(ends)
-    line = tokens.select("file", "offset", "line")
+    runs = scratch.keep(settle(ends))
     for side in ("a", "b"):
-        for end, at in (("first", F.col(f"start_{side}")), ("last", F.col(f"start_{side}") + F.col("length") - 1)):
-            where = line.select(F.col("file").alias(f"file_{side}"), F.col("offset").alias("at"), F.col("line").alias(f"{end}_line_{side}"))
-            runs = runs.withColumn("at", at).join(where, [f"file_{side}", "at"]).drop("at")
+        lines = kept.select(F.col("file").alias(f"file_{side}"), "lines")
+        start = F.col(f"start_{side}")
+        ends_at = (F.get("lines", at).alias(f"{end}_line_{side}") for end, at in (("first", start), ("last", start + F.col("length") - 1)))
+        runs = runs.join(lines, f"file_{side}").select(*runs.columns, *ends_at)
     return runs

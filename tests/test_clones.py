@@ -67,3 +67,12 @@ def test_copies_cost_a_row_each(spark):
 def test_none(spark):
     assert found(spark, {"a": ["x"] * 5, "b": []}, 50) == []
     assert found(spark, {"a": [str(i) for i in range(200)]}, 50) == []
+
+
+def test_long_copies_take_few_rounds(spark):
+    body = [str(k) for k in range(5000)]
+    files = {"a": ["x", *body[:4321], "y"], "b": [*body, "z"], "c": body[17:3000]}
+    scratch = Scratch(spark, "t")
+    got = C.duplicate_groups(tokens(spark, files), scratch, 50).collect()
+    assert {(r.file_a, r.start_a, r.file_b, r.start_b, r.length) for r in got} == {("a", 1, "b", 0, 4321), ("a", 18, "c", 0, 2983)}
+    assert scratch.n < 25
