@@ -185,10 +185,17 @@ class Forest:
         return a != b
 
 
+#: Words of the product of two leaves' bitmaps.
+PRODUCT = 1 << 18
+
+
 class SignatureTree:
-    """A static tree over sets: leaves of `leaf` sets in the order of size and bitmap, `fan` children to a node."""
+    """A static tree over sets: leaves of `leaf` sets in the order of size and bitmap, `fan` children to a node.
 
-    def __init__(self, sets: list[np.ndarray], leaf: int = 8, fan: int = 4):
+    Two leaves are compared by one product of their bitmaps; leaves of long bitmaps are smaller, so that it stays small.
+    """
+
+    def __init__(self, sets: list[np.ndarray], leaf: int = 64, fan: int = 4):
         self.sets = sets
         self.size = np.array([len(s) for s in sets])
         self.words = max(1, 1 << int(np.ceil(np.log2(max(1, 2 * self.size.max(initial=1)) / 64))) if self.size.max(initial=1) > 32 else 1)
@@ -198,6 +205,8 @@ class SignatureTree:
             row = np.zeros(self.words * 64, bool)
             row[(s & np.uint64(self.words * 64 - 1)).astype(np.int64)] = True
             self.bits[i] = np.packbits(row).view(np.uint64)
+        self.ones = np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
+        leaf = min(leaf, max(8, int((PRODUCT / self.words) ** 0.5)))
         order = np.lexsort((self.bits[:, 0], self.size))
         # nodes: (or, and, least size, greatest size, children or members)
         level = []
@@ -216,6 +225,26 @@ class SignatureTree:
         return {"or": any_, "and": all_, "lo": int(lo), "hi": int(hi), "children": children, "members": members}
 
 
+def _pairs(tree: SignatureTree, a: list[int], b: list[int], join: Join, forest: Forest, probes: set[int] | None) -> list[list[int]]:
+    """The sets of two leaves, in pairs of different components, that may still be linked by their bitmaps and sizes."""
+    i, j = np.array(a), np.array(b)
+    n, m = tree.size[i][:, None], tree.size[j][None, :]
+    both = np.bitwise_count(tree.bits[i][:, None, :] & tree.bits[j][None, :, :]).sum(axis=2, dtype=np.int64)
+    # tokens whose bits the other set lacks are its own
+    most = np.minimum(n - tree.ones[i][:, None] + both, m - tree.ones[j][None, :] + both)
+    may = join.den * most >= join.num * (n + m - most)
+    if a is b:
+        may = np.triu(may, 1)
+    if may.any():
+        home = lambda x: np.array([forest.find(k) for k in x])
+        may &= home(a)[:, None] != home(b)[None, :]
+        if probes is not None:
+            probe = lambda x: np.array([k in probes for k in x])
+            may &= probe(a)[:, None] | probe(b)[None, :]
+    x, y = np.nonzero(may)
+    return np.stack((i[x], j[y]), axis=1).tolist()
+
+
 def _reach(a, b, join: Join) -> bool:
     """Whether some pair below two nodes can still reach the threshold."""
     if join.den * min(a["hi"], b["hi"]) < join.num * max(a["lo"], b["lo"]):
@@ -235,7 +264,6 @@ def tree_join(sets: list[np.ndarray], join: Join, forest: Forest | None = None,
         return out
     tree = SignatureTree(sets)
     stack = [(tree.root, tree.root)]
-    size, bits = tree.size, tree.bits
     one = lambda members: len({forest.find(i) for i in members}) == 1
     while stack:
         a, b = stack.pop()
@@ -254,16 +282,10 @@ def tree_join(sets: list[np.ndarray], join: Join, forest: Forest | None = None,
             else:
                 stack += [(a, x) for x in b["children"]]
             continue
-        for p, i in enumerate(a["members"]):
-            for j in a["members"][p + 1 :] if a is b else b["members"]:
-                if forest.find(i) == forest.find(j) or (probes is not None and i not in probes and j not in probes):
-                    continue
-                n, m = int(size[i]), int(size[j])
-                most = min(n - int(np.bitwise_count(bits[i] & ~bits[j]).sum()), m - int(np.bitwise_count(bits[j] & ~bits[i]).sum()))
-                if join.den * most < join.num * (n + m - most):
-                    continue
+        for i, j in _pairs(tree, a["members"], b["members"], join, forest, probes):
+            if forest.find(i) != forest.find(j):
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if join.linked(both, n + m - both):
+                if join.linked(both, len(sets[i]) + len(sets[j]) - both):
                     forest.join(i, j)
                     out.append((i, j))
     return out
