@@ -336,7 +336,10 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, join: Join = Join(), i
     kind = F.col("key").bitwiseAND((1 << CLASS_BITS) - 1).cast("int")
     order = Window.partitionBy("set_id", kind).orderBy(F.desc("held"), "key")
     spare = F.element_at(F.array(*(F.lit(b[4]) for b in join.bounds())), kind + 1)
-    kept = rows.join(held(rows).drop("pivot").hint("merge"), "key").withColumn("at", F.dense_rank().over(order)).filter(F.col("at") > spare)
+    # one sort by key, in place of an aggregation and a join: nearly every key is its set's own
+    of_key = Window.partitionBy("key")
+    counted = rows.withColumn("held", F.count(F.lit(1)).over(of_key)).withColumn("pivot", F.min("set_id").over(of_key)).withColumn("other", F.max("set_id").over(of_key)).filter("pivot <> other").drop("pivot", "other")
+    kept = counted.withColumn("at", F.dense_rank().over(order)).filter(F.col("at") > spare)
     kept = scratch.keep(kept.select("set_id", "key").distinct())
     near = scratch.keep(kept.join(held(kept).drop("held"), "key").select("pivot", "set_id").filter("set_id <> pivot").distinct())
     keyed = all_.filter("set_id is not null")

@@ -114,3 +114,21 @@ def test_null_and_repeated_ids(spark):
     assert len(read) == 1
     rows = read[0].collect()
     assert len(rows) == len({x.set_id for x in rows}) and all(J.set_id(np.frombuffer(x.tokens, np.uint64)) == x.set_id for x in rows)
+
+
+def test_unlike_sets_of_a_group_are_not_looked_at_one_by_one():
+    """Sets that share a third of their tokens: bitmaps tell them apart, leaf by leaf, but for one linked pair."""
+    r = np.random.default_rng(3)
+    shared = r.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate((shared, r.integers(0, 2**63, 200).astype(np.uint64)))) for _ in range(600)]
+    sets.append(np.unique(np.append(sets[17], np.uint64(5))))
+
+    class Counting(J.Forest):
+        found = 0
+
+        def find(self, x):
+            Counting.found += 1
+            return super().find(x)
+
+    assert J.tree_join(sets, J.Join(), Counting(len(sets))) in ([(17, 600)], [(600, 17)])
+    assert Counting.found < 5 * len(sets)
