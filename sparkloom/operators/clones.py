@@ -69,7 +69,7 @@ def _files(batch: pa.RecordBatch):
 
 
 def _gathered(found, names: list[str], rows: int = 200_000):
-    """Batches of about `rows` rows of what is found by file: (file, whether it is a column at this place or an array), ..."""
+    """Batches of about `rows` rows of tuples of columns: arrays of one length, and texts that stand for all their rows."""
     held: list[tuple] = []
     n = 0
 
