@@ -8,9 +8,10 @@ instruction on the line's part or supplier. A supplier is a Kotlin file com.supp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,6 +20,8 @@ from sparkloom.sources import assembler as S, bytecode as B
 from sparkloom.util import table
 
 FILE = "path string, content binary"
+#: Columns of an order's line.
+LINE = ("number", "quantity", "part", "supplier", "status")
 DESCRIBE = "(ILjava/lang/String;)Ljava/lang/String;"
 
 
@@ -41,7 +44,7 @@ def _build(rows: Callable[[pa.RecordBatch], Iterable[tuple]], make: Callable[...
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> Iterable[tuple]:
-    return zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+    return zip(*(B.values(batch.column(n)) for n in names), strict=True)
 
 
 def _parts(batch: pa.RecordBatch) -> Iterable[tuple]:
@@ -95,17 +98,60 @@ def _part(form: tuple, texts: list[str], lines: list[int], ints: list[int]) -> b
 
 
 def _orders(batch: pa.RecordBatch) -> Iterable[tuple]:
+    """Rows (k, priority, name, lines); lines in the order that they have in the class."""
     lines = batch.column("lines")
     found, at = lines.flatten(), 0
-    columns = zip(*(found.field(c).to_pylist() for c in ("number", "quantity", "part", "supplier", "status")), strict=True)
-    columns = list(columns)
-    for k, priority, name, n in zip(*(batch.column(c).to_pylist() for c in ("k", "priority", "name")), pc.list_value_length(lines).to_pylist(), strict=True):
-        own = sorted(columns[at : at + n])
-        at += n
-        texts = [name, f"O{k}.kt", priority]
-        for _, _, part, supplier, status in own:
-            texts += part, supplier, status
-        yield (k % 4 != 1, *(line[0] for line in own)), texts, [line[1] for line in own], [int(priority[0])]
+    numbers, quantities, *names = (B.values(found.field(c)) for c in LINE)
+    mixed = [None] * (3 * len(found))
+    for i, column in enumerate(names):
+        mixed[i::3] = column
+    for k, priority, name, n in zip(*(B.values(c) for c in (*map(batch.column, ("k", "priority", "name")), pc.list_value_length(lines))), strict=True):
+        end = at + n
+        yield (k % 4 != 1, *numbers[at:end]), [name, f"O{k}.kt", priority, *mixed[3 * at : 3 * end]], quantities[at:end], [int(priority[0])]
+        at = end
+
+
+def _held(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at least so many rows, as one row of an order is not one class."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def _grouped(batches: Iterable[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of `order_rows` as (k, priority, name, lines). An order that a batch ends in waits for the next; lines without an order are left out."""
+    rest = None
+    for batch in _held(batches, rows):
+        if rest is not None:
+            batch = pa.concat_batches([rest, batch])
+        k = batch.column("k").to_numpy()
+        last = int(np.searchsorted(k, k[-1]))
+        rest = batch.slice(last)
+        if last:
+            yield _nested(batch.slice(0, last))
+    if rest is not None:
+        yield _nested(rest)
+
+
+def _nested(batch: pa.RecordBatch) -> pa.RecordBatch:
+    k, is_order = batch.column("k").to_numpy(), batch.column("line").to_numpy() == 0
+    orders = np.flatnonzero(is_order)
+    # the lines of a key follow its orders
+    end = np.searchsorted(k, k[orders], "right")
+    before = np.concatenate([[0], np.cumsum(is_order)])
+    start = np.searchsorted(k, k[orders])
+    start += before[end] - before[start]
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    places = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], end - start)
+    lines = batch.select(list(LINE)).take(pa.array(places)).to_struct_array()
+    own = batch.select(["k", "priority", "name"]).take(pa.array(orders))
+    return pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines)], names=["k", "priority", "name", "lines"])
 
 
 def _order(form: tuple, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
@@ -150,11 +196,11 @@ def _supplier(inline: bool, texts: list[str], lines: list[int], ints: list[int])
     return c.bytes()
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, key: str = "name") -> DataFrame:
     """Small rows make large files and long work, so they are dealt out by hand, to no fewer tasks than a shuffle has."""
     spark = rows.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(n, "name")
+    return rows.repartition(n, key)
 
 
 def _part_name() -> F.Column:
@@ -167,17 +213,20 @@ def part_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_rows(spark: SparkSession, d: str) -> DataFrame:
-    """A class holds the lines of one order, so no class grows with the tables."""
+    """Orders (line 0) and their lines (line 1), dealt out by order in one shuffle and sorted: an order, then its lines.
+
+    A class holds the lines of one order, so no class grows with the tables.
+    """
     part = table(spark, d, "part").select("p_partkey", _part_name().alias("part"))
     line = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     status = F.concat_ws("-", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("int").cast("string"))
-    facts = F.struct(F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("int").alias("quantity"), "part", F.concat(F.lit("com/suppliers/S"), F.col("l_suppkey").cast("string"), F.lit("Kt")).alias("supplier"), status.alias("status"))
-    lines = line.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(facts).alias("lines"))
+    no = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    facts = (F.col("l_linenumber").alias("number"), F.col("l_quantity").cast("int").alias("quantity"), "part", F.concat(F.lit("com/suppliers/S"), F.col("l_suppkey").cast("string"), F.lit("Kt")).alias("supplier"), status.alias("status"))
+    lines = line.select(F.col("l_orderkey").alias("k"), F.lit(1).alias("line"), *facts, no("priority", "string"), no("name", "string"))
     inner = F.when(F.col("o_orderkey") % 10 == 3, "$1").otherwise("")
     name = F.concat(F.lit("com/orders/"), F.lower("o_orderstatus"), F.lit("/O"), F.col("o_orderkey").cast("string"), inner)
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("priority"), name.alias("name"))
-    none = F.array().cast(lines.schema["lines"].dataType)
-    return _dealt(orders.join(lines, "k", "left").select("k", "priority", "name", F.coalesce("lines", none).alias("lines")))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), *(no(c, lines.schema[c].dataType) for c in LINE), F.col("o_orderpriority").alias("priority"), name.alias("name"))
+    return _dealt(orders.union(lines.filter("k is not null")), "k").sortWithinPartitions("k", "line", *LINE)
 
 
 def supplier_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +249,8 @@ def part_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None
 
 
 def order_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    return B.parse_made(order_rows(spark, d), _build(_orders, _order), records=records)
+    files = _build(_orders, _order)
+    return B.parse_made(order_rows(spark, d), lambda batches: files(_grouped(batches)), records=records)
 
 
 def supplier_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:

@@ -41,6 +41,11 @@ def _rows(data: bytes, path: str, wanted: frozenset[str] | None) -> list[tuple]:
         return _error(path, e, wanted)
 
 
+def values(column: pa.Array) -> list:
+    """A column as a list, by way of numpy, which is about ten times as fast as `to_pylist` and has no null numbers."""
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     columns[-1] = [None if p is None else list(p.items()) for p in columns[-1]]
@@ -68,7 +73,7 @@ def _parse(jars: bool, wanted: frozenset[str] | None, rows: int = 20_000):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for path, data in zip(values(batch.column(0)), batch.column(1), strict=True):
                 try:
                     for name, content in _entries(path, data.as_py()) if jars else [(path, data.as_py())]:
                         held += _error(name, f"{type(content).__name__}: {content}", wanted) if isinstance(content, Exception) else _rows(content, name, wanted)

@@ -56,3 +56,30 @@ def test_damage_is_seen_by_errors_and_stepped_over_by_others():
     bad = data[: at + 1] + b"\xfa" + data[at + 2 :]
     assert facts(bad).startswith("damaged") and facts(bad, frozenset(["error"])).startswith("damaged")
     assert [r[0] for r in facts(bad, frozenset(["class"]))] == ["class"]
+
+
+def flat(orders, lines):
+    import pyarrow as pa
+
+    kinds = [("k", pa.int64()), ("line", pa.int32()), ("number", pa.int32()), ("quantity", pa.int32()), *((c, pa.string()) for c in ("part", "supplier", "status", "priority", "name"))]
+    rows = [(k, 0, None, None, None, None, None, "1-X", name) for k, name in orders] + [(k, 1, n, n, f"p{n}", "s", "t", None, None) for k, n in lines]
+    rows.sort(key=lambda r: (r[0], r[1], r[2] or 0, r[8] or ""))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c for c, _ in kinds])
+
+
+def test_orders_are_whole_whatever_batches_they_come_in():
+    orders = [(1, "a"), (2, "b"), (2, "c"), (4, "d"), (9, "e")]
+    whole = flat(orders, [(0, 1), (1, 2), (1, 1), (2, 3), (2, 3), (3, 1), (9, 4), (9, 5), (10, 1)])
+    for size in range(1, whole.num_rows + 1):
+        batches = [whole.slice(i, size) for i in range(0, whole.num_rows, size)]
+        for least in (1, 3, 100):
+            got = [(r["name"], [x["number"] for x in r["lines"]]) for b in A._grouped(iter(batches), least) for r in b.to_pylist()]
+            assert got == [("a", [1, 2]), ("b", [3, 3]), ("c", [3, 3]), ("d", []), ("e", [4, 5])]
+    assert list(A._grouped(iter([]))) == []
+
+
+def test_a_form_of_many_lines_that_occurs_twice():
+    form, texts, lines, ints = (True, *[1] * 30), ["com/orders/f/O1", "O1.kt", "1-X", *["com/a/P1", "com/suppliers/S1Kt", "R-F-1"] * 30], list(range(30)), [1]
+    forms = S.Forms(A._order)
+    for _ in range(3):
+        assert facts(forms.file(form, texts, lines, ints)) == facts(A._order(form, texts, lines, ints))
