@@ -31,14 +31,17 @@ def _forms(make: Callable[..., bytes]) -> S.Forms:
     return S.Forms(make)
 
 
-def _build(rows: Callable[[pa.RecordBatch], Iterable[tuple]], make: Callable[..., bytes]):
-    """rows gives (form, texts, line numbers, numbers) of each row; the first text is the file's own name."""
+def _build(rows: Callable[[pa.RecordBatch], S.Rows], make: Callable[..., bytes]):
+    """rows gives what each row's file is filled with; the first text is the file's own name."""
 
     def run(batches):
         forms = _forms(make)
         for batch in batches:
-            made = [(f"{texts[0]}.class", forms.file(form, texts, lines, ints)) for form, texts, lines, ints in rows(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in made], pa.string()), pa.array([c for _, c in made], pa.binary())], names=["path", "content"])
+            if batch.num_rows:
+                found = rows(batch)
+                names = found.texts.take(pa.array(found.text_at[S.starts(found.n_texts)[:-1]]))
+                paths = pc.binary_join_element_wise(names, ".class", "")
+                yield pa.RecordBatch.from_arrays([paths, forms.files(found)], names=["path", "content"])
 
     return run
 
@@ -54,6 +57,10 @@ def _parts(batch: pa.RecordBatch) -> Iterable[tuple]:
         yield form, [name, f"P{k}.kt", f"P{k}", f"/p/{k}", title, f"a{size}"], [size, k % 100 + 1, k % 100 + 3], [size]
 
 
+def _part_texts(batch: pa.RecordBatch) -> S.Rows:
+    return S.Rows.of(_parts(batch))
+
+
 def _part(form: tuple, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
     own, source, short, route_path, title, tag = texts
     broken, new, kind, even, by2, by3, by4, by5, by7, by8, by9, by10, by11, by13 = form
@@ -111,6 +118,32 @@ def _orders(batch: pa.RecordBatch) -> Iterable[tuple]:
         at = end
 
 
+def _order_rows(batch: pa.RecordBatch) -> S.Rows:
+    """What `_orders` gives, without a row at a time."""
+    lines, k, priority = batch.column("lines"), batch.column("k"), batch.column("priority")
+    found, n = lines.flatten(), pc.list_value_length(lines)
+    numbers, quantities, *names = (found.field(c) for c in LINE)
+    if any(c.null_count for c in (lines, k, priority, found, numbers, quantities)):
+        return S.Rows.of(_orders(batch))
+    n, k, numbers = n.to_numpy(), k.to_numpy(), numbers.to_numpy()
+    count, first = len(k), np.arange(len(k))
+    own = pc.binary_join_element_wise("O", pc.cast(batch.column("k"), pa.string()), ".kt", "")
+    # places in the columns' concatenation: three texts of an order, then three of each of its lines
+    at = np.empty(3 * (count + len(found)), np.int64)
+    start = 3 * (first + S.starts(n)[:-1])
+    for c in range(3):
+        at[start + c] = c * count + first
+    line = 3 * (np.arange(len(found)) + np.repeat(first, n) + 1)
+    for c in range(3):
+        at[line + c] = 3 * count + c * len(found) + np.arange(len(found))
+    raw = numbers.astype(np.int64).tobytes()
+    ends = (8 * S.starts(n)).tolist()
+    keys = [(known, raw[a:b]) for known, a, b in zip((k % 4 != 1).tolist(), ends[:-1], ends[1:], strict=True)]
+    ints = np.array([int(p[0]) for p in B.values(priority)], np.int64)
+    texts = pa.concat_arrays([c.cast(pa.string()) for c in (batch.column("name"), own, priority, *names)])
+    return S.Rows(keys, texts, at, 3 + 3 * n.astype(np.int64), quantities.to_numpy().astype(np.int64), n.astype(np.int64), ints, np.ones(count, np.int64))
+
+
 def _held(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at least so many rows, as one row of an order is not one class."""
     held, n = [], 0
@@ -124,7 +157,7 @@ def _held(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
         yield pa.concat_batches(held)
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+def _grouped(batches: Iterable[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.RecordBatch]:
     """Sorted rows of `order_rows` as (k, priority, name, lines). An order that a batch ends in waits for the next; lines without an order are left out."""
     rest = None
     for batch in _held(batches, rows):
@@ -157,8 +190,9 @@ def _nested(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _order(form: tuple, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
     name, source, priority = texts[:3]
     c = S.ClassFile(name, source=source if form[0] else None, notes=[S.Note(("Lcom/shared/Priority;", {"value": priority, "level": ints[0]}))])
+    numbers = np.frombuffer(form[1], np.int64).tolist() if isinstance(form[-1], bytes) else form[1:]
     methods: dict[int, list] = {}
-    for i, n in enumerate(form[1:]):
+    for i, n in enumerate(numbers):
         part, supplier, status = texts[3 + 3 * i : 6 + 3 * i]
         code = methods.setdefault(n, [])
         if n % 2:
@@ -187,6 +221,10 @@ def _suppliers(batch: pa.RecordBatch) -> Iterable[tuple]:
         yield balance < 0, [own, f"(Lcom/nations/N{nation};)V"], [], []
 
 
+def _supplier_texts(batch: pa.RecordBatch) -> S.Rows:
+    return S.Rows.of(_suppliers(batch))
+
+
 def _supplier(inline: bool, texts: list[str], lines: list[int], ints: list[int]) -> bytes:
     own, desc = texts
     c = S.ClassFile(own, source="Suppliers.kt", notes=[S.kotlin_metadata([("ext", inline), ("of", False)], file=True)])
@@ -236,25 +274,25 @@ def supplier_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def part_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content)."""
-    return part_rows(spark, d).mapInArrow(_build(_parts, _part), FILE)
+    return part_rows(spark, d).mapInArrow(_build(_part_texts, _part), FILE)
 
 
 def supplier_files(spark: SparkSession, d: str) -> DataFrame:
     """(path, content)."""
-    return supplier_rows(spark, d).mapInArrow(_build(_suppliers, _supplier), FILE)
+    return supplier_rows(spark, d).mapInArrow(_build(_supplier_texts, _supplier), FILE)
 
 
 def part_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    return B.parse_made(part_rows(spark, d), _build(_parts, _part), records=records)
+    return B.parse_made(part_rows(spark, d), _build(_part_texts, _part), records=records)
 
 
 def order_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    files = _build(_orders, _order)
+    files = _build(_order_rows, _order)
     return B.parse_made(order_rows(spark, d), lambda batches: files(_grouped(batches)), records=records)
 
 
 def supplier_facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:
-    return B.parse_made(supplier_rows(spark, d), _build(_suppliers, _supplier), "test", records=records)
+    return B.parse_made(supplier_rows(spark, d), _build(_supplier_texts, _supplier), "test", records=records)
 
 
 def facts(spark: SparkSession, d: str, records: Iterable[str] | None = None) -> DataFrame:

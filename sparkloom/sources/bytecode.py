@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparkloom.functions import names as N
 from sparkloom.operators.navigation import generated_method
-from sparkloom.sources import classfile as C, jars
+from sparkloom.sources import classbatch, classfile as C, jars
 
 UNKNOWN = "<unknown>"
 #: Annotations that compilers write.
@@ -25,9 +25,9 @@ COMPILER_NOTES = ("kotlin.Metadata", "kotlin.jvm.internal.SourceDebugExtension",
 #: Fixed value: the field that holds a singleton.
 SINGLETON = "INSTANCE"
 
-_ARROW = pa.schema(
-    [(c, pa.string()) for c in C.COLUMNS[:8]] + [("line", pa.int32()), ("access", pa.int32()), ("names", pa.list_(pa.string())), ("params", pa.map_(pa.string(), pa.string()))]
-)
+_ARROW = classbatch.ARROW
+#: Files of a batch that are read at once, no fewer and no more bytes of them.
+FEWEST, MOST_BYTES = 64, 1 << 28
 
 
 def _error(path: str, reason: object, wanted: frozenset[str] | None) -> list[tuple]:
@@ -69,10 +69,25 @@ def _entries(path: str, data: bytes) -> Iterator[tuple[str, bytes]]:
                 yield name, content
 
 
+def _at_once(batch: pa.RecordBatch, wanted: frozenset[str]) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+    """(facts of the files that can be read at once, the other files)."""
+    paths, content = batch.columns
+    if batch.num_rows < FEWEST or content.nbytes > MOST_BYTES or content.null_count or paths.null_count:
+        return [], batch
+    found, odd = classbatch.rows(content, paths, wanted)
+    return found, batch.filter(pa.array(odd))
+
+
 def _parse(jars: bool, wanted: frozenset[str] | None, rows: int = 20_000):
+    at_once = not jars and wanted is not None and wanted <= classbatch.HERE
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
+            if at_once:
+                found, batch = _at_once(batch, wanted)
+                for made in found:
+                    yield from (made.slice(i, rows) for i in range(0, made.num_rows, rows))
             for path, data in zip(values(batch.column(0)), batch.column(1), strict=True):
                 try:
                     for name, content in _entries(path, data.as_py()) if jars else [(path, data.as_py())]:
