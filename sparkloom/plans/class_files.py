@@ -157,8 +157,8 @@ def _held(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBat
         yield pa.concat_batches(held)
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], rows: int = 40_000) -> Iterator[pa.RecordBatch]:
-    """Sorted rows of `order_rows` as (k, priority, name, lines). An order that a batch ends in waits for the next; lines without an order are left out."""
+def _grouped(batches: Iterable[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Rows of `order_rows` as (k, priority, name, lines), lines by number and quantity. An order that a batch ends in waits for the next; lines without an order are left out."""
     rest = None
     for batch in _held(batches, rows):
         if rest is not None:
@@ -172,7 +172,18 @@ def _grouped(batches: Iterable[pa.RecordBatch], rows: int = 40_000) -> Iterator[
         yield _nested(rest)
 
 
+def _in_order(batch: pa.RecordBatch) -> np.ndarray:
+    """Places of rows sorted by k in order of k, line, number and quantity."""
+    k, line = batch.column("k").to_numpy(), batch.column("line").to_numpy()
+    number, quantity = (pc.fill_null(batch.column(c), 0).to_numpy() for c in ("number", "quantity"))
+    if min(number.min(), quantity.min()) < 0 or max(number.max(), quantity.max()) >= 1 << 16:
+        return np.lexsort((quantity, number, line, k))
+    rank = np.cumsum(np.diff(k, prepend=k[0]) != 0)
+    return np.argsort(rank << 33 | line.astype(np.int64) << 32 | number.astype(np.int64) << 16 | quantity, kind="stable")
+
+
 def _nested(batch: pa.RecordBatch) -> pa.RecordBatch:
+    batch = batch.take(pa.array(_in_order(batch)))
     k, is_order = batch.column("k").to_numpy(), batch.column("line").to_numpy() == 0
     orders = np.flatnonzero(is_order)
     # the lines of a key follow its orders
@@ -251,7 +262,7 @@ def part_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def order_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Orders (line 0) and their lines (line 1), dealt out by order in one shuffle and sorted: an order, then its lines.
+    """Orders (line 0) and their lines (line 1), dealt out by order in one shuffle and sorted by it; `_grouped` puts a batch's lines in order.
 
     A class holds the lines of one order, so no class grows with the tables.
     """
@@ -264,7 +275,7 @@ def order_rows(spark: SparkSession, d: str) -> DataFrame:
     inner = F.when(F.col("o_orderkey") % 10 == 3, "$1").otherwise("")
     name = F.concat(F.lit("com/orders/"), F.lower("o_orderstatus"), F.lit("/O"), F.col("o_orderkey").cast("string"), inner)
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), *(no(c, lines.schema[c].dataType) for c in LINE), F.col("o_orderpriority").alias("priority"), name.alias("name"))
-    return _dealt(orders.union(lines.filter("k is not null")), "k").sortWithinPartitions("k", "line", *LINE)
+    return _dealt(orders.union(lines.filter("k is not null")), "k").sortWithinPartitions("k")
 
 
 def supplier_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -93,7 +93,7 @@ def test_many_files_at_once_are_those_made_one_by_one():
             for some in (forms, few):
                 got = some.files(S.Rows.of(rows[:n])).to_pylist()
                 assert [facts(data) for data in got] == [facts(make(*row)) for row in rows[:n]]
-        assert len(few.codes) <= 3 and any(f < 0 for f in forms.placed.values()) == (make is A._order)
+        assert len(few.n_pieces) <= 3 and any(f < 0 for f in forms.placed.values()) == (make is A._order)
 
 
 def test_columns_of_orders_say_what_rows_of_orders_say():
