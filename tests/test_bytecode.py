@@ -127,3 +127,12 @@ def test_damaged_entry(spark, tmp_path):
     (tmp_path / "no.jar").write_bytes(b"nothing")
     facts = B.read_jars(spark, [str(tmp_path)])
     assert len({r.path for r in B.errors(facts).collect()}) == 2 and B.classes(facts).count() >= 1
+
+
+def test_usages_read_no_more_than_their_rows(facts):
+    f, _ = facts
+    for asked in ({"owner": "Store"}, {"owner": "Store", "field": "total"}, {"owner": "store", "method": "load"}, {"type": r"a\.Box$"}, {"owner": "Store", "type": "Box", "method": "load"}):
+        few = B.usage_facts(f, **asked)
+        assert few.columns == ["record", "class", "member", "owner", "name", "desc", "value"]
+        assert rows(B.find_usages(few, **asked), *B.USE) == rows(B.find_usages(f, **asked), *B.USE)
+        assert few.filter("record = 'use'").count() < f.filter("record = 'use'").count()
