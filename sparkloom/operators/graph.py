@@ -130,8 +130,12 @@ def cycles(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out.join(least, "component").select(F.col("least").alias("component"), "node")
 
 
-def pagerank(edges: DataFrame, scratch: Scratch, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(node, rank) after synchronous rounds; dangling rank is not handed on. Lineage is cut every five rounds."""
+def pagerank(edges: DataFrame, scratch: Scratch, rounds: int = 20, damping: float = 0.85, fed_only: bool = False) -> DataFrame:
+    """(node, rank) after synchronous rounds; dangling rank is not handed on. Lineage is cut every five rounds.
+
+    Every node keeps its share of (1 - damping) / n. fed_only: a round has only nodes with an edge from a node of the round
+    before, so one that nothing leads to is gone after the first, and what it would hand on with it; n stays.
+    """
     e = scratch.keep(edges.select("src", "tgt").filter("src <> tgt").distinct())
     nodes = scratch.keep(e.select(F.col("src").alias("node")).union(e.select("tgt")).distinct())
     n = nodes.count()
@@ -142,7 +146,7 @@ def pagerank(edges: DataFrame, scratch: Scratch, rounds: int = 20, damping: floa
     rank = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(rounds):
         given = e.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        rank = nodes.join(given, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        rank = (given if fed_only else nodes.join(given, "node", "left")).select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % 5 == 4:
             rank = scratch.keep(rank)
     return rank

@@ -2,8 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
+import __spark_entry__ as entry
 from sparkloom.operators import graph as G
 from sparkloom.util import Scratch
 
@@ -87,3 +89,20 @@ def test_long_path_takes_few_rounds(spark):
     tail = [k * 7919 % n for k in range(n - 4, n)]
     assert got == {(min(tail), x) for x in tail}
     assert scratch.n < 40
+
+
+def test_pagerank_uncalled(spark, tmp_path):
+    """P4 and P5 have no caller, P6 only P5: the query equals its SQL, which loses them, and the operator keeps them."""
+    calls = [(1, 2), (2, 3), (3, 2), (4, 2), (5, 6), (6, 1)]
+    lines = [(o, part, n, "R", "O") for o, pair in enumerate(calls) for n, part in enumerate(pair)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "STD", "B#1", 1) for k in range(1, 7)], "p_partkey long, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(entry.oracle_sql()["pagerank"]).fetchall())
+    assert [n for n, _ in want] == ["com.std.b1.P2", "com.std.b1.P3"]
+    assert sorted(tuple(r) for r in entry.queries()["pagerank"](spark, str(tmp_path)).collect()) == want
+    edges = spark.createDataFrame(calls, "src long, tgt long")
+    rank = {r.node: r["rank"] for r in G.pagerank(edges, Scratch(spark, "t")).collect()}
+    assert sorted(rank) == [1, 2, 3, 4, 5, 6] and rank[4] == pytest.approx(0.15 / 6) and rank[6] == pytest.approx(0.15 / 6 * 1.85)
