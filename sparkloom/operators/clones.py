@@ -13,7 +13,9 @@ copies gives m - 1 rows, all found by running maxima over the files.
 The longest match of a place with other files comes from a search by sixteenths over hashes of token ranges: places that
 agree on the next i * 16^k tokens with another file, for the greatest i below 16, go on together, with two places (of
 different files) of each group that agrees on a step more; hashes of all i are made in one round, of which there are at most five below 2^20 tokens. Only places that are not all preceded by the
-same token take part, others lie in a longer match. Matches within a file are found in the file's own row.
+same token take part, others lie in a longer match. To tell them, one place in about `least` / 4 is hashed and dealt out first: equal windows pick
+the same piece of theirs as anchor, so if one file alone holds an anchor, or equal tokens precede it wherever it is found, no match starts at a window
+that picks it, and the window is not written. Matches within a file are found in the file's own row.
 """
 
 from __future__ import annotations
@@ -93,12 +95,28 @@ def _gathered(found, names: list[str], rows: int = 200_000):
         yield flush()
 
 
-def _windows(least: int):
-    """Places of a file: hash of their window, and of the token before; that of a file's start is its own."""
+def _picks(ranges: Ranges, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For the window of `least` tokens at each place where its anchor is; the hash of what an anchor holds at each place; how many places a window picks from.
+
+    A window's anchor is the least, then first, of its pieces of least // 2 tokens: windows of equal tokens pick alike.
+    """
+    size = max(1, least // 2)
+    held = ranges.of(np.arange(ranges.n - size + 1), size)
+    wide = least - size + 1
+    return np.arange(ranges.n - least + 1) + np.lib.stride_tricks.sliding_window_view(held, wide).argmin(1), held, wide
+
+
+def _anchors(least: int):
+    """Anchors of a file: hash of what they hold, and of the tokens before that a window could begin after; near a file's start that is its own."""
 
     def of(file: str, tokens: np.ndarray) -> tuple:
-        n = len(tokens) - least + 1
-        return file, np.arange(n, dtype=np.int32), Ranges(tokens).of(np.arange(n), least).view(np.int64), np.append(np.int64(hash_of(file)), tokens[: n - 1])
+        ranges = Ranges(tokens)
+        picks, held, wide = _picks(ranges, least)
+        at = np.unique(picks)
+        left = np.full(len(at), hash_of(file))
+        far = at >= wide
+        left[far] = ranges.of(at[far] - wide, wide).view(np.int64)
+        return file, at.astype(np.int32), held[at].view(np.int64), left
 
     def run(batches):
         found = (of(file, tokens) for batch in batches for file, tokens in _files(batch) if len(tokens) >= least)
@@ -107,6 +125,26 @@ def _windows(least: int):
     return run
 
 
+def _windows(least: int):
+    """Places of a file whose anchors are listed: hash of their window, and of the token before; that of a file's start is its own."""
+
+    def of(file: str, tokens: np.ndarray, anchors: np.ndarray) -> tuple:
+        ranges = Ranges(tokens)
+        listed = np.zeros(ranges.n, bool)
+        listed[anchors] = True
+        at = np.flatnonzero(listed[_picks(ranges, least)[0]])
+        before = np.append(np.int64(hash_of(file)), tokens)
+        return file, at.astype(np.int32), ranges.of(at, least).view(np.int64), before[at]
+
+    def found(batches):
+        for batch in batches:
+            flat, at = batch.column(2).values.to_numpy(zero_copy_only=False), batch.column(2).offsets.to_numpy()
+            for row, (file, tokens) in enumerate(_files(batch)):
+                yield of(file, tokens, flat[at[row] : at[row + 1]])
+
+    return lambda batches: _gathered(found(batches), ["file", "off", "h", "before"])
+
+
 def hash_of(s: str) -> int:
     return int(pd.util.hash_array(np.array([s], object))[0].view(np.int64))
 
@@ -194,13 +232,21 @@ def _two(places: DataFrame, by: list[str]) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= 2)
 
 
+def _starting(places: DataFrame) -> DataFrame:
+    """Places (file, off, h, before) of hashes that two files hold, not all after the same."""
+    ends = places.groupBy("h").agg(*(F.min(c).alias(f"{c}0") for c in ("file", "before")), *(F.max(c).alias(f"{c}1") for c in ("file", "before")))
+    return places.join(ends.filter("file0 <> file1 and before0 <> before1").select("h"), "h")
+
+
 def _across(files: DataFrame, longest: int, least: int, scratch: Scratch) -> DataFrame:
     """The longest match of places with other files (ENDS), with the first of its partners."""
-    places = scratch.keep(files.mapInArrow(_windows(least), "file string, off int, h long, before long"))
-    shared = places.groupBy("h").agg(*(F.min(c).alias(f"{c}0") for c in ("file", "before")), *(F.max(c).alias(f"{c}1") for c in ("file", "before")))
-    shared = shared.filter("file0 <> file1 and before0 <> before1").select("h")
-    now = scratch.keep(places.join(shared, "h").select(F.col("h").alias("set"), "file", "off", F.lit(least).alias("lo"), F.lit(True).alias("search")))
-    scratch.drop(places)
+    hashed = "file string, off int, h long, before long"
+    anchors = scratch.keep(files.mapInArrow(_anchors(least), hashed))
+    wants = scratch.keep(_starting(anchors).groupBy("file").agg(F.collect_list("off").alias("w")))
+    scratch.drop(anchors)
+    places = scratch.keep(files.join(wants, "file").select("file", "tokens", "w").mapInArrow(_windows(least), hashed))
+    now = scratch.keep(_starting(places).select(F.col("h").alias("set"), "file", "off", F.lit(least).alias("lo"), F.lit(True).alias("search")))
+    scratch.drop(places, wants)
     step = 1
     while step * FAN <= longest - least:
         step *= FAN

@@ -13,8 +13,9 @@ from sparkloom.util import Scratch, table
 def word_tokens(s, d):
     """(file, offset, text, line): the words of each document in their lines."""
     docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line", "row"))
-    by_line = docs.groupBy("file").agg(F.sort_array(F.collect_list(F.struct(F.col("line"), F.regexp_extract_all("row", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w")))).alias("rows"))
-    words = F.flatten(F.transform("rows", lambda r: F.transform(r["w"], lambda w: F.struct((r["line"] + 1).alias("line"), w.alias("text")))))
+    by_line = docs.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "row"))).alias("rows"))
+    row_words = lambda r: F.regexp_extract_all(r["row"], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    words = F.flatten(F.transform("rows", lambda r: F.transform(row_words(r), lambda w: F.struct((r["line"] + 1).alias("line"), w.alias("text")))))
     return by_line.select("file", F.posexplode(words).alias("offset", "t")).select("file", "offset", "t.text", "t.line")
 
 

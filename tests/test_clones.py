@@ -76,3 +76,30 @@ def test_long_copies_take_few_rounds(spark):
     got = C.duplicate_groups(tokens(spark, files), scratch, 50).collect()
     assert {(r.file_a, r.start_a, r.file_b, r.start_b, r.length) for r in got} == {("a", 1, "b", 0, 4321), ("a", 18, "c", 0, 2983)}
     assert scratch.n < 25
+
+
+def test_writes_few_places(spark):
+    """Only anchors, and windows about the start of a match, become rows: before, each place of each text did."""
+
+    class Counted(Scratch):
+        rows = 0
+
+        def keep(self, df):
+            out = super().keep(df)
+            self.rows += out.count() if "off" in out.columns else 0
+            return out
+
+    r = random.Random(7)
+    body = [str(r.random()) for _ in range(120)]
+    files = {f"f{k}": [str(r.random()) for _ in range(400 + k)] + body * (k % 3 == 0) for k in range(9)}
+    scratch = Counted(spark, "t")
+    got = C.duplicate_groups(tokens(spark, files), scratch, 50).collect()
+    assert {(x.file_a, x.start_a, x.file_b, x.start_b, x.length) for x in got} == {("f0", 400, "f3", 403, 120), ("f0", 400, "f6", 406, 120)}
+    assert scratch.rows < sum(map(len, files.values())) / 4
+
+
+def test_short_windows(spark):
+    """Windows of three tokens, whose anchors are single ones."""
+    r = random.Random(11)
+    files = {f"f{k}": [r.choice("abcdefgh") for _ in range(r.randint(2, 25))] for k in range(6)}
+    assert {(x.file_a, x.start_a, x.file_b, x.start_b, x.length) for x in found(spark, files, 3)} == greedy(files, 3)
