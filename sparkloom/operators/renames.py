@@ -168,20 +168,34 @@ def move_class(facts: DataFrame, targets: DataFrame) -> DataFrame:
     A file facade (…Kt) moves every top-level class of its file with it, each under its own name in the new package; another
     class moves alone, with its nested classes. MOVED: a moved class; new_path is its file in the new package, named
     after new_class where the file is named after the class. REFERENCE: a class outside the move that refers to a moved one.
+    References are dealt out twice, by their own class and by the moved one; those into packages that nothing moves in are left out first.
     """
     keys = ["class", "new_class"]
+    scratch = Scratch(facts.sparkSession, "move")
     rows = targets.select(keys).dropna().distinct()
-    files = B.classes(facts).select(F.col("class").alias("site_class"), N.top_level(F.col("class")).alias("top"), "source_path").distinct()
+    files = scratch.keep(B.classes(facts).select(F.col("class").alias("site_class"), "source_path").distinct())
+    top = N.top_level(F.col("site_class"))
     facade = F.col("class").endswith("Kt")
-    whole = rows.filter(facade).join(files.select(F.col("site_class").alias("class"), "source_path"), "class").filter(F.col("source_path") != B.UNKNOWN)
-    whole = whole.join(files.select("top", "source_path").distinct(), "source_path").select(*keys, "top")
-    moved = whole.union(rows.join(files.filter("site_class = top").select(F.col("top").alias("class")).distinct(), "class").select(*keys, F.col("class").alias("top"))).distinct()
+    heads = files.filter("site_class like '%Kt'").select(F.col("site_class").alias("class"), "source_path")
+    heads = scratch.keep(rows.filter(facade).join(heads, "class").filter(F.col("source_path") != B.UNKNOWN))
+    whole = heads.join(files.select(top.alias("top"), "source_path"), "source_path").select(*keys, "top")
+    here = files.filter(F.col("site_class") == top).select(F.col("site_class").alias("class"))
+    alone = scratch.keep(rows.join(here, "class", "left_semi").select(*keys, F.col("class").alias("top")))
+    many = scratch.keep(whole.union(alone.filter(facade)).distinct())
+    moved = alone.filter(~facade).union(many)
     package, stem = F.translate(N.package_name(F.col("new_class")), ".", "/"), lambda c: F.regexp_replace(N.simple_name(c), "Kt$", "")
     file, kind = F.element_at(F.split("source_path", "/"), -1), F.regexp_extract("source_path", r"(\.[^./]*)$", 1)
     named = F.when(file == F.concat(stem(F.col("class")), kind), F.concat(stem(F.col("new_class")), kind)).otherwise(file)
     path = F.when(F.col("source_path") == B.UNKNOWN, F.lit(None)).otherwise(F.when(package == "", named).otherwise(F.concat(package, F.lit("/"), named)))
-    there = moved.join(files, "top").select(*keys, F.lit("MOVED").alias("kind"), "site_class", "source_path", path.alias("new_path"))
-    refs = _of(facts, "ref").select(F.col("class").alias("site_class"), N.top_level(F.col("owner")).alias("top")).distinct()
-    using = moved.join(refs, "top").join(files.select("site_class", F.col("top").alias("own"), "source_path"), "site_class")
-    using = using.join(moved.select(*keys, F.col("top").alias("own")), [*keys, "own"], "left_anti")
-    return there.union(using.select(*keys, F.lit("REFERENCE"), "site_class", "source_path", F.lit(None).cast("string"))).distinct()
+    there = moved.join(files.withColumn("top", top), "top").select(*keys, F.lit("MOVED").alias("kind"), "site_class", "source_path", path.alias("new_path"))
+    packages = scratch.keep(moved.select(N.package_name(F.col("top")).alias("package")).distinct())
+    refs = _of(facts, "ref").select(F.col("class").alias("site_class"), N.top_level(F.col("owner")).alias("top"), N.package_name(N.top_level(F.col("owner"))).alias("package"))
+    refs = refs.filter(F.col("top") != top).join(packages, "package", "left_semi").select("site_class", "top")
+    refs = refs.repartition("site_class").distinct().join(files, "site_class")
+    site = lambda using: using.select(*keys, F.lit("REFERENCE"), "site_class", "source_path", F.lit(None).cast("string"))
+    out = there.union(site(alone.filter(~facade).join(refs, "top")))  # one moved class for each target, so rows are distinct
+    if many.isEmpty():
+        return out
+    own = many.select(*keys, F.col("top").alias("own"))
+    using = many.join(refs, "top").withColumn("own", top).join(own, [*keys, "own"], "left_anti")
+    return out.union(site(using).distinct())

@@ -113,6 +113,20 @@ def test_move(spark):
     assert ask("p.Missing", "q.X") == set()
 
 
+def test_move_deals_out_little(spark):
+    """References into packages that nothing moves in are left out, and few shuffles are planned, 44 before."""
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    f = facts(spark, a_class("p/One"), a_class("p/Two", [("run", "()V", [("new", "p/One"), ("new", "q/Other")])]), a_class("q/Other"))
+    spark.conf.set(key, "-1")
+    try:
+        found = R.move_class(f, targets(spark, ("p.One", "r.Uno"), names="class new_class"))
+        shuffles = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set(key, before)
+    assert {(r.kind, r.site_class) for r in found.collect()} == {("MOVED", "p.One"), ("REFERENCE", "p.Two")}
+    assert shuffles <= 10
+
+
 def test_wide_slots_and_statics():
     from sparkloom.sources import classfile as C
 
