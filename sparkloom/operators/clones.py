@@ -238,6 +238,27 @@ def _starting(places: DataFrame) -> DataFrame:
     return places.join(ends.filter("file0 <> file1 and before0 <> before1").select("h"), "h")
 
 
+def _further(looked: DataFrame, step: int) -> DataFrame:
+    """The places that go on, each in the set of those that agree on as many steps as it does with another file.
+
+    All groups lie inside sets, so rows are dealt out once, by set, and windows see the rest.
+    """
+    group = ["set", "i", "h"]
+    w, longest = Window.partitionBy(*group), Window.partitionBy("set", "file", "off", "lo", "search").orderBy(F.desc("i"), F.desc("h"))
+    found = looked.repartition("set").withColumns({"f0": F.min("file").over(w), "f1": F.max("file").over(w), "any": F.max("search").over(w)}).filter("f0 <> f1 and any")
+    # two places of each group that goes on may be partners of those that end a step before it: the first of its first two files
+    by = Window.partitionBy(*group, "less").orderBy("file", "off")
+    new = F.coalesce(F.lag("file").over(by) != F.col("file"), F.lit(True))
+    found = found.drop("f0", "f1", "any").withColumn("far", F.row_number().over(longest) == 1).withColumn("new", new)
+    found = found.withColumn("nth", F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    own = F.struct("i", "h", (F.col("lo") + F.col("i") * step).alias("lo"), F.col("search"))
+    stand = F.struct((F.col("i") - 1).alias("i"), F.col("less").alias("h"), (F.col("lo") + (F.col("i") - 1) * step).alias("lo"), F.lit(False).alias("search"))
+    both = F.array_compact(F.array(F.when(F.col("far"), own), F.when((F.col("i") > 0) & F.col("new") & (F.col("nth") <= 2), stand)))
+    rows = found.select("set", "file", "off", F.inline(both))
+    rows = rows.withColumn("alive", F.max("search").over(w)).filter("alive")
+    return rows.select(F.xxhash64(*group, F.lit(step)).alias("set"), "file", "off", "lo", "search")
+
+
 def _across(files: DataFrame, longest: int, least: int, scratch: Scratch) -> DataFrame:
     """The longest match of places with other files (ENDS), with the first of its partners."""
     hashed = "file string, off int, h long, before long"
@@ -250,21 +271,11 @@ def _across(files: DataFrame, longest: int, least: int, scratch: Scratch) -> Dat
     step = 1
     while step * FAN <= longest - least:
         step *= FAN
-    group = ["set", "i", "h"]
     while step:
         wants = now.groupBy("file").agg(F.collect_list(F.struct("set", "off", "lo", "search")).alias("w")).select("file", *(F.col(f"w.{c}") for c in ("set", "off", "lo", "search")))
         tried = files.join(wants, "file").select("file", "tokens", "set", "off", "lo", "search").mapInArrow(_next(step), "set long, file string, off int, lo int, search boolean, i int, h long, less long")
-        looked = scratch.keep(tried)
-        common = looked.groupBy(*group).agg(F.min("file").alias("f0"), F.max("file").alias("f1"), F.max("search").alias("any")).filter("f0 <> f1 and any").select(*group)
-        member = scratch.keep(looked.join(common, group))
-        far = member.groupBy("set", "file", "off", "lo", "search").agg(F.max(F.struct("i", "h")).alias("m"))
-        far = scratch.keep(far.select("set", "m.i", "m.h", "file", "off", (F.col("lo") + F.col("m.i") * step).alias("lo"), "search"))
-        # two places of each group that goes on may be partners of those that end a step before it
-        stand = _two(member.filter("i > 0"), ["set", "i", "h", "less"]).select("set", (F.col("i") - 1).alias("i"), F.col("less").alias("h"), "file", "off", (F.col("lo") + (F.col("i") - 1) * step).alias("lo"), F.lit(False).alias("search"))
-        alive = far.filter("search").select(*group).distinct()
-        after = far.union(stand).join(alive, group, "left_semi").select(F.xxhash64(*group, F.lit(step)).alias("set"), "file", "off", "lo", "search")
-        before, now = now, scratch.keep(after)
-        scratch.drop(before, looked, member, far)
+        before, now = now, scratch.keep(_further(tried, step))
+        scratch.drop(before)
         step //= FAN
     firsts = _two(now, ["set"]).groupBy("set").agg(*(F.min(F.when(F.col("rank") == r, F.struct("file", "off"))).alias(f"p{r}") for r in (1, 2)))
     found = now.filter("search").join(firsts, "set").withColumn("p", F.when(F.col("p1.file") != F.col("file"), F.col("p1")).otherwise(F.col("p2")))

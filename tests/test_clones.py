@@ -103,3 +103,12 @@ def test_short_windows(spark):
     r = random.Random(11)
     files = {f"f{k}": [r.choice("abcdefgh") for _ in range(r.randint(2, 25))] for k in range(6)}
     assert {(x.file_a, x.start_a, x.file_b, x.start_b, x.length) for x in found(spark, files, 3)} == greedy(files, 3)
+
+
+def test_rounds_write_one_table(spark):
+    """A round of the search writes the places that go on, and nothing else: four tables before."""
+    body = [str(k) for k in range(1000)]
+    scratch = Scratch(spark, "t")
+    got = C.duplicate_groups(tokens(spark, {"a": ["x", *body[:700], "y"], "b": [*body, "z"]}), scratch, 50).collect()
+    assert [(r.file_a, r.start_a, r.file_b, r.start_b, r.length) for r in got] == [("a", 1, "b", 0, 700)]
+    assert scratch.n <= 10
